@@ -22,7 +22,9 @@ BASE, RATE, TOP = 1.001, 20.0, 65_535
 #: A candidate pair is dropped only where the similarity asked for is less likely than the best estimate by exp(-DOUBT).
 DOUBT = 15.0
 #: Rows of one block, and bytes of the shingle sets of one block.
-BLOCK, BLOCK_BYTES = 256, 8 << 20
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
+#: Buckets of so many rows or fewer are compared together.
+FEW = 24
 
 _rng = np.random.default_rng(20_251)
 _BYTE = _rng.integers(1, 2**64, 256, np.uint64)
@@ -84,7 +86,7 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     least = np.full(REGISTERS, np.iinfo(np.uint64).max)
     for at in range(0, len(shingles), 2048):
         np.minimum(least, ((shingles[at : at + 2048, None] ^ _FLIP) * _MULT).min(0), out=least)
-    draw = -np.log1p(-(least >> np.uint64(11)) * 2.0**-53 * (1 - 2.0**-53)) / RATE
+    draw = -np.log1p(-((least >> np.uint64(11)).astype(float) * 2.0**-53)) / RATE
     return np.clip(np.floor(1 - np.log(np.maximum(draw, 1e-300)) / np.log(BASE)), 0, TOP).astype("<u2")
 
 
@@ -115,26 +117,76 @@ def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, similar
     return (most[:, 0] >= similarity - 1e-9) & (above >= below - DOUBT)
 
 
-def _forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of n nodes' links."""
-    root, out = list(range(n)), []
+def _forest(links: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric 0/1 matrix of links."""
+    out, free = [], np.ones(len(links), bool)
+    for first in range(len(links)):
+        if not free[first]:
+            continue
+        free[first], queue = False, [first]
+        while queue:
+            x = queue.pop()
+            new = np.flatnonzero(links[x] & free)
+            free[new] = False
+            out += [(x, y) for y in new.tolist()]
+            queue += new.tolist()
+    return out
+
+
+def _pairs(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows inside each of many small groups."""
+    left, right = [np.zeros(0, int)], [np.zeros(0, int)]
+    for n in np.unique(count[count > 1]).tolist():
+        i, j = np.triu_indices(n, 1)
+        at = start[count == n][:, None]
+        left.append((at + i).ravel())
+        right.append((at + j).ravel())
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _trees(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the given links."""
+    root: dict[int, int] = {}
+    out = []
 
     def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
         return x
 
     for x, y in zip(left.tolist(), right.tolist()):
         if (a := top(x)) != (b := top(y)):
-            root[max(a, b)] = min(a, b)
+            root[a] = b
             out.append((x, y))
-            if len(out) == n - 1:
-                break
     return out
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def _likely_forest(regs: np.ndarray, size: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the likely pairs among sketches: pairs with most equal registers first, and only between trees."""
+    n = len(regs)
+    low, equal = (regs & 0xFF).astype(np.uint8), np.zeros((n, n), np.uint8)
+    for r in range(REGISTERS):  # of the low bytes, so never fewer than there are
+        equal += low[:, r, None] == low[:, r]
+    fits = np.minimum(size[:, None], size) >= similarity * np.maximum(size[:, None], size) - 1e-9
+    np.fill_diagonal(fits, False)
+    label = np.arange(n)
+    out: list[tuple[int, int]] = []
+    x, y = np.nonzero(np.triu(fits & (equal >= similarity * REGISTERS - 7 * (similarity * (1 - similarity) * REGISTERS) ** 0.5), 1))
+    order = np.argsort(-equal[x, y].astype(int), kind="stable")
+    x, y = x[order], y[order]
+    while len(x):
+        ok = likely(regs[x[:4096]], regs[y[:4096]], size[x[:4096]], size[y[:4096]], similarity)
+        for i, j in zip(x[:4096][ok].tolist(), y[:4096][ok].tolist()):
+            if (a := label[i]) != (b := label[j]):
+                label[label == max(a, b)] = min(a, b)
+                out.append((i, j))
+        x, y = x[4096:], y[4096:]
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+    return out
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 10_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Sorted batches as tables of whole groups (equal in the first `keys` columns), with where each group starts."""
     rest: pa.Table | None = None
 
@@ -163,29 +215,28 @@ def _blocks(rows: DataFrame, group: str, count: Column) -> DataFrame:
     rows = rows.withColumn("_n", count.cast("int")).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
     rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     rows = rows.withColumns({"_p": F.least("_b", "_o"), "_q": F.greatest("_b", "_o")}).drop("_n", "_o")
-    return rows.repartition(group, "_p", "_q").sortWithinPartitions(group, "_p", "_q")
+    # A stated number of partitions: the rows are few bytes but much work, so Spark shall not put them together.
+    many = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(many, group, "_p", "_q").sortWithinPartitions(group, "_p", "_q")
 
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, root): every linked node with the least node reachable, by alternating large and small stars.
+    """(node, root): every linked node but the roots, with the least node reachable, by alternating large and small stars.
 
-    Each round is written to the shared folder, so lineage stays short; rounds end when the links no longer change.
+    Each round is written to the shared folder, so lineage stays short; rounds end when every node has one root, itself with none.
     """
     links = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    before = None
     for _ in range(rounds):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = written(large, "large")
-        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = large.join(least, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        links = written(small.where("a <> b").distinct(), "links")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        links = written(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "links")
+        ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+        ups = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+        if not ups.where("up > 1 or (up = 1 and n > 1)").head(1):
             break
-        before = now
     return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -224,32 +275,15 @@ def _candidate_links(similarity: float) -> Callable[[Iterator[pa.RecordBatch]],
             nodes = t.column("node").to_pylist()
             size = t.column("n").to_numpy().astype(float)
             regs = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u2").reshape(len(t), REGISTERS)
-            ends = np.append(at[1:], len(t))
             out: list[tuple[bytes, bytes]] = []
-            left, right, pending = [], [], 0
-
-            def settle() -> None:
-                if left:
-                    x, y = np.concatenate(left), np.concatenate(right)
-                    fits = np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y]) - 1e-9
-                    x, y = x[fits], y[fits]
-                    if len(x):
-                        ok = likely(regs[x], regs[y], size[x], size[y], similarity)
-                        x, y = x[ok], y[ok]
-                        ids, flat = np.unique(np.concatenate((x, y)), return_inverse=True)
-                        out.extend((nodes[ids[a]], nodes[ids[b]]) for a, b in _forest(len(ids), flat[: len(x)], flat[len(x) :]))
-                left.clear()
-                right.clear()
-
-            for a, b in zip(at.tolist(), ends.tolist()):
-                i, j = np.triu_indices(b - a, 1)
-                left.append(i + a)
-                right.append(j + a)
-                pending += len(i)
-                if pending > 50_000:
-                    settle()
-                    pending = 0
-            settle()
+            ends = np.append(at[1:], len(t))
+            few = ends - at <= FEW  # most buckets: many at once
+            for some in np.array_split(np.flatnonzero(few), max(1, few.sum() // 4000)):
+                x, y = _pairs(at[some], ends[some] - at[some])
+                ok = likely(regs[x], regs[y], size[x], size[y], similarity)
+                out += [(nodes[i], nodes[j]) for i, j in _trees(x[ok], y[ok])]
+            for a, b in zip(at[~few].tolist(), ends[~few].tolist()):
+                out += [(nodes[a + i], nodes[a + j]) for i, j in _likely_forest(regs[a:b], size[a:b], similarity)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     return find
@@ -267,7 +301,7 @@ def _true_links(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Itera
                 size = np.array([len(x) for x in own], float)
                 shared = intersections(own)
                 links = 100 * shared >= round(100 * similarity) * (size[:, None] + size - shared) - 1e-6
-                out.extend((nodes[a + i], nodes[a + j]) for i, j in _forest(b - a, *np.nonzero(np.triu(links, 1))))
+                out += [(nodes[a + i], nodes[a + j]) for i, j in _forest(links)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     return find
