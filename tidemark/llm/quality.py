@@ -18,6 +18,8 @@ from tidemark.llm.common import SPACE, words, written
 #: over most of a group (no repeats, few capitals) does not make every other value an outlier.
 FLOOR = {"f_length": 0.5, "f_word": 0.08, "f_marks": 0.05, "f_upper": 0.03, "f_repeats": 0.1}
 FEATURES = list(FLOOR)
+#: Words of ordinary prose (5.5 characters and 0.25 marks each, 3 % capitals) that every text is taken to have besides its own.
+PRIOR = 20
 #: Smallest group that is given estimates of its own; smaller ones take those of their language, then of all rows.
 LEAST = 40
 #: Distances are counted in bins of 1/BINS of a power of two, to find a group's h-th smallest exactly in counts.
@@ -57,15 +59,18 @@ def text_stats(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 
 def transformed(stats: DataFrame) -> DataFrame:
-    """The vector the method judges: log length, log mean word length, damped shares of marks and repeats, capitals."""
-    share = lambda a, b: F.sqrt(F.col(a) / F.greatest(F.col(b), F.lit(1)))
+    """The vector the method judges: log length, log mean word length, damped shares of marks and repeats, capitals.
+
+    Every text is taken to have PRIOR words of ordinary prose besides its own, so that a short one is not judged by chance.
+    """
+    mean = lambda a, b, usual, k: (F.col(a) + usual * k) / (F.col(b) + k)
     return stats.withColumns(
         {
             "f_length": F.log1p(F.col("n_words").cast("double")),
-            "f_word": F.log((F.col("word_chars") + 1) / (F.col("n_words") + 1)),
-            "f_marks": share("n_marks", "n_words"),
-            "f_upper": F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1)),
-            "f_repeats": share("n_repeat_words", "n_words"),
+            "f_word": F.log(mean("word_chars", "n_words", 5.5, PRIOR)),
+            "f_marks": F.sqrt(mean("n_marks", "n_words", 0.25, PRIOR)),
+            "f_upper": mean("n_upper", "word_chars", 0.03, 5.5 * PRIOR),
+            "f_repeats": F.sqrt(F.col("n_repeat_words") / F.greatest(F.col("n_words"), F.lit(1))),
         }
     )
 
@@ -133,7 +138,7 @@ CHI2_75 = 6.6257
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def quality_verdicts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", limit: float = 60.0) -> DataFrame:
+def quality_verdicts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", limit: float = 30.0) -> DataFrame:
     """Base counts and verdict of every document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, d2, row.
 
     A row fails the base rules with fewer than 10 words, or with over a fifth of its words in 5-word windows that its text repeats.
