@@ -1,20 +1,54 @@
-"""The corpus pipeline: documents to packed token sequences."""
+"""The corpus pipeline: documents to packed token sequences, in five stages."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import packing
+from tidemark.llm import decontaminate, near_dup, packing, quality, secrets
 from tidemark.llm.common import documents, written
 from tidemark.llm.queries import tokenizer_path
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    verdicts = quality.quality_verdicts(docs)
+    bad = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
+    return docs.join(bad, same, "left_anti")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near-duplicates (five words a shingle, similarity 0.8)."""
+    groups = near_dup.near_duplicates(docs)
+    gone = groups.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col("_id"), "left_anti")
+
+
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.without_contaminated(docs, decontaminate.contaminated(docs, documents(spark, sf_dir, "benchmark")))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, every secret in their texts replaced by a mark; n_chars follows the text."""
+    clean = secrets.redacted(docs)
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars").cast("long")))
+
+
 def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of 4096 tokens."""
+    """What is left, packed into sequences of 4096 tokens."""
     return packing.packed(docs, tokenizer_path())
 
 
-STAGES = [("packing", packs)]
+STAGES = [
+    ("quality rules", good),
+    ("MinHash near-dedup", one_of_each),
+    ("benchmark decontamination", clean_of_benchmark),
+    ("secret scans", without_secrets),
+    ("packing", packs),
+]
+#: SQL cannot express the sketches, robust estimates or the tokenizer; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
