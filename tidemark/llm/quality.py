@@ -139,7 +139,7 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def quality_verdicts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", limit: float = 30.0) -> DataFrame:
-    """Base counts and verdict of every document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, d2, row.
+    """Base counts and verdict of every document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, d2, text_hash.
 
     A row fails the base rules with fewer than 10 words, or with over a fifth of its words in 5-word windows that its text repeats.
     The rest are judged against estimates of their (lang, source), or of their lang where that pair has fewer than LEAST
@@ -149,9 +149,10 @@ def quality_verdicts(docs: DataFrame, id_column: str = "doc_id", text_column: st
     """
     cols = {c.lower() for c in docs.columns}
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0")) if c in cols else F.lit("\0")
-    slim = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), part("lang").alias("_lang"), part("source").alias("_source"))
+    slim = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"), part("lang").alias("_lang"), part("source").alias("_source"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    stats = transformed(text_stats(slim)).drop("text").withColumn("base_failed", failed).withColumn("row", F.monotonically_increasing_id())
+    slim = slim.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    stats = transformed(text_stats(slim)).drop("text").withColumn("base_failed", failed)
     stats = written(stats, "stats")
     passed = stats.where(~F.col("base_failed"))
     sizes = written(passed.groupBy("_lang", "_source").agg(F.count("*").alias("n")), "sizes")
@@ -161,4 +162,4 @@ def quality_verdicts(docs: DataFrame, id_column: str = "doc_id", text_column: st
     rows = written(passed.join(groups, ["_lang", "_source"]), "features")
     judged = robust_distance(rows, ["_group"]).withColumn("kept", F.col("d2") <= limit).drop("_group")
     failing = stats.where("base_failed").withColumns({"d2": F.lit(None).cast("double"), "kept": F.lit(False)})
-    return judged.unionByName(failing).select("doc_id", *COUNTS, "base_failed", "kept", "d2", "row")
+    return judged.unionByName(failing).select("doc_id", *COUNTS, "base_failed", "kept", "d2", "text_hash")

@@ -49,7 +49,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_verdicts(documents(spark, sf_dir)).drop("row")
+    return quality.quality_verdicts(documents(spark, sf_dir)).drop("text_hash")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
