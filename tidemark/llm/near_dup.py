@@ -22,7 +22,7 @@ BASE, RATE, TOP = 1.001, 20.0, 65_535
 #: A candidate pair is dropped only where the similarity asked for is less likely than the best estimate by exp(-DOUBT).
 DOUBT = 15.0
 #: Rows of one block, and bytes of the shingle sets of one block.
-BLOCK, BLOCK_BYTES = 1024, 16 << 20
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 #: Buckets of so many rows or fewer are compared together.
 FEW = 24
 
@@ -351,7 +351,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     member = coarse.unionByName(coarse.select(F.col("root").alias("node"), "root").distinct())
     member = written(member.join(sets.select("node", "first_id", "n"), "node"), "members")
     sizes = written(member.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).alias("blocks")), "sizes")
-    some = docs.join(member.select("first_id", "node"), F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "text", "node")
+    # Texts are dealt out by id at every size: at some sizes Spark would broadcast the members, whose number has no bound.
+    some = docs.join(member.select("first_id", "node").hint("merge"), F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "text", "node")
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
