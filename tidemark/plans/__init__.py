@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("query_plans", "normalise_plans", "version_plans", "rollup_plans")
+AREAS = ("query_plans", "normalise_plans", "version_plans", "rollup_plans", "catalogue_plans")
 
 
 def registered() -> tuple[dict, dict]:
