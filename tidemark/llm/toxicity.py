@@ -20,6 +20,8 @@ LEXICON = (
 ).split()
 #: Patterns that are voters, on the text as it stands: address, shouting, threats.
 PATTERNS = [r"(?i)\byou(?:'re| are) (?:a|an|so|such)\b", r"!{3,}", r"(?i)\b(?:shut up|go away|get lost|kill yourself|hate you)\b"]
+#: Correlation inside the classes from which voters count as tied.
+TIED = 0.25
 
 
 @dataclass
@@ -63,12 +65,13 @@ def votes(docs: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
     return wanted.mapInArrow(vote, f"{kinds}, fired array<int>, hits long")
 
 
-def label_model(fired: np.ndarray, given: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(fired: np.ndarray, given: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of toxic for each row, P(vote | class) of every voter, correlations of voters inside the classes).
 
     Expectation maximisation over the class of every row: each voter fires with a rate of its own in either class; the given
     label is one more voter whose rates are estimated alike. Votes that move together inside the classes count as less than
-    one voter each: a voter's evidence is divided by 1 + the sum of its positive correlations.
+    one voter each: a voter's evidence is divided by 1 + the sum of its correlations over TIED (weaker ones are mostly what is
+    left of rows whose class is not settled).
     """
     x = np.column_stack((fired, given)).astype(float)
     p = np.clip(given.astype(float), 0.02, 0.98)
@@ -82,7 +85,7 @@ def label_model(fired: np.ndarray, given: np.ndarray, rounds: int = 12) -> tuple
         covariance = left.T @ left / len(x)
         scale = np.sqrt(np.clip(np.diag(covariance), 1e-9, None))
         correlation = covariance / scale[:, None] / scale
-        share = 1 / (1 + np.clip(correlation - np.eye(len(correlation)), 0, None).sum(1))
+        share = 1 / (1 + np.where(correlation - np.eye(len(correlation)) > TIED, correlation, 0).sum(1))
         share[-1] = 1.0
         gain = share * (np.log(rates[1] / rates[0]) - np.log((1 - rates[1]) / (1 - rates[0])))
         base = np.log(total[1] / total[0]) + (share * np.log((1 - rates[1]) / (1 - rates[0]))).sum()
