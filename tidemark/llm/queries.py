@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, html_extract, licenses, near_dup, packing, quality, secrets, sharding, substring_dedup, toxicity
+from tidemark.llm import decontaminate, html_extract, licenses, near_dup, oracles, packing, quality, secrets, sharding, substring_dedup, toxicity
 from tidemark.llm.common import documents
 
 
@@ -58,4 +58,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OPERATORS = (op1_html_extract, op2_decontaminate, op3_near_dup, op4_substring_dedup, op5_licenses, op6_toxicity, op7_secrets, op8_packing, op9_quality, op10_sharding)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_licenses": oracles.licenses_sql(), "op7_secrets": oracles.secrets_sql()}
