@@ -269,3 +269,26 @@ def resolve_urls(asked: DataFrame, records: DataFrame) -> DataFrame:
     by_id = records.select(F.col("id").alias("_v"), F.col("id").alias("_by_id"))
     by_url = records.groupBy(bare_url(F.col("url")).alias("_u")).agg(F.min("id").alias("_by_url"))
     return q.join(by_id, "_v", "left").join(by_url, "_u", "left").select("asked", F.coalesce("_by_id", "_by_url").alias("record"))
+
+
+def record_states(records: DataFrame, entries: DataFrame) -> DataFrame:
+    """id, state: served or chosen where an entry has the record, else closed with the reason, else votable."""
+    licence = licence_id(F.col("licence"))
+    open_ = licence_open(licence)
+    state = (
+        F.when(F.col("live"), "served").when(F.col("live").isNotNull(), "chosen").when(open_ == F.lit(False), "closed: licence")
+        .when(~F.col("has_files"), "closed: no files").when(licence.isNull(), "closed: licence unknown").otherwise("votable")
+    )
+    return records.join(entries, "id", "left").select("id", state.alias("state"))
+
+
+# Abbreviations of jurisdictions, and words that tell a level of government.
+JURISDICTIONS = ["NSW", "VIC", "QLD", "WA", "SA", "TAS", "ACT", "NT"]
+LEVELS = [(r"\b(?:city|shire|town|council|municipality)\b", "local"), (r"\b(?:bureau|commonwealth|federal|national|australian)\b", "national"), (r"\b(?:department|ministry|authority)\b", "state")]
+
+
+def suggest_publishers(orgs: DataFrame, placed: DataFrame) -> DataFrame:
+    """org, jurisdiction, level proposed by its name for organisations that are not placed yet."""
+    named = F.regexp_extract("org", r"\b(" + "|".join(JURISDICTIONS) + r")\b", 1)
+    left = orgs.select("org").distinct().join(placed.select("org"), "org", "left_anti")
+    return left.select("org", F.nullif(named, F.lit("")).alias("jurisdiction"), first_match(F.lower("org"), LEVELS).alias("level"))

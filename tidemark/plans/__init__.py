@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("query_plans", "normalise_plans", "version_plans", "rollup_plans", "catalogue_plans", "stream_plans", "check_plans")
+AREAS = ("query_plans", "normalise_plans", "version_plans", "rollup_plans", "catalogue_plans", "stream_plans", "check_plans", "landing_plans")
 
 
 def registered() -> tuple[dict, dict]:
