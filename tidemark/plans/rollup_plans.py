@@ -61,12 +61,10 @@ P["a29_coverage_span"] = lambda s, d: orders(s, d).groupBy("o_orderstatus").agg(
 SQL["a29_coverage_span"] = "SELECT o_orderstatus, min(year(o_orderdate)) AS first, max(year(o_orderdate)) AS last, CAST(min(o_orderdate) AS DATE) AS low, CAST(max(o_orderdate) AS DATE) AS high FROM orders GROUP BY 1"
 
 # Places: a point for each customer, a rectangle for each nation on a lattice; neighbours share edges.
-LON, LAT = F.lit(112) + (F.col("c_custkey") * 7919 % 4200) / 100.0, F.lit(-44) + (F.col("c_custkey") * 104729 % 3400) / 100.0
-
-
 def points(spark, d):
-    nowhere = F.col("c_custkey") % 41 == 0
-    return table(spark, d, "customer").select("c_custkey", F.when(~nowhere, LON).alias("lon"), F.when(~nowhere, LAT).alias("lat"))
+    k = F.col("c_custkey")
+    lon, lat = F.lit(112) + (k * 7919 % 4200) / 100.0, F.lit(-44) + (k * 104729 % 3400) / 100.0
+    return table(spark, d, "customer").select("c_custkey", F.when(k % 41 != 0, lon).alias("lon"), F.when(k % 41 != 0, lat).alias("lat"))
 
 
 PTS = "(SELECT c_custkey, CASE WHEN c_custkey % 41 <> 0 THEN 112 + (c_custkey * 7919 % 4200) / 100.0 END AS lon, CASE WHEN c_custkey % 41 <> 0 THEN -44 + (c_custkey * 104729 % 3400) / 100.0 END AS lat FROM customer)"
