@@ -108,7 +108,8 @@ def _distance(rows: DataFrame) -> DataFrame:
 def _cut(rows: DataFrame, group: list[str], share: float) -> DataFrame:
     """Each group's bin of d2 below which at least `share` of its rows lie, counted exactly, and that bin's upper edge."""
     bin_ = F.floor(F.log2(F.greatest(F.col("d2"), F.lit(1e-6))) * BINS)
-    counts = rows.groupBy(*group, bin_.alias("bin")).agg(F.count("*").alias("k"))  # a few hundred bins a group
+    # A few hundred bins a group, finished before they are dealt by group: else the partial counts of all tasks would be.
+    counts = written(rows.groupBy(*group, bin_.alias("bin")).agg(F.count("*").alias("k")), "bins")
     w = W.partitionBy(*group).orderBy("bin")
     total = F.sum("k").over(W.partitionBy(*group))
     counts = counts.withColumn("upto", F.sum("k").over(w)).withColumn("total", total).where(F.col("upto") >= share * F.col("total"))
