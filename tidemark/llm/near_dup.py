@@ -227,10 +227,12 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """
     links = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     for _ in range(rounds):
+        # Least neighbours are written before they are joined, so both sides of a join are exchanges and a hub's rows can be split.
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = written(large, "large")
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = written(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "links")
         ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("up")))
