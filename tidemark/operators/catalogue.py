@@ -190,12 +190,12 @@ def reconcile(wanted: DataFrame, existing: DataFrame, cap: int) -> DataFrame:
 
     The `cap` most wanted keys may be open; a key that ever had a task never gets another.
     """
-    ranked = wanted.withColumn("_r", F.row_number().over(W.orderBy(F.desc("votes"), "key"))) if cap else wanted.withColumn("_r", F.lit(1))
-    both = ranked.join(existing, "key", "full_outer")
-    within = F.col("_r") <= cap
+    first = wanted.orderBy(F.desc("votes"), "key").limit(cap).select("key", F.lit(True).alias("_first"))
+    both = wanted.select("key", F.lit(True).alias("_wanted")).join(first, "key", "left").join(existing, "key", "full_outer")
+    within = F.coalesce("_first", F.lit(False))
     action = (
         F.when(F.col("open").isNull() & within, "create").when(F.col("open").isNull(), None).when(~F.col("open"), None)
-        .when(F.col("done"), "close: done").when(F.col("_r").isNull(), "close: gone").when(within, "update").otherwise("close: over the cap")
+        .when(F.col("done"), "close: done").when(F.col("_wanted").isNull(), "close: gone").when(within, "update").otherwise("close: over the cap")
     )
     return both.select("key", action.alias("action")).where("action is not null")
 
