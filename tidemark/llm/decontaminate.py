@@ -149,4 +149,5 @@ def _search(items: list[tuple[int, str]], error_rate: float):
 
 def without_contaminated(docs: DataFrame, found: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Documents whose id has no row in found. Documents without an id stay."""
-    return docs.join(found.select(F.col("doc_id").alias("_found")).distinct(), F.col(id_column) == F.col("_found"), "left_anti")
+    gone = found.select(F.col("doc_id").alias("_found")).distinct()
+    return docs.join(gone, docs[id_column] == gone["_found"], "left_anti")

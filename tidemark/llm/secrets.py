@@ -72,14 +72,18 @@ def peak_entropy(word: Column, window: int = WINDOW) -> Column:
     return F.aggregate(chars, zero, step, lambda a: a["h"])
 
 
-def found_secrets(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """Adds secrets: array of (kind, start, end), ends exclusive, in code points, by start and then in the order of kinds.
+#: The column that holds spans while a text is redacted.
+SPANS = "_secret spans of this text_"
+
+
+def secret_spans(column: Column) -> Column:
+    """Array of (kind, start, end), ends exclusive, in code points, by start and then in the order of kinds.
 
     Base kinds: assign (a name, : or =, and a value of 6 or more), access, hex. The method adds entropy_hex and entropy_base64:
     strings of one character class in which some window of WINDOW characters has the class's entropy and which are not on
     the allow-list. Null text is empty and has none. Texts are scanned whole, each in its own row: no shuffle.
     """
-    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    text = F.coalesce(column.cast("string"), F.lit(""))
     kind = lambda k, f: F.transform(f, lambda x: F.struct(x["s"].alias("start"), F.lit(ORDER.index(k)).alias("rank"), x["e"].alias("end")))
     assigned = F.filter(_found(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 6)
     parts = [kind("assign", assigned), kind("access", _found(text, ACCESS)), kind("hex", _found(text, HEX))]
@@ -87,8 +91,12 @@ def found_secrets(docs: DataFrame, text_column: str = "text") -> DataFrame:
         likely = F.filter(_found(text, candidates), lambda x: x["m"].rlike(needs) & ~x["m"].rlike(ALLOWED))
         parts.append(kind(name, F.filter(likely, lambda x: peak_entropy(x["m"]) >= least)))
     names = F.array(*(F.lit(k) for k in ORDER))
-    spans = F.transform(F.array_sort(F.concat(*parts)), lambda x: F.struct(F.get(names, x["rank"]).alias("kind"), x["start"], x["end"]))
-    return docs.withColumn("secrets", spans)
+    return F.transform(F.array_sort(F.concat(*parts)), lambda x: F.struct(F.get(names, x["rank"]).alias("kind"), x["start"], x["end"]))
+
+
+def found_secrets(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """Adds secrets, the spans of `secret_spans`; a column of that name is replaced."""
+    return docs.withColumn("secrets", secret_spans(F.col(text_column)))
 
 
 def _joined(spans: Column) -> Column:
@@ -105,7 +113,7 @@ def secret_digests(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 def redacted(docs: DataFrame, text_column: str = "text", mark: str = "<secret>") -> DataFrame:
     """Documents with every secret span of their text replaced by a mark; overlapping spans give one mark. Null stays null."""
-    found = found_secrets(docs, text_column)
+    found = docs.withColumn(SPANS, secret_spans(F.col(text_column)))
     text = F.col(text_column)
     start = F.struct(F.lit("").alias("t"), F.lit(0).alias("at"))
 
@@ -114,5 +122,5 @@ def redacted(docs: DataFrame, text_column: str = "text", mark: str = "<secret>")
         grown = F.concat(a["t"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit(mark))
         return F.struct(F.when(fresh, grown).otherwise(a["t"]).alias("t"), F.greatest(a["at"], x["end"]).alias("at"))
 
-    clean = F.aggregate("secrets", start, step, lambda a: F.concat(a["t"], F.substring(text, a["at"] + 1, F.length(text))))
-    return found.withColumn(text_column, F.when(F.size("secrets") > 0, clean).otherwise(text)).drop("secrets")
+    clean = F.aggregate(SPANS, start, step, lambda a: F.concat(a["t"], F.substring(text, a["at"] + 1, F.length(text))))
+    return found.withColumn(text_column, F.when(F.size(SPANS) > 0, clean).otherwise(text)).drop(SPANS)
