@@ -17,7 +17,7 @@ def test_stages_against_brute_force(spark, docs, tmp_path):
     items = [(i, say(4)) for i in range(5)]
     rows = [(i, say(r.randint(3, 20))) for i in range(120)]
     rows += [(200 + i, rows[i][1] + " extra") for i in range(10, 30)] + [(300, rows[1][1])]
-    rows += [(400 + i, say(5) + "\n" + items[i][1].replace(" ", ",  ") + "\n" + say(3)) for i in range(5)]
+    rows += [(400 + i, say(5) + "\n" + items[i][1].replace(" ", "\n", 5) + "\n" + say(3)) for i in range(5)]
     rows += [(500, say(5) + ' token = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8" ' + say(2)), (600, "too short"), (601, None), (602, "same same " * 200), (603, " ".join(w + "$$$" for w in r.choices(voc, k=90)))]
     docs(rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
