@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 #: White space that ends a word: space and the control characters 09-0D.
 SPACE = r"[\x20\x09-\x0D]"
-NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
