@@ -109,6 +109,8 @@ def repeated_spans(docs: DataFrame, several: int = 3, least_words: int = 24, id_
                     gone[min(c["first"], len(found))] += 1
                     gone[min(c["first"] + c["count"], len(found))] -= 1
                 gone = np.cumsum(gone)[:-1] > 0
+                if not gone.any():  # another row of the same id had the copies
+                    continue
                 spans: list[dict] = []
                 before = False
                 for (a, b, _), x in zip(found, gone.tolist()):
