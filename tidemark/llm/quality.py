@@ -22,6 +22,8 @@ FEATURES = list(FLOOR)
 PRIOR = 20
 #: Smallest group that is given estimates of its own; smaller ones take those of their language, then of all rows.
 LEAST = 40
+#: Most groups (of about 200 bytes each) whose estimates are broadcast.
+GROUPS = 50_000
 #: Distances are counted in bins of 1/BINS of a power of two, to find a group's h-th smallest exactly in counts.
 BINS = 32
 
@@ -116,22 +118,27 @@ def _cut(rows: DataFrame, group: list[str], share: float) -> DataFrame:
     return counts.groupBy(*group).agg(F.pow(F.lit(2.0), (F.min("bin") + 1) / BINS).alias("cut"))
 
 
+def _by_group(rows: DataFrame, made: DataFrame, group: list[str]) -> DataFrame:
+    """Rows with their group's row of a written table: broadcast if it has at most GROUPS rows, which are counted, else joined by key."""
+    return rows.join(F.broadcast(made) if made.limit(GROUPS + 1).count() <= GROUPS else made, group)
+
+
 def robust_distance(rows: DataFrame, group: list[str], share: float = 0.75, steps: int = 3) -> DataFrame:
     """Adds d2: the squared Mahalanobis distance by minimum-covariance-determinant estimates of the row's group.
 
     Concentration steps: from the group's estimates, keep the `share` of its rows with the least distances and estimate
     again (the determinant never grows), `steps` times. Distances are rescaled so that the groups' cut agrees with the
     chi-square law. Group columns must not be null. Rows are never gathered by group: each step joins the groups' small
-    table of estimates (broadcast by Spark where its measured size allows, else with skewed partitions split).
+    table of estimates, so rows of a hot group stay where they are.
     """
     kept = rows
     for step in range(steps + 1):
         made = written(_triangle(_estimates(kept, group)), "estimates")
-        far = _distance(rows.join(made.drop("n"), group))
+        far = _distance(_by_group(rows, made.drop("n"), group))
         cuts = written(_cut(far, group, share), "cuts")
         if step < steps:
-            kept = far.join(cuts, group).where(F.col("d2") <= F.col("cut")).select(*rows.columns)
-    return far.join(cuts, group).withColumn("d2", F.col("d2") * (F.lit(CHI2_75) / F.greatest("cut", F.lit(CHI2_75)))).select(*rows.columns, "d2")
+            kept = _by_group(far, cuts, group).where(F.col("d2") <= F.col("cut")).select(*rows.columns)
+    return _by_group(far, cuts, group).withColumn("d2", F.col("d2") * (F.lit(CHI2_75) / F.greatest("cut", F.lit(CHI2_75)))).select(*rows.columns, "d2")
 
 
 #: 0.75 quantile of the chi-square law with five degrees of freedom.
@@ -160,7 +167,7 @@ def quality_verdicts(docs: DataFrame, id_column: str = "doc_id", text_column: st
     sizes = sizes.withColumn("by_lang", F.sum("n").over(W.partitionBy("_lang")))
     level = F.when(F.col("n") >= LEAST, F.concat_ws("\1", "_lang", "_source")).when(F.col("by_lang") >= LEAST, F.col("_lang")).otherwise(F.lit("\0all"))
     groups = written(sizes.select("_lang", "_source", level.alias("_group")), "groups")
-    rows = written(passed.join(groups, ["_lang", "_source"]), "features")
+    rows = written(_by_group(passed, groups, ["_lang", "_source"]), "features")
     judged = robust_distance(rows, ["_group"]).withColumn("kept", F.col("d2") <= limit).drop("_group")
     failing = stats.where("base_failed").withColumns({"d2": F.lit(None).cast("double"), "kept": F.lit(False)})
     return judged.unionByName(failing).select("doc_id", *COUNTS, "base_failed", "kept", "d2", "text_hash")
