@@ -31,5 +31,17 @@ def test_counts_equal_brute_force_and_junk_goes(docs):
     assert all(got[d].kept for d in range(300)) and not any(got[1000 + i].kept for i in range(5))
 
 
+def test_small_groups_read_the_estimates_of_large_ones(docs):
+    r = random.Random(6)
+    voc = ["word%s" % "abcdefgh"[i % 8] * (1 + i % 3) for i in range(200)]
+    good = lambda: "\n".join(" ".join(r.choices(voc, k=r.randint(8, 20))).capitalize() + "." for _ in range(r.randint(2, 12)))
+    junk = lambda: " ".join(w + "***#" for w in r.choices(voc, k=80))
+    rows = [(i, good(), "en", "web") for i in range(120)] + [(200 + i, good(), "de", "web") for i in range(60)]
+    small = [("en", "rare"), ("en", None), ("de", "rare"), ("fr", "web"), (None, None)]
+    rows += [(1000 + i, junk(), *x) for i, x in enumerate(small)] + [(2000 + i, good(), *x) for i, x in enumerate(small)]
+    kept = {x.doc_id: x.kept for x in quality.quality_verdicts(docs(rows)).collect()}
+    assert kept == {x[0]: not 1000 <= x[0] < 2000 for x in rows}
+
+
 def test_empty_table(docs):
     assert quality.quality_verdicts(docs([(1, "a")]).limit(0)).collect() == []

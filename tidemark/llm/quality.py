@@ -151,8 +151,8 @@ def quality_verdicts(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
     A row fails the base rules with fewer than 10 words, or with over a fifth of its words in 5-word windows that its text repeats.
     The rest are judged against estimates of their (lang, source), or of their lang where that pair has fewer than LEAST
-    rows that pass the base rules, or of all rows; a squared distance over `limit`, far beyond what the chi-square law gives
-    ordinary rows, rejects. Null lang or source (or no such column) is a group of its own; null text is empty and fails;
+    rows that pass the base rules, or of all rows where the lang has fewer too; each is estimated from every row that passes at its
+    level, small pairs and large. A squared distance over `limit`, far beyond what the chi-square law gives ordinary rows, rejects. Null lang or source (or no such column) is a group of its own; null text is empty and fails;
     repeated rows are judged alike; an empty table gives an empty result. Texts are read once and whole.
     """
     cols = {c.lower() for c in docs.columns}
@@ -164,10 +164,15 @@ def quality_verdicts(docs: DataFrame, id_column: str = "doc_id", text_column: st
     stats = written(stats, "stats")
     passed = stats.where(~F.col("base_failed"))
     sizes = written(passed.groupBy("_lang", "_source").agg(F.count("*").alias("n")), "sizes")
-    sizes = sizes.withColumn("by_lang", F.sum("n").over(W.partitionBy("_lang")))
-    level = F.when(F.col("n") >= LEAST, F.concat_ws("\1", "_lang", "_source")).when(F.col("by_lang") >= LEAST, F.col("_lang")).otherwise(F.lit("\0all"))
-    groups = written(sizes.select("_lang", "_source", level.alias("_group")), "groups")
-    rows = written(_by_group(passed, groups, ["_lang", "_source"]), "features")
-    judged = robust_distance(rows, ["_group"]).withColumn("kept", F.col("d2") <= limit).drop("_group")
+    langs = written(sizes.groupBy("_lang").agg(F.sum("n").alias("by_lang"), F.min("n").alias("smallest")), "langs")
+    pair, lang, every = F.concat_ws("\1", F.lit("pair"), "_lang", "_source"), F.concat_ws("\1", F.lit("lang"), "_lang"), F.lit("all")
+    own = F.when(F.col("n") >= LEAST, pair).when(F.col("by_lang") >= LEAST, lang).otherwise(every)
+    # A row counts for each level that some row reads, and is judged by the first that is large enough.
+    counts_for = [F.when(F.col("n") >= LEAST, pair), F.when((F.col("by_lang") >= LEAST) & (F.col("smallest") < LEAST), lang)]
+    counts_for += [every] if langs.where(F.col("by_lang") < LEAST).take(1) else []
+    levels = _by_group(sizes, langs, ["_lang"]).select("_lang", "_source", own.alias("_own"), F.array_compact(F.array(*counts_for)).alias("_groups"))
+    groups = written(levels, "groups")
+    rows = written(_by_group(passed, groups, ["_lang", "_source"]).withColumn("_group", F.explode("_groups")).drop("_groups"), "features")
+    judged = robust_distance(rows, ["_group"]).where("_group = _own").withColumn("kept", F.col("d2") <= limit).drop("_group", "_own")
     failing = stats.where("base_failed").withColumns({"d2": F.lit(None).cast("double"), "kept": F.lit(False)})
     return judged.unionByName(failing).select("doc_id", *COUNTS, "base_failed", "kept", "d2", "text_hash")
