@@ -51,6 +51,22 @@ def test_leaks_found_and_clean_left(docs, spark):
     assert kept == set(text) - {i for i, _ in want}
 
 
+def test_short_items_are_found_as_whole_words(docs, spark):
+    items = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "art of war"), (3, "Why so?"), (4, "誰が書いた"), (5, "What is 12 plus 17?")], "item_id long, text string")
+    rows = [(1, "Q: who  wrote “Hamlet” A: he"), (2, "who wrote hamlets"), (3, "Art of War."), (4, "start of war, the art of wars"), (5, "why so? why so?"), (6, "昔、誰が書いたのか"), (7, "what is 12 plus 18"), (8, "start of war; art of war")]
+    got = {(x.doc_id, x.item_id): (x.distance, dict(rows)[x.doc_id][x.start : x.end]) for x in d.contaminated(docs(rows), items).collect()}
+    assert got == {(1, 1): (0, "who  wrote “Hamlet"), (3, 2): (0, "Art of War"), (6, 4): (0, "誰が書いた"), (8, 2): (0, "art of war")}
+
+
+def test_repeated_piece_does_not_cut_the_window(docs, spark):
+    r = random.Random(3)
+    p = ["".join(r.choices("abcdefgh", k=16)) for _ in range(4)]
+    item = p[0] + p[1] + p[2] + p[0] + p[3]
+    leak = "".join(x if k == 3 else x[:8] + "z" + x[9:] for k, x in enumerate((p[0], p[1], p[2], p[0], p[3])))
+    got = d.contaminated(docs([(1, "before " + leak + " after")]), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(x.doc_id, x.item_id, x.distance, x.start, x.end) for x in got] == [(1, 7, 4, 7, 87)]
+
+
 def test_many_blocks_find_the_same(docs, spark, monkeypatch):
     items = spark.createDataFrame([(i, f"item number {i} has its own words like w{i * 7919} and w{i * 104729} in it") for i in range(12)], "item_id long, text string")
     rows = docs([(i, f"before. Item number {i} has its own words like w{i * 7919} and w{i * 104729} in it") for i in range(0, 12, 2)])

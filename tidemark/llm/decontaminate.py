@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 SCHEMA = "doc_id long, item_id long, distance int, start long, end long"
 #: Characters of normalised items that one pass carries to the executors; more items are searched in more passes.
 BLOCK_CHARS = 4_000_000
+#: Fewest words of an item that is searched for: fewer (one or two) are found in ordinary text by chance.
+LEAST_WORDS = 3
+#: Letters of scripts written without spaces: each counts as a word, and no boundary is asked for beside one.
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
 _OTHER = re.compile(r"[\W_]+")
 _searchers: dict[int, object] = {}
 
@@ -37,6 +41,17 @@ def places(text: str) -> list[int]:
     return out
 
 
+def n_words(item: str) -> int:
+    """Words of a normalised text."""
+    return len(_UNSPACED.sub(" x ", item).split())
+
+
+def bounded(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] has no part of a word beside it."""
+    left = start == 0 or text[start - 1] == " " or bool(_UNSPACED.match(text[start]))
+    return left and (end == len(text) or text[end] == " " or bool(_UNSPACED.match(text[end - 1])))
+
+
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
     """errors + 1 consecutive pieces of near-equal length: any text within that many edits of the item has one unchanged."""
     n = errors + 1
@@ -71,12 +86,13 @@ def distance_in(pattern: str, text: str) -> tuple[int, int]:
 
 
 class Searcher:
-    """One block of items: an automaton over all their pieces."""
+    """One block of items: an automaton over all their pieces. Items under min_chars are to be found unchanged, as whole words."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float):
+    def __init__(self, items: list[tuple[int, str]], error_rate: float, min_chars: int):
         import ahocorasick
 
-        self.items, self.trie = [(i, t, int(len(t) * error_rate)) for i, t in items], ahocorasick.Automaton()
+        self.min_chars, self.trie = min_chars, ahocorasick.Automaton()
+        self.items = [(i, t, int(len(t) * error_rate) if len(t) >= min_chars else 0) for i, t in items]
         found: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text, errors) in enumerate(self.items):
             for at, piece in pieces(text, errors):
@@ -88,16 +104,24 @@ class Searcher:
     def find(self, text: str) -> Iterator[tuple[int, int, int, int]]:
         """(item id, distance, start, end) of the best place of every item that lies in a normalised text."""
         windows: dict[int, list[list[int]]] = {}
+        short: dict[int, int] = {}
         for last, (n, where) in self.trie.iter(text):
             for k, at in where:
                 _, item, errors = self.items[k]
+                if len(item) < self.min_chars:
+                    if k not in short and bounded(text, last + 1 - n, last + 1):
+                        short[k] = last + 1
+                    continue
                 low = max(0, last + 1 - n - at - errors)
                 high = last + 1 - n - at + len(item) + errors
                 own = windows.setdefault(k, [])
                 if own and low <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], high)
+                    own[-1] = [min(own[-1][0], low), max(own[-1][1], high)]
                 else:
                     own.append([low, high])
+        for k, end in short.items():
+            name, item, _ = self.items[k]
+            yield name, 0, end - len(item), end
         for k, spans in windows.items():
             name, item, errors = self.items[k]
             best = min((distance_in(item, text[a:b]) + (a,) for a, b in spans), key=lambda x: x[0])
@@ -111,8 +135,9 @@ def contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.06, mi
     """One row for every document and benchmark item it holds: doc_id, item_id, distance, start, end (places in the text).
 
     Both texts are lower-cased and every run of characters other than letters and digits is one space. An item lies in a
-    document when some part of the document is within floor(error_rate * item length) edits of it. Items of fewer than
-    `min_chars` normalised characters say too little to be told from ordinary text and are not searched for.
+    document when some part of the document is within floor(error_rate * item length) edits of it. An item of fewer than
+    `min_chars` normalised characters must be there unchanged and as whole words, as an edit may make another question of it;
+    one of fewer than LEAST_WORDS words says too little to be told from ordinary text and is not searched for.
 
     The items are the stated query set: they go to the executors in blocks of at most BLOCK_CHARS characters, one pass over the
     documents a block, each document whole and in its own row, without a shuffle. Null and empty texts hold nothing and are held
@@ -126,15 +151,15 @@ def contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.06, mi
     found = None
     for block in range(max(1, blocks)):
         part = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks))) == block).collect()
-        known = [(r[0], t) for r in part if len(t := normal(r[1])) >= min_chars]
-        one = slim.mapInArrow(_search(known, error_rate), SCHEMA)
+        known = [(r[0], t) for r in part if len(t := normal(r[1])) >= min_chars or n_words(t) >= LEAST_WORDS]
+        one = slim.mapInArrow(_search(known, error_rate, min_chars), SCHEMA)
         found = one if found is None else found.unionByName(one)
     return found
 
 
-def _search(items: list[tuple[int, str]], error_rate: float):
+def _search(items: list[tuple[int, str]], error_rate: float, min_chars: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searcher = Searcher(items, error_rate) if items else None
+        searcher = Searcher(items, error_rate, min_chars) if items else None
         for batch in batches:
             out = []
             for row, plain in enumerate(batch.column(2).to_pylist()):
