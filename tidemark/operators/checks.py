@@ -8,17 +8,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tidemark.functions.lineage import checkpointed
+
+
+def running_total(df: DataFrame, value: str, order: list[str]) -> DataFrame:
+    """Adds _s, the sum of `value` over all rows up to each one in an order that tells rows apart, and _p, the row's part of it.
+
+    Rows are dealt into ranges of the order and kept there; a range starts from the sums of those before it, one row a range.
+    """
+    parts = checkpointed(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    sums = parts.groupBy("_p").agg(F.sum(value).alias("_sum"))
+    before = sums.select("_p", F.sum("_sum").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    own = F.sum(value).over(W.partitionBy("_p").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    rows = parts.withColumn("_own", own).join(F.broadcast(before), "_p")
+    return rows.withColumn("_s", F.coalesce(F.col("_own") + F.col("_before"), "_own", "_before")).drop("_own", "_before")
+
 
 def stratified_sample(items: DataFrame, seed: int, budget: int) -> DataFrame:
     """id, stratum, cost, why: forced items, then each stratum's cheapest, then others in seeded order while the budget lasts.
 
-    items: id, stratum, cost, forced. The running total is over one row for each dataset, not over data.
+    items: id, stratum, cost, forced. The running total is taken by ranges of the order.
     """
     cheapest = F.row_number().over(W.partitionBy("stratum").orderBy("cost", "id")) == 1
     rank = F.when(F.col("forced"), 0).when(cheapest, 1).otherwise(2)
     ordered = items.withColumn("_k", rank).withColumn("_h", F.when(F.col("_k") == 2, F.md5(F.concat_ws(":", F.lit(str(seed)), "id"))))
-    spent = F.sum("cost").over(W.orderBy("_k", "_h", "cost", "id").rowsBetween(W.unboundedPreceding, 0))
-    chosen = ordered.withColumn("_s", spent).where((F.col("_k") < 2) | (F.col("_s") <= budget))
+    chosen = running_total(ordered, "cost", ["_k", "_h", "cost", "id"]).where((F.col("_k") < 2) | (F.col("_s") <= budget))
     return chosen.select("id", "stratum", "cost", F.when(F.col("_k") == 0, "forced").when(F.col("_k") == 1, "stratum").otherwise("drawn").alias("why"))
 
 
