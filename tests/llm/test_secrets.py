@@ -1,13 +1,13 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
 from tidemark.llm import secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
-ALLOWED = re.compile(secrets.ALLOWED.replace("(?i)01234567", "01234567"), re.I)
-KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_base64"]
+KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_lower", "entropy_upper", "entropy_base64"]
 WINDOW = secrets.WINDOW
 
 
@@ -19,15 +19,21 @@ def entropy(s):
     return best
 
 
+def allowed(s):
+    words = re.fullmatch(r"/?[A-Za-z][A-Za-z/_-]*[0-9]{0,4}", s) and re.search("[A-Za-z][/_-]", s) and not re.search("[/_-]{2}", s)
+    return words or re.fullmatch("[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}", s, re.I) or re.search("01234567|abcdefgh|example|sample", s, re.I) or re.search(r"(.)\1{7}", s)
+
+
 def brute(x):
     x = x or ""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(x) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", x) if len(m[0]) >= 20]
     found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", x) if len(m[0]) >= 24]
     base = list(found)
-    for k, (_, pattern, least, needs) in enumerate(secrets.CLASSES):
+    for k, (_, pattern, needs, least, bare) in enumerate(secrets.CLASSES):
         for m in re.finditer(pattern, x):
-            if re.search(needs, m[0]) and not ALLOWED.search(m[0]) and entropy(m[0]) >= least:
+            enough = bare if bare and not re.search("[0-9]", m[0]) else least
+            if all(re.search(p, m[0]) for p in needs) and not allowed(m[0]) and entropy(m[0]) >= enough:
                 found.append((m.start(), 3 + k, m.end()))
     join = lambda f: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(f))
     return [sum(k == i for _, k, _ in base) for i in range(3)], hashlib.sha256(join(base).encode()).hexdigest(), join(found)
@@ -40,6 +46,8 @@ ROWS = [
     "deadbeef" * 3 + " 0123456789abcdef0123456789abcdef",
     "key Zx8Kq2LmP0vR7tYw3BnC5dHs9JfG1aE4 and path/to/some/long/directory/name/here",
     "", None, "plain words only, nothing here", "token=" + "a1B2" * 3000, "z" * 41,
+    "bare 7f3kq9zt2mx8v4bh1nw6 and K7QF2ZX9MB4TR8LD3WHN5 and kXqZbTrWmNvLpYsDfGhJ, GetElementsByClassNameAndTag internationalisation20",
+    "see " + "aB/" * 4000 + "12 end", "a/b/" * 3000 + "c1", "token=abcdef1 " * 900, "aB1" * 3000 + " 9b0b3c6a43eb78aa99cbd7049c572391524f37a8" * 300, "\U0001f600" * 500 + " api_key: '\u00e9abcdef012' ",
     "password password=abcdef,token :  'q.w-e+r/t' secrettoken=zzzzzz",
 ]
 
@@ -51,13 +59,34 @@ def test_equal_brute_force(docs):
         assert [got[k].n_assign, got[k].n_access, got[k].n_hex] == counts and got[k].base_sha256 == digest
         assert got[k].spans == spans
     assert "entropy_base64" in got[4].spans and "path" not in ROWS[4][int(got[4].spans.split(":")[1]) : int(got[4].spans.split(":")[2])]
-    assert got[9].spans == ""
+    assert got[9].spans == "" and [x.split(":")[0] for x in got[10].spans.split(",")] == ["entropy_lower", "entropy_upper", "entropy_base64"]
+
+
+def test_very_long_texts(docs):
+    """Texts that recursion, growing arrays or per-character copies would not survive."""
+    r = random.Random(5)
+    rows = ["see " + "aB/" * 100_000 + "12 end", "".join(r.choices("".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])), k=300_000)), "token=abcdef1 " * 20_000, "(" * 200_000 + "aaaa/" * 20_000]
+    got = {x.doc_id: x for x in secrets.secret_digests(docs(list(enumerate(rows)))).collect()}
+    assert got[0].spans == got[3].spans == "" and got[1].spans == "entropy_base64:0:300000" and got[2].n_assign == 20_000
+    clean = {x.doc_id: x.text for x in secrets.redacted(docs(list(enumerate(rows)))).collect()}
+    assert clean[0] == rows[0] and clean[1] == "<secret>" and clean[2] == "<secret> " * 20_000
+
+
+def test_redaction_equals_brute_force(docs):
+    rows = list(enumerate(ROWS))
+    got = {x.doc_id: x.text for x in secrets.redacted(docs(rows)).collect()}
+    for k, x in rows:
+        made, at = "", 0
+        for span in [s.split(":") for s in brute(x)[2].split(",") if s]:
+            a, b = int(span[1]), int(span[2])
+            made, at = made + (x[at:a] + "<secret>" if a >= at else ""), max(at, b)
+        assert got[k] == (None if x is None else made + x[at:])
 
 
 def test_peak_entropy_by_incremental_counts(spark):
     from pyspark.sql import functions as F
 
-    words = ["9b0b3c6a43eb78aa99cbd7049c572391524f37a8", "abc", "aaaaaaaaaaaaaaaaaaaaaaaa", "Zx8Kq2LmP0vR7tYw3BnC5dHs9JfG1aE4"]
+    words = ["9b0b3c6a43eb78aa99cbd7049c572391524f37a8", "abc", "", "ab" * 10, "abcdefghijklmnopqrst" + "a" * 20, "aaaaaaaaaaaaaaaaaaaaaaaa", "Zx8Kq2LmP0vR7tYw3BnC5dHs9JfG1aE4"]
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", secrets.peak_entropy(F.col("w")).alias("h")).collect()
     assert all(abs(r.h - entropy(r.w)) < 1e-9 for r in rows)
 

@@ -43,19 +43,22 @@ def secrets_sql() -> str:
     windows = f"list_transform(range(1, length(m) - {w - 2}), lambda i: string_split(substring(m, i, {w}), ''))"
     entropy = f"list_max(list_transform({windows}, lambda c: log2({w}) - list_sum(list_transform(list_distinct(c), lambda x: len(list_filter(c, lambda y: y = x)) * log2(len(list_filter(c, lambda y: y = x))))) / {w}))"
     same8 = "len(list_filter(range(1, length(m) - 6), lambda i: substring(m, i, 8) = repeat(substring(m, i, 1), 8))) > 0"
-    allowed = rf"regexp_matches(m, '^[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}$|^/?([A-Za-z]+[/_-])+[A-Za-z]*[0-9]{{0,4}}$|(?i)01234567|abcdefgh|example|sample') OR {same8}"
-    (_, _, least_hex, _), (_, _, least_64, _) = secrets.CLASSES
+    holds = lambda has, lacks: " AND ".join([f"regexp_matches(m, {_quoted(p)})" for p in has] + [f"NOT regexp_matches(m, {_quoted(p)})" for p in lacks])
+    allowed = " OR ".join(f"({holds(*x)})" for x in secrets.ALLOWED[:-1]) + f" OR {same8}"
+    # The engine has no look-around: a class's candidates are whole runs of the wider class that it must not adjoin.
+    wider = {"entropy_base64": ("[A-Za-z0-9+/_-]{20,}={0,2}", "true")}
+    wider |= {c[0]: ("[A-Za-z0-9]{20,}", f"regexp_matches(m, '^{c[1].split('{')[0].split(')')[-1]}+$')") for c in secrets.CLASSES[:3]}
+    least = " ".join(f"WHEN {3 + k} THEN " + (f"CASE WHEN regexp_matches(m, '[0-9]') THEN {c[3]} ELSE {c[4]} END" if c[4] else str(c[3])) for k, c in enumerate(secrets.CLASSES))
     part = lambda kind, rank, pattern, keep: f"SELECT doc_id, '{kind}' AS kind, {rank} AS rank, u.m AS m, u.s AS s FROM (SELECT doc_id, unnest({_matches(pattern)}) AS u FROM d) WHERE {keep}"
     assign = secrets.ASSIGN.replace(r"\x20", " ")
     found = " UNION ALL ".join([
         part("assign", 0, assign, f"length(regexp_extract(u.m, {_quoted(assign)}, 2)) >= 6"),
         part("access", 1, secrets.ACCESS, "true"),
         part("hex", 2, secrets.HEX, "true"),
-        part("entropy_hex", 3, "[A-Za-z0-9]{20,}", "regexp_matches(u.m, '^[0-9a-fA-F]+$') AND regexp_matches(u.m, '[0-9]') AND regexp_matches(u.m, '[a-fA-F]')"),
-        part("entropy_base64", 4, "[A-Za-z0-9+/_-]{20,}={0,2}", "regexp_matches(u.m, '[0-9].*[0-9]') AND regexp_matches(u.m, '[a-z]') AND regexp_matches(u.m, '[A-Z]')"),
+        *(part(c[0], 3 + k, wider[c[0]][0], f"{wider[c[0]][1].replace('(m,', '(u.m,')} AND {holds(c[2], []).replace('(m,', '(u.m,')}") for k, c in enumerate(secrets.CLASSES)),
     ])
     span = "kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + length(m) AS BIGINT)"
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}),
- k AS (SELECT * FROM f WHERE rank < 3 OR (NOT ({allowed}) AND {entropy} >= CASE rank WHEN 3 THEN {least_hex} ELSE {least_64} END)),
+ k AS (SELECT * FROM f WHERE rank < 3 OR (NOT ({allowed}) AND {entropy} >= CASE rank {least} END)),
  g AS (SELECT doc_id, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS b, count(*) FILTER (rank = 2) AS c, string_agg({span}, ',' ORDER BY s, rank) FILTER (rank < 3) AS base, string_agg({span}, ',' ORDER BY s, rank) AS spans FROM k GROUP BY 1)
  SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""

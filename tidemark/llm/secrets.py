@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,64 +16,105 @@ HEX = r"[0-9a-f]{24,}"
 
 #: Entropy is measured in windows of so many characters.
 WINDOW = 20
-#: Kinds that the method adds: (kind, candidate strings, least entropy in bits of some window, what a candidate must contain).
-#: Random hexadecimal digits give about 3.2 bits in 20 characters, random base64 about 4.0, words about 3.3.
+#: Kinds that the method adds: (kind, candidate strings, patterns that must all be found in one, least entropy in bits of some
+#: window, the same where the string has no digit; None: such a string is no candidate). Random strings of 16, 36 and 64 kinds of
+#: characters give about 3.2, 3.8 and 4.0 bits in 20 characters; words joined together about 3.3.
 CLASSES = [
-    ("entropy_hex", r"(?<![A-Za-z0-9])[0-9a-fA-F]{20,}(?![A-Za-z0-9])", 2.8, r"[0-9].*[a-fA-F]|[a-fA-F].*[0-9]"),
-    ("entropy_base64", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}", 3.65, r"(?=.*[0-9].*[0-9])(?=.*[a-z])(?=.*[A-Z])"),
+    ("entropy_hex", r"(?<![A-Za-z0-9])[0-9a-fA-F]{20,}(?![A-Za-z0-9])", ["[0-9]", "[a-fA-F]"], 2.8, None),
+    ("entropy_lower", r"(?<![A-Za-z0-9])[0-9a-z]{20,}(?![A-Za-z0-9])", ["[0-9][a-z]", "[g-z]"], 3.4, None),
+    ("entropy_upper", r"(?<![A-Za-z0-9])[0-9A-Z]{20,}(?![A-Za-z0-9])", ["[0-9][A-Z]", "[G-Z]"], 3.4, None),
+    ("entropy_base64", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}", ["[a-z]", "[A-Z]"], 3.65, 4.0),
+]
+#: Candidates that are never secrets, though they look random, as (patterns all found in them, patterns not found in them):
+#: identifiers of the form 8-4-4-4-12, words joined by single separators, counting or alphabet runs, sample values,
+#: one character eight times. No pattern repeats a group, which Java would match by recursion.
+ALLOWED = [
+    ([r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"], []),
+    ([r"^/?[A-Za-z][A-Za-z/_-]*[0-9]{0,4}$", "[A-Za-z][/_-]"], ["[/_-][/_-]"]),
+    ([r"(?i)01234567|abcdefgh|example|sample"], []),
+    ([r"(.)\1{7}"], []),
 ]
-#: Candidates that are never secrets, though they look random: identifiers of the form 8-4-4-4-12, paths of words,
-#: counting or alphabet runs, well-known sample values.
-ALLOWED = (
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-    r"|^/?([A-Za-z]+[/_-])+[A-Za-z]*[0-9]{0,4}$"
-    r"|(?i)01234567|abcdefgh|example|sample|(.)\1{7,}"
-)
 ORDER = ["assign", "access", "hex", *(c[0] for c in CLASSES)]
+#: Matches and spans of a text are handled so many at a time: arrays and strings that grow by one are copied, so they stay short.
+CHUNK = 256
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _chunks(items: Column) -> Column:
+    """A non-empty array cut into arrays of CHUNK items."""
+    last = ((F.size(items) - 1) / CHUNK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(items, c * CHUNK + 1, F.lit(CHUNK)))
+
+
+def _before(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For every item of an array of integers, all items before it put together by join, from 0."""
+    start = F.struct(F.array().cast("array<int>").alias("all"), F.lit(0).alias("at"))
+    step = lambda a, x: F.struct(F.concat(a["all"], F.array(a["at"])).alias("all"), join(a["at"], x).alias("at"))
+    return F.aggregate(values, start, step, lambda a: a["all"])
 
 
 def _found(text: Column, pattern: str) -> Column:
     """[(match, start, end)] of all leftmost non-overlapping matches, in code points: pieces between matches give the places."""
-    pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
+    cells = F.arrays_zip(pieces.alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
     empty = F.array().cast("array<struct<m:string,s:int,e:int>>")
-    start = F.struct(empty.alias("all"), F.lit(0).alias("at"))
-    piece = F.arrays_zip(pieces.alias("p"), matches.alias("m"))
+    width = lambda x: x["p"] + F.coalesce(F.length(x["m"]), F.lit(0))
 
     def step(a: Column, x: Column) -> Column:
-        s = a["at"] + F.length(x["p"])
-        e = s + F.coalesce(F.length(x["m"]), F.lit(0))
+        s, e = a["at"] + x["p"], a["at"] + width(x)
         more = F.when(x["m"].isNotNull(), F.concat(a["all"], F.array(F.struct(x["m"].alias("m"), s.alias("s"), e.alias("e"))))).otherwise(a["all"])
         return F.struct(more.alias("all"), e.alias("at"))
 
-    return F.when(text.rlike(pattern), F.aggregate(piece, start, step, lambda a: a["all"])).otherwise(empty)
+    def placed(chunks: Column) -> Column:
+        starts = _before(F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + width(x))), lambda a, x: a + x)
+        return F.flatten(F.zip_with(chunks, starts, lambda c, at: F.aggregate(c, F.struct(empty.alias("all"), at.alias("at")), step, lambda a: a["all"])))
 
+    return F.when(text.rlike(pattern), _let(cells, lambda x: _let(_chunks(x), placed))).otherwise(empty)
 
-def peak_entropy(word: Column, window: int = WINDOW) -> Column:
-    """The greatest Shannon entropy, in bits a character, of any `window` characters of a string.
 
-    Counts move with the window: what enters adds one, what leaves takes one, and the sum of count * log2(count)
-    follows. A string shorter than the window gives 0.
-    """
-    chars = F.transform(F.split(word, ""), lambda c: F.ascii(c))
-    chars = F.filter(chars, lambda c: c > 0)
-    term = lambda n: n * F.log2(F.greatest(n, F.lit(1)).cast("double"))
-    zero = F.struct(chars.alias("all"), F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("h"), F.lit(0).alias("i"))
+def peak_entropy(word: Column, window: int = WINDOW, enough: Column | None = None) -> Column:
+    """The greatest Shannon entropy, in bits a character, of any `window` characters of a string; of a shorter string, 0.
 
-    def move(counts: Column, code: Column, by: int) -> Column:
-        return F.transform(counts, lambda n, k: F.when(k == code, n + by).otherwise(n))
+    What enters the window and what leaves it change two counts, both taken from the window itself, and the sum of
+    count * log2(count) follows: a fixed amount of work a character. Once `enough` bits are seen the rest is passed over.
+    """
+    term = [n * math.log2(n) if n else 0.0 for n in range(window + 2)]
+    rise = F.lit([b - a for a, b in zip(term, term[1:])])  # of the sum, when a count of n grows by one
+    codes = F.filter(F.transform(F.split(word, ""), lambda c: F.ascii(c)), lambda x: x > 0)
+    many = lambda w, c: F.size(F.filter(w, lambda x: x == c))
+    # The window starts full of characters that occur once each, so it counts when the last of those has left it.
+    limit = (math.log2(window) - enough) * window if enough is not None else F.lit(-1.0)  # of the sum; computed once a string
+    zero = F.struct(F.lit([-1 - k for k in range(window)]).alias("w"), F.lit(0.0).alias("s"), F.lit(math.inf).alias("least"), limit.alias("limit"))
+    least = lambda a: F.when(F.get(a["w"], F.lit(0)) >= 0, F.least(a["least"], a["s"])).otherwise(a["least"])
 
     def step(a: Column, c: Column) -> Column:
-        old = F.when(a["i"] >= window, F.get(a["all"], a["i"] - window))
-        n = F.get(a["n"], c)
-        s = a["s"] + term(n + 1) - term(n)
-        grown = move(a["n"], c, 1)
-        m = F.get(grown, old)
-        s = s + F.when(old.isNull(), F.lit(0.0)).otherwise(term(m - 1) - term(m))
-        counts = F.when(old.isNull(), grown).otherwise(move(grown, old, -1))
-        h = F.when(a["i"] + 1 >= window, F.greatest(a["h"], F.log2(F.lit(float(window))) - s / window)).otherwise(a["h"])
-        return F.struct(a["all"].alias("all"), counts.alias("n"), s.alias("s"), h.alias("h"), (a["i"] + 1).alias("i"))
+        old = F.get(a["w"], F.lit(0))
+        come = many(a["w"], c) - (old == c).cast("int")
+        s = a["s"] - F.get(rise, many(a["w"], old) - 1) + F.get(rise, come)
+        more = F.struct(F.concat(F.slice(a["w"], 2, window - 1), F.array(c)).alias("w"), s.alias("s"), least(a).alias("least"), a["limit"].alias("limit"))
+        return F.when(a["least"] <= a["limit"], a).otherwise(more)
+
+    return F.aggregate(codes, zero, step, lambda a: F.greatest(F.lit(0.0), math.log2(window) - least(a) / window))
 
-    return F.aggregate(chars, zero, step, lambda a: a["h"])
+
+def _allowed(word: Column) -> Column:
+    """Whether a candidate is on the allow-list."""
+    each = [reduce(lambda a, b: a & b, [word.rlike(p) for p in has] + [~word.rlike(p) for p in lacks]) for has, lacks in ALLOWED]
+    return reduce(lambda a, b: a | b, each)
+
+
+def _random(needs: list[str], least: float, bare: float | None) -> Callable[[Column], Column]:
+    """The test of a candidate of one class: what it must hold, the allow-list, and the entropy it must reach."""
+
+    def test(x: Column) -> Column:
+        enough = F.when(x["m"].rlike("[0-9]"), F.lit(least)).otherwise(F.lit(bare)) if bare else F.lit(least)
+        return reduce(lambda a, b: a & b, [x["m"].rlike(p) for p in needs]) & ~_allowed(x["m"]) & (peak_entropy(x["m"], enough=enough) >= enough)
+
+    return test
 
 
 #: The column that holds spans while a text is redacted.
@@ -79,17 +124,17 @@ SPANS = "_secret spans of this text_"
 def secret_spans(column: Column) -> Column:
     """Array of (kind, start, end), ends exclusive, in code points, by start and then in the order of kinds.
 
-    Base kinds: assign (a name, : or =, and a value of 6 or more), access, hex. The method adds entropy_hex and entropy_base64:
-    strings of one character class in which some window of WINDOW characters has the class's entropy and which are not on
-    the allow-list. Null text is empty and has none. Texts are scanned whole, each in its own row: no shuffle.
+    Base kinds: assign (a name, : or =, and a value of 6 or more), access, hex. The method adds entropy_hex, entropy_lower,
+    entropy_upper and entropy_base64: strings of one character class in which some window of WINDOW characters has the class's entropy
+    and which are not on the allow-list. Null text is empty and has none; places of equal start stand in the order of kinds.
+    Texts of any length are scanned whole, each in its own row, in time in proportion to them: no shuffle.
     """
     text = F.coalesce(column.cast("string"), F.lit(""))
     kind = lambda k, f: F.transform(f, lambda x: F.struct(x["s"].alias("start"), F.lit(ORDER.index(k)).alias("rank"), x["e"].alias("end")))
     assigned = F.filter(_found(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 6)
     parts = [kind("assign", assigned), kind("access", _found(text, ACCESS)), kind("hex", _found(text, HEX))]
-    for name, candidates, least, needs in CLASSES:
-        likely = F.filter(_found(text, candidates), lambda x: x["m"].rlike(needs) & ~x["m"].rlike(ALLOWED))
-        parts.append(kind(name, F.filter(likely, lambda x: peak_entropy(x["m"]) >= least)))
+    for name, candidates, *rules in CLASSES:
+        parts.append(kind(name, F.filter(_found(text, candidates), _random(*rules))))
     names = F.array(*(F.lit(k) for k in ORDER))
     return F.transform(F.array_sort(F.concat(*parts)), lambda x: F.struct(F.get(names, x["rank"]).alias("kind"), x["start"], x["end"]))
 
@@ -115,12 +160,25 @@ def redacted(docs: DataFrame, text_column: str = "text", mark: str = "<secret>")
     """Documents with every secret span of their text replaced by a mark; overlapping spans give one mark. Null stays null."""
     found = docs.withColumn(SPANS, secret_spans(F.col(text_column)))
     text = F.col(text_column)
-    start = F.struct(F.lit("").alias("t"), F.lit(0).alias("at"))
 
-    def step(a: Column, x: Column) -> Column:
-        fresh = x["start"] >= a["at"]
-        grown = F.concat(a["t"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit(mark))
-        return F.struct(F.when(fresh, grown).otherwise(a["t"]).alias("t"), F.greatest(a["at"], x["end"]).alias("at"))
+    def rewritten(part: Column, begin: Column, spans: Column) -> Column:
+        """The piece of the text from `begin` on that a chunk of spans reaches over."""
+
+        def step(a: Column, x: Column) -> Column:
+            grown = F.concat(a["t"], F.substring(part, a["at"] - begin + 1, x["start"] - a["at"]), F.lit(mark))
+            return F.struct(F.when(x["start"] >= a["at"], grown).otherwise(a["t"]).alias("t"), F.greatest(a["at"], x["end"]).alias("at"))
+
+        return F.aggregate(spans, F.struct(F.lit("").alias("t"), begin.alias("at")), step, lambda a: a["t"])
+
+    def cleaned(chunks: Column) -> Column:
+        ends = F.transform(chunks, lambda c: F.array_max(F.transform(c, lambda x: x["end"])))
+
+        def joined(begins: Column) -> Column:
+            places = F.arrays_zip(chunks.alias("c"), begins.alias("b"), ends.alias("e"))
+            parts = F.transform(places, lambda x: _let(F.substring(text, x["b"] + 1, F.greatest(x["e"] - x["b"], F.lit(0))), lambda part: rewritten(part, x["b"], x["c"])))
+            return F.concat(F.array_join(parts, ""), F.substring(text, F.array_max(ends) + 1, F.length(text)))
+
+        return _let(_before(ends, lambda a, x: F.greatest(a, x)), joined)
 
-    clean = F.aggregate(SPANS, start, step, lambda a: F.concat(a["t"], F.substring(text, a["at"] + 1, F.length(text))))
+    clean = _let(_chunks(F.col(SPANS)), cleaned)
     return found.withColumn(text_column, F.when(F.size(SPANS) > 0, clean).otherwise(text)).drop(SPANS)
