@@ -34,3 +34,62 @@ def test_cut_is_least():
 
 def test_empty_table(spark):
     assert h.extracted(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def said(page):
+    return "\n\n".join(h.main_blocks(page)[0])
+
+
+def test_scripts_quotes_and_maths():
+    assert said("<article><p>One.</p><script>for(i=0;i<n;i++){ // don't stop\n}</script><p>Two is here.</p><p>It's three.</p></article>") == "One.\n\nTwo is here.\n\nIt's three."
+    assert said("<article><p title=don't>A first.</p><p>It's a second.</p></article>") == "A first.\n\nIt's a second."
+    assert said("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p></article>") == "Let x=2 hold."
+    assert said("<article><object><p>Words in an object.</p></object><canvas>And some in a canvas.</canvas><p a='>' b=\"<p>\" c>End.</p></article>") == "Words in an object.\n\nAnd some in a canvas.\n\nEnd."
+    assert said("<article><style>p>a{}</style  ><p>Kept<SCRIPT src=x></SCRIPT></p><script>never closed <p>no</p>") == "Kept"
+
+
+PROSE = "The council met on Monday to hear what the engineers had found, and it agreed to pay for all of the work. "
+
+
+def test_names_are_evidence_and_no_rule():
+    assert said(f'<article><p>{PROSE}</p><div class="legal"><p>{PROSE * 3}</p></div><div class="post-tags search"><p>{PROSE * 2}</p></div><div class="ad">Buy it now.</div></article>').count("council") == 6
+    for name in ("content-sidebar-wrap", "site has-sidebar", "layout with-sidebar", "page-header-image content", "no-comments post", "menu-open page"):
+        assert said(f'<body><div class="{name}"><article><h1>A title</h1><p>{PROSE}</p></article><div class="sidebar"><p>Popular posts are listed.</p></div></div></body>') == "A title\n\n" + PROSE.strip()
+    assert said(f'<main><p>{PROSE}</p><section class="comments"><article><p>{PROSE * 20}</p></article></section></main>') == PROSE.strip()
+
+
+def test_neighbours_decide():
+    page = f"<article><p>{PROSE}</p><p>So.</p><p>{PROSE}</p></article>"
+    found, nodes = h.parsed(page)
+    content, boiler = h.costs(found, nodes)[1]
+    texts, n, swayed = h.main_blocks(page)
+    assert content < boiler and texts[1] == "So." and n == 3 and swayed == 1
+    assert said("<article><p>So</p></article>") == "So"  # a short article too
+
+
+def test_deep_nesting():
+    n = 50_000
+    for open_, close in (("<div>x", "</div>"), ("<foo><li>x", "</foo>"), ("<b><p>x", "</b>"), ("<article><div>x", "")):
+        texts, blocks, _ = h.main_blocks("<article>" + open_ * n + close * n)
+        assert blocks == n and len(texts) == n
+
+
+def test_generated_pages():
+    """Pages of known articles under all sorts of wrappers, chrome and damage."""
+    r = random.Random(9)
+    words = "river stone council paper window garden engine letter market winter bridge carpet signal harbour".split()
+    prose = lambda a, b: " ".join(r.choices(words, k=r.randint(a, b))).capitalize() + "."
+    for _ in range(300):
+        parts, html_ = [], []
+        for _ in range(r.randint(1, 9)):
+            text = prose(1, 60)
+            kind = r.choice(["p", "li", "h2", "quote", "cell", "bare"])
+            shown = text.replace(" ", r.choice([" ", "\n  ", "&nbsp;", " <b>", "</b> "]), 1)
+            html_.append({"p": f"<p class=x title='a>b'>{shown}" + r.choice(["</p>", ""]), "li": f"<ul><li>{shown}</ul>", "h2": f"<h2>{shown}</h2>", "quote": f"<blockquote><p>{shown}</blockquote>", "cell": f"<table><tr><td>{shown}</table>", "bare": f"<div>{shown}</div>"}[kind])
+            parts.append(" ".join(text.split()))
+            html_.append(r.choice(["", "<!-- <p>no</p> -->", "<script>a<b;'</script>", "<aside>Read this too.</aside>", '<div class="advert">Buy one now.</div>', "<form><label>Name</label><input></form>"]))
+        wrap = r.choice(["", "<main>", "<div class='content has-sidebar'>", "<section id=page-wrap>"])
+        before = r.choice(["", "<nav><a href=/>Home</a> <a href=/b>All</a></nav>", "<header><h1>The site</h1></header>", "<div id=cookie-notice><p>We use cookies, as you know.</p></div>"])
+        after = r.choice(["", "<footer>&copy; us</footer>", f'<section class="comments"><p>{prose(5, 80)}</p></section>', '<div class="sidebar"><ul><li><a href=/x>Other</a></ul></div>'])
+        got = said(f"<html><head><title>T</title></head><body>{before}{wrap}<article>{''.join(html_)}</article>{after}</body></html>")
+        assert got == "\n\n".join(parts)
