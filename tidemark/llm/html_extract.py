@@ -171,7 +171,7 @@ def _opened(name: str, attributes: str, parent: int, nodes: list[Node]) -> Node:
 
 
 #: What every block has against it: short pieces of text are boilerplate until something says otherwise.
-PRIOR = 50
+PRIOR = 40
 
 
 def costs(found: list[Block], nodes: list[Node]) -> list[tuple[int, int]]:
