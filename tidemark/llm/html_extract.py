@@ -272,7 +272,7 @@ def edges(found: list[Block], nodes: list[Node], against: list[int]) -> tuple[li
     """Which blocks want one label and how much, and how many anchors: nodes after the blocks, one for each article or main element.
 
     A block wants the label of the next block, less with its distance in the document tree, of the last one of its own parent, and of
-    the article that it stands in. Where links, elements and names say 80 more against one block than against the other, they want it a sixth as much.
+    the article that it stands in (half as much, of the whole page, where it has none). Where links, elements and names say 80 more against one block than against the other, they want it a sixth as much.
     """
     alike = lambda a, b, c: c if abs(against[a] - against[b]) < 80 else c // 6
     out, last, anchors = [], {}, {}
@@ -280,6 +280,7 @@ def edges(found: list[Block], nodes: list[Node], against: list[int]) -> tuple[li
     for k in range(1, len(nodes)):
         up = nodes[k].parent
         within[k] = within[up] or (k if nodes[k].main and not nodes[k].cost else 0)
+    any_main = any(within[b.node] for b in found)
     for k, b in enumerate(found):
         if k:
             out.append((k - 1, k, alike(k - 1, k, NEXT // (1 + _apart(nodes, found[k - 1].node, b.node)))))
@@ -287,8 +288,8 @@ def edges(found: list[Block], nodes: list[Node], against: list[int]) -> tuple[li
         if parent in last and last[parent] != k - 1:
             out.append((last[parent], k, alike(last[parent], k, SIBLING)))
         last[parent] = k
-        if within[b.node]:
-            out.append((anchors.setdefault(within[b.node], len(found) + len(anchors)), k, INSIDE))
+        if within[b.node] or not any_main:
+            out.append((anchors.setdefault(within[b.node], len(found) + len(anchors)), k, INSIDE if any_main else INSIDE // 2))
     return [x for x in out if x[2]], len(anchors)
 
 
