@@ -1,18 +1,44 @@
 import random
+import re
+
+import pytest
 
 from tidemark.llm import substring_dedup as s
 
 
-def brute(rows, several, least):
-    first, covered = {}, {}
-    cut = {d: s.sentences(x or "") for d, x in rows}
-    for d in sorted(cut):
-        for at, count, digest in s.runs(cut[d], several, least):
-            if digest in first:
-                covered.setdefault(d, set()).update(range(at, at + count))
+def brute(rows, several=3, least=24):
+    """{(doc_id, text): words that go}, from word tuples: no hash of a run, no array, no span of the operator."""
+    first, gone = {}, {}
+    for d, x in sorted({(d, x or "") for d, x in rows}, key=lambda r: (r[0] is not None, r[0] or 0, key(r[1]))):
+        cut = s.sentences(x)
+        if cut is None:
+            continue
+        said = [w.lower() for w in re.findall(r"\w+", x)]
+        bounds = cut.bounds.tolist()
+        for i in range(len(bounds) - 1):
+            j = next((j for j in range(i + several, len(bounds)) if bounds[j] - bounds[i] >= least), None)
+            if j is None:
+                continue
+            run = tuple(said[bounds[i] : bounds[j]])
+            if run in first:
+                gone.setdefault((d, x), set()).update(range(bounds[i], bounds[j]))
             else:
-                first[digest] = (d, at)
-    return {d: len(c) for d, c in covered.items()}
+                first[run] = (d, x, i)
+    return gone
+
+
+def key(text):
+    """The hash that orders texts of one id."""
+    return KEYS[text]
+
+
+KEYS: dict = {}
+
+
+def learn(spark, rows):
+    from pyspark.sql import functions as F
+
+    KEYS.update({r.t: r.h for r in spark.createDataFrame([(x or "",) for _, x in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()})
 
 
 def corpus():
@@ -24,29 +50,59 @@ def corpus():
     rows = [(i, text(8)) for i in range(40)]
     rows += [(100 + i, text(4) + "\n" + shared[i % 3] + "\n" + text(3)) for i in range(12)]
     rows += [(200, rows[5][1]), (201, None), (202, ""), (203, "No. Yes. No."), (204, "No. Yes. No."), (205, ("One two three. " * 4000))]
+    # Repeated and null ids: unique texts, copies, and rows that are one document.
+    rows += [(5, text(9)), (300, rows[7][1]), (300, text(9)), (None, text(9)), (None, rows[50][1]), (None, text(7)), (9, rows[9][1]), (301, text(8)), (301, text(8))]
+    rows += [rows[-1]]
     return rows, shared
 
 
-def test_later_copies_lose_their_sentences(docs):
+def test_equal_brute_force(docs, spark):
     rows, shared = corpus()
-    got = {x.doc_id: x for x in s.repeated_spans(docs(rows)).collect()}
-    assert {d: x.n_removed for d, x in got.items()} == brute(rows, 3, 24)
-    assert set(got) == {*range(103, 112), 200, 205}
-    for d in range(103, 112):
-        assert got[d].first_ids == [100 + (d - 100) % 3] and not any(x[len(x) // 3 : len(x) // 2] in got[d].text for x in shared)
-        text = dict(rows)[d]
-        left, at = "", 0
-        for a, b in got[d].spans:
-            left, at = left + text[at:a], b
-        assert left + text[at:] == got[d].text
-    assert not got[200].text.strip()
-
-
-def test_sentences_cover_the_words():
-    text = 'A b. "C d!" e f\n\ng (h). … i? ' + "long " * 90 + "end"
+    learn(spark, rows)
+    got = s.repeated_spans(docs(rows)).collect()
+    want = brute(rows)
+    texts = {}
+    for d, x in set(rows):
+        texts.setdefault(d, []).append(x or "")
+    seen = set()
+    for x in got:
+        for text in texts[x.doc_id]:
+            left, at = "", 0
+            for a, b in x.spans:
+                left, at = left + text[at:a], b
+            if left + text[at:] == x.text and (x.doc_id, text) in want:
+                words = [w for a, b in x.spans for w in re.findall(r"\w+", text[a:b])]
+                assert len(words) == len(want[x.doc_id, text])
+                seen.add((x.doc_id, text))
+    assert seen == set(want) and len(got) == len(want)
+    assert {(d, x) for d, x in want if d in (5, 9, 301)} == set()  # unique text of a repeated id, and rows that are one, stay
+    assert (300, rows[7][1]) in want and not any(d is None for d, x in want)  # rows without an id come first ...
+    assert (110, rows[50][1]) in want  # ... so the row that shares its text with one is the copy
+
+
+def test_passages_in_the_middle_of_sentences(docs):
+    r = random.Random(3)
+    voc = ["".join(r.choices("abcdefghijklmnopqrst", k=r.randint(2, 9))) for _ in range(3000)]
+    prose = lambda n: " ".join(w + r.choice([""] * 9 + ["."]) for w in r.choices(voc, k=n))
+    for n, least in ((51, 0.93), (75, 0.99)):
+        rows, passages = [], []
+        for i in range(150):
+            passages.append(prose(n).rstrip("."))
+            rows += [(2 * i, f"{prose(30)} {passages[-1]} {prose(30)}"), (2 * i + 1, f"{prose(25)} {passages[-1]} {prose(41)}")]
+        got = {x.doc_id: x for x in s.repeated_spans(docs(rows)).collect()}
+        assert all(d % 2 for d in got) and len(got) >= least * 150
+        removed = [sum(len(re.findall(r"\w+", rows[d][1][a:b])) for a, b in x.spans) / n for d, x in got.items()]
+        assert sum(removed) / len(removed) > 0.75 and max(removed) <= 1.0
+
+
+@pytest.mark.parametrize("text", ['A b. "C d!" e f\n\ng (h). … i? ' + "long " * 90 + "end", "你好。世界！ok 3.14 x", "\U0001f600", "a", ". . ."])
+def test_sentences_cover_the_words(text):
     cut = s.sentences(text)
-    assert [w for _, _, ws in cut for w in ws] == [w.lower() for w in s._WORD.findall(text)]
-    assert all(a < b for a, b, _ in cut) and all(x[1] <= y[0] for x, y in zip(cut, cut[1:]))
+    said = re.findall(r"[㐀-鿿]|[^\W㐀-鿿]+", text)
+    if cut is None:
+        assert not said
+        return
+    assert cut.bounds[-1] == len(said) == len(cut.words) and all(a < b for a, b in zip(cut.start, cut.end)) and all(b <= a for a, b in zip(cut.start[1:], cut.end))
 
 
 def test_empty_table(docs):

@@ -39,13 +39,14 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit values stirred, one to one."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def _up_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n of the base of the word hash and of its inverse."""
     if len(_powers[0]) <= n:
         for k, base in enumerate((_POWER, _INVERSE)):
@@ -60,12 +61,12 @@ def word_hashes(text: str) -> np.ndarray:
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     if not len(raw):
         return np.zeros(0, np.uint64)
-    up, down = _up_to(len(raw))
+    up, down = powers_to(len(raw))
     word = np.concatenate(([False], ~_BLANK[raw], [False]))
     edge = np.flatnonzero(word[1:] != word[:-1])
     start, end = edge[0::2], edge[1::2]
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * up[: len(raw)], dtype=np.uint64)))
-    return _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -78,7 +79,7 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     runs = np.full(n, np.uint64(k))
     for j in range(k):
         runs += w[j : j + n] * _ORD[j]
-    return np.unique(_mix(runs))
+    return np.unique(mixed(runs))
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -257,7 +258,7 @@ def signatures(docs: DataFrame, words: int, per_band: int) -> DataFrame:
             all_ = np.stack(sketches) if sketches else np.zeros((0, REGISTERS), "<u2")
             keys = np.zeros((len(all_), bands), np.uint64)
             for j in range(per_band):
-                keys = _mix(keys + all_[:, j : j + bands * per_band : per_band].astype(np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(1 << 32))
+                keys = mixed(keys + all_[:, j : j + bands * per_band : per_band].astype(np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(1 << 32))
             lists = pa.ListArray.from_arrays(np.arange(len(all_) + 1, dtype=np.int32) * bands, pa.array(keys.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array([x.tobytes() for x in all_], pa.binary()), lists], ["doc_id", "n_shingles", "node", "sketch", "bands"])
 
@@ -266,7 +267,7 @@ def signatures(docs: DataFrame, words: int, per_band: int) -> DataFrame:
 
 def _node(s: np.ndarray) -> bytes:
     with np.errstate(over="ignore"):
-        return _mix(np.array([s.sum(dtype=np.uint64) + np.uint64(len(s)), np.bitwise_xor.reduce(_mix(s * _ORD[0]))])).tobytes()
+        return mixed(np.array([s.sum(dtype=np.uint64) + np.uint64(len(s)), np.bitwise_xor.reduce(mixed(s * _ORD[0]))])).tobytes()
 
 
 def _candidate_links(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -2,129 +2,170 @@
 
 from __future__ import annotations
 
-import re
-import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
-
-#: A sentence ends after . ! ? or an ideographic stop with what closes it, or at a line's end.
-_SENTENCE = re.compile(r"[^.!?。！？\n]*(?:[.!?。！？]+[\"')\]»”’]*(?=\s|$)|[.!?。！？]+|\n|$)")
-_WORD = re.compile(r"\w+")
-#: A sentence of more words than this is taken in parts, cut where its own words say, so that equal passages are cut alike.
-LONG = 24
-
-
-def sentences(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of the sentences of a text that have words. Parts of long ones end at words whose digest is 0 mod 8."""
-    out = []
-    for m in _SENTENCE.finditer(text):
-        if m.start() == m.end():
-            continue
-        found = list(_WORD.finditer(text, m.start(), m.end()))
-        if not found:
-            if out and "\n" not in m[0]:
-                out[-1][1] = m.end()
-            continue
-        if len(found) <= LONG:
-            out.append([m.start(), m.end(), [w[0].lower() for w in found]])
-            continue
-        begin, part = m.start(), []
-        for w in found:
-            part.append(w[0].lower())
-            if w is found[-1] or (xxhash.xxh32_intdigest(part[-1]) % 8 == 0 and len(part) > 1):
-                end = m.end() if w is found[-1] else w.end()
-                out.append([begin, end, part])
-                begin, part = end, []
-    return [tuple(x) for x in out]
-
-
-def runs(found: list[tuple[int, int, list[str]]], several: int, least_words: int) -> Iterator[tuple[int, int, bytes]]:
-    """(first, count, digest) of a run at every sentence: the fewest sentences, `several` or more, with `least_words` words.
-
-    A single sentence that has the words alone makes a run of one, so a passage need not be cut into many sentences.
-    """
-    words = np.array([len(w) for _, _, w in found])
-    total = np.concatenate(([0], np.cumsum(words)))
-    digests = [xxhash.xxh3_128_digest(" ".join(w)) for _, _, w in found]
-    for first in range(len(found)):
-        last = int(np.searchsorted(total, total[first] + least_words))
-        count = max(several, last - first) if words[first] < least_words else 1
-        if first + count <= len(found):
-            yield first, count, xxhash.xxh3_128_digest(struct.pack("<i", count) + b"".join(digests[first : first + count]))
+from tidemark.llm.near_dup import mixed, powers_to
+
+#: Kinds of characters: letters and digits, letters of scripts written without spaces (each a word), ends of sentences where a
+#: space follows, ends of sentences anywhere, new lines.
+OTHER, LETTER, ALONE, STOP, FULL_STOP, LINE = range(6)
+#: Characters from here on (rare ideographs) are words of their own.
+TOP = 0x20000
+UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF)]
+#: What may close a sentence after its end.
+CLOSERS = "\"')]»”’"
+#: Sentences are also cut after words whose hash is 0 modulo CUT, wherever they stand: equal passages are cut alike though they
+#: begin and end in the middle of different sentences.
+CUT = 14
+_SECOND = np.uint64(0xD6E8FEB86659FD93)
+
+
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """(kind, lower case) of every character under TOP, and of all others in the last place."""
+    kind = np.array([LETTER if (c := chr(k)).isalnum() or c == "_" else OTHER for k in range(TOP)] + [ALONE], np.uint8)
+    for a, b in UNSPACED:
+        kind[a : b + 1][kind[a : b + 1] == LETTER] = ALONE
+    for c, k in zip(".!?。！？\n", [STOP] * 3 + [FULL_STOP] * 3 + [LINE]):
+        kind[ord(c)] = k
+    lower = np.array([ord(c) if len(c := chr(k).lower()) == 1 else k for k in range(TOP)] + [TOP], np.uint64)
+    return kind, lower
+
+
+@dataclass
+class Cut:
+    """A text cut into sentences: where they start and end (code points), their bounds in words, the words' hashes."""
+
+    start: np.ndarray
+    end: np.ndarray
+    bounds: np.ndarray
+    words: np.ndarray
+
+
+def sentences(text: str) -> Cut | None:
+    """The sentences of a text that have words, cut further where CUT says; None for a text without words."""
+    kinds, lower = _tables()
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    at = np.minimum(code, TOP)
+    kind = kinds[at]
+    letter, alone = kind == LETTER, kind == ALONE
+    before, after = np.zeros(len(kind), bool), np.zeros(len(kind), bool)
+    before[1:], after[:-1] = letter[:-1], letter[1:]
+    start = np.flatnonzero(alone | letter & ~before)
+    end = np.flatnonzero(alone | letter & ~after) + 1
+    if not len(start):
+        return None
+    up, down = powers_to(len(code))
+    hashed = mixed(np.where(at == TOP, code, lower[at]).astype(np.uint64) + np.uint64(1))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashed * up[: len(code)], dtype=np.uint64)))
+    words = mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    stop = (kind == FULL_STOP) | (kind == LINE) | (kind == STOP) & ~after
+    last_stop = np.maximum.accumulate(np.where(stop, np.arange(len(kind)), -1))
+    until = np.append(start[1:], len(code)) - 1  # the last character before the next word
+    ends = last_stop[until] >= end
+    cut = ends | (words % np.uint64(CUT) == 0)
+    cut[-1] = True
+    last = np.flatnonzero(cut)
+    bounds = np.concatenate(([0], last + 1))
+    return Cut(start[bounds[:-1]], np.where(ends[last], last_stop[until[last]] + 1, end[last]), bounds, words)
+
+
+def runs(cut: Cut, several: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, after, hash, hash) of the run at every sentence that has one: the fewest sentences, `several` or more, with `least_words` words."""
+    first = np.arange(len(cut.bounds) - 1)
+    after = np.maximum(first + several, np.searchsorted(cut.bounds, cut.bounds[:-1] + least_words))
+    first, after = first[after < len(cut.bounds)], after[after < len(cut.bounds)]
+    a, b = cut.bounds[first], cut.bounds[after]
+    up, down = powers_to(len(cut.words))
+    made = []
+    for words in (cut.words, mixed(cut.words ^ _SECOND)):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)))
+        made.append(mixed((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)).view(np.int64))
+    return first, after, *made
 
 
 def repeated_spans(docs: DataFrame, several: int = 3, least_words: int = 24, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Documents that lose sentences: doc_id, n_sentences, n_removed, spans (start, end in code points), first_ids, text (what is left).
 
-    Every run of at least `several` consecutive sentences and `least_words` words is hashed (words only, lower case); a run that
-    occurs before, in a document of smaller id or earlier in the same one, is a copy, and its sentences are removed. The first
-    occurrence stays. first_ids lists the documents that hold the first occurrences. Texts without a copied run have no row;
-    nor have null and empty texts. Rows that repeat a doc_id share their removals: spans are those of either row's text.
-    The digests of runs are what is shuffled: least occurrences are found by partial sums, and a run that a third of all
-    documents share is joined back from a written table, so that Spark can split its rows.
+    Every run of at least `several` consecutive sentences and `least_words` words is hashed to 128 bits (words only, lower case); a run
+    that occurs before, in a document of smaller id or earlier in the same one, is a copy, and its sentences are removed. The
+    first occurrence stays. first_ids lists the ids that hold the first occurrences. Sentences are cut further after words that a
+    hash picks, so that passages which start and end within sentences are found too, but for a few words at their ends.
+
+    A row is told by its id and its text: rows that repeat an id with other texts are documents of their own (ties go by a hash of the
+    text), rows equal in both are one document and are answered alike, and rows without an id come first. Texts without a copied run
+    have no row; nor have null and empty texts. Texts of any length are cut whole. The hashes of runs are what is shuffled: least occurrences are
+    found by partial sums, and a run that a third of all documents share is joined back from a written table, so that Spark can split its rows.
     """
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    keyed = docs.where("text is not null").withColumn("_text", F.xxhash64("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, firsts, counts, digests = [], [], [], []
+            ids, keys = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
+            rows, parts, size = [], [], 0
 
             def made() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(firsts, pa.int32()), pa.array(counts, pa.int32()), pa.array(digests, pa.binary())], ["doc_id", "first", "count", "run"])
-
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for first, count, digest in runs(sentences(text), several, least_words) if text else ():
-                    ids.append(doc)
-                    firsts.append(first)
-                    counts.append(count)
-                    digests.append(digest)
-                if len(ids) > 50_000:
+                of = np.concatenate([np.full(len(p[0]), r) for r, p in zip(rows, parts)]) if rows else np.zeros(0, int)
+                first, one, two = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 2, 3))
+                arrays = [ids.take(pa.array(of, pa.int64())), pa.array(keys[of]), pa.array(first.astype(np.int32)), pa.array(one), pa.array(two)]
+                return pa.RecordBatch.from_arrays(arrays, ["doc_id", "_text", "first", "run", "run2"])
+
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                found = sentences(text)
+                if found and len((run := runs(found, several, least_words))[0]):
+                    rows.append(row)
+                    parts.append(run)
+                    size += len(run[0])
+                if size > 100_000:
                     yield made()
-                    ids, firsts, counts, digests = [], [], [], []
+                    rows, parts, size = [], [], 0
             yield made()
 
-    every = written(docs.mapInArrow(cut, "doc_id long, first int, count int, run binary"), "every-run")
-    place = F.struct("doc_id", "first")
-    least = every.groupBy("run").agg(F.min(place).alias("at"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    every = written(keyed.mapInArrow(cut, "doc_id long, _text long, first int, run long, run2 long"), "every-run")
+    place = F.struct("doc_id", "_text", "first")
+    least = every.groupBy("run", "run2").agg(F.min(place).alias("at"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     least = written(least, "runs")
-    later = every.join(least, "run").where(~place.eqNullSafe(F.col("at")))
-    covers = later.select("doc_id", "first", "count", F.col("at.doc_id").alias("from_id"))
-    covers = written(covers.groupBy("doc_id").agg(F.collect_set(F.struct("first", "count")).alias("covers"), F.array_sort(F.collect_set("from_id")).alias("first_ids")), "covers")
-    hit = docs.join(covers.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "covers", "first_ids")
+    later = every.join(least, ["run", "run2"]).where(~place.eqNullSafe(F.col("at")))
+    covers = later.groupBy("doc_id", "_text").agg(F.collect_set("first").alias("covers"), F.array_sort(F.collect_set("at.doc_id")).alias("first_ids"))
+    covers = written(covers.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_key"), "covers", "first_ids"), "covers")
+    hit = keyed.join(covers, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))).select("doc_id", "text", "covers", "first_ids")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, text, covers, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                found = sentences(text or "")
-                gone = np.zeros(len(found) + 1, int)
-                for c in covers:
-                    gone[min(c["first"], len(found))] += 1
-                    gone[min(c["first"] + c["count"], len(found))] -= 1
-                gone = np.cumsum(gone)[:-1] > 0
-                if not gone.any():  # another row of the same id had the copies
-                    continue
-                spans: list[dict] = []
-                before = False
-                for (a, b, _), x in zip(found, gone.tolist()):
-                    if x and before:
-                        spans[-1]["end"] = b
-                    elif x:
-                        spans.append({"start": a, "end": b})
-                    before = x
-                left, at = [], 0
-                for s in spans:
-                    left.append(text[at : s["start"]])
-                    at = s["end"]
-                rows.append((doc, len(found), int(gone.sum()), spans, ids, "".join(left) + (text or "")[at:]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.int64()), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "n_sentences", "n_removed", "spans", "first_ids", "text"])
-
-    return hit.mapInArrow(remove, "doc_id long, n_sentences long, n_removed long, spans array<struct<start:long,end:long>>, first_ids array<long>, text string")
+            rows = [(doc, *_without(text, covers, several, least_words), ids) for doc, text, covers, ids in zip(*(c.to_pylist() for c in batch.columns))]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "n_sentences", "n_removed", "spans", "text", "first_ids"])
+
+    out = hit.mapInArrow(remove, "doc_id long, n_sentences long, n_removed long, spans array<struct<start:long,end:long>>, text string, first_ids array<long>")
+    return out.select("doc_id", "n_sentences", "n_removed", "spans", "first_ids", "text")
+
+
+def _without(text: str, covers: list[int], several: int, least_words: int) -> tuple[int, int, list[dict], str]:
+    """(sentences, how many go, spans that go, text that is left) of a text whose runs at the sentences `covers` are copies."""
+    cut = sentences(text)
+    n = len(cut.bounds) - 1
+    first, after, *_ = runs(cut, several, least_words)
+    copied = np.isin(first, covers)
+    change = np.zeros(n + 1, int)
+    np.add.at(change, first[copied], 1)
+    np.add.at(change, after[copied], -1)
+    gone = np.concatenate(([False], np.cumsum(change)[:-1] > 0, [False]))
+    edge = np.flatnonzero(gone[1:] != gone[:-1])
+    spans, left, at = [], [], 0
+    for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist()):
+        start, end = int(cut.start[a]), int(cut.end[b - 1])
+        while end < len(text) and text[end] in CLOSERS and text[end - 1] not in "\n ":
+            end += 1
+        spans.append({"start": start, "end": end})
+        left.append(text[at:start])
+        at = end
+    return n, int(gone.sum()), spans, "".join(left) + text[at:]
