@@ -41,10 +41,39 @@ def test_groups_equal_brute_force(docs, monkeypatch):
     monkeypatch.setattr(near_dup, "FEW", 3)
     for k, share in ((3, 0.85), (5, 0.8)):
         rows = corpus(k)
-        got = {r[0]: tuple(r[1:]) for r in near_dup.near_duplicates(docs(rows), k, share).collect()}
+        got = {r[0]: tuple(r[1:4]) for r in near_dup.near_duplicates(docs(rows), k, share).collect()}
         assert got == brute(rows, k, round(100 * share))
 
 
+def test_rows_dealt_grow_with_a_hot_group(docs, monkeypatch):
+    """Of a group of near copies of one text, rows dealt to blocks grow as the group does, not as its square."""
+    monkeypatch.setattr(near_dup, "BLOCK", 32)
+    dealt, deal = [], near_dup._dealt
+    monkeypatch.setattr(near_dup, "_dealt", lambda rows, *x: dealt.append(rows.count()) or deal(rows, *x))
+    r, counts = random.Random(4), []
+    base = ["w%d" % r.randrange(500) for _ in range(400)]
+    for n in (400, 1600):
+        rows = []
+        for i in range(n):
+            w = list(base)
+            w[r.randrange(400)] = "x%d" % i
+            rows.append((i, " ".join(w)))
+        dealt.clear()
+        got = near_dup.near_duplicates(docs(rows), 5, 0.8).collect()
+        assert {x.component_id for x in got} == {0} and sum(x.chosen for x in got) == 1
+        counts.append(sum(dealt))
+    assert counts[1] < 5 * counts[0]
+
+
+def test_repeated_and_null_ids(docs):
+    r = random.Random(5)
+    say = lambda: " ".join("w%d" % r.randrange(900) for _ in range(60))
+    p, u, v, q = say(), say(), say(), say()
+    rows = [(1, p), (5, p), (5, u), (7, u + " tail"), (9, v), (9, v), (None, q), (None, q + " tail"), (None, say()), (3, p + " tail")]
+    got = sorted(str((x.doc_id, x.component_id, x.chosen)) for x in near_dup.near_duplicates(docs(rows)).collect())
+    assert got == sorted(map(str, [(1, 1, True), (5, 1, False), (5, 5, True), (7, 5, False), (9, 9, True), (9, 9, True), (3, 1, False), (None, None, True), (None, None, True), (None, None, False)]))
+
+
 def test_empty_table(docs, spark):
     assert near_dup.near_duplicates(docs([(1, "a b c")]).limit(0)).collect() == []
 

@@ -41,3 +41,16 @@ def test_stages_against_brute_force(spark, docs, tmp_path):
     assert {p.doc_id for p in pieces} == set(seen[3])
     assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
     assert secrets.ORDER[:3] == ["assign", "access", "hex"]
+
+
+def test_rows_that_share_an_id(spark, docs):
+    """No stage takes a unique or clean text because of another row with its id; of equal rows one stays."""
+    r = random.Random(12)
+    voc = ["".join(r.choices("abcdefghijklmnopqrstuvw", k=r.randint(2, 9))) for _ in range(500)]
+    say = lambda n: ". ".join(" ".join(r.choices(voc, k=10)) for _ in range(n)) + "."
+    p, u, v, q, item = say(8), say(9), say(7), say(8), say(4)
+    rows = docs([(1, p), (5, p), (5, u), (7, u + " tail"), (9, v), (9, v), (None, q), (None, q), (None, say(6)), (4, say(5) + " " + item), (4, say(6))])
+    kept = cp.one_of_each(spark, rows, "")
+    assert sorted((str(x.doc_id), x.text) for x in kept.collect() if x.text in (p, u, v, q)) == sorted([("1", p), ("5", u), ("9", v), ("None", q)]) and kept.count() == 7
+    found = decontaminate.contaminated(rows, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert [x.doc_id for x in found.collect()] == [4] and decontaminate.without_contaminated(rows, found).count() == 10

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_id long, item_id long, distance int, start long, end long"
+SCHEMA = "doc_id long, item_id long, distance int, start long, end long, text_hash long"
 #: Characters of normalised items that one pass carries to the executors; more items are searched in more passes.
 BLOCK_CHARS = 4_000_000
 #: Fewest words of an item that is searched for: fewer (one or two) are found in ordinary text by chance.
@@ -132,7 +132,7 @@ class Searcher:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.06, min_chars: int = 40, id_column: str = "doc_id", text_column: str = "text", item_id_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
-    """One row for every document and benchmark item it holds: doc_id, item_id, distance, start, end (places in the text).
+    """One row for every document and benchmark item it holds: doc_id, item_id, distance, start, end (places in the text), text_hash.
 
     Both texts are lower-cased and every run of characters other than letters and digits is one space. An item lies in a
     document when some part of the document is within floor(error_rate * item length) edits of it. An item of fewer than
@@ -141,13 +141,14 @@ def contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.06, mi
 
     The items are the stated query set: they go to the executors in blocks of at most BLOCK_CHARS characters, one pass over the
     documents a block, each document whole and in its own row, without a shuffle. Null and empty texts hold nothing and are held
-    by nothing; repeated rows answer each for itself.
+    by nothing; repeated rows answer each for itself, told apart by text_hash (xxhash64 of the text) where they share an id. Of places
+    at equal distance the first counts. Texts of any length are searched whole, in time in proportion to them.
     """
     named = items.select(F.col(item_id_column).cast("long").alias("item_id"), F.col(item_text_column).cast("string").alias("text")).where("text is not null")
     blocks = -(-(named.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS)
     text = F.col(text_column).cast("string")
     plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")
-    slim = docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"), plain.alias("plain")).where("plain is not null")
+    slim = docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"), plain.alias("plain"), F.xxhash64(text).alias("text_hash")).where("plain is not null")
     found = None
     for block in range(max(1, blocks)):
         part = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks))) == block).collect()
@@ -164,15 +165,15 @@ def _search(items: list[tuple[int, str]], error_rate: float, min_chars: int):
             out = []
             for row, plain in enumerate(batch.column(2).to_pylist()):
                 if searcher and any(searcher.find(plain)):  # few texts: found again with places in the text itself
-                    doc, text = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                    doc, text, key = (batch.column(k)[row].as_py() for k in (0, 1, 3))
                     at = places(text)
-                    out += [(doc, item, d, at[a], at[b - 1] + 1) for item, d, a, b in searcher.find(normal(text))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int32() if k == 2 else pa.int64()) for k in range(5)], ["doc_id", "item_id", "distance", "start", "end"])
+                    out += [(doc, item, d, at[a], at[b - 1] + 1, key) for item, d, a, b in searcher.find(normal(text))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int32() if k == 2 else pa.int64()) for k in range(6)], ["doc_id", "item_id", "distance", "start", "end", "text_hash"])
 
     return search
 
 
-def without_contaminated(docs: DataFrame, found: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Documents whose id has no row in found. Documents without an id stay."""
-    gone = found.select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(gone, docs[id_column] == gone["_found"], "left_anti")
+def without_contaminated(docs: DataFrame, found: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Documents that have no row in found, told by id (null too) and text: a clean row stays where another of its id goes."""
+    gone = found.select(F.col("doc_id").alias("_found"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(gone, docs[id_column].eqNullSafe(gone["_found"]) & (F.xxhash64(docs[text_column]) == gone["_hash"]), "left_anti")

@@ -1,8 +1,9 @@
 """Near-duplicate documents by SetSketch registers, banded, estimated jointly by likelihood and verified on full sets.
 
-The work of a group of near copies is never one task's: buckets and groups are cut into blocks of bounded size, and each
-pair of blocks is a task of its own that gives back a spanning forest of the links it found, not the links. Copies with equal
-shingle sets are one node from the start. Nothing is collected on the driver.
+The work of a group of near copies is never one task's: buckets and groups are cut into blocks of bounded size, which are compared
+with themselves and a few leaders of their group first. What that leaves apart is compared block by block, so a group of copies of
+one text costs its rows and not their square. A block gives back a spanning forest of the links it found, not the links. Copies with
+equal shingle sets are one node from the start. Nothing is collected on the driver.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65_535
 DOUBT = 15.0
 #: Rows of one block, and bytes of the shingle sets of one block.
 BLOCK, BLOCK_BYTES = 512, 16 << 20
+#: Rows of a group of several blocks that every block of it is compared with first.
+LEADERS = 8
 #: Buckets of so many rows or fewer are compared together.
 FEW = 24
 
@@ -211,23 +214,59 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 10_000) -
         yield rest, starts(rest)
 
 
-def _blocks(rows: DataFrame, group: str, count: Column) -> DataFrame:
-    """Rows dealt to pairs of blocks (p <= q) of their group: each row once for every block its own is compared with."""
-    rows = rows.withColumn("_n", count.cast("int")).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
-    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    rows = rows.withColumns({"_p": F.least("_b", "_o"), "_q": F.greatest("_b", "_o")}).drop("_n", "_o")
+def _dealt(rows: DataFrame, group: str, payload: list[str]) -> DataFrame:
+    """Rows with their block numbers _p and _q, each block of a group (equal in group, _p and _q) in one task and in order."""
     # A stated number of partitions: the rows are few bytes but much work, so Spark shall not put them together.
     many = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(many, group, "_p", "_q").sortWithinPartitions(group, "_p", "_q")
+    return rows.select(group, "_p", "_q", "node", *payload).repartition(many, group, "_p", "_q").sortWithinPartitions(group, "_p", "_q")
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def _block(count: Column) -> Column:
+    return F.pmod(F.xxhash64("node"), count).cast("int")
+
+
+def forest(rows: DataFrame, group: str, load: Callable[[DataFrame, DataFrame | None], DataFrame], payload: list[str], find: Callable, blocks: Column) -> DataFrame:
+    """(a, b): links that join what the links of every group join, each found inside a block by `find`.
+
+    rows: group, node, _blocks (how many blocks the group's rows fill) and what `blocks`, the aggregate that says this of any rows, needs;
+    load(rows, nodes) adds the payload, where nodes lists the nodes in rows if they are few. First every block is compared with itself and
+    the group's LEADERS (rows of least node in as many parts of it). In a group of several blocks, rows that are then in one
+    component need no comparison; the largest component's blocks are compared with the blocks of all other rows, and those
+    with each other. A row is so dealt once, and as often as its group has blocks of rows apart: none in a group of copies of one text.
+    """
+    hot = rows.where("_blocks > 1")
+    own = rows.withColumns({"_p": _block(F.col("_blocks")), "_q": F.lit(0)})
+    least = hot.groupBy(group, F.pmod(F.xxhash64("node", F.lit(1)), F.lit(LEADERS)).alias("_k")).agg(F.min("node").alias("node")).drop("_k")
+    leaders = hot.join(written(least, "leaders"), [group, "node"])
+    lead = leaders.withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("_q", F.lit(0)).where(F.col("_p") != _block(F.col("_blocks")))
+    first = written(_dealt(load(own.unionByName(lead), None), group, payload).mapInArrow(find, "a binary, b binary"), "first-links")
+    if not hot.head(1):
+        return first
+    nodes = hot.select("node").distinct()
+    inside = components(first.join(nodes, first["a"] == nodes["node"], "left_semi"))
+    labelled = hot.drop("_blocks").join(inside, "node", "left").withColumn("_c", F.coalesce("root", "node")).drop("root")
+    parts = written(labelled.groupBy(group, "_c").agg(F.count("*").alias("_n"), blocks.alias("_of")), "parts")
+    largest = parts.groupBy(group).agg(F.max(F.struct("_n", "_of", "_c")).alias("_x"), F.sum("_of").alias("_all"), F.count("*").alias("_parts")).where("_parts > 1")
+    largest = largest.select(group, F.col("_x._c").alias("_most"), F.ceil("_x._of").cast("int").alias("_big"), F.ceil(F.col("_all") - F.col("_x._of")).cast("int").alias("_rest"))
+    left = written(labelled.join(largest, group), "apart")
+    big = F.col("_c") == F.col("_most")
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    # The largest component's block i meets the others' block j as (i, j); the others' i and j as (-1 - the greater, the less).
+    most = left.where(big).select(group, "node", _block(F.col("_big")).alias("_p"), F.explode(each(F.col("_rest"))).alias("_q"))
+    rest = left.where(~big).withColumn("_j", _block(F.col("_rest")))
+    across = rest.select(group, "node", F.explode(each(F.col("_big"))).alias("_p"), F.col("_j").alias("_q"))
+    among = rest.select(group, "node", "_j", F.explode(each(F.col("_rest"))).alias("_o")).select(group, "node", (-1 - F.greatest("_j", "_o")).alias("_p"), F.least("_j", "_o").alias("_q"))
+    again = load(most.unionByName(across).unionByName(among), left.select("node").distinct())
+    return first.unionByName(written(_dealt(again, group, payload).mapInArrow(find, "a binary, b binary"), "second-links"))
+
+
+def components(links: DataFrame) -> DataFrame:
     """(node, root): every linked node but the roots, with the least node reachable, by alternating large and small stars.
 
-    Each round is written to the shared folder, so lineage stays short; rounds end when every node has one root, itself with none.
+    Each round is written to the shared folder, so lineage stays short; rounds go on until every node has one root, itself with none.
     """
     links = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    for _ in range(rounds):
+    while True:
         # Least neighbours are written before they are joined, so both sides of a join are exchanges and a hub's rows can be split.
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
@@ -239,12 +278,11 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("up")))
         ups = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
         if not ups.where("up > 1 or (up = 1 and n > 1)").head(1):
-            break
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def signatures(docs: DataFrame, words: int, per_band: int) -> DataFrame:
-    """doc_id, n_shingles, node (a 128-bit digest of the set, null if it is empty), sketch, bands."""
+    """doc_id, text_hash, n_shingles, node (a 128-bit digest of the set, null if it is empty), sketch, bands."""
     bands = REGISTERS // per_band
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,9 +298,9 @@ def signatures(docs: DataFrame, words: int, per_band: int) -> DataFrame:
             for j in range(per_band):
                 keys = mixed(keys + all_[:, j : j + bands * per_band : per_band].astype(np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(1 << 32))
             lists = pa.ListArray.from_arrays(np.arange(len(all_) + 1, dtype=np.int32) * bands, pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array([x.tobytes() for x in all_], pa.binary()), lists], ["doc_id", "n_shingles", "node", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array([x.tobytes() for x in all_], pa.binary()), lists], ["doc_id", "text_hash", "n_shingles", "node", "sketch", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, node binary, sketch binary, bands array<long>")
+    return docs.select("doc_id", "text", "text_hash").mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, node binary, sketch binary, bands array<long>")
 
 
 def _node(s: np.ndarray) -> bytes:
@@ -326,57 +364,69 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return shared
 
 
+def _full_sets(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(text, node) -> the text's full set."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text, words).tobytes() for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sets, pa.binary())], ["node", "set"])
+
+    return made
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Every document with its group: doc_id, n_shingles, component_id, kept.
+    """Every document with its group: doc_id, n_shingles, component_id, kept, text_hash, chosen.
 
     A document's set is its distinct runs of `words` words; documents are linked where 100 * intersection >= 100 * similarity *
     union, and a group is what links reach; component_id is its least doc_id and kept says that the row has that id. Texts
     without words (null too) are linked with nothing. Rows that repeat a doc_id count by their texts; a null doc_id is
-    never a component's id unless all are null.
+    never a component's id unless all are null. chosen marks the row of every group to keep where ids repeat or are null: the one of least id,
+    of least text_hash (xxhash64 of the text) among those; rows equal in both are one document, chosen or not together.
 
-    1. Signatures; equal sets become one node. 2. Buckets of equal bands of registers, of more than one node, in pairs of blocks
-    of bounded size: pairs that the joint likelihood doesn't rule out (a pair at the similarity fails to meet in a bucket
-    with 1e-5 or less). 3. Groups of those pairs, in pairs of blocks again, now with full sets: exact links. 4. Groups of links.
+    1. Signatures; equal sets become one node. 2. Buckets of equal bands of registers, of more than one node, in blocks of
+    bounded size: pairs that the joint likelihood doesn't rule out (a pair at the similarity fails to meet in a bucket
+    with 1e-5 or less). 3. Groups of those pairs, in blocks again, now with full sets: exact links. 4. Groups of links.
     """
     per_band = bands_for(similarity)
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    docs = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     signed = written(signatures(docs, words, per_band), "signatures")
-    sets = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
+    # A row by what orders it: rows with an id first, then by id and text.
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    sets = signed.where("node is not null").groupBy("node").agg(F.min(row).alias("first"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
     sets = written(sets, "sets")
 
     banded = sets.select("node", F.explode("bands").alias("bucket"))
     full = written(banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
-    meet = written(banded.join(full, "bucket"), "meetings")
-    meet = meet.join(sets.select("node", "n", "sketch"), "node")
-    dealt = _blocks(meet, "bucket", F.ceil(F.col("members") / BLOCK)).select("bucket", "_p", "_q", "node", "n", "sketch")
-    coarse = components(dealt.mapInArrow(_candidate_links(similarity), "a binary, b binary"))
+    meet = written(banded.join(full, "bucket").withColumn("_blocks", F.ceil(F.col("members") / BLOCK).cast("int")).drop("members"), "meetings")
+    in_rows = F.count("*") / BLOCK
+    with_sketch = lambda rows, nodes: rows.join(sets.select("node", "n", "sketch"), "node")
+    coarse = components(forest(meet, "bucket", with_sketch, ["n", "sketch"], _candidate_links(similarity), in_rows))
 
     member = coarse.unionByName(coarse.select(F.col("root").alias("node"), "root").distinct())
-    member = written(member.join(sets.select("node", "first_id", "n"), "node"), "members")
-    sizes = written(member.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).alias("blocks")), "sizes")
-    # Texts are dealt out by id at every size: at some sizes Spark would broadcast the members, whose number has no bound.
-    some = docs.join(member.select("first_id", "node").hint("merge"), F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "text", "node")
+    member = written(member.join(sets.select("node", "first", "n"), "node"), "members")
+    in_bytes = F.greatest(in_rows, F.sum("n") * 8 / BLOCK_BYTES)
+    sizes = member.groupBy("root").agg(F.ceil(in_bytes).cast("int").alias("_blocks"))
+    groups = written(member.select("node", "root", "n").join(written(sizes, "sizes"), "root").withColumnRenamed("root", "group"), "candidates")
 
-    def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, node in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                s = shingle_set(text, words)
-                if len(s) and _node(s) == node:
-                    rows.append((node, s.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.binary()) for k in (0, 1)], ["node", "set"])
+    def with_set(rows: DataFrame, nodes: DataFrame | None) -> DataFrame:
+        wanted = member if nodes is None else member.join(nodes, "node", "left_semi")
+        # Texts are dealt out by id at every size: at some sizes Spark would broadcast the members, whose number has no bound.
+        key = wanted.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"), "node").hint("merge")
+        some = docs.join(key, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("text", "node")
+        # Rows equal in id and text give their set more than once; one of them is enough.
+        return rows.join(some.mapInArrow(_full_sets(words), "node binary, set binary").dropDuplicates(["node"]), "node")
 
-    whole = some.mapInArrow(full_sets, "node binary, set binary")
-    grouped = member.select("node", "root").join(sizes, "root").join(whole, "node")
-    dealt = _blocks(grouped, "root", F.col("blocks")).select("root", "_p", "_q", "node", "set")
-    linked = components(dealt.mapInArrow(_true_links(similarity), "a binary, b binary"))
+    linked = components(forest(groups, "group", with_set, ["set"], _true_links(similarity), in_bytes))
 
     named = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
-    named = written(named.join(sets.select("node", "first_id"), "node"), "named")
-    least = written(named.groupBy("root").agg(F.min("first_id").alias("least_id")), "least")
-    of_node = named.join(least, "root").select("node", F.col("least_id").alias("group_id"))
-    copied = sets.where("copies > 1").select("node", "first_id").join(of_node.select("node"), "node", "left_anti").select("node", F.col("first_id").alias("group_id"))
+    named = written(named.join(sets.select("node", "first"), "node"), "named")
+    least = written(named.groupBy("root").agg(F.min("first").alias("group_first")), "least")
+    of_node = named.join(least, "root").select("node", "group_first")
+    copied = sets.where("copies > 1").select("node", "first").join(of_node.select("node"), "node", "left_anti").select("node", F.col("first").alias("group_first"))
     groups = written(of_node.unionByName(copied), "groups")
-    out = signed.select("doc_id", "n_shingles", "node").join(groups, "node", "left")
-    component = F.coalesce("group_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    out = signed.select("doc_id", "text_hash", "n_shingles", "node").join(groups, "node", "left")
+    component = F.coalesce("group_first.doc_id", "doc_id")
+    chosen = F.col("group_first").isNull() | (F.col("group_first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("group_first.text_hash") == F.col("text_hash")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "text_hash", chosen.alias("chosen"))

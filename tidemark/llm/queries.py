@@ -21,11 +21,11 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(documents(spark, sf_dir), words=3, similarity=0.85)
+    return near_dup.near_duplicates(documents(spark, sf_dir), words=3, similarity=0.85).drop("text_hash", "chosen")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

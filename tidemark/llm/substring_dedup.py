@@ -97,7 +97,7 @@ def repeated_spans(docs: DataFrame, several: int = 3, least_words: int = 24, id_
 
     Every run of at least `several` consecutive sentences and `least_words` words is hashed to 128 bits (words only, lower case); a run
     that occurs before, in a document of smaller id or earlier in the same one, is a copy, and its sentences are removed. The
-    first occurrence stays. first_ids lists the ids that hold the first occurrences. Sentences are cut further after words that a
+    first occurrence stays. first_ids lists the ids that hold the first occurrences (null ids left out). Sentences are cut further after words that a
     hash picks, so that passages which start and end within sentences are found too, but for a few words at their ends.
 
     A row is told by its id and its text: rows that repeat an id with other texts are documents of their own (ties go by a hash of the
