@@ -19,10 +19,17 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates (five words a shingle, similarity 0.8)."""
+    """One document of each group of near-duplicates (five words a shingle, similarity 0.8), the one of least id.
+
+    Rows are told by id and text, so a unique text stays where its id is repeated or null; rows equal in both are one document.
+    """
     groups = near_dup.near_duplicates(docs)
-    gone = groups.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    rows = groups.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.min("chosen").alias("_chosen"), F.count("*").alias("_rows"))
+    rows = written(rows.where("not _chosen or _rows > 1"), "repeated")
+    same = docs["doc_id"].eqNullSafe(rows["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == rows["_hash"])
+    single = docs.join(rows, same, "left_anti")
+    repeated = docs.join(rows.where("_chosen"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(repeated)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
