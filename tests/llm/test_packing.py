@@ -47,3 +47,19 @@ def test_sum_of_squares_choice():
 
 def test_empty_table(docs):
     assert packing.packed(docs([(1, "a")]).limit(0), PATH).collect() == []
+
+
+def test_open_windows_are_packed_again(docs, monkeypatch):
+    """Of many small partitions most tokens come from the rule too, and every id is in one piece."""
+    import random
+
+    r = random.Random(2)
+    rows = [(i, "word " * r.randint(1, 60)) for i in range(3000)]
+    pieces = packing.packed(docs(rows).repartition(12), PATH, 256).collect()
+    assert {p.doc_id for p in pieces} == set(range(3000)) and sum(p.length for p in pieces) == sum(p.doc_tokens for p in pieces if p.start == 0)
+    windows, cut = {}, {}
+    for p in pieces:
+        windows[p.sequence_id] = windows.get(p.sequence_id, 0) + p.length
+        cut[p.doc_id] = cut.get(p.doc_id, 0) + 1
+    assert sum(n == 256 for n in windows.values()) >= len(windows) - 10  # but for the last remainder
+    assert sum(n > 1 for n in cut.values()) < 300

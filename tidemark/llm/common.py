@@ -13,13 +13,24 @@ SPACE = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """This application's folder in spark.checkpoint.dir, which driver and executors share; deleted when the driver ends.
+
+    Where the session names no such folder a temporary one is used if the master is local (tests), and an error raised otherwise: on
+    a cluster each executor would write to its own disk.
+    """
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        found = sc.getCheckpointDir()
+    own = spark._jvm.org.apache.hadoop.fs.Path(f"{found}/text-{sc.applicationId}")
+    files = own.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not files.exists(own):
+        files.mkdirs(own)
+        files.deleteOnExit(own)
+    return str(own)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

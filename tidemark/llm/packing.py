@@ -1,8 +1,9 @@
-"""Packing documents into token sequences by the sum-of-squares rule.
+"""Packing documents into token sequences by the sum-of-squares rule, in two rounds.
 
 Every input partition is packed as a stream of its own, where its rows are read: the only state is the level array
-(how many windows stand partly filled at each level, and which), so no row is shuffled and any number of executors
-work at once. A lost executor's partition is packed again from its input, with the same result.
+(how many windows stand partly filled at each level, and which), so any number of executors work at once. What stands in
+open windows when a partition ends is packed again in fewer, longer streams. A lost executor's partition is packed again
+from its input, with the same result.
 """
 
 from __future__ import annotations
@@ -17,11 +18,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import written
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Lower-cased text made of these characters alone is cut into the tokenizer's own pre-tokens by one pattern.
 PLAIN = re.compile("[^\t-\r -~À-ÖØ-öø-ÿ]|<\\|")
 PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zß-öø-ÿ0-9]+")
 CACHE = 400_000
+#: Tokens of a stream of the second round: its open windows, about a million tokens at most, are a small part of it.
+STREAM = 16_000_000
 _encoders: dict[str, Callable[[str], bytes]] = {}
 
 
@@ -111,42 +116,73 @@ def packed(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, i
     """Pieces of documents placed in sequences of at most `size` tokens, one row a piece (SCHEMA).
 
     A document is the ids of its text (null: none) and `end_id`. A document longer than a window gives whole windows
-    first; what remains is one piece. Pieces are placed by the sum-of-squares rule. When a partition ends, its open windows
-    are joined and cut anew at `size`, and the last remainder is cut at powers of two, so nothing is padded.
-    Repeated rows are packed each on their own; an empty table gives no rows; other columns are not read.
+    first; what remains is one piece. Pieces are placed by the sum-of-squares rule. Windows still open when a partition ends are taken
+    apart, and their pieces packed by the same rule again, in streams of about STREAM tokens. What these leave open is
+    joined and cut anew at `size`, and the last remainder of a stream is cut at powers of two, so nothing is padded.
+    Texts of any length are taken whole. Repeated rows are packed each on their own; an empty table gives no rows; other columns are not read.
     """
+    kept = f"{SCHEMA}, ids binary"
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+
+        def pieces() -> Iterator[tuple]:
+            for batch in batches:
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    raw = encode(text or "") + end
+                    for start in range(0, len(raw) // 4, size):
+                        yield doc, start, raw[4 * start : 4 * (start + size)], len(raw) // 4
+
+        yield from _stream(pieces(), size, kept, 0, joined=False)
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = (row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(4))))
+        yield from _stream(pieces, size, SCHEMA, 1 << 62, joined=True)
+
+    ids = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    placed = written(ids.mapInArrow(first, kept), "packed")
+    left = placed.where("ids is not null")
+    tokens = left.agg(F.sum("length")).first()[0] or 0
+    streams = left.select("doc_id", "start", "ids", "doc_tokens", "sequence_id").repartition(-(-tokens // STREAM) or 1, "sequence_id").sortWithinPartitions("sequence_id")
+    return placed.where("ids is null").drop("ids").unionByName(streams.drop("sequence_id").mapInArrow(second, SCHEMA))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, levels, number = encoder(tokenizer), Levels(size), TaskContext.get().partitionId() << 40
-        end = np.array([end_id], "<u4").tobytes()
-        out: list[tuple] = []
-
-        def close(window: list[tuple]) -> None:
-            nonlocal number
-            offset = 0
-            for doc, start, raw, total in window:
-                out.append((doc, start, len(raw) // 4, zlib.crc32(raw), total, number, offset))
-                offset += len(raw) // 4
-            number += 1
-
-        def rows() -> pa.RecordBatch:
-            made = [pa.array(column, pa.int64()) for column in zip(*out)]
-            out.clear()
-            return pa.RecordBatch.from_arrays(made, [c.split()[0] for c in SCHEMA.split(", ")])
-
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = encode(text or "") + end
-                total = len(raw) // 4
-                for start in range(0, total, size):
-                    piece = (doc, start, raw[4 * start : 4 * (start + size)], total)
-                    if full := levels.place(piece, len(piece[2]) // 4):
-                        close(full)
-                if len(out) >= 20_000:
-                    yield rows()
-        window, room = [], size
-        left = levels.rest()
-        tokens = sum(len(p[2]) // 4 for p in left)
+
+def _stream(pieces: Iterator[tuple], size: int, schema: str, base: int, joined: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of full windows of a stream of pieces (doc_id, start, ids, tokens of the document), and of what stays open at its end.
+
+    The latter is joined and cut, or given back as pieces with their ids, each with a number of its own in place of a sequence.
+    """
+    levels, number = Levels(size), base | TaskContext.get().partitionId() << 40
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [pa.binary() if c.endswith("binary") else pa.int64() for c in schema.split(", ")]
+    out: list[tuple] = []
+
+    def close(window: list[tuple], keep: bool = False) -> None:
+        nonlocal number
+        offset = 0
+        for doc, start, raw, total in window:
+            out.append((doc, start, len(raw) // 4, zlib.crc32(raw), total, number, offset, raw if keep else None))
+            offset += len(raw) // 4
+        number += 1
+
+    def rows() -> pa.RecordBatch:
+        made = [pa.array(column, kind) for column, kind in zip(zip(*out), kinds)]
+        out.clear()
+        return pa.RecordBatch.from_arrays(made, names)
+
+    for piece in pieces:
+        if full := levels.place(piece, len(piece[2]) // 4):
+            close(full)
+        if len(out) >= 20_000:
+            yield rows()
+    left = levels.rest()
+    if not joined:
+        for piece in left:
+            close([piece], keep=True)
+            if len(out) >= 2_000:
+                yield rows()
+    else:
+        window, room, tokens = [], size, sum(len(p[2]) // 4 for p in left)
         for doc, start, raw, total in left:
             while raw:
                 if room == size and not window and tokens < size:
@@ -157,8 +193,5 @@ def packed(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, i
                 if not room:
                     close(window)
                     window, room = [], size
-        if out:
-            yield rows()
-
-    ids = docs.select(F.col(id_column).cast("long").alias(id_column), F.col(text_column).cast("string").alias(text_column))
-    return ids.mapInArrow(pack, SCHEMA)
+    if out:
+        yield rows()
