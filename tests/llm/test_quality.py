@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from tidemark.llm import quality
 
 
@@ -43,5 +45,36 @@ def test_small_groups_read_the_estimates_of_large_ones(docs):
     assert kept == {x[0]: not 1000 <= x[0] < 2000 for x in rows}
 
 
+def test_a_cluster_of_outliers_is_found(docs):
+    """A fifth of a group is junk of one kind: it would pull the group's mean, but not its medians."""
+    r = random.Random(7)
+    voc = ["word%s" % "abcdefgh"[i % 8] * (1 + i % 3) for i in range(200)]
+    good = lambda: "\n".join(" ".join(r.choices(voc, k=r.randint(8, 20))).capitalize() + "." for _ in range(r.randint(2, 12)))
+    rows = [(i, good(), "en", "web") for i in range(200)] + [(1000 + i, " ".join(w.upper() + "***#" for w in r.choices(voc, k=r.randint(70, 90))), "en", "web") for i in range(50)]
+    kept = {x.doc_id: x.kept for x in quality.quality_verdicts(docs(rows)).collect()}
+    assert all(not kept[1000 + i] for i in range(50)) and sum(kept[i] for i in range(200)) >= 198
+
+
+def test_estimates_are_those_of_the_least_determinant(spark):
+    """On small groups, against concentration from many random starts in numpy: the kept rows' determinant is as small."""
+    r = np.random.default_rng(1)
+    for seed in range(3):
+        x = r.normal(size=(60, 5)) @ r.normal(size=(5, 5)) * 0.3
+        x[:12] += r.normal(size=5) * 4
+        rows = spark.createDataFrame([(i, "g", *map(float, v)) for i, v in enumerate(x)], "i int, g string, " + ", ".join(f"{f} double" for f in quality.FEATURES))
+        d2 = np.array([v.d2 for v in quality.robust_distance(rows, ["g"]).orderBy("i").collect()])
+        floor = np.diag([quality.FLOOR[f] ** 2 for f in quality.FEATURES])
+        size = lambda rows: np.linalg.slogdet(np.cov(rows.T, bias=True) + floor)[1]  # noqa: E731, B023
+        best = np.inf
+        for _ in range(200):
+            some = x[r.choice(60, 8, replace=False)]
+            for _ in range(20):
+                z = x - some.mean(0)
+                far = np.einsum("ij,jk,ik->i", z, np.linalg.inv(np.cov(some.T, bias=True) + floor), z)
+                some = x[np.argsort(far)[:45]]
+            best = min(best, size(some))
+        assert size(x[np.argsort(d2)[:45]]) <= best + 0.05 and (d2[:12] > 30).all()
+
+
 def test_empty_table(docs):
     assert quality.quality_verdicts(docs([(1, "a")]).limit(0)).collect() == []

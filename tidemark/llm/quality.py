@@ -123,22 +123,44 @@ def _by_group(rows: DataFrame, made: DataFrame, group: list[str]) -> DataFrame:
     return rows.join(F.broadcast(made) if made.limit(GROUPS + 1).count() <= GROUPS else made, group)
 
 
+def _spread(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Each group's medians as means, and its squared median deviations, floored, as a diagonal covariance: outliers hardly move them."""
+    middle = lambda c: F.percentile_approx(c, 0.5, 4_000)
+    medians = written(rows.groupBy(*group).agg(*(middle(f).alias(f"m_{i}") for i, f in enumerate(FEATURES))), "medians")
+    off = [middle(F.abs(F.col(f) - F.col(f"m_{i}"))).alias(f"s_{i}") for i, f in enumerate(FEATURES)]
+    spread = _by_group(rows, medians, group).groupBy(*group).agg(F.count("*").alias("n"), *off)
+    k = range(len(FEATURES))
+    covs = [(F.pow(1.4826 * F.col(f"s_{i}"), 2) + FLOOR[FEATURES[i]] ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in k for j in range(i + 1)]
+    return spread.join(medians, group).select(*group, "n", *(f"m_{i}" for i in k), *covs)
+
+
 def robust_distance(rows: DataFrame, group: list[str], share: float = 0.75, steps: int = 3) -> DataFrame:
     """Adds d2: the squared Mahalanobis distance by minimum-covariance-determinant estimates of the row's group.
 
-    Concentration steps: from the group's estimates, keep the `share` of its rows with the least distances and estimate
-    again (the determinant never grows), `steps` times. Distances are rescaled so that the groups' cut agrees with the
-    chi-square law. Group columns must not be null. Rows are never gathered by group: each step joins the groups' small
-    table of estimates, so rows of a hot group stay where they are.
+    Two starts: the group's mean and covariance, and its medians with their deviations, which a cluster of outliers does not hide
+    from. Concentration steps from each: keep the `share` of the group's rows with the least distances and estimate again
+    (the determinant never grows), `steps` times; the start that ends with the lesser determinant counts. Distances are
+    rescaled so that the groups' cut agrees with the chi-square law. Group columns must not be null. Rows are never gathered by
+    group: each step joins the groups' small table of estimates, so rows of a hot group stay where they are.
     """
-    kept = rows
+    own = [*group, "_start"]
+    both = rows.withColumn("_start", F.explode(F.array(F.lit(0), F.lit(1))))
+    kept = both
     for step in range(steps + 1):
-        made = written(_triangle(_estimates(kept, group)), "estimates")
-        far = _distance(_by_group(rows, made.drop("n"), group))
-        cuts = written(_cut(far, group, share), "cuts")
+        if step:
+            made = _estimates(kept, own)
+        else:
+            made = _estimates(rows, group).withColumn("_start", F.lit(0)).unionByName(_spread(rows, group).withColumn("_start", F.lit(1)))
+        made = written(_triangle(made), "estimates")
+        far = _distance(_by_group(both, made.drop("n"), own))
+        cuts = written(_cut(far, own, share), "cuts")
         if step < steps:
-            kept = _by_group(far, cuts, group).where(F.col("d2") <= F.col("cut")).select(*rows.columns)
-    return _by_group(far, cuts, group).withColumn("d2", F.col("d2") * (F.lit(CHI2_75) / F.greatest("cut", F.lit(CHI2_75)))).select(*rows.columns, "d2")
+            kept = _by_group(far, cuts, own).where(F.col("d2") <= F.col("cut")).select(*both.columns)
+    size = reduce(lambda a, b: a + b, [F.log(F.col(f"l_{i}_{i}")) for i in range(len(FEATURES))])
+    best = made.withColumn("_size", size).groupBy(*group).agg(F.min(F.struct("_size", "_start"))["_start"].alias("_start"))
+    final = written(made.join(best, own).join(cuts, own).drop("_start", "n"), "final")
+    scale = F.lit(CHI2_75) / F.greatest("cut", F.lit(CHI2_75))
+    return _distance(_by_group(rows, final, group)).withColumn("d2", F.col("d2") * scale).select(*rows.columns, "d2")
 
 
 #: 0.75 quantile of the chi-square law with five degrees of freedom.
