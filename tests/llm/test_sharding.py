@@ -1,5 +1,7 @@
 import zlib
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import sharding
 
 
@@ -25,3 +27,22 @@ def test_empty_and_repeated(docs):
     assert sharding.sharded_documents(docs([(1, "a")]).limit(0)).collect() == []
     out = sharding.sharded_documents(docs([(1, "a"), (1, "a"), (None, "b")])).collect()
     assert len(out) == 3
+
+
+def test_no_range_is_overfull_in_rows(spark, docs, monkeypatch):
+    """Half of all rows empty, and rows that share id and text: the largest range has a few times the mean of rows."""
+    seen, write = [], sharding.written
+    monkeypatch.setattr(sharding, "written", lambda df, name: seen.append(write(df, name)) or seen[-1])
+    text = F.when(F.col("id") % 2 == 0, F.lit("")).when(F.col("id") % 3 == 0, F.lit("one text")).otherwise(F.concat(F.lit("text "), F.col("id").cast("string"), F.repeat(F.lit("x"), 40)))
+    rows = spark.range(60_000).select(F.when(F.col("id") % 5 > 0, F.col("id")).alias("doc_id"), text.alias("text"))
+    out = sharding.sharded_documents(rows)
+    assert out.count() == 60_000
+    ranges = next(x for x in seen if "range" in x.columns).groupBy("range").count().agg(F.max("count"), F.avg("count")).first()
+    assert ranges[0] < 4 * ranges[1]
+    slots = out.groupBy("shard").agg(F.min("slot").alias("a"), F.max("slot").alias("b"), F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.sum("size").alias("s")).collect()
+    assert all(x.a == 0 and x.b == x.n - 1 == x.d - 1 for x in slots) and max(x.s for x in slots) - min(x.s for x in slots) < 200
+
+
+def test_one_very_long_text(docs):
+    out = {r.doc_id: r for r in sharding.sharded_documents(docs([(1, "long " * 400_000), *((i, "short") for i in range(2, 60))])).collect()}
+    assert len(out) == 59 and out[1].size == 2_000_001 and len({r.shard for r in out.values()}) >= 2

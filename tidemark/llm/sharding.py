@@ -17,9 +17,10 @@ from tidemark.llm.common import written
 def range_sharded(rows: DataFrame, shards: int, key: list[str], size: str = "size", ranges_per_shard: int = 64, sample_rows: int = 16_384, seed: int = 7) -> DataFrame:
     """Adds shard (0 to shards - 1) and slot (gapless from 0 in each shard, in key order) so that the sizes are near equal.
 
-    1. A size-weighted sample of keys is drawn: a row stays with the probability size * sample_rows / total size, by a hash
-       of its key, so about `sample_rows` keys, the documented bound of what the driver sees, at any table size.
-    2. Its size-weighted quantiles are the splitters of shards * ranges_per_shard ranges of the key order; rows are
+    1. A weighted sample of keys is drawn: a row weighs its share of all sizes and its share of all rows, half and half, and stays with
+       the probability weight * sample_rows, by a hash of its key: about `sample_rows` keys, the documented bound of what
+       the driver sees, at any table size. So no range is overfull in bytes or in rows, however many rows are empty.
+    2. Its weighted quantiles are the splitters of shards * ranges_per_shard ranges of the key order; rows are
        placed by binary search.
     3. Exact sizes of the ranges give each range's place on the scale of all sizes. A range that reaches over a shard's
        boundary (an overfull one among them) is subdivided: a running sum inside each range finds where every row
@@ -29,10 +30,12 @@ def range_sharded(rows: DataFrame, shards: int, key: list[str], size: str = "siz
     """
     rows = rows.drop("range", "shard", "slot")
     of = F.coalesce(F.col(size), F.lit(0)).cast("double")
-    total = rows.agg(F.sum(of)).first()[0] or 0.0
-    chance = F.least(F.lit(1.0), of * (sample_rows / total if total else 0.0))
+    total, n = rows.agg(F.sum(of), F.count("*")).first()
+    total = total or 0.0
+    weight = (of / (2 * total) if total else F.lit(0.0)) + F.lit(0.5 / max(n, 1))
+    chance = F.least(F.lit(1.0), weight * sample_rows)
     draw = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.where(draw < chance).select(*key, F.greatest(chance, of * (sample_rows / total if total else 0.0)).alias("weight")).collect()
+    drawn = rows.where(draw < chance).select(*key, F.greatest(F.lit(1.0), weight * sample_rows).alias("weight")).collect()
     low = lambda k: tuple((x is not None, x) for x in k)  # noqa: E731  null first
     drawn = sorted((low(r[:-1]), r[-1]) for r in drawn)
     weight, splitters = sum(w for _, w in drawn), []
@@ -69,17 +72,20 @@ def range_sharded(rows: DataFrame, shards: int, key: list[str], size: str = "siz
 def sharded_documents(docs: DataFrame, shards: int = 16, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Documents to shards of near-equal bytes: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    The key order is a 64-bit hash of the text, then the id: equal texts stand together, and so share a shard unless a group of
+    The key order is a 64-bit hash of the text, then the id, then the row's place in the table: equal texts stand together, and so share a shard unless a group of
     copies is itself larger than what its shard still takes; the boundary then runs through the group. The size is
-    the text's UTF-8 bytes (null: none) plus 1. Texts are read once, for their size and digests; only those are shuffled.
+    the text's UTF-8 bytes (null: none) plus 1. Texts of any length are read once, for their size and digests; only those are shuffled.
+    Rows equal in id and text, and rows without an id, are each a row of their own.
     """
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     raw = F.encode(text, "UTF-8")
+    # The row's number tells rows apart that are equal in id and text, or have no id: it is written once, so it stays.
     rows = docs.select(
+        F.monotonically_increasing_id().alias("_row_id"),
         F.col(id_column).cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
         F.xxhash64(text).alias("_text"),
     )
-    out = range_sharded(written(rows, "sizes"), shards, ["_text", "doc_id"])
+    out = range_sharded(written(rows, "sizes"), shards, ["_text", "doc_id", "_row_id"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
