@@ -54,3 +54,19 @@ def test_no_labels(docs, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [(r.score, r.predicted) for r in t.toxicity(docs([(1, "idiot")]), none).collect()] == [(0.0, 0)]
     assert t.toxicity(docs([(1, "a")]).limit(0), none).collect() == []
+
+
+def test_voters_overrule_wrong_labels():
+    r = np.random.default_rng(3)
+    y = r.random(6_000) < 0.15
+    fired = np.stack([np.where(y, r.random(len(y)) < 0.6, r.random(len(y)) < 0.01) for _ in range(8)], 1)
+    wrong = r.random(len(y)) < 0.04
+    given = y ^ wrong
+    p, rates, _ = t.label_model(fired, given)
+    told = p > 0.5
+    assert (told[wrong] == y[wrong]).mean() > 0.9 and (told == y).mean() > 0.995 and (told != given).sum() > 100
+
+
+def test_nested_keys_go():
+    fired = np.array([[1, 1, 0], [1, 1, 1], [0, 0, 1], [1, 1, 0]])
+    assert t.unnested([" trash ", " tras", " garbage "], fired) == [0, 2]

@@ -18,10 +18,18 @@ LEXICON = (
     "imbécile crétin abruti connard débile ordure minable dégoûtant salaud raclure "
     "estúpido estúpida imbécil basura escoria asqueroso patético inútil tonto cabrón"
 ).split()
-#: Patterns that are voters, on the text as it stands: address, shouting, threats.
-PATTERNS = [r"(?i)\byou(?:'re| are) (?:a|an|so|such)\b", r"!{3,}", r"(?i)\b(?:shut up|go away|get lost|kill yourself|hate you)\b"]
+#: Patterns that are voters, on the text as it stands: address in four languages, shouting, threats, stretched and masked words.
+PATTERNS = [
+    r"(?i)\byou(?:'re| are) (?:a|an|so|such)\b", r"(?i)\bdu bist (?:ein|eine|so)\b", r"(?i)\btu es (?:un|une|si)\b", r"(?i)\beres (?:un|una|tan)\b",
+    r"!{3,}", r"[?!]{4,}", r"(?:\b\p{Lu}{3,}\b\W+){3}", r"(?i)\b(?:shut up|go away|get lost|kill yourself|hate you)\b",
+    r"(?i)\b(?:halt die klappe|verpiss dich|ferme ta gueule|cállate|vete a la mierda)\b", r"\b\p{L}+[*#@$%]{2,}\p{L}*\b", r"(\p{L})\1{4,}",
+]
 #: Correlation inside the classes from which voters count as tied.
 TIED = 0.25
+#: Most that a given label may say, as log odds: what a voter of 98 % says. Voters that agree can outweigh it.
+LABEL = 4.0
+#: A voter goes whose rows are those of a surer one to this share, where one key holds the other.
+NESTED = 0.8
 
 
 @dataclass
@@ -31,6 +39,7 @@ class Model:
     keys: list[str]
     weights: np.ndarray  # of keys, patterns, log1p(hits), the constant
     accuracies: np.ndarray
+    changed: int  # labels that the posterior overrules
     correlations: np.ndarray
 
 
@@ -66,15 +75,16 @@ def votes(docs: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
 
 
 def label_model(fired: np.ndarray, given: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior of toxic for each row, P(vote | class) of every voter, correlations of voters inside the classes).
+    """(posterior of toxic for each row, P(vote | class) of every voter and, last, of the label, correlations of all inside the classes).
 
-    Expectation maximisation over the class of every row: each voter fires with a rate of its own in either class; the given
-    label is one more voter whose rates are estimated alike. Votes that move together inside the classes count as less than
+    Expectation maximisation over the class of every row, from the voters' majority: each voter fires with a rate of its own in either
+    class, the rest is abstention. The given label is one more voter whose rates are estimated alike, but whose word is
+    bounded by LABEL, so that voters can overrule it. Votes that move together inside the classes count as less than
     one voter each: a voter's evidence is divided by 1 + the sum of its correlations over TIED (weaker ones are mostly what is
     left of rows whose class is not settled).
     """
     x = np.column_stack((fired, given)).astype(float)
-    p = np.clip(given.astype(float), 0.02, 0.98)
+    p = np.array([0.03, 0.5, 0.95])[np.minimum(x.sum(1), 2).astype(int)]
     rates = correlation = None
     for _ in range(rounds):
         weight = np.stack((1 - p, p), 1)
@@ -87,12 +97,23 @@ def label_model(fired: np.ndarray, given: np.ndarray, rounds: int = 30) -> tuple
         correlation = covariance / scale[:, None] / scale
         share = 1 / (1 + np.where(correlation - np.eye(len(correlation)) > TIED, correlation, 0).sum(1))
         share[-1] = 1.0
-        gain = share * (np.log(rates[1] / rates[0]) - np.log((1 - rates[1]) / (1 - rates[0])))
-        base = np.log(total[1] / total[0]) + (share * np.log((1 - rates[1]) / (1 - rates[0]))).sum()
-        p = 1 / (1 + np.exp(-np.clip(base + x @ gain, -30, 30)))
+        fires, rests = share * np.log(rates[1] / rates[0]), share * np.log((1 - rates[1]) / (1 - rates[0]))
+        fires[-1], rests[-1] = np.clip((fires[-1], rests[-1]), -LABEL, LABEL)
+        p = 1 / (1 + np.exp(-np.clip(np.log(total[1] / total[0]) + rests.sum() + x @ (fires - rests), -30, 30)))
     return p, rates, correlation
 
 
+def unnested(keys: list[str], fired: np.ndarray) -> list[int]:
+    """Which keys to keep, surest first: none whose rows are those of a kept key that holds it or that it holds (NESTED)."""
+    kept: list[int] = []
+    for k, key in enumerate(keys):
+        own = fired[:, k] > 0
+        near = [j for j in kept if key.strip() in keys[j] or keys[j].strip() in key]
+        if not any((own & (fired[:, j] > 0)).sum() >= NESTED * max(1, (own | (fired[:, j] > 0)).sum()) for j in near):
+            kept.append(k)
+    return kept
+
+
 def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 2.0, rounds: int = 25) -> np.ndarray:
     """Weights (the constant last) of a ridge logistic regression on soft targets, by Newton steps."""
     x = np.column_stack((x, np.ones(len(x))))
@@ -123,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 12_000, voters: int = 4
     if not n or not toxic or toxic == n:
         return None
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, bound / n) * (1 << 20)))
-    rows = docs.select("doc_id", "text").where(~held_out(F.col("doc_id"))).join(F.broadcast(known), "doc_id").where("text is not null").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").where(~held_out(F.col("doc_id"))).join(F.broadcast(known), "doc_id").where("text is not null").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     base = toxic / n
     found = F.array_distinct(F.split(F.trim(plain(F.col("text"))), " "))
     starts = [F.transform(F.filter(found, lambda w: F.length(w) >= k), lambda w: F.concat(F.lit(" "), F.substring(w, 1, k))) for k in (4, 5, 6)]
@@ -132,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 12_000, voters: int = 4
     surely = (F.col("t") - base * F.col("n")) / F.sqrt(base * (1 - base) * F.col("n"))
     learned = seen.where((F.col("n") >= 4) & (F.col("t") >= 0.5 * F.col("n"))).withColumn("z", surely).where("z >= 4.5").orderBy(F.desc("z"), "key").limit(voters).collect()
     keys = list(dict.fromkeys([r["key"] for r in learned] + [f" {w} " for w in LEXICON]))
-    sample = votes(rows, keys, ["doc_id", "toxic"]).collect()
+    sample = votes(rows, keys, ["doc_id", "toxic"]).orderBy("doc_id").collect()
     width = len(keys) + len(PATTERNS)
     fired = np.zeros((len(sample), width), np.float32)
     for k, r in enumerate(sample):
@@ -140,11 +161,17 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 12_000, voters: int = 4
     given = np.array([r["toxic"] for r in sample], float)
     if not len(given) or given.min() == given.max():
         return None
+    kept = unnested(keys, fired)
+    hits_ = [r["hits"] for r in sample]
+    if len(kept) < len(keys):
+        keys = [keys[k] for k in kept]
+        fired = np.concatenate((fired[:, kept], fired[:, width - len(PATTERNS) :]), 1)
+        hits_ = [r["hits"] for r in votes(rows, keys, ["doc_id"]).orderBy("doc_id").collect()]
     voting = fired.sum(0) > 0
     posterior, rates, correlation = label_model(fired[:, voting], given)
-    hits = np.log1p(np.array([r["hits"] for r in sample], float))
+    hits = np.log1p(np.array(hits_, float))
     weights = logistic(np.column_stack((fired, hits)), posterior)
-    return Model(keys, weights, rates, correlation)
+    return Model(keys, weights, rates, int(((posterior > 0.5) != (given > 0.5)).sum()), correlation)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> DataFrame:
@@ -152,7 +179,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
 
     Scores depend on the text alone; whole texts, one pass, no shuffle. Null and empty texts get the score of a text that fires no
     voter; without usable labels (none, or all of one kind) every score is 0. A null doc_id is scored and not held out. Repeated rows
-    score alike; of repeated labels of a document the greater counts.
+    score alike; of repeated labels of a document the greater counts, and of its texts the least is learned from. Texts of any length count whole.
     """
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     model = fit(docs, labels.select(F.col(id_column).cast("long").alias("doc_id"), F.col(label_column).alias("toxic")))
