@@ -13,18 +13,18 @@ def _canonical(text: str) -> str:
     """The canonical lines of a text, as a list."""
     made = rf"regexp_replace(lower(coalesce({text}, '')), '(?m)^[^\p{{L}}\p{{N}}\n]*(?:copyright|\(c\)|©)(?:[^\p{{L}}\p{{N}}\n]+(?:\(c\)|©|[0-9])|[^\p{{L}}\n]*[0-9]{{4}})[^\n]*$', '', 'g')"
     made = rf"regexp_replace({made}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
-    for found, stands in licenses.SPELLINGS:
-        if found != stands and found not in ("licence", "licenced", "licencing", "licences"):
-            made = rf"regexp_replace({made}, '\b{found}\b', '{stands}', 'g')"
-    made = rf"regexp_replace({made}, 'licenc(e|es|ed|ing)\b', 'licens\1', 'g')"
+    for found, stands in licenses.OTHERS:
+        made = rf"regexp_replace({made}, '\b{found}\b', '{stands}', 'g')"
+    made = rf"regexp_replace({made}, 'licenc(e|es|ed|ing|ee|ees|or|ors)\b', 'licens\1', 'g')"
     return f"list_filter(list_transform(string_split({made}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 
 
 def licenses_sql() -> str:
-    known = ", ".join(f"({k}, {_quoted(a)}, {_quoted(t)})" for k, (a, _, t) in enumerate(licenses.KNOWN))
-    return f"""WITH known AS (SELECT arg_min(license, k) AS license, canon FROM (SELECT k, license, array_to_string({_canonical('text')}, ' ') AS canon FROM (VALUES {known}) t(k, license, text)) GROUP BY canon),
+    known = ", ".join(f"({k}, {_quoted(a)}, {_quoted(kind)}, {_quoted(t)})" for k, (a, kind, t) in enumerate(licenses.KNOWN))
+    return f"""WITH known AS (SELECT arg_min(license, k) AS license, arg_min(kind, k) AS kind, arg_min(n, k) AS n, canon FROM (SELECT k, license, kind, len({_canonical('text')}) AS n, array_to_string({_canonical('text')}, ' ') AS canon FROM (VALUES {known}) t(k, license, kind, text)) GROUP BY canon),
  docs AS (SELECT doc_id, {_canonical('text')} AS lines FROM documents),
- units AS (SELECT doc_id, true AS whole, array_to_string(lines, ' ') AS unit FROM docs UNION ALL SELECT doc_id, false, unnest(lines) FROM docs)
+ units AS (SELECT doc_id, true AS whole, array_to_string(lines, ' ') AS unit FROM docs
+  UNION ALL SELECT doc_id, false, array_to_string(lines[i:i + h - 1], ' ') FROM (SELECT doc_id, lines, h, unnest(range(1, len(lines) - h + 2)) AS i FROM docs, (SELECT DISTINCT n AS h FROM known WHERE kind = 'notice' UNION SELECT 1)))
  SELECT doc_id, min(license) FILTER (whole) AS license, count(*) FILTER (NOT whole) AS n_notices, coalesce(string_agg(DISTINCT license, ',' ORDER BY license) FILTER (NOT whole), '') AS notices
  FROM units JOIN known ON canon = unit GROUP BY doc_id"""
 
