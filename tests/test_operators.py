@@ -128,8 +128,60 @@ def test_landed_files(spark, tmp_path):
 
 
 def test_decoding(spark):
-    df = spark.createDataFrame([("é".encode(),), (b"\xef\xbb\xbfx",), ("é".encode("latin-1"),)], "b binary")
-    assert sorted(r[0] for r in df.select(files.decoded(F.col("b"))).collect()) == ["x", "é", "é"]
+    df = spark.createDataFrame([("é".encode(),), (b"\xef\xbb\xbfx",), ("é".encode("latin-1"),), (b"\x93quoted\x94 \x80",), (b"\x81\xe9",)], "b binary")
+    assert sorted(r[0] for r in df.select(files.decoded(F.col("b"))).collect()) == sorted(["x", "é", "é", "“quoted” €", "\x81é"])
+
+
+def one(spark, values, made):
+    """What a column function makes of each text."""
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, t string")
+    return [r[1] for r in rows.select("k", made(F.col("t"))).orderBy("k").collect()]
+
+
+def test_licence_titles(spark):
+    want = {
+        "Creative Commons Attribution 3.0 Australia": ("CC-BY-3.0-AU", True), "Creative Commons Attribution 4.0 International": ("CC-BY-4.0", True), "Creative Commons Attribution 2.5 Australia": ("CC-BY-2.5-AU", True),
+        "Creative Commons Non-Commercial 3.0 Australia": ("CC-BY-NC-3.0-AU", False), "CC-BY-ND-4.0": ("CC-BY-ND-4.0", False), "Other (Open)": ("other-open", True), "Other (Not Open)": ("other-closed", False), "Other (Non-Commercial)": ("other-nc", False),
+        "Open Data Commons Attribution License": ("ODC-BY-1.0", True), "Access on request": ("Access on request", False), "Closed licence, Creative Commons excluded": ("Closed licence, Creative Commons excluded", False), "PDDL": ("PDDL-1.0", True),
+        "Attribution 3.0 Australia (CC BY 3.0 AU)": ("CC-BY-3.0-AU", True), "Creative Commons Attribution | Share Alike 4.0 International": ("CC-BY-SA-4.0", True), "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International": ("CC-BY-NC-ND-4.0", False),
+        "ODBL-1": ("ODBL-1.0", True), "Creative Commons Attribution": ("CC-BY", True), "Licence Specified by Agency": ("Licence Specified by Agency", False), "notspecified": ("", None), " cc-zero ": ("CC0-1.0", True), "": ("", None), None: ("", None),
+    }
+    got = one(spark, list(want), lambda t: F.struct(catalogue.licence_id(t), catalogue.licence_open(catalogue.licence_id(t))))
+    assert [tuple(x) for x in got] == list(want.values())
+
+
+def test_cadences(spark):
+    want = {
+        "weekly": 52, "monthly": 12, "annually, in March": 1, "one file a year": 1, "half-yearly": 2, "irregular, several times a year": 4, "hourly, checked weekly": 52, "every 30 minutes": 365, "weekly, with historical records from 1990": 52,
+        "weekly until further notice": 52, "monthly as contracts are disclosed": 12, "closed": 0, "closed year": 0, "historical, not updated since 2019": 0, "monthly until June 2024": 0, "no new readings since April 2025": 0, "weekly until 2030": 52,
+        "weekly until October 2026": 52, "weekly until September 2026": 0, "delivered quarterly": 4, "extended monthly release": 12, "Twice a year": 2, "a census": 0.2, "as required": None, "": None, None: None,
+    }
+    assert one(spark, list(want), lambda t: catalogue.per_year(t, F.lit("2026-10-06").cast("date"))) == list(want.values())
+
+
+def test_formats_and_summaries(spark):
+    assert one(spark, ["csv, Excel (.xlsx)/SHP; .shz", "WFS,,rest", ""], lambda t: F.array_join(catalogue.formats(t), ";")) == ["CSV;SHP;XLSX", "API", ""]
+    texts = ["<p>**Crash** data. See [the guide](https://example.org) &amp; <b>more</b>&#33;&nbsp;&eacute;&#x1F600;", "&amp;lt; &lt; &nosuch; &#0;", "word, " * 100, None]
+    made = one(spark, texts, catalogue.summary)
+    assert made[:2] == ["Crash data. See the guide & more ! é\U0001f600", "&lt; < &nosuch; & 0;"] and made[3] == ""
+    assert made[2].endswith("word…") and 270 < len(made[2]) <= 281
+
+
+def test_related_records(spark):
+    rows_ = [(1, "a", 1, ["x"], "Road crash sites"), (2, "b", 2, ["x", "y"], "Crashes of roads by site"), (3, "b", 1, ["x"], "road crash"), (4, "c", None, ["z"], "road crash"), (5, "c", None, ["x"], "the annual list"), (6, "c", None, ["y", "x"], "Crash numbers")]
+    df = spark.createDataFrame(rows_, "id int, org string, collection int, topics array<string>, t string").withColumn("words", catalogue.subject_words(F.col("t")))
+    assert rows(catalogue.related(df.drop("t"))) == [(1, 2, 2), (1, 6, 1), (2, 1, 2), (3, 6, 1), (6, 1, 1), (6, 3, 1)]
+
+
+def test_state_by_key_over_batches(spark, tmp_path):
+    """The state of each key over several batches, in which some keys do not come."""
+    from tidemark.plans.stream_plans import _final
+    from tidemark.streaming import feeds
+
+    for n, part in enumerate([[(1, "a", 1), (1, "b", 2), (2, "a", 3)], [(1, "b", 4), (3, "c", 5)], [(2, "b", 6), (2, "a", 7)]]):
+        spark.createDataFrame(part, "k long, s string, t long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k long, s string, t long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    assert rows(_final(spark, feeds.state_by_key(stream, "k", "s", "t"), "update", "k")) == [(1, "b", 2, 4), (2, "a", 7, 7), (3, "c", 5, 5)]
 
 
 def test_provenance_and_points(spark):

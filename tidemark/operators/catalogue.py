@@ -2,56 +2,124 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemark.functions.lineage import checkpointed
 
-# Wordings of licences and the ids they stand for, first match wins.
-LICENCES = [
-    (r"cc[ -]?by[ -]?nc|non[- ]?commercial", "CC-BY-NC"),
-    (r"cc[ -]?by[ -]?sa|share ?alike", "CC-BY-SA"),
-    (r"(?:creative commons )?attribution 4\.0|cc[ -]?by[ -]?4", "CC-BY-4.0"),
-    (r"(?:creative commons )?attribution 3\.0|cc[ -]?by[ -]?3", "CC-BY-3.0"),
-    (r"creative commons attribution|cc[ -]?by\b", "CC-BY"),
-    (r"cc0|public domain", "CC0-1.0"),
-    (r"odbl|open database", "ODbL-1.0"),
-    (r"all rights reserved|proprietary", "closed"),
+# Whole licence titles of a portal's register and the ids they stand for.
+TITLES = {
+    "other (open)": "other-open",
+    "other (not open)": "other-closed",
+    "other (public domain)": "PDM",
+    "other (attribution)": "other-at",
+    "other (non-commercial)": "other-nc",
+    "open data commons attribution license": "ODC-BY-1.0",
+    "open data commons open database license (odbl)": "ODBL-1.0",
+    "open data commons public domain dedication and license (pddl)": "PDDL-1.0",
+    "license not specified": "",
+    "licence not specified": "",
+    "notspecified": "",
+}
+# Wordings inside a title and the ids they stand for, first match wins; None keeps the title as it is.
+WORDINGS = [
+    (r"\bnot open\b|\bclosed\b", None),
+    (r"\bodbl\b|odc-odbl|open database licen[cs]e", "ODBL-1.0"),
+    (r"\bodc-by\b|open data commons attribution", "ODC-BY-1.0"),
+    (r"\bpddl\b", "PDDL-1.0"),
+    (r"zero|^(?:cc0|cc-zero|cc0-1\.0)$", "CC0-1.0"),
+    (r"public domain|^pdm$", "PDM"),
 ]
+# What a Creative Commons title is known by, the terms its id lists, the versions with an Australian port.
+COMMONS = r"creative commons|\bcc\b|^cc-"
+TERMS = [(r"non[- ]?commercial|\bnc\b", "-NC"), (r"no[ -]?deriv|\bnd\b", "-ND"), (r"share[ -]?alike|\bsa\b", "-SA")]
+AUSTRALIAN, PORTED = r"australia|-au$| au", ["2.5", "3.0"]
+# Ids, besides those of the CC-BY family, that let anyone publish again with changes.
+OPEN_IDS = ["CC0-1.0", "PDM", "PDDL-1.0", "ODC-BY-1.0", "ODBL-1.0", "other-open", "other-at"]
 # Format aliases.
-FORMATS = {"XLSX": "EXCEL", "XLS": "EXCEL", "GEO JSON": "GEOJSON", "ESRI SHAPEFILE": "SHP", "SHAPEFILE": "SHP", "TEXT/CSV": "CSV"}
-# Wordings of how often something is updated, and updates in a year.
-CADENCES = [(r"never|ended|ceased|archiv", 0.0), (r"real[- ]?time|continuous|live", 8760.0), (r"hour", 8760.0), (r"fortnight", 26.0), (r"dai|every day|each day", 365.0), (r"week", 52.0), (r"quarter", 4.0), (r"half|six month|biannual", 2.0), (r"month", 12.0), (r"annual|year", 1.0)]
+FORMATS = {
+    "EXCEL": "XLSX", "MS EXCEL": "XLSX", "EXCEL (.XLSX)": "XLSX", "XLSM": "XLSX", "ESRI SHAPEFILE": "SHP", "SHAPEFILE": "SHP", "SHZ": "SHP", "GEO JSON": "GEOJSON",
+    "ESRI REST": "API", "REST": "API", "ARCGIS REST": "API", "ARCGIS_REST": "API", "WFS": "API", "ESRI FILE GEODATABASE": "FGDB", "ESRI_SHP": "SHP",
+}
+# Wordings that say a table has ended, of the month and year it goes until, and of versions in a year, first match wins.
+ENDED = r"^(historical, )?(closed|no longer updated|not updated)\b|\bno new readings\b"
+UNTIL = r"\buntil (?:([a-z]+) )?(\d{4})\b"
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+RATES = [
+    (r"\bchecked weekly\b", 52.0),
+    (r"every \d+ minutes|\bhourly\b|\bcontinual\b|\blive\b|\bdaily\b", 365.0),
+    (r"\bweekly\b", 52.0),
+    (r"\bfortnightly\b", 26.0),
+    (r"\bmonthly\b|\bthrough the year\b", 12.0),
+    (r"\bquarterly\b|several times a year", 4.0),
+    (r"twice a year|half-yearly", 2.0),
+    (r"\byearly\b|\bannually\b|\ba year\b|school year|one or two years", 1.0),
+    (r"\bcensus\b", 0.2),
+    (r"\bclosed\b|\bhistorical\b|\bno longer\b|\bnot updated\b", 0.0),
+]
 
 
 def first_match(c: Column, table: list[tuple[str, object]]) -> Column:
     made = None
     for pattern, value in table:
-        made = F.when(c.rlike(pattern), F.lit(value)) if made is None else made.when(c.rlike(pattern), F.lit(value))
+        value = value if isinstance(value, Column) else F.lit(value)
+        made = F.when(c.rlike(pattern), value) if made is None else made.when(c.rlike(pattern), value)
     return made
 
 
 def licence_id(c: Column) -> Column:
-    return first_match(F.lower(c), LICENCES)
+    """A licence's id from its title; the title itself where nothing tells an id; empty where none is stated."""
+    title = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    low = F.lower(title)
+    version = F.regexp_extract(low, r"(\d\.\d)", 1)
+    terms = [F.when(low.rlike(pattern), F.lit(term)).otherwise(F.lit("")) for pattern, term in TERMS]
+    port = F.when(low.rlike(AUSTRALIAN) & version.isin(PORTED), F.lit("-AU")).otherwise(F.lit(""))
+    commons = F.concat(F.lit("CC-BY"), *terms, F.when(version != "", F.concat(F.lit("-"), version)).otherwise(F.lit("")), port)
+    whole = F.create_map(*[F.lit(x) for kv in TITLES.items() for x in kv])
+    worded = first_match(low, [(p, F.trim(c) if v is None else v) for p, v in WORDINGS] + [(COMMONS, commons)])
+    return F.when(low == "", F.lit("")).otherwise(F.coalesce(whole[low], worded, F.trim(c)))
 
 
 def licence_open(c: Column) -> Column:
-    """Open, not open, or NULL where it is unknown."""
-    return F.when(c.isNull(), None).when(c.isin("closed", "CC-BY-NC"), False).otherwise(True)
+    """Whether a licence id lets anyone publish again with changes; NULL where no licence is stated."""
+    family = c.startswith("CC-BY")
+    return F.when(F.coalesce(c, F.lit("")) == "", None).otherwise(c.isin(OPEN_IDS) | (family & ~c.contains("-NC") & ~c.contains("-ND")))
 
 
 def formats(c: Column) -> Column:
-    """Format names of a wording: split, upper case, aliases, once each, sorted."""
-    names = F.filter(F.transform(F.split(F.upper(c), r"[,;]|/(?!CSV)"), lambda x: F.trim(x)), lambda x: x != "")
+    """Format names of a wording: split, upper case, no dots before them, aliases, once each, sorted."""
+    bare = F.transform(F.split(F.upper(c), "[,/;]"), lambda x: F.regexp_replace(F.trim(x), r"^\.+", ""))
     alias = F.create_map(*[F.lit(x) for kv in FORMATS.items() for x in kv])
-    return F.array_sort(F.array_distinct(F.transform(names, lambda x: F.coalesce(alias[x], x))))
+    return F.array_sort(F.array_distinct(F.transform(F.filter(bare, lambda x: x != ""), lambda x: F.coalesce(alias[x], x))))
+
+
+def unescaped(c: Column) -> Column:
+    """Text with its character references (named or numbered, ended by ;) decoded, each once; unknown ones stay."""
+    named = F.create_map(*[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (f"&{name};", chr(code))])
+    seen = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"), F.lit(0)))
+    ampersand = lambda x: F.lower(x).isin("&amp;", "&#38;", "&#x26;")
+    # Ampersands last, so that what they bring together is not decoded again.
+    order = F.concat(F.filter(seen, lambda x: ~ampersand(x)), F.filter(seen, ampersand))
+
+    def decoded(x: Column) -> Column:
+        hexadecimal = F.regexp_extract(x, r"^&#[xX]([0-9a-fA-F]+);$", 1)
+        code = F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10).cast("int")).otherwise(F.try_to_number(F.regexp_extract(x, r"^&#([0-9]+);$", 1), F.lit("9999999")).cast("int"))
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        return F.coalesce(named[x], F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")), x)
+
+    return F.aggregate(order, c, lambda text, x: F.replace(text, x, decoded(x)))
 
 
 def summary(c: Column, most: int = 280) -> Column:
-    """Mark-up as one line of text, cut at a word with an ellipsis."""
-    line = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", " "), r"[*_`#>\[\]]+", ""), r"\s+", " "))
-    return F.when(F.length(line) <= most, line).otherwise(F.concat(F.regexp_replace(F.substring(line, 1, most), r"\s+\S*$", ""), F.lit("…")))
+    """Mark-up and Markdown as one line of text, links by their words, cut after a word with an ellipsis."""
+    text = unescaped(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", " "))
+    text = F.regexp_replace(F.regexp_replace(text, r"\[([^\]]*)\]\([^)]*\)", "$1"), "[*_#`>|]+", " ")
+    line = F.trim(F.regexp_replace(text, r"[\s\p{Z}]+", " "))
+    short = F.regexp_replace(F.regexp_replace(F.substring(line, 1, most), " [^ ]*$", ""), "[,;:.]+$", "")
+    return F.when(F.length(line) <= most, line).otherwise(F.concat(short, F.lit("…")))
 
 
 def record_key(*parts: Column) -> Column:
@@ -67,8 +135,15 @@ def title_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
 
 
-def per_year(c: Column) -> Column:
-    return first_match(F.lower(c), CADENCES)
+def per_year(c: Column, today: Column | None = None) -> Column:
+    """Versions a year that a wording names: 0 where it says that they have ended (or goes until a month before today's), NULL where it names no rate."""
+    text = F.lower(F.trim(c))
+    today = F.current_date() if today is None else today
+    year = F.regexp_extract(text, UNTIL, 2)
+    named = F.array_position(F.lit(MONTHS), F.substring(F.regexp_extract(text, UNTIL, 1), 1, 3)).cast("int")
+    month = F.when(named > 0, named).otherwise(12)
+    over = (year != "") & (F.try_to_number(year, F.lit("9999")).cast("int") * 12 + month < F.year(today) * 12 + F.month(today))
+    return F.when(text.rlike(ENDED) | F.coalesce(over, F.lit(False)), F.lit(0.0)).otherwise(first_match(text, RATES))
 
 
 def locate(c: Column) -> Column:
@@ -149,19 +224,33 @@ def resolve_publishers(records: DataFrame, curated: DataFrame) -> DataFrame:
     return orgs.join(curated.select("org", F.col("publisher").alias("_p")), "org", "left").select("org", F.coalesce("_p", own).alias("publisher"), F.when(F.col("_p").isNotNull(), "curated").otherwise("name").alias("how"))
 
 
-def related(records: DataFrame, k: int = 3, most: int = 50) -> DataFrame:
-    """id, other, shared: the k records of other publishers that share most subject words.
+# Words that name a place, a time or the shape of a table, which say nothing of its subject.
+COMMON = """a an and as at by data dataset each for from in into its of on or per the to with every
+all latest year years yearly month monthly daily weekly quarter quarterly annual since onwards
+australia australian national state states territory nsw new south wales qld queensland vic
+victoria victorian sa south wa western tas tasmania tasmanian act capital nt northern
+government council councils area areas region regions number numbers list register
+records table""".split()
+
+
+def subject_words(c: Column) -> Column:
+    """The words of a title that tell its subject: of three or more letters, without a last s, not COMMON, once each."""
+    words = F.transform(F.regexp_extract_all(F.lower(c), F.lit("[a-z][a-z']+"), F.lit(0)), lambda w: F.regexp_replace(w, "s$", ""))
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(COMMON)))
+
+
+def related(records: DataFrame, k: int = 12) -> DataFrame:
+    """id, other, shared: the k records that share most subject words with a record, a topic too, but neither publisher nor collection.
 
-    records: id, org, words. A word that more than `most` records have tells little and would pair them all; such words count
-    only for pairs that a rarer word has brought together.
+    records: id, org, collection (may be null), topics, words. Records meet on topic and word; shared words are summed by pair
+    before they are dealt by pair, and every pair that shares a word counts.
     """
-    words = records.select("id", "org", F.explode(F.array_distinct("words")).alias("word"))
-    often = words.groupBy("word").agg(F.count("*").alias("_n"))
-    rare = words.join(often.where(F.col("_n") <= most).select("word"), "word")
-    other = rare.select("word", F.col("id").alias("other"), F.col("org").alias("_org"))
-    pairs = rare.join(other, "word").where((F.col("org") != F.col("_org")) & (F.col("id") != F.col("other"))).select("id", "other").distinct()
-    sets = records.select("id", F.array_distinct("words").alias("_w"))
-    scored = pairs.join(sets, "id").join(sets.select(F.col("id").alias("other"), F.col("_w").alias("_v")), "other").select("id", "other", F.size(F.array_intersect("_w", "_v")).alias("shared"))
+    each = records.select("id", "org", "collection", F.explode(F.array_distinct("topics")).alias("topic"), F.array_distinct("words").alias("words")).withColumn("word", F.explode("words")).drop("words")
+    other = each.select("topic", "word", F.col("id").alias("other"), F.col("org").alias("_org"), F.col("collection").alias("_collection"))
+    apart = (F.col("org") != F.col("_org")) & (F.col("id") != F.col("other")) & ~F.coalesce(F.col("collection") == F.col("_collection"), F.lit(False))
+    # A pair with several topics in common meets once under each: the word counts once.
+    shared = each.join(other, ["topic", "word"]).where(apart).groupBy("id", "other", "topic").agg(F.count("*").alias("shared"))
+    scored = shared.groupBy("id", "other").agg(F.max("shared").alias("shared"))
     return scored.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.desc("shared"), "other"))).where(F.col("r") <= k).drop("r")
 
 
@@ -236,17 +325,18 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def ranked_search(docs: DataFrame, query: str, fields: dict[str, float], limit: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """id, score: BM25 with a weight for each field over rows in which all query words (12 at most) occur.
+def ranked_search(docs: DataFrame, query: str, fields: dict[str, float], limit: int = 20, k1: float = 1.2, b: float = 0.75, first: str | None = None) -> DataFrame:
+    """id, score: BM25 with a weight for each field over rows in which all query words (12 at most) occur; rows where `first` holds come first.
 
     Term counts are taken inside each row; only totals of a word (rows, lengths) are aggregated, so nothing but the top is shuffled.
+    Filters (`catalogue_filter`) come before: totals are those of the rows given.
     """
     words = list(dict.fromkeys(w for w in query.lower().split() if w))[:12]
-    rows = docs.select("id", *[tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"_{f}") for f in fields])
+    rows = docs.select("id", (F.col(first) if first else F.lit(True)).alias("_first"), *[tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"_{f}") for f in fields])
     count = lambda f, w: F.size(F.filter(f"_{f}", lambda x: x == w))
     tf = {w: sum((weight * count(f, w) for f, weight in fields.items()), F.lit(0.0)) for w in words}
     length = sum((weight * F.size(f"_{f}") for f, weight in fields.items()), F.lit(0.0))
-    rows = rows.select("id", length.alias("_len"), *[tf[w].alias(f"_t{i}") for i, w in enumerate(words)])
+    rows = rows.select("id", "_first", length.alias("_len"), *[tf[w].alias(f"_t{i}") for i, w in enumerate(words)])
     stats = rows.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_t{i}") > 0).alias(f"_df{i}") for i in range(len(words))])
     joined = rows.crossJoin(F.broadcast(stats))  # one row
     score, every = F.lit(0.0), F.lit(True)
@@ -255,7 +345,7 @@ def ranked_search(docs: DataFrame, query: str, fields: dict[str, float], limit:
         idf = F.log(1 + (F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
         score = score + idf * t * (k1 + 1) / (t + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))
         every = every & (t > 0)
-    return joined.where(every).select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+    return joined.where(every).select("_first", "id", score.alias("score")).orderBy(F.desc("_first"), F.desc("score"), "id").limit(limit).drop("_first")
 
 
 def scan_search(docs: DataFrame, query: str, columns: list[str]) -> DataFrame:
@@ -277,7 +367,7 @@ def record_states(records: DataFrame, entries: DataFrame) -> DataFrame:
     open_ = licence_open(licence)
     state = (
         F.when(F.col("live"), "served").when(F.col("live").isNotNull(), "chosen").when(open_ == F.lit(False), "closed: licence")
-        .when(~F.col("has_files"), "closed: no files").when(licence.isNull(), "closed: licence unknown").otherwise("votable")
+        .when(~F.col("has_files"), "closed: no files").when(licence == "", "closed: licence unknown").otherwise("votable")
     )
     return records.join(entries, "id", "left").select("id", state.alias("state"))
 
