@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemark.functions.lineage import checkpointed
+from tidemark.operators.versions import row_hash
 
 
-def running_total(df: DataFrame, value: str, order: list[str]) -> DataFrame:
+def running_total(df: DataFrame, value: str, order: list) -> DataFrame:
     """Adds _s, the sum of `value` over all rows up to each one in an order that tells rows apart, and _p, the row's part of it.
 
     Rows are dealt into ranges of the order and kept there; a range starts from the sums of those before it, one row a range.
@@ -49,8 +50,7 @@ def missing_pins(fetches: DataFrame) -> DataFrame:
 
 def content_digest(df: DataFrame, position: str) -> DataFrame:
     """rows and digests of the rows with their places: equal only for equal tables in equal order."""
-    h = F.xxhash64(*[x for c in sorted(df.columns) for x in (F.col(c).isNull(), F.col(c))])
-    return df.select(h.alias("h")).agg(F.count("*").alias("rows"), F.bit_xor("h").alias("digest_xor"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("digest_sum"))
+    return df.select(row_hash(df.columns).alias("h")).agg(F.count("*").alias("rows"), F.bit_xor("h").alias("digest_xor"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("digest_sum"))
 
 
 def content_equal(a: dict[str, DataFrame], b: dict[str, DataFrame], position: str) -> DataFrame:

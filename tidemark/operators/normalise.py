@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 TYPES = {"string": "string", "integer": "bigint", "number": "double", "boolean": "boolean", "date": "date", "datetime": "timestamp_ntz"}
+#: White space of any kind: what is trimmed from both ends of a cell.
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 THOUSANDS = r"^-?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?$"
 
 
@@ -44,7 +46,7 @@ class SchemaError(ValueError):
 
 def blank_to_null(c: Column) -> Column:
     """Trimmed of all white space; empty cells are NULL."""
-    return F.nullif(F.regexp_replace(c.cast("string"), r"^[\s  -​　﻿]+|[\s  -​　﻿]+$", ""), F.lit(""))
+    return F.nullif(F.trim(c.cast("string"), F.lit(BLANKS)), F.lit(""))
 
 
 def null_markers(c: Column, tokens: tuple[str, ...]) -> Column:
@@ -119,10 +121,13 @@ def markers(cells: dict[str, Column], tokens: tuple[str, ...]) -> Column:
 def normalise(raw: DataFrame, entry: Entry, version: str | None = None) -> DataFrame:
     """Typed rows with suppressed; cells that do not fit become NULL here and are listed by `misfits`."""
     rows, _ = allowlist(raw, entry, version)
-    cells = {f.name: null_markers(blank_to_null(F.col(f.name)), f.nulls) for f in entry.fields}
+    # Each cell is read once, into a struct that the value and its marks are taken from.
+    read = F.struct(*[null_markers(blank_to_null(F.col(f.name)), f.nulls).alias(f.name) for f in entry.fields])
+    rows = rows.select(*[c for c in rows.columns if c.startswith("_")], read.alias("_cells"))
+    cells = {f.name: F.col("_cells")[f.name] for f in entry.fields}
     numeric = {f.name for f in entry.fields if f.type in ("integer", "number")}
     value = lambda f: convert(f, null_markers(cells[f.name], entry.suppression if f.name in numeric else ()))
-    return rows.select(*[c for c in rows.columns if c.startswith("_")], *[value(f).alias(f.name) for f in entry.fields], suppressed(entry, cells).alias("suppressed"))
+    return rows.select(*[c for c in rows.columns if c.startswith("_") and c != "_cells"], *[value(f).alias(f.name) for f in entry.fields], suppressed(entry, cells).alias("suppressed"))
 
 
 def misfits(raw: DataFrame, entry: Entry, examples: int = 5) -> DataFrame:
@@ -239,6 +244,7 @@ def zero_pad(df: DataFrame, column: str, reference: DataFrame, code: str) -> Dat
     return df.crossJoin(F.broadcast(width)).withColumn(column, padded).drop("_low", "_high")  # one row
 
 
+# Names of months and weekdays.
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
 

@@ -168,6 +168,10 @@ def spread_sample(df: DataFrame, n: int, spread: str | None, position: str = "_p
     return df.withColumn("turn", turn).where(F.col("turn") <= n).orderBy("turn", position).limit(n)
 
 
+def profile_order(sort: list[str], key: list[str], position: str = "_pos") -> list[Column]:
+    return [F.col(c).asc_nulls_last() for c in dict.fromkeys([*sort, *key, position])]
+
+
 def profile_sort(df: DataFrame, sort: list[str], key: list[str], position: str = "_pos") -> DataFrame:
     """A total order: the declared sort, the key, the position, NULLs last."""
-    return df.orderBy(*[F.col(c).asc_nulls_last() for c in dict.fromkeys([*sort, *key, position])])
+    return df.orderBy(*profile_order(sort, key, position))

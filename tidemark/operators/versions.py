@@ -22,15 +22,20 @@ def row_hash(columns: list[str]) -> Column:
     return F.xxhash64(*[x for c in sorted(columns) for x in (F.col(c).isNull(), F.col(c))])
 
 
+def row_key(columns: list[str]) -> Column:
+    """128 bits that stand for a row's values where rows are taken as equal by them: two digests, the second begun from another value."""
+    return F.struct(row_hash(columns).alias("one"), F.xxhash64(F.lit(1), *[x for c in sorted(columns) for x in (F.col(c).isNull(), F.col(c))]).alias("two"))
+
+
 def conflicts(df: DataFrame, key: list[str]) -> DataFrame:
     """Keys of more than one distinct row: key, rows, versions."""
     rest = [c for c in df.columns if c not in key] or key
-    return df.withColumn("_h", row_hash(rest)).groupBy(*key).agg(F.count("*").alias("rows"), F.count_distinct("_h").alias("versions")).where("versions > 1")
+    return df.withColumn("_h", row_key(rest)).groupBy(*key).agg(F.count("*").alias("rows"), F.count_distinct("_h").alias("versions")).where("versions > 1")
 
 
 def repeats(df: DataFrame, key: list[str]) -> DataFrame:
     """repeated rows, conflicting keys: what reading a table by its key finds."""
-    by_key = df.withColumn("_h", row_hash([c for c in df.columns if c not in key] or key)).groupBy(*key, "_h").agg(F.count("*").alias("n"))
+    by_key = df.withColumn("_h", row_key([c for c in df.columns if c not in key] or key)).groupBy(*key, "_h").agg(F.count("*").alias("n"))
     per_key = by_key.groupBy(*key).agg(F.sum(F.col("n") - 1).alias("extra"), F.count("*").alias("kinds"))
     return per_key.agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("repeated"), F.count_if(F.col("kinds") > 1).alias("conflicting"))
 
@@ -120,7 +125,7 @@ def finished(label: Column, grain: str, window: int, day: str) -> Column:
 
 def touched_periods(a: DataFrame, b: DataFrame, day: str, grain: str, volatile: tuple[str, ...] = ()) -> DataFrame:
     """Periods in which the rows of two fetches differ."""
-    state = lambda df: df.select(period(F.col(day), grain).alias("period"), row_hash([c for c in df.columns if c not in volatile]).alias("_h"))
+    state = lambda df: df.select(period(F.col(day), grain).alias("period"), row_key([c for c in df.columns if c not in volatile]).alias("_h"))
     return multiset_difference(state(a), state(b)).select("period").distinct()
 
 
@@ -213,8 +218,8 @@ def advance(history: DataFrame, snapshot: DataFrame, day: str, last: str | None)
     back, or is new, begins a row. Columns that either side lacks are NULL there; states are compared on shared columns.
     """
     fields = [c for c in snapshot.columns if c in history.columns]
-    seen = snapshot.select("*", row_hash(fields).alias("_h")).dropDuplicates(["_h"])
-    old = history.withColumn("_h", row_hash(fields)).withColumn("_current", F.col("last_seen") == F.lit(last).cast("date"))
+    seen = snapshot.select("*", row_key(fields).alias("_h")).dropDuplicates(["_h"])
+    old = history.withColumn("_h", row_key(fields)).withColumn("_current", F.col("last_seen") == F.lit(last).cast("date"))
     now = seen.select("_h", F.lit(True).alias("_here"))
     carried = old.join(now, "_h", "left").withColumn("last_seen", F.when(F.col("_current") & F.col("_here"), F.lit(day).cast("date")).otherwise(F.col("last_seen")))
     current = old.where("_current").select("_h").distinct()

@@ -14,6 +14,7 @@ P, SQL = {}, {}
 P["g02_int32_fit"] = lambda s, d: n.int_ranges(table(s, d, "events").withColumn("big", F.col("event_id") * 3_000_000_000), ["event_id", "user_id", "big"])
 SQL["g02_int32_fit"] = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", min({e}) AS low, max({e}) AS high, max({e}) < 2147483648 AS fits FROM events" for c, e in (("event_id", "event_id"), ("user_id", "user_id"), ("big", "event_id * 3000000000")))
 P["g03_content_equal"] = lambda s, d: k.content_equal({"orders": orders(s, d), "part": table(s, d, "part").withColumn("_pos", F.col("p_partkey"))}, {"orders": orders(s, d).repartition(3), "part": table(s, d, "part").withColumn("_pos", F.col("p_partkey") + 1)}, "_pos")
+SQL["g03_content_equal"] = "SELECT 'orders' AS \"table\", NOT EXISTS (SELECT * FROM orders EXCEPT ALL SELECT * FROM orders) AS same UNION ALL SELECT 'part', NOT EXISTS (SELECT *, p_partkey AS _pos FROM part EXCEPT ALL SELECT *, p_partkey + 1 AS _pos FROM part)"
 
 
 def _items(spark, d):

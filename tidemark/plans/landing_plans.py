@@ -30,8 +30,18 @@ def _short(spark, d):
 
 P["s02_pad_short_rows"] = _short
 SQL["s02_pad_short_rows"] = "SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END AS status FROM orders"
-P["s04_decode_text"] = lambda s, d: table(s, d, "documents").select("doc_id", files.decoded(F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode(F.regexp_replace("text", "[^\\x00-\\xFF]", "?"), "ISO-8859-1"))).alias("text"))
-SQL["s04_decode_text"] = r"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE regexp_replace(text, '[^\x{00}-\x{FF}]', '?', 'g') END AS text FROM documents"
+
+
+def _bytes(spark, d):
+    """Documents as UTF-8, as Windows-1252 with its own quotes and euro sign, and as Latin-1 with a byte that Windows-1252 leaves undefined."""
+    k_, one = F.col("doc_id") % 3, F.regexp_replace("text", "[^\\x00-\\x7F\\xA0-\\xFF]", "?")
+    windows = F.encode(F.concat(F.lit("\x93"), one, F.lit("\x94 \x80")), "ISO-8859-1")
+    return table(spark, d, "documents").select("doc_id", F.when(k_ == 0, F.encode("text", "UTF-8")).when(k_ == 1, windows).otherwise(F.encode(F.concat(F.lit("é\x81"), one), "ISO-8859-1")).alias("content"))
+
+
+P["s04_decode_text"] = lambda s, d: _bytes(s, d).select("doc_id", files.decoded(F.col("content")).alias("text"))
+_ONE = r"regexp_replace(text, '[^\x{00}-\x{7F}\x{A0}-\x{FF}]', '?', 'g')"
+SQL["s04_decode_text"] = f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '“' || {_ONE} || '” €' ELSE 'é' || chr(129) || {_ONE} END AS text FROM documents"
 
 
 def _geo(spark, d):
@@ -85,7 +95,16 @@ P["s16_member_tables"] = _members
 SQL["s16_member_tables"] = 'SELECT o_orderstatus AS "table", o_orderkey FROM orders'
 P["p32_provenance_columns"] = lambda s, d: sinks.with_provenance(orders(s, d).select("o_orderkey", "o_orderstatus"), {"dataset": "orders", "version": "2024-01-01"})
 SQL["p32_provenance_columns"] = "SELECT o_orderkey, o_orderstatus FROM orders"
-P["k06_sink_geo_parquet"] = lambda s, d: table(s, d, "customer").select("c_custkey", F.lower(F.hex(sinks.wkb_point(F.when(F.col("c_custkey") % 2 == 0, F.lit(1.0)), F.lit(2.0)))).alias("wkb"))
+
+
+def _geo_parquet(spark, d):
+    path = folder(spark, "geo-parquet")
+    points = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.lit(1.0)).alias("lon"), F.lit(2.0).alias("lat"))
+    sinks.write_geo_parquet(points, path, "lon", "lat")
+    return spark.read.parquet(path).select("c_custkey", F.lower(F.hex("geometry")).alias("wkb"))
+
+
+P["k06_sink_geo_parquet"] = _geo_parquet
 SQL["k06_sink_geo_parquet"] = "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '0101000000000000000000f03f0000000000000040' END AS wkb FROM customer"
 P["k13_answer_formats"] = lambda s, d: sinks.flat(sinks.with_provenance(q.aggregate_query(orders(s, d), ["o_orderstatus"], ["count"]), {"version": "2024-01-01"})).select(F.to_csv(F.struct("o_orderstatus", "count")).alias("csv"), F.to_json(F.struct("*")).alias("ndjson"))
 SQL["k13_answer_formats"] = "SELECT o_orderstatus || ',' || n AS csv, '{\"o_orderstatus\":\"' || o_orderstatus || '\",\"count\":' || n || '}' AS ndjson FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1)"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import query as q
+from tidemark.operators.checks import running_total
 from tidemark.plans.common import lineitem, orders, table
 
 LI = "(SELECT *, l_orderkey * 10 + l_linenumber AS _pos FROM lineitem)"
@@ -54,8 +55,8 @@ P["q05_matched_count"] = lambda s, d: q.matched(lineitem(s, d), [("l_quantity",
 SQL["q05_matched_count"] = "SELECT count(*) AS total FROM lineitem WHERE l_quantity > 25"
 P["q06_first_matches"] = lambda s, d: q.rows_query(lineitem(s, d), [("l_linestatus", "eq.F"), ("l_quantity", "eq.7")], KEYS, "", 20)
 SQL["q06_first_matches"] = f"SELECT {', '.join(KEYS)} FROM {LI} WHERE l_linestatus = 'F' AND l_quantity = 7 ORDER BY _pos LIMIT 21"
-P["q07_profile_sort"] = lambda s, d: q.profile_sort(_nulled(s, d), ["status"], ["o_orderkey"]).select("o_orderkey", "status").limit(1000)
-SQL["q07_profile_sort"] = f"SELECT o_orderkey, status FROM (SELECT *, {_NULLED} AS status FROM orders) ORDER BY status NULLS LAST, o_orderkey NULLS LAST LIMIT 1000"
+P["q07_profile_sort"] = lambda s, d: running_total(_nulled(s, d).withColumn("one", F.lit(1)), "one", q.profile_order(["status"], ["o_orderkey"])).select("o_orderkey", "status", F.col("_s").alias("place"))
+SQL["q07_profile_sort"] = f"SELECT o_orderkey, status, row_number() OVER (ORDER BY status NULLS LAST, o_orderkey NULLS LAST) AS place FROM (SELECT *, {_NULLED} AS status FROM orders)"
 P["q08_spread_sample"] = lambda s, d: q.spread_sample(orders(s, d), 40, "o_orderpriority").select("o_orderkey", "o_orderpriority", "turn")
 SQL["q08_spread_sample"] = "SELECT o_orderkey, o_orderpriority, turn FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS turn FROM orders) ORDER BY turn, o_orderkey LIMIT 40"
 P["w01_row_number"] = lambda s, d: lineitem(s, d).withColumn("n", F.expr("row_number() over (partition by l_suppkey order by l_shipdate, _pos)")).select("_pos", "n")

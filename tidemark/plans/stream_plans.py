@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.lineage import shared_dir
 from tidemark.plans.common import table
 from tidemark.plans.version_plans import DAYS, HISTORY, _label, _snapshot
 from tidemark.streaming import feeds
@@ -16,8 +16,8 @@ P, SQL = {}, {}
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new name in the shared folder, or in a temporary one where the master is local and the session names none."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def streamed(spark, d, name) -> DataFrame:
@@ -25,17 +25,21 @@ def streamed(spark, d, name) -> DataFrame:
     return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
 
 
-def _final(spark, stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """What a stream's last batch wrote; of an appending one, what all did."""
+def _final(spark, stream: DataFrame, mode: str = "complete", key: str | None = None) -> DataFrame:
+    """What a stream's last batch wrote; of an appending one, what all did; of an updating one, the last row of each key."""
     out = folder(spark, "stream")
     kept = {}
 
     def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/{number}")
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/{number}")
         kept["last"] = f"{out}/{number}"
 
     feeds.drain(stream, each, folder(spark, "progress"), mode)
-    return spark.read.parquet(f"{out}/*" if mode == "append" else kept["last"])
+    rows = spark.read.parquet(f"{out}/*" if mode != "complete" else kept["last"])
+    if mode == "update":
+        rest = [c for c in rows.columns if c not in (key, "_batch")]
+        rows = rows.groupBy(key).agg(F.max_by(F.struct(*rest), "_batch").alias("_x")).select(key, "_x.*")
+    return rows.drop("_batch")
 
 
 def _feed(spark, d):
@@ -49,7 +53,7 @@ def _feed(spark, d):
 
 P["t01_feed_stream"] = _feed
 SQL["t01_feed_stream"] = f"SELECT * FROM {HISTORY}"
-P["t02_state_per_key"] = lambda s, d: _final(s, feeds.state_by_key(streamed(s, d, "events").select("user_id", "event_type", "event_id"), "user_id", "event_type", "event_id"), "update")
+P["t02_state_per_key"] = lambda s, d: _final(s, feeds.state_by_key(streamed(s, d, "events").select("user_id", "event_type", "event_id"), "user_id", "event_type", "event_id"), "update", "user_id")
 SQL["t02_state_per_key"] = """WITH e AS (SELECT *, event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS starts FROM events),
  g AS (SELECT *, sum(starts::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM e), r AS (SELECT user_id, run, any_value(event_type) AS status, min(event_id) AS first_seen, max(event_id) AS last_seen FROM g GROUP BY 1, 2)
  SELECT user_id, status, first_seen, last_seen FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY run DESC) AS k FROM r) WHERE k = 1"""

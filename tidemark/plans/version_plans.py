@@ -81,7 +81,23 @@ SQL["v02_open_finished"] = f"SELECT o_orderkey, p <> 'undated' AND p < '1995-Q4'
 P["v03_split_parts"] = lambda s, d: v.part_digests(_dated(s, d), "day", "month").select("period", "rows")
 SQL["v03_split_parts"] = f"SELECT {_label('month')} AS period, count(*) AS rows FROM {D} GROUP BY 1"
 P["v04_reuse_parts"] = lambda s, d: v.reusable_parts(v.part_digests(version_b(s, d).where("o_orderkey % 11 = 0 or year(day) < 1996"), "day", "year"), v.part_digests(version_a(s, d).where("year(day) < 1996"), "day", "year"))
-P["v05_rows_digest"] = lambda s, d: v.digest(version_a(s, d))
+_BOTH = f"SELECT {_label('year')} AS period, * FROM"
+SQL["v04_reuse_parts"] = f"""WITH n AS ({_BOTH} {B} WHERE o_orderkey % 11 = 0 OR year(day) < 1996), b AS ({_BOTH} {A} WHERE year(day) < 1996), x AS ((SELECT * FROM n EXCEPT ALL SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT ALL SELECT * FROM n))
+ SELECT DISTINCT period, period IN (SELECT period FROM x) AS write FROM n"""
+
+
+def _digests(spark, d):
+    """A version's digest against those of its rows dealt anew, with some rows twice, and without some, by status."""
+    a, k, by = version_a(spark, d), F.col("o_orderkey"), ["o_orderstatus"]
+    other = {"dealt": a.repartition(5), "twice": a.unionByName(a.where(k % 1009 == 0)), "without": a.where(k % 1013 != 0)}
+    made = v.digest(a, by).select("o_orderstatus", "rows", F.struct("rows", "digest_sum", "digest_xor").alias("_a"))
+    for name, rows in other.items():
+        made = made.join(v.digest(rows, by).select("o_orderstatus", F.struct("rows", "digest_sum", "digest_xor").alias(f"_{name}")), "o_orderstatus", "left")
+    return made.select("o_orderstatus", "rows", *[F.col("_a").eqNullSafe(F.col(f"_{name}")).alias(name) for name in other])
+
+
+P["v05_rows_digest"] = _digests
+SQL["v05_rows_digest"] = f"SELECT o_orderstatus, count(*) AS rows, true AS dealt, count(*) FILTER (o_orderkey % 1009 = 0) = 0 AS twice, count(*) FILTER (o_orderkey % 1013 = 0) = 0 AS without FROM {A} GROUP BY 1"
 P["v06_touched_periods"] = lambda s, d: v.touched_periods(version_a(s, d), version_a(s, d).where("o_orderkey % 1009 <> 0"), "day", "month")
 SQL["v06_touched_periods"] = f"SELECT DISTINCT {_label('month')} AS period FROM {A} WHERE o_orderkey % 1009 = 0"
 P["v07_change_log"] = lambda s, d: v.change_log(version_a(s, d), version_b(s, d), KEY, ("day",)).withColumn("churn", F.round("churn", 6))

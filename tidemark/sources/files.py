@@ -24,17 +24,28 @@ def delimited(spark: SparkSession, path: str, separator: str = ",", header_row:
 
 
 def short_rows(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
-    """rows, short: how many rows a file has, and how many have fewer cells than its header."""
-    lines = spark.read.text(path)
-    width = len(lines.first()["value"].split(separator))
-    return lines.agg((F.count("*") - 1).alias("rows"), F.count_if(F.size(F.split("value", separator)) < width).alias("short"))
+    """rows, short: how many rows a delimited file has, and how many have fewer cells than its header; separators in quotes count for none."""
+    sep = "\t" if separator == "tab" else separator
+    read = spark.read.option("sep", sep).option("escape", '"').option("multiLine", True).option("header", True)
+    width = len(read.csv(path).columns)
+    # A short row is one that a schema of its own cells cannot fill: the reader marks it as corrupt.
+    schema = ", ".join(f"c{k} string" for k in range(width)) + ", _bad string"
+    rows = read.schema(schema).option("enforceSchema", True).option("columnNameOfCorruptRecord", "_bad").option("mode", "PERMISSIVE").csv(path)
+    missing = F.col("_bad").isNotNull() & F.col(f"c{width - 1}").isNull()
+    return rows.agg(F.count("*").alias("rows"), F.count_if(missing).alias("short"))
+
+
+#: Bytes 80 to 9F that Windows-1252 defines, and what they stand for: from the codec itself.
+WINDOWS = {b: c for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))}
 
 
 def decoded(content: Column, preferred: str | None = None) -> Column:
-    """Bytes as text: the preferred charset, UTF-8 without its mark, else Latin-1."""
+    """Bytes as text: the preferred charset, UTF-8 without its mark, Windows-1252, else (where it leaves a byte undefined) Latin-1."""
     utf8 = F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8"))
     first = [F.decode(content, preferred)] if preferred and preferred.upper() != "UTF-8" else []
-    return F.regexp_replace(F.coalesce(*first, utf8, F.decode(content, "ISO-8859-1")), "^﻿", "")
+    latin = F.decode(content, "ISO-8859-1")
+    windows = F.when(~latin.rlike("[" + "".join(rf"\x{b:02x}" for b in range(0x80, 0xA0) if b not in WINDOWS) + "]"), F.translate(latin, "".join(map(chr, WINDOWS)), "".join(WINDOWS.values())))
+    return F.regexp_replace(F.coalesce(*first, utf8, windows, latin), "^﻿", "")
 
 
 def geojson_points(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,14 +24,18 @@ def feed_stream(spark: SparkSession, manifests: str, state: str, checkpoint: str
     """Each arriving manifest (JSON: day, path of a whole snapshot) advances the feed's history and writes its change log.
 
     A row's absence shows only against a whole snapshot, so a batch takes manifests day by day. History and log are written under
-    state/history/<batch>-<day> and state/log/<day>, so a batch that is run again writes what it wrote before.
+    state/history/<day> and state/log/<day>, so a batch that is run again writes what it wrote before. Days must arrive in order: a
+    snapshot of a day before the newest one read would not enter the later histories, and is refused.
     """
     arriving = spark.readStream.schema("day string, path string").option("maxFilesPerTrigger", 1).json(manifests)
 
     def each(batch: DataFrame, number: int) -> None:
         for row in batch.orderBy("day").collect():  # manifests: one file's few lines
             snapshot = spark.read.parquet(row.path)
-            done = sorted(r.day for r in _days(spark, state) if r.day < row.day)
+            days = sorted(r.day for r in _days(spark, state))
+            if days and days[-1] > row.day:
+                raise ValueError(f"snapshot of {row.day} arrived after that of {days[-1]}")
+            done = [x for x in days if x < row.day]
             if not done:
                 history = snapshot.distinct().withColumns({"first_seen": F.lit(row.day).cast("date"), "last_seen": F.lit(row.day).cast("date")})
                 log = change_log(None, snapshot, key)
@@ -69,8 +74,12 @@ def state_by_key(stream: DataFrame, key: str, status: str, order: str) -> DataFr
         held = state.getOption
         now, first, last = held if held else (None, None, None)
         for part in rows:
-            for s, at in part.sort_values(order)[[status, order]].itertuples(index=False):
-                now, first, last = (s, at, at) if s != now else (now, first, at)
+            part = part.sort_values(order)
+            kinds, times = part[status], part[order]
+            start = np.flatnonzero(kinds.ne(kinds.shift()))[-1]  # where the last run of one status begins
+            goes_on = held is not None and start == 0 and kinds.iloc[-1] == now
+            now, first, last = kinds.iloc[-1], first if goes_on else times.iloc[start], times.iloc[-1]
+            held = now
         state.update((now, first, last))
         yield pd.DataFrame({key: [k[0]], "status": [now], "first_seen": [first], "last_seen": [last]})
 
