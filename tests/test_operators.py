@@ -72,6 +72,13 @@ def test_schema_diff_and_added_field(spark):
     assert rows(versions.diff(a, a.withColumn("w", F.lit(1)), ["id"])) == [(1, "changed")]
 
 
+def test_example_answers_of_an_empty_table(spark):
+    from tidemark.operators import checks
+
+    df = spark.createDataFrame([], "n int")
+    assert rows(checks.example_answers(df, {"good": ([], ["count"], []), "broken": (["nowhere"], ["count"], [])})) == [("broken", False, 0), ("good", True, 0)]
+
+
 def test_digest_sees_repeats_not_order(spark):
     a = spark.createDataFrame([(1,), (2,), (2,)], "n int")
     d = lambda df: rows(versions.digest(df))
@@ -125,6 +132,9 @@ def test_landed_files(spark, tmp_path):
     assert rows(files.json_records(spark, str(tmp_path / "r.json"), "data.list")) == [("1", "1 | 2"), ("2", "")]
     (tmp_path / "x.xml").write_text("<all><rec><n>1</n><t>a</t><t>b</t></rec><rec><n>2</n><t>c</t></rec></all>")
     assert rows(files.xml_records(spark, str(tmp_path / "x.xml"), "rec")) == [("1", "a | b"), ("2", "c")]
+    (tmp_path / "y.xml").write_text('<all><rec id="7"><n u="m">1</n><t k="p">a</t><t k="q">b</t></rec><rec id="8"><n u="s">2</n><t k="r">c</t></rec></all>')
+    got = files.xml_records(spark, str(tmp_path / "y.xml"), "rec").select("`@id`", "n", "`n@u`", "t", "`t@k`")
+    assert rows(got) == [("7", "1", "m", "a | b", "p | q"), ("8", "2", "s", "c", "r")]
 
 
 def test_decoding(spark):

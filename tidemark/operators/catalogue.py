@@ -98,7 +98,7 @@ def formats(c: Column) -> Column:
 
 def unescaped(c: Column) -> Column:
     """Text with its character references (named or numbered, ended by ;) decoded, each once; unknown ones stay."""
-    named = F.create_map(*[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (f"&{name};", chr(code))])
+    named = F.create_map(*[F.lit(x) for name, code in sorted({**name2codepoint, "apos": 39}.items()) for x in (f"&{name};", chr(code))])
     seen = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"), F.lit(0)))
     ampersand = lambda x: F.lower(x).isin("&amp;", "&#38;", "&#x26;")
     # Ampersands last, so that what they bring together is not decoded again.
@@ -208,12 +208,16 @@ def tally(votes: DataFrame, aliases: DataFrame | None = None, dropped: DataFrame
     return counted.groupBy("key").agg(F.sum("votes").alias("votes"))
 
 
+def top_formats(records: DataFrame, k: int = 3) -> DataFrame:
+    """org, format, n, rank: the k commonest formats of each publisher, ties by name."""
+    each = records.select("org", F.explode("formats").alias("format")).groupBy("org", "format").agg(F.count("*").alias("n"))
+    return each.withColumn("rank", F.row_number().over(W.partitionBy("org").orderBy(F.desc("n"), "format"))).where(F.col("rank") <= k)
+
+
 def publisher_stats(records: DataFrame) -> DataFrame:
     """org, records, open, formats: counts by publisher and its three commonest formats."""
     base = records.groupBy("org").agg(F.count("*").alias("records"), F.count_if(F.col("open")).alias("open"))
-    each = records.select("org", F.explode("formats").alias("format")).groupBy("org", "format").agg(F.count("*").alias("n"))
-    top = each.withColumn("r", F.row_number().over(W.partitionBy("org").orderBy(F.desc("n"), "format"))).where("r <= 3")
-    named = top.groupBy("org").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "format"))), lambda x: x["format"]), ";").alias("formats"))
+    named = top_formats(records).groupBy("org").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "format"))), lambda x: x["format"]), ";").alias("formats"))
     return base.join(named, "org", "left")
 
 

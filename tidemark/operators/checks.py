@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidemark.functions.lineage import checkpointed
+from tidemark.operators.query import QueryError, aggregate_query, where
 from tidemark.operators.versions import row_hash
 
 
@@ -62,6 +64,19 @@ def content_equal(a: dict[str, DataFrame], b: dict[str, DataFrame], position: st
     return side(a, "_a").join(side(b, "_b"), "table", "full_outer").select("table", F.col("_a").eqNullSafe(F.col("_b")).alias("same"))
 
 
+def example_answers(rows: DataFrame, examples: dict[str, tuple[list[str], list[str], list[tuple[str, str]]]]) -> DataFrame:
+    """example, valid, rows: whether an example query (groups, metrics, conditions) fits the table's fields, and how many rows it covers."""
+    made = []
+    for name, (groups, metrics, conditions) in examples.items():
+        try:
+            aggregate_query(rows, groups, metrics, conditions).schema
+            covered, valid = where(rows, conditions), True
+        except (QueryError, AnalysisException):
+            covered, valid = rows.where(F.lit(False)), False
+        made.append(covered.agg(F.lit(name).alias("example"), F.lit(valid).alias("valid"), F.count("*").alias("rows")))
+    return reduce(lambda a, b: a.unionByName(b), made)
+
+
 def file_sums(spark, path: str) -> DataFrame:
     """file, sha256 of every file under a path."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.sha2("content", 256).alias("sha256"))

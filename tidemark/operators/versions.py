@@ -97,6 +97,31 @@ def digest(df: DataFrame, by: list[str] | None = None, volatile: tuple[str, ...]
     return df.withColumn("_h", h).groupBy(*(by or [])).agg(F.count("*").alias("rows"), F.sum(F.col("_h").cast("decimal(38,0)")).cast("string").alias("digest_sum"), F.bit_xor("_h").alias("digest_xor"))
 
 
+def same_content(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """by, same: whether a group of one version has the rows, each as often, that it has in the other."""
+    mark = lambda df, name: digest(df, by).select(*by, F.struct("rows", "digest_sum", "digest_xor").alias(name))
+    return mark(a, "_a").join(mark(b, "_b"), by, "left").select(*by, F.col("_a").eqNullSafe(F.col("_b")).alias("same"))
+
+
+def changes_list(versions: DataFrame, key: list[str], number: str) -> DataFrame:
+    """number, added, removed, kept: each version's keys against those of the version before, in one join over all of them.
+
+    versions: number (from 0, without gaps), key; the first version is compared with none and has no row.
+    """
+    last = versions.agg(F.max(number).alias("_last"))
+    now = versions.select(*key, number, F.lit(True).alias("_here")).where(F.col(number) > 0)
+    before = versions.crossJoin(F.broadcast(last)).where(F.col(number) < F.col("_last"))  # one row
+    before = before.select(*key, (F.col(number) + 1).alias(number), F.lit(True).alias("_before"))
+    both = now.join(before, [*key, number], "full_outer")
+    here, there = F.col("_here").isNotNull(), F.col("_before").isNotNull()
+    return both.groupBy(number).agg(F.count_if(~there).alias("added"), F.count_if(~here).alias("removed"), F.count_if(here & there).alias("kept"))
+
+
+def whole_or_parts(sizes: DataFrame, most_rows: int, most_bytes: int) -> DataFrame:
+    """dataset, whole: whether a dataset (dataset, rows, bytes) is small enough to be published as one file."""
+    return sizes.select("dataset", ((F.col("rows") <= most_rows) & (F.col("bytes") <= most_bytes)).alias("whole"))
+
+
 # Periods.
 
 

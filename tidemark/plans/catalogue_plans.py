@@ -72,7 +72,7 @@ P["p26_format_list"] = lambda s, d: records(s, d).select("id", F.array_join(c.fo
 SQL["p26_format_list"] = f"SELECT id, array_to_string({_formats_sql('format')}, ';') AS formats FROM {R}"
 P["p27_plain_summary"] = lambda s, d: table(s, d, "pages").select("page_id", c.summary(F.col("html")).alias("summary"))
 # The references that the pages hold; an ampersand comes last.
-_NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "&apos;", "nbsp": " ", "copy": "©", "reg": "®", "hellip": "…", "mdash": "—", "ndash": "–", "laquo": "«", "raquo": "»", "bull": "•", "middot": "·", "#39": "''", "#34": '"', "#169": "©", "#160": " ", "#x27": "''", "amp": "&"}
+_NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "''", "nbsp": " ", "copy": "©", "reg": "®", "hellip": "…", "mdash": "—", "ndash": "–", "laquo": "«", "raquo": "»", "bull": "•", "middot": "·", "#39": "''", "#34": '"', "#169": "©", "#160": " ", "#x27": "''", "amp": "&"}
 _PLAIN = "regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g')"
 for _k, _v in _NAMED.items():
     _PLAIN = f"replace({_PLAIN}, '&{_k};', '{_v}')"
@@ -184,9 +184,10 @@ P["j18_related_by_words"] = lambda s, d: c.related(_subjects(s, d))
 SQL["j18_related_by_words"] = f"""WITH s AS (SELECT item_id AS id, item_id % 7 AS org, CASE WHEN item_id % 5 > 0 THEN item_id % 3 END AS collection, item_id % 2 AS one, item_id % 3 AS two, {_SUBJECT} AS w FROM benchmark),
  z AS (SELECT a.id, b.id AS other, len(list_intersect(a.w, b.w)) AS shared FROM s a JOIN s b ON a.org <> b.org AND a.id <> b.id AND (a.one = b.one OR a.two = b.two) AND coalesce(a.collection <> b.collection, true))
  SELECT id, other, shared FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY shared DESC, other) AS r FROM z WHERE shared > 0) WHERE r <= 12"""
-P["w04_rank_top"] = lambda s, d: c.publisher_stats(records(s, d).select("org", c.licence_open(c.licence_id(F.col("licence"))).alias("open"), c.formats(F.col("format")).alias("formats")))
-P["a20_publisher_stats"] = P["w04_rank_top"]
-SQL["a20_publisher_stats"] = SQL["w04_rank_top"] = f"""WITH r AS (SELECT org, {_open_sql('l')} AS open, {_formats_sql('format')} AS f FROM (SELECT *, {_licence_sql('licence')} AS l FROM {R})), e AS (SELECT org, format, count(*) AS n FROM (SELECT org, unnest(f) AS format FROM r) WHERE format <> '' GROUP BY 1, 2),
+P["w04_rank_top"] = lambda s, d: c.top_formats(records(s, d).select("org", c.formats(F.col("format")).alias("formats")), 5)
+SQL["w04_rank_top"] = f"SELECT org, format, n, rank FROM (SELECT org, format, count(*) AS n, row_number() OVER (PARTITION BY org ORDER BY count(*) DESC, format) AS rank FROM (SELECT org, unnest({_formats_sql('format')}) AS format FROM {R}) GROUP BY 1, 2) WHERE rank <= 5"
+P["a20_publisher_stats"] = lambda s, d: c.publisher_stats(records(s, d).select("org", c.licence_open(c.licence_id(F.col("licence"))).alias("open"), c.formats(F.col("format")).alias("formats")))
+SQL["a20_publisher_stats"] = f"""WITH r AS (SELECT org, {_open_sql('l')} AS open, {_formats_sql('format')} AS f FROM (SELECT *, {_licence_sql('licence')} AS l FROM {R})), e AS (SELECT org, format, count(*) AS n FROM (SELECT org, unnest(f) AS format FROM r) WHERE format <> '' GROUP BY 1, 2),
  t AS (SELECT *, row_number() OVER (PARTITION BY org ORDER BY n DESC, format) AS k FROM e) SELECT b.org, b.records, b.open, x.formats FROM (SELECT org, count(*) AS records, count(*) FILTER (open) AS open FROM r GROUP BY 1) b LEFT JOIN (SELECT org, string_agg(format, ';' ORDER BY k) AS formats FROM t WHERE k <= 3 GROUP BY 1) x USING (org)"""
 P["a22_usage_counts"] = lambda s, d: c.usage_counts(table(s, d, "events").select(F.when(F.col("event_id") % 50 == 0, F.lit('{"event": "cut')).otherwise(F.to_json(F.struct(F.col("event_type").alias("event"), "user_id"))).alias("line")))
 SQL["a22_usage_counts"] = "SELECT CASE WHEN event_id % 50 = 0 THEN 'unreadable' ELSE event_type END AS class, count(*) AS n FROM events GROUP BY 1"

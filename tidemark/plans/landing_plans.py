@@ -87,8 +87,7 @@ def _members(spark, d):
     """Files of several tables in one folder, told apart by a pattern on their path."""
     path = folder(spark, "members")
     orders(spark, d).select("o_orderkey", F.col("o_orderstatus").alias("t")).write.partitionBy("t").json(path)
-    got = spark.read.schema("o_orderkey bigint").option("recursiveFileLookup", True).json(path)
-    return got.select(F.regexp_extract(F.col("_metadata.file_path"), r"/t=([^/]+)/", 1).alias("table"), "o_orderkey")
+    return files.member_tables(spark, path, r"/t=([^/]+)/", "o_orderkey bigint")
 
 
 P["s16_member_tables"] = _members
@@ -123,43 +122,21 @@ SQL["g11_checksum_list"] = "SELECT CAST(n_nationkey AS VARCHAR) AS file, sha256(
 P["g06_version_immutability"] = lambda s, d: k.changed_files(_stored(s, d, "!"), _stored(s, d, ""))
 SQL["g06_version_immutability"] = "SELECT CAST(n_nationkey AS VARCHAR) AS file, 'changed' AS state FROM nation WHERE n_nationkey % 5 = 0"
 EXAMPLES = {"by status": (["o_orderstatus"], ["count"], []), "large": ([], ["max.o_totalprice"], [("o_totalprice", "gt.1000")]), "none": ([], ["count"], [("o_orderkey", "lt.0")]), "broken": (["nowhere"], ["count"], [])}
-
-
-def _examples(spark, d):
-    """Each example query: whether its fields exist, and how many rows of the table it covers."""
-    from functools import reduce
-
-    made = []
-    for name, (groups, metrics, conditions) in EXAMPLES.items():
-        rows = orders(spark, d)
-        try:
-            q.aggregate_query(rows, groups, metrics, conditions).schema
-            made.append(q.where(rows, conditions).agg(F.lit(name).alias("example"), F.lit(True).alias("valid"), F.count("*").alias("rows")))
-        except Exception:
-            made.append(rows.limit(1).select(F.lit(name).alias("example"), F.lit(False).alias("valid"), F.lit(0).cast("bigint").alias("rows")))
-    return reduce(lambda a, b: a.unionByName(b), made)
-
-
-P["g09_example_answers"] = _examples
+P["g09_example_answers"] = lambda s, d: k.example_answers(orders(s, d), EXAMPLES)
 SQL["g09_example_answers"] = "SELECT 'by status' AS example, true AS valid, count(*) AS rows FROM orders UNION ALL SELECT 'large', true, count(*) FROM orders WHERE o_totalprice > 1000 UNION ALL SELECT 'none', true, 0 UNION ALL SELECT 'broken', false, 0"
-P["v14_same_content"] = lambda s, d: version_a(s, d).groupBy("o_orderstatus").agg(F.count("*").alias("n")).join(v.digest(version_a(s, d), ["o_orderstatus"]).select("o_orderstatus", F.struct("rows", "digest_sum", "digest_xor").alias("x")), "o_orderstatus").join(v.digest(version_a(s, d).where("o_orderkey % 3000 <> 1 or o_orderstatus = 'O'"), ["o_orderstatus"]).select("o_orderstatus", F.struct("rows", "digest_sum", "digest_xor").alias("y")), "o_orderstatus", "left").select("o_orderstatus", F.col("x").eqNullSafe(F.col("y")).alias("same"))
+P["v14_same_content"] = lambda s, d: v.same_content(version_a(s, d), version_a(s, d).where("o_orderkey % 3000 <> 1 or o_orderstatus = 'O'"), ["o_orderstatus"])
 SQL["v14_same_content"] = f"SELECT o_orderstatus, count(*) FILTER (o_orderkey % 3000 = 1 AND o_orderstatus <> 'O') = 0 AS same FROM {A} GROUP BY 1"
 
 
 def _chain(spark, d):
-    """Three versions, each compared with the one before, in one join over all of them by key and number."""
-    k_ = F.col("o_orderkey")
-    every = orders(spark, d).select("o_orderkey", "o_orderstatus", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("n")).where((k_ % 7) != F.col("n") % 7)
-    now = every.select("o_orderkey", "n", F.lit(1).alias("here"))
-    last = every.where("n < 2").select("o_orderkey", (F.col("n") + 1).alias("n"), F.lit(1).alias("before"))
-    both = now.where("n > 0").join(last, ["o_orderkey", "n"], "full_outer")
-    count = lambda x: F.count_if(x)
-    return both.groupBy("n").agg(count(F.col("before").isNull()).alias("added"), count(F.col("here").isNull()).alias("removed"), count(F.col("here").isNotNull() & F.col("before").isNotNull()).alias("kept"))
+    """Three versions, each compared with the one before."""
+    every = orders(spark, d).select("o_orderkey", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("n")).where((F.col("o_orderkey") % 7) != F.col("n") % 7)
+    return v.changes_list(every, ["o_orderkey"], "n")
 
 
 P["v16_changes_list"] = _chain
 SQL["v16_changes_list"] = "SELECT n::INT AS n, count(*) FILTER (o_orderkey % 7 = n - 1) AS added, count(*) FILTER (o_orderkey % 7 = n) AS removed, count(*) FILTER (o_orderkey % 7 <> n AND o_orderkey % 7 <> n - 1) AS kept FROM orders, (VALUES (1), (2)) t(n) GROUP BY 1"
-P["v18_whole_or_parts"] = lambda s, d: table(s, d, "documents").groupBy(F.col("source").alias("dataset")).agg(F.count("*").alias("rows"), F.sum("n_chars").alias("bytes")).select("dataset", ((F.col("rows") <= 45) & (F.col("bytes") <= 150_000)).alias("whole"))
+P["v18_whole_or_parts"] = lambda s, d: v.whole_or_parts(table(s, d, "documents").groupBy(F.col("source").alias("dataset")).agg(F.count("*").alias("rows"), F.sum("n_chars").alias("bytes")), 45, 150_000)
 SQL["v18_whole_or_parts"] = "SELECT source AS dataset, count(*) <= 45 AND sum(n_chars) <= 150000 AS whole FROM documents GROUP BY 1"
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 
@@ -60,9 +62,31 @@ def geojson_points(spark: SparkSession, path: str) -> DataFrame:
 
 
 def xml_records(spark: SparkSession, path: str, record: str) -> DataFrame:
-    """One row for each named element, its children as columns, repeated ones joined by ' | '."""
-    rows = spark.read.format("xml").option("rowTag", record).option("inferSchema", False).load(path)
-    return rows.select(*[F.array_join(F.col(f"`{n}`"), " | ").alias(n) if k.startswith("array<string") else F.col(f"`{n}`") for n, k in rows.dtypes])
+    """One row for each named element: its attributes as @name, its children as columns, their attributes as child@name; repeated ones joined by ' | '."""
+    rows = spark.read.format("xml").option("rowTag", record).option("inferSchema", False).option("attributePrefix", "@").load(path)
+
+    def cells(f: StructField) -> Iterator[Column]:
+        many = isinstance(f.dataType, ArrayType)
+        kind, c = f.dataType.elementType if many else f.dataType, F.col(f"`{f.name}`")
+        joined = lambda x: F.array_join(x, " | ") if many else x
+        if not isinstance(kind, StructType):
+            yield joined(c).alias(f.name)
+            return
+        for g in kind.fields:
+            name = f.name if g.name == "_VALUE" else f.name + g.name if g.name.startswith("@") else f"{f.name}.{g.name}"
+            yield joined(_part(c, g.name, many).cast("array<string>" if many else "string")).alias(name)
+
+    return rows.select(*[x for f in rows.schema.fields for x in cells(f)])
+
+
+def _part(c: Column, name: str, many: bool) -> Column:
+    return F.transform(c, lambda x: x[name]) if many else c[name]
+
+
+def member_tables(spark: SparkSession, path: str, pattern: str, schema: str, form: str = "json") -> DataFrame:
+    """The files of several tables under one folder as one table of a shared schema, with the table that `pattern`'s group finds in each file's path."""
+    got = spark.read.schema(schema).option("recursiveFileLookup", True).format(form).load(path)
+    return got.select(F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).alias("table"), "*")
 
 
 def json_records(spark: SparkSession, path: str, record: str) -> DataFrame:
