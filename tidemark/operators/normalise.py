@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -258,9 +259,38 @@ def natural_rank(c: Column) -> Column:
     return F.when(whole(MONTHS), place(MONTHS)).when(whole(WEEKDAYS), place(WEEKDAYS)).otherwise(band)
 
 
-def preview(c: Column) -> Column:
-    """Tags stripped, white space as one space, cut at 120 characters."""
-    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"\s+", " ")), 1, 120)
+def preview(c: Column, most: int = 120) -> Column:
+    """Tags stripped, white space as one space; a text over `most` characters is cut and ends in an ellipsis."""
+    bare = F.when(F.contains(c, F.lit("<")) & F.contains(c, F.lit(">")), F.regexp_replace(c, "<[^>]+>", " ")).otherwise(c)
+    line = F.trim(F.regexp_replace(bare, r"[\s\p{Z}]+", " "))
+    return F.when(F.length(line) <= most, line).otherwise(F.concat(F.rtrim(F.substring(line, 1, most - 1)), F.lit("…")))
+
+
+def preview_number(c: Column) -> Column:
+    """A number in at most 12 significant digits, without zeros at its end; in powers of ten from 1e12 on and under 1e-4."""
+    exact = F.format_string("%.11e", c.cast("double"))
+    plain = F.regexp_replace(F.regexp_replace(exact.try_cast("decimal(38,17)").cast("string"), "0+$", ""), r"\.$", "")
+    near = (F.abs(c) < 1e12) & (F.abs(c) >= 1e-4)
+    return F.when(c.isNull(), None).when(c == 0, F.lit("0")).when(near, plain).otherwise(F.regexp_replace(exact, r"\.?0*e", "e"))
+
+
+#: Names of columns that hold years.
+YEAR = r"(^|_)year($|_)"
+
+
+def display(df: DataFrame, labels: dict[str, str], fits: tuple[str, ...] = ()) -> DataFrame:
+    """Columns as a viewer shows them: years as text, booleans as Yes and No, 64-bit integers of `fits` (see `int_ranges`) as 32 bits, under their labels."""
+    made = []
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind == "boolean":
+            c = F.when(c, "Yes").when(~c, "No")
+        elif kind in ("int", "bigint", "smallint") and re.search(YEAR, name):
+            c = c.cast("string")
+        elif kind == "bigint" and name in fits:
+            c = c.cast("int")
+        made.append(c.alias(labels.get(name, name)))
+    return df.select(*made)
 
 
 def drop_blank_rows(df: DataFrame) -> DataFrame:
@@ -271,8 +301,6 @@ def drop_blank_rows(df: DataFrame) -> DataFrame:
 
 def dated_unpivot(df: DataFrame, ids: list[str]) -> DataFrame:
     """Columns headed YYYY-MM-DD as rows: ids, date, cell."""
-    import re
-
     dated = [c for c in df.columns if re.fullmatch(r"\d{4}-\d{2}-\d{2}", c)]
     return df.unpivot(ids, [F.col(f"`{c}`") for c in dated], "date", "cell").withColumn("date", F.to_date("date"))
 

@@ -90,10 +90,19 @@ SQL["p20_code_zero_pad"] = "SELECT n_name, lpad(CAST(n_nationkey AS VARCHAR), 2,
 _NATURAL = {"January": 1, "Dec": 12, "Tuesday": 2, "10-19 years": 10, "Under 5": 5, "other": None}
 P["p21_natural_order"] = lambda s, d: _worded(s, d, list(_NATURAL)).select("o_orderkey", n.natural_rank(F.col("wording")).cast("bigint").alias("rank"))
 SQL["p21_natural_order"] = f"SELECT o_orderkey, CASE o_orderkey % {len(_NATURAL)} {_sql_case(_NATURAL.values(), '{}')} END AS rank FROM orders"
-P["p22_display_cast"] = lambda s, d: orders(s, d).select("o_orderkey", F.year("o_orderdate").cast("string").alias("year"), F.when(F.col("o_totalprice") > 100000, "Yes").otherwise("No").alias("large"))
-SQL["p22_display_cast"] = "SELECT o_orderkey, CAST(year(o_orderdate) AS VARCHAR) AS year, CASE WHEN o_totalprice > 100000 THEN 'Yes' ELSE 'No' END AS large FROM orders"
-P["p23_preview_cell"] = lambda s, d: table(s, d, "pages").select("page_id", n.preview(F.col("html")).alias("preview"))
-SQL["p23_preview_cell"] = r"SELECT page_id, substring(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), 1, 120) AS preview FROM pages"
+
+
+def _shown(spark, d):
+    rows = orders(spark, d).select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("order_year"), F.when(F.col("o_orderkey") % 11 > 0, F.col("o_totalprice") > 100000).alias("large"), (F.col("o_orderkey") * 3_000_000_000).alias("big"))
+    fits = [r.column for r in n.int_ranges(rows, ["o_custkey", "big"]).where("fits").collect()]  # one row a column
+    return n.display(rows, {"order_year": "year", "large": "large order"}, tuple(fits)).select("*", F.typeof("big").alias("big_kind"))
+
+
+P["p22_display_cast"] = _shown
+SQL["p22_display_cast"] = "SELECT o_orderkey, o_custkey, CAST(year(o_orderdate) AS VARCHAR) AS year, CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_totalprice > 100000 THEN 'Yes' ELSE 'No' END AS \"large order\", o_orderkey * 3000000000 AS big, CASE WHEN (SELECT max(o_orderkey) * 3000000000 FROM orders) < 2147483648 THEN 'int' ELSE 'bigint' END AS big_kind FROM orders"
+_NUMBER = "page_id / 7.0e0 * power(10, page_id % 25 - 8)"
+P["p23_preview_cell"] = lambda s, d: table(s, d, "pages").select("page_id", n.preview(F.col("html")).alias("preview"), n.preview_number(F.expr(_NUMBER)).alias("number"))
+SQL["p23_preview_cell"] = rf"SELECT page_id, CASE WHEN length(t) <= 120 THEN t ELSE rtrim(substring(t, 1, 119)) || '…' END AS preview, printf('%.12g', {_NUMBER}) AS number FROM (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[\s\p{{Z}}]+', ' ', 'g')) AS t FROM pages)"
 P["s03_drop_blank_rows"] = lambda s, d: n.drop_blank_rows(messy(s, d).select("_pos", F.when(F.col("_pos") % 3 == 0, " ").otherwise(F.col("Flag")).alias("a"), F.when(F.col("_pos") % 2 == 0, "").otherwise(F.col("Flag")).alias("b")))
 SQL["s03_drop_blank_rows"] = f"SELECT * FROM (SELECT _pos, CASE WHEN _pos % 3 = 0 THEN ' ' ELSE \"Flag\" END AS a, CASE WHEN _pos % 2 = 0 THEN '' ELSE \"Flag\" END AS b FROM {M}) WHERE trim(a) <> '' OR trim(b) <> ''"
 P["s08_explode_list"] = lambda s, d: table(s, d, "documents").select("doc_id", F.explode(F.filter(F.split("lang", ""), lambda x: x != "")).alias("letter"))
