@@ -113,7 +113,7 @@ def test_points_holes_edges(spark):
 def test_cube_answers_are_base_answers(spark):
     r = random.Random(9)
     df = spark.createDataFrame([(r.choice(["a", "b", None]), r.choice(["x", "y"]), r.randint(0, 5)) for _ in range(400)], "k string, g string, n int")
-    sets = rollup.plan(df, ["k", "g"], ["n"], 100)
+    sets = rollup.plan(df, ["k", "g"], ["n"], 10_000)
     assert sets
     cube = rollup.cubes(df, sets, ["n"])
     for groups, conditions in ((["k"], []), (["g"], [("k", "neq.a")]), ([], [("g", "eq.x")]), (["k", "g"], [])):
@@ -121,6 +121,16 @@ def test_cube_answers_are_base_answers(spark):
         assert rows(rollup.answer(df, cube, sets, ["n"], groups, metrics, conditions).select(F.to_json(F.struct("*")))) == rows(query.aggregate_query(df, groups, metrics, conditions).select(F.to_json(F.struct("*"))))
 
 
+def test_cube_plan_by_bytes(spark):
+    df = spark.range(2000).selectExpr("id % 2 a", "id % 40 b", "id % 41 c", "id d", "1 e")
+    sets = rollup.plan(df, ["a", "b", "c", "d", "e"], ["d"], 1_000_000, [("c", "b")])
+    assert sets[0] == ("a", "b") or set(sets[0]) <= {"a", "b", "c"}
+    assert not any("d" in s or "e" in s or s == ("b", "c") for s in sets)  # as many values as rows, one value, too many groups
+    few = rollup.plan(df, ["a", "b", "c"], ["d"], 600)
+    groups = {("a",): 2, ("b",): 40, ("c",): 41, ("a", "b"): 40, ("a", "c"): 82, ("b", "c"): 1640}
+    assert few[0] == ("a",) and sum(groups[s] * (1.2 + 0.9 * len(s) + 6.0) for s in few) <= 650  # group counts are estimates
+
+
 def test_landed_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('Id,Name\n1,"a, ""b""\nc"\n2\n')
     assert rows(files.delimited(spark, str(tmp_path / "a.csv")).fillna("")) == [("1", 'a, "b"\nc'), ("2", "")]

@@ -24,42 +24,54 @@ def group_counts(df: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
     return df.agg(F.array(*made).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
-def candidates(fields: list[str], counts: dict[str, int], most: int) -> list[tuple[str, ...]]:
-    """Sets of one, two and three fields whose largest possible group count is within `most`."""
-    made = []
-    for size in (1, 2, 3):
-        for s in combinations(fields, size):
-            product = 1
-            for f in s:
-                product *= max(1, counts[f])
-            if product <= most:
-                made.append(s)
-    return made
-
-
-def plan(df: DataFrame, fields: list[str], metrics: list[str], cap: int, weights: tuple[int, ...] = (100, 10, 1)) -> list[tuple[str, ...]]:
-    """Field sets to keep, greedily by newly answered weight per estimated row while the cap in rows lasts.
-
-    A set answers itself and every set inside it; sets over half the table's rows are left out. What the driver sees are
-    the estimates of at most a few hundred sets.
+# Weights of a question that a register names, of one about one field and of one about two; the largest share of the
+# table's rows that a cube may have as groups; bytes of a cube for each group, and for each of its fields and metrics in it.
+NAMED, ONE, TWO = 100, 10, 1
+SHARE = 0.5
+# Of how many fields, those that readers count by most, two are put together.
+PAIRED = 24
+GROUP_BYTES, FIELD_BYTES, METRIC_BYTES = 1.2, 0.9, 6.0
+
+
+def questions(fields: list[str], named: list[tuple[str, ...]] = ()) -> dict[frozenset[str], int]:
+    """What readers may count by, and how much each is worth: the sets that a register names, every field, every two of the first PAIRED."""
+    worth = [(h, NAMED) for h in named] + [((f,), ONE) for f in fields] + [(two, TWO) for two in combinations(fields[:PAIRED], 2)]
+    total: dict[frozenset[str], int] = {}
+    for s, w in worth:
+        total[frozenset(s)] = total.get(frozenset(s), 0) + w
+    return total
+
+
+def plan(df: DataFrame, fields: list[str], metrics: list[str], cap: int, named: list[tuple[str, ...]] = (), batch: int = 64) -> list[tuple[str, ...]]:
+    """Field sets to keep as cubes: again and again the one that answers most open questions by worth for each byte it is estimated to take,
+    while it fits in what is left of `cap` bytes.
+
+    A set answers the questions inside it. Fields of one value, and sets with more groups than SHARE of the table's rows, are
+    left out. Group counts are estimated `batch` sets a pass; what the driver sees is one number for each set.
     """
     rows = df.count()
-    counts = {r.field: r.estimate for r in distinct_counts(df, fields).collect()}
-    sets = candidates(fields, counts, rows * 10)[:300]
-    size = {tuple(r.fields.split(",")): r.estimate for r in group_counts(df, sets).collect()} if sets else {}
-    left = {s: n for s, n in size.items() if n <= rows / 2}
-    weight = {s: weights[len(s) - 1] for s in left}
-    chosen: list[tuple[str, ...]] = []
-    answered: set[tuple[str, ...]] = set()
-    while left:
-        gain = {s: sum(weight[t] for t in weight if t not in answered and set(t) <= set(s)) / max(1, n) for s, n in left.items() if n <= cap}
-        best = max(sorted(gain), key=lambda s: gain[s], default=None)
-        if best is None or gain[best] <= 0:
-            break
-        chosen.append(best)
-        cap -= left.pop(best)
-        answered |= {t for t in weight if set(t) <= set(best)}
-    return chosen
+    values = {r.field: r.estimate for r in distinct_counts(df, fields).collect()}
+    asked = [f for f in fields if 1 < values[f] <= SHARE * rows]
+    named = [tuple(sorted(h)) for h in named if set(h) <= set(fields)]
+    first_asked = {f for h in named for f in h}
+    asked.sort(key=lambda f: (f not in first_asked, values[f], f))
+    still_open = questions(asked, named)
+    sets = sorted(tuple(sorted(q)) for q in still_open)
+    passes = [group_counts(df, sets[k : k + batch]).collect() for k in range(0, len(sets), batch)]
+    groups = {tuple(r.fields.split(",")): r.estimate for some in passes for r in some}
+    price = {s: n * (GROUP_BYTES + FIELD_BYTES * len(s) + METRIC_BYTES * sum(m not in s for m in metrics)) for s, n in groups.items() if n <= SHARE * rows}
+    kept: list[tuple[str, ...]] = []
+    while price:
+        value = {s: sum(w for q, w in still_open.items() if q <= set(s)) / max(1, cost) for s, cost in price.items()}
+        first = min(price, key=lambda s: (-value[s], s))
+        if not value[first]:
+            return kept
+        cost = price.pop(first)
+        if cost <= cap:
+            kept.append(first)
+            cap -= cost
+            still_open = {q: w for q, w in still_open.items() if not q <= set(first)}
+    return kept
 
 
 def cubes(df: DataFrame, sets: list[tuple[str, ...]], metrics: list[str], batch: int = 16) -> DataFrame:

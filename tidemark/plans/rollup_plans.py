@@ -28,7 +28,7 @@ P["a06_group_counts"] = lambda s, d: r.group_counts(_rows(s, d), [c for k in (1,
 def _planned(spark, d):
     """The chosen field sets, each with the groups it makes of the table."""
     rows = _rows(spark, d)
-    chosen = r.plan(rows, FIELDS, ["qty"], 200)
+    chosen = r.plan(rows, FIELDS, ["qty"], 300, [("l_linestatus", "l_returnflag")])
     return r.cubes(rows, chosen, ["qty"]).groupBy("cube").agg(F.count("*").alias("groups"))
 
 
