@@ -162,21 +162,28 @@ def catalogue_filter(df: DataFrame, publisher: str | None = None, topic: str | N
     return df.where(F.col("state").isin(*states)) if states else df
 
 
-def copies(records: DataFrame) -> DataFrame:
-    """id, original, how for records that copy another: by the id they name, else by a title that one original has, from its source.
+def copies(records: DataFrame, items: DataFrame | None = None, hosts: DataFrame | None = None) -> DataFrame:
+    """id, original, how for records that copy another: by the id they name, by the item map, by a title that one original has, or by their source's host.
 
-    records: id, title, org, copy_of. Titles that several originals share decide nothing.
+    records: id, title, org, copy_of, and source_host where hosts are given. items (id, item) maps copies to originals; hosts (host) lists the portals
+    that are read directly: a copy from one of them is a copy though its original is not told. Titles that several originals
+    share decide nothing; a copy that nothing tells has no original and no how.
     """
-    own = records.where("copy_of is null").select(F.col("id").alias("_id"), title_key(F.col("title")).alias("_t"), F.col("org").alias("_org"))
+    own = records.where("copy_of is null").select(F.col("id").alias("_id"), title_key(F.col("title")).alias("_t"))
     unique = own.groupBy("_t").agg(F.count("*").alias("_n"), F.min("_id").alias("by_title")).where("_n = 1 and _t <> ''").drop("_n")
-    claims = records.where("copy_of is not null").select("id", "copy_of", title_key(F.col("title")).alias("_t"))
-    made = claims.join(own.select(F.col("_id").alias("copy_of"), F.col("_id").alias("by_id")), "copy_of", "left").join(unique, "_t", "left")
-    return made.select("id", F.coalesce("by_id", "by_title").alias("original"), F.when(F.col("by_id").isNotNull(), "id").when(F.col("by_title").isNotNull(), "title").alias("how"))
+    host = F.col("source_host") if hosts is not None else F.lit(None).cast("string")
+    made = records.where("copy_of is not null").select("id", "copy_of", title_key(F.col("title")).alias("_t"), host.alias("host"))
+    known = lambda name, by: own.select(F.col("_id").alias(name), F.col("_id").alias(by))
+    made = made.join(known("copy_of", "by_id"), "copy_of", "left").join(unique, "_t", "left")
+    made = made.join(items.select("id", "item"), "id", "left").join(known("item", "by_item"), "item", "left") if items is not None else made.withColumn("by_item", F.lit(None).cast("string"))
+    made = made.join(hosts.select("host").distinct().withColumn("by_host", F.lit(True)), "host", "left") if hosts is not None else made.withColumn("by_host", F.lit(None).cast("boolean"))
+    how = F.when(F.col("by_id").isNotNull(), "id").when(F.col("by_item").isNotNull(), "item").when(F.col("by_title").isNotNull(), "title").when(F.col("by_host"), "host")
+    return made.select("id", F.coalesce("by_id", "by_item", "by_title").alias("original"), how.alias("how"))
 
 
 def unmatched_copies(records: DataFrame, found: DataFrame) -> DataFrame:
-    """Copies without an original go back to the records."""
-    lost = found.where("original is null").select("id")
+    """Copies that nothing tells go back to the records."""
+    lost = found.where("how is null").select("id")
     return records.where("copy_of is null").unionByName(records.join(lost, "id", "left_semi"))
 
 
@@ -382,7 +389,20 @@ LEVELS = [(r"\b(?:city|shire|town|council|municipality)\b", "local"), (r"\b(?:bu
 
 
 def suggest_publishers(orgs: DataFrame, placed: DataFrame) -> DataFrame:
-    """org, jurisdiction, level proposed by its name for organisations that are not placed yet."""
-    named = F.regexp_extract("org", r"\b(" + "|".join(JURISDICTIONS) + r")\b", 1)
+    """org, jurisdiction, level, merge, why proposed by its name for organisations that are not placed yet.
+
+    placed: org, jurisdiction. A body of the same name (letters alone) and jurisdiction is proposed for a merge, the first by
+    name; one of another jurisdiction is only named among the reasons. why lists the reasons; proposals are for review.
+    """
+    named = F.nullif(F.regexp_extract("org", r"\b(" + "|".join(JURISDICTIONS) + r")\b", 1), F.lit(""))
+    letters = lambda c: F.regexp_replace(F.lower(c), "[^a-z]", "")
     left = orgs.select("org").distinct().join(placed.select("org"), "org", "left_anti")
-    return left.select("org", F.nullif(named, F.lit("")).alias("jurisdiction"), first_match(F.lower("org"), LEVELS).alias("level"))
+    made = left.select("org", letters("org").alias("_name"), named.alias("jurisdiction"), first_match(F.lower("org"), LEVELS).alias("level"))
+    same = placed.groupBy(letters("org").alias("_name"), F.col("jurisdiction").alias("_j")).agg(F.min("org").alias("_org"))
+    one = same.groupBy("_name").agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("_j", F.lit("")), "_org"))).alias("_by"), F.min("_org").alias("_first"))  # a jurisdiction each
+    made = made.join(one, "_name", "left").withColumn("merge", F.try_element_at("_by", F.coalesce("jurisdiction", F.lit(""))))
+    why = F.array(
+        F.when(F.col("jurisdiction").isNotNull(), F.concat(F.lit("names "), "jurisdiction")), F.when(F.col("level").isNotNull(), F.concat(F.lit("a name of "), "level", F.lit(" bodies"))),
+        F.when(F.col("merge").isNotNull(), F.concat(F.lit("same body as "), "merge")).when(F.col("_first").isNotNull(), F.concat(F.lit("same name as "), "_first", F.lit(", not merged"))),
+    )
+    return made.select("org", "jurisdiction", "level", "merge", F.array_join(F.array_compact(why), "; ").alias("why"))

@@ -56,12 +56,12 @@ def records(spark, d):
     name = lambda x: F.concat_ws("-", "source", x.cast("string"))
     return table(spark, d, "documents").select(
         "doc_id", F.concat(F.lit("r"), k.cast("string")).alias("id"), title.alias("title"), F.col("source").alias("org"), F.upper("source").alias("org_title"), F.col("lang").alias("state"),
-        F.concat(_pick(WORDING, k), F.when(k % 3 == 0, "").when(k % 3 == 1, " ").otherwise(F.concat(F.lit(" ("), "source", F.lit(")")))).alias("licence"), _pick(FORMAT, k).alias("format"), F.when(k % 10 == 0, F.concat(F.lit("r"), (k - 1).cast("string"))).alias("copy_of"), name(k).alias("name"), F.array("lang", "source").alias("topics"),
+        F.concat(_pick(WORDING, k), F.when(k % 3 == 0, "").when(k % 3 == 1, " ").otherwise(F.concat(F.lit(" ("), "source", F.lit(")")))).alias("licence"), _pick(FORMAT, k).alias("format"), F.when(k % 20 == 10, F.concat(F.lit("gone"), k.cast("string"))).when(k % 10 == 0, F.concat(F.lit("r"), (k - 1).cast("string"))).alias("copy_of"), F.concat(F.lit("data."), "source", F.lit(".example")).alias("source_host"), name(k).alias("name"), F.array("lang", "source").alias("topics"),
     )
 
 
 R = f"""(SELECT doc_id, 'r' || doc_id AS id, split_part(text, chr(10), 1) AS title, source AS org, upper(source) AS org_title, lang AS state, {_case(WORDING, 'doc_id')} || {_AFTER} AS licence, {_case(FORMAT, 'doc_id')} AS format,
- CASE WHEN doc_id % 10 = 0 THEN 'r' || (doc_id - 1) END AS copy_of, source || '-' || doc_id AS name FROM documents)"""
+ CASE WHEN doc_id % 20 = 10 THEN 'gone' || doc_id WHEN doc_id % 10 = 0 THEN 'r' || (doc_id - 1) END AS copy_of, 'data.' || source || '.example' AS source_host, source || '-' || doc_id AS name FROM documents)"""
 _TKEY = "regexp_replace(lower(title), '[^a-z0-9]+', '', 'g')"
 
 P["p24_licence_id"] = lambda s, d: records(s, d).select("id", c.licence_id(F.col("licence")).alias("licence_id"))
@@ -107,11 +107,21 @@ SQL["p30_url_locate"] = r"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'data.e
 P["f10_catalogue_filter"] = lambda s, d: c.catalogue_filter(records(s, d), "rc1", "en", ("en", "de")).select("id")
 SQL["f10_catalogue_filter"] = f"SELECT id FROM {R} WHERE contains(lower(org_title), 'rc1') AND state = 'en'"
 COPIES = f"""(WITH r AS {R}, own AS (SELECT id, {_TKEY} AS t FROM r WHERE copy_of IS NULL), uniq AS (SELECT t, min(id) AS id FROM own WHERE t <> '' GROUP BY t HAVING count(*) = 1)
- SELECT k.id, coalesce(o.id, u.id) AS original, CASE WHEN o.id IS NOT NULL THEN 'id' WHEN u.id IS NOT NULL THEN 'title' END AS how FROM (SELECT *, {_TKEY} AS t FROM r WHERE copy_of IS NOT NULL) k LEFT JOIN own o ON o.id = k.copy_of LEFT JOIN uniq u ON u.t = k.t)"""
-P["j10_copy_match"] = lambda s, d: c.copies(records(s, d))
+ SELECT k.id, coalesce(o.id, i.id, u.id) AS original, CASE WHEN o.id IS NOT NULL THEN 'id' WHEN i.id IS NOT NULL THEN 'item' WHEN u.id IS NOT NULL THEN 'title' WHEN source_host IN ('data.src1.example', 'data.src2.example') THEN 'host' END AS how
+ FROM (SELECT *, {_TKEY} AS t FROM r WHERE copy_of IS NOT NULL) k LEFT JOIN own o ON o.id = k.copy_of LEFT JOIN own i ON doc_id % 3 = 0 AND i.id = 'r' || (doc_id - 2) LEFT JOIN uniq u ON u.t = k.t)"""
+
+
+def _copies(spark, d):
+    k = F.col("doc_id")
+    items = table(spark, d, "documents").where("doc_id % 3 = 0").select(F.concat(F.lit("r"), k.cast("string")).alias("id"), F.concat(F.lit("r"), (k - 2).cast("string")).alias("item"))
+    hosts = table(spark, d, "documents").where("source in ('src1', 'src2')").select(F.concat(F.lit("data."), "source", F.lit(".example")).alias("host"))
+    return c.copies(records(spark, d), items, hosts)
+
+
+P["j10_copy_match"] = _copies
 SQL["j10_copy_match"] = f"SELECT * FROM {COPIES}"
-P["j12_unmatched_copies"] = lambda s, d: c.unmatched_copies(records(s, d).select("id", "title", "org", "copy_of"), c.copies(records(s, d))).select("id")
-SQL["j12_unmatched_copies"] = f"SELECT id FROM {R} WHERE copy_of IS NULL OR id IN (SELECT id FROM {COPIES} WHERE original IS NULL)"
+P["j12_unmatched_copies"] = lambda s, d: c.unmatched_copies(records(s, d).select("id", "title", "org", "copy_of"), _copies(s, d)).select("id")
+SQL["j12_unmatched_copies"] = f"SELECT id FROM {R} WHERE copy_of IS NULL OR id IN (SELECT id FROM {COPIES} WHERE how IS NULL)"
 
 
 def _pages(spark, d):

@@ -156,8 +156,13 @@ def _suggested(spark, d):
     k_ = F.col("c_custkey")
     word = F.get(F.array(F.lit("Department of Health (NSW)"), F.lit("City of Perth Council"), F.lit("Bureau of Statistics"), F.lit("Shire of Ararat"), F.lit("Acme Pty Ltd")), (k_ % 5).cast("int"))
     orgs = table(spark, d, "customer").select(F.concat(word, F.lit(" "), k_.cast("string")).alias("org"))
-    return c.suggest_publishers(orgs, orgs.where("org like 'Acme%'"))
+    old = table(spark, d, "customer").where("c_custkey % 5 = 4 or c_custkey % 35 in (3, 10)").select(F.concat(word, F.lit(" "), k_.cast("string")).alias("org"), F.when(k_ % 35 == 10, "NSW").when(k_ % 35 == 3, "VIC").alias("jurisdiction"))
+    return c.suggest_publishers(orgs, old)
 
 
 P["j17_publisher_suggest"] = _suggested
-SQL["j17_publisher_suggest"] = "SELECT CASE c_custkey % 5 WHEN 0 THEN 'Department of Health (NSW) ' WHEN 1 THEN 'City of Perth Council ' WHEN 2 THEN 'Bureau of Statistics ' ELSE 'Shire of Ararat ' END || c_custkey AS org, CASE c_custkey % 5 WHEN 0 THEN 'NSW' END AS jurisdiction, CASE c_custkey % 5 WHEN 0 THEN 'state' WHEN 1 THEN 'local' WHEN 2 THEN 'national' ELSE 'local' END AS level FROM customer WHERE c_custkey % 5 <> 4"
+_NAME = "CASE c_custkey % 5 WHEN 0 THEN 'Department of Health (NSW) ' WHEN 1 THEN 'City of Perth Council ' WHEN 2 THEN 'Bureau of Statistics ' ELSE 'Shire of Ararat ' END || c_custkey"
+SQL["j17_publisher_suggest"] = f"""WITH n AS (SELECT min({_NAME}) AS health FROM customer WHERE c_custkey % 35 = 10), v AS (SELECT min({_NAME}) AS shire FROM customer WHERE c_custkey % 35 = 3)
+ SELECT {_NAME} AS org, CASE c_custkey % 5 WHEN 0 THEN 'NSW' END AS jurisdiction, CASE c_custkey % 5 WHEN 0 THEN 'state' WHEN 1 THEN 'local' WHEN 2 THEN 'national' ELSE 'local' END AS level, CASE c_custkey % 5 WHEN 0 THEN health END AS merge,
+ CASE c_custkey % 5 WHEN 0 THEN 'names NSW; a name of state bodies' || coalesce('; same body as ' || health, '') WHEN 1 THEN 'a name of local bodies' WHEN 2 THEN 'a name of national bodies' ELSE 'a name of local bodies' || coalesce('; same name as ' || shire || ', not merged', '') END AS why
+ FROM customer, n, v WHERE c_custkey % 5 <> 4 AND c_custkey % 35 NOT IN (3, 10)"""
