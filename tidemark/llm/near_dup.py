@@ -26,6 +26,8 @@ DOUBT = 15.0
 BLOCK, BLOCK_BYTES = 512, 16 << 20
 #: Rows of a group of several blocks that every block of it is compared with first.
 LEADERS = 8
+#: Most keys of texts (of about 50 bytes each) that are broadcast.
+KEYS = 500_000
 #: Buckets of so many rows or fewer are compared together.
 FEW = 24
 
@@ -412,8 +414,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
 
     def with_set(rows: DataFrame, nodes: DataFrame | None) -> DataFrame:
         wanted = member if nodes is None else member.join(nodes, "node", "left_semi")
-        # Texts are dealt out by id at every size: at some sizes Spark would broadcast the members, whose number has no bound.
-        key = wanted.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"), "node").hint("merge")
+        key = wanted.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"), "node")
+        # Texts are dealt out by id, as the members have no bound; where the members asked for are counted to be few, texts stay where they are.
+        few = nodes is not None and nodes.limit(KEYS + 1).count() <= KEYS
+        key = F.broadcast(key) if few else key.hint("merge")
         some = docs.join(key, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("text", "node")
         # Rows equal in id and text give their set more than once; one of them is enough.
         return rows.join(some.mapInArrow(_full_sets(words), "node binary, set binary").dropDuplicates(["node"]), "node")
