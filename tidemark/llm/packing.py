@@ -21,15 +21,23 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import written
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Lower-cased text made of these characters alone is cut into the tokenizer's own pre-tokens by one pattern.
-PLAIN = re.compile("[^\t-\r -~À-ÖØ-öø-ÿ]|<\\|")
+#: Lower-cased text made of these characters alone (white space, printable ASCII, Latin-1 letters), without the mark of special
+#: tokens, is cut into the tokenizer's own pre-tokens by one pattern.
+PLAIN = bytes([*range(9, 14), *range(32, 127), *(k for k in range(0xC0, 0x100) if k not in (0xD7, 0xF7))])
 PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zß-öø-ÿ0-9]+")
 CACHE = 400_000
 #: Tokens of a stream of the second round: its open windows, about a million tokens at most, are a small part of it.
-STREAM = 16_000_000
+STREAM = 8_000_000
 _encoders: dict[str, Callable[[str], bytes]] = {}
 
 
+def plain(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, PLAIN) and "<|" not in text
+    except UnicodeEncodeError:
+        return False
+
+
 def encoder(path: str) -> Callable[[str], bytes]:
     """text -> its ids as little-endian unsigned 32-bit bytes, without special tokens added.
 
@@ -61,7 +69,7 @@ def encoder(path: str) -> Callable[[str], bytes]:
             pieces.update((w, raw[a:b]) for w, a, b in zip(some, cuts, cuts[1:]))
 
     def encode(text: str) -> bytes:
-        if PLAIN.search(text):
+        if not plain(text):
             return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         found = text.lower().split()
         try:
@@ -89,14 +97,15 @@ class Levels:
         """Put a piece where the sum of squared counts grows least; a window that is full thereby is returned."""
         if length >= self.size:
             return [piece]
-        c = self.count
-        rise = 2 * c[length + 1 :] + 1  # one window more at level h + length ...
-        rise[-1] = 0  # ... which no longer counts when full
-        rise = rise - 2 * c[1 : self.size - length + 1] + 1  # one window fewer at level h
-        rise[c[1 : self.size - length + 1] == 0] = np.iinfo(np.int64).max
-        at = int(rise.argmin()) + 1 if len(rise) else 0
-        if at == 0 or rise[at - 1] > 2 * c[length] + 1:
-            at = 0
+        c, at = self.count, 0
+        h = np.flatnonzero(c[1 : self.size - length + 1]) + 1  # levels with an open window that the piece fits
+        if len(h):
+            rise = 2 * (c[h + length] - c[h]) + 2  # one window more at level h + length, one fewer at h ...
+            if h[-1] + length == self.size:
+                rise[-1] -= 1  # ... and none more when full
+            k = int(rise.argmin())
+            if rise[k] <= 2 * c[length] + 1:
+                at = int(h[k])
         window = self.open[at].pop() if at else []
         if at:
             c[at] -= 1
