@@ -62,3 +62,39 @@ def secrets_sql() -> str:
  k AS (SELECT * FROM f WHERE rank < 3 OR (NOT ({allowed}) AND {entropy} >= CASE rank {least} END)),
  g AS (SELECT doc_id, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS b, count(*) FILTER (rank = 2) AS c, string_agg({span}, ',' ORDER BY s, rank) FILTER (rank < 3) AS base, string_agg({span}, ',' ORDER BY s, rank) AS spans FROM k GROUP BY 1)
  SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""
+
+
+def ranked_search_sql() -> str:
+    """Every item against every document that shares a term with it."""
+    found = lambda text: rf"list_filter(string_split_regex(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: t <> '')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {found('text')} AS ts FROM documents),
+ s AS (SELECT count(*) FILTER (len(ts) > 0) AS total, sum(len(ts))::BIGINT AS length FROM d),
+ p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) GROUP BY 1, 2),
+ w AS (SELECT term, floor(1000 * ln((2 * any_value(total) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY 1),
+ i AS (SELECT q, item_id, term, count(*) AS times FROM (SELECT q, item_id, unnest({found('text')}) AS term FROM (SELECT row_number() OVER () AS q, item_id, text FROM benchmark)) GROUP BY 1, 2, 3),
+ m AS (SELECT r, doc_id, 75 + (25 * len(ts) * total) // length AS m FROM d, s WHERE len(ts) > 0),
+ c AS (SELECT q, any_value(item_id) AS item_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score, any_value(doc_id) AS doc_id FROM i JOIN p USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY q, r)
+ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM c WHERE score > 0) WHERE rank <= 20"""
+
+
+def spelling_sql() -> str:
+    """Words one edit apart share what is left without one letter: the same place for a replaced letter, any place for an inserted one.
+
+    The engine has no crc32, so the table of its 256 remainders is made by eight halvings each and folded over the bytes.
+    """
+    table = "(SELECT list(list_reduce(list_prepend(k::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY k) AS crc FROM range(256) t(k))"
+    run = "translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    byte = "list_transform(range(length(hex(key)) // 2), lambda i: ('0x' || substring(hex(key), 2 * i + 1, 2))::BIGINT)"
+    return rf"""WITH RECURSIVE t AS {table},
+ r AS (SELECT doc_id, {run} AS run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY 1, 2),
+ k AS (SELECT run, n, coalesce(doc_id::VARCHAR, '') || ':' || run AS key FROM r),
+ h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, {byte}), lambda a, b: xor(a >> 8, crc[xor(a, b) % 256 + 1])), 4294967295) AS h FROM k, t),
+ w AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, (h % length(run))::INTEGER) || substring(run, (h % length(run))::INTEGER + 2) ELSE run END AS word, n FROM h) WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+ x AS (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INTEGER AS i FROM w)),
+ e AS (SELECT a.word AS word, b.word AS near, b.n AS m FROM x a JOIN x b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM w a JOIN x b ON a.word = b.rest UNION SELECT b.word, a.word, a.n FROM w a JOIN x b ON a.word = b.rest),
+ g AS (SELECT word, count(*) AS n_near, max(m) AS best FROM e GROUP BY 1),
+ b AS (SELECT e.word, min(near) AS near FROM e JOIN g ON g.word = e.word AND m = best GROUP BY 1),
+ f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best >= 10 * w.n THEN best END AS form_n, CASE WHEN best >= 10 * w.n THEN near END AS form FROM w LEFT JOIN g USING (word) LEFT JOIN b USING (word)),
+ way(word, root, step) AS (SELECT word, form, 1 FROM f WHERE form IS NOT NULL UNION ALL SELECT way.word, f.form, step + 1 FROM way JOIN f ON f.word = way.root WHERE f.form IS NOT NULL)
+ SELECT f.word AS word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN (SELECT word, arg_max(root, step) AS root FROM way GROUP BY 1) z ON z.word = f.word"""
