@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from tidemark.operators.exact import exact_sums
+
 MAX_VALUES, MAX_ROWS = 90, 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -147,19 +149,36 @@ def metric(df: DataFrame, spec: str) -> Column:
     return getattr(F, fn)(c).alias(f"{fn}_{name}")
 
 
+def aggregated(df: DataFrame, groups: list[str], metrics: list[str]) -> DataFrame:
+    """Groups with metrics. Sums and averages of doubles are exact before they are rounded once, so no order of rows changes them."""
+    made = [metric(df, m) for m in metrics]
+    split = [m.partition(".")[::2] for m in metrics]
+    doubles = sorted({f for fn, f in split if fn in ("sum", "avg") and isinstance(_field(df, f).dataType, (T.DoubleType, T.FloatType))})
+    if not doubles:
+        return df.groupBy(*groups).agg(*made)
+    also, out = {}, []
+    for m, (fn, f) in zip(metrics, split):
+        name = "count" if m == "count" else f"{fn}_{f}"
+        if f in doubles and fn in ("sum", "avg"):
+            total = F.col(f"_sum_{f}")
+            out.append((total if fn == "sum" else total / F.nullif(F.col(f"_sum_{f}_n"), F.lit(0))).alias(name))
+        elif fn == "avg":
+            also |= {f"_of_{f}": (F.sum(F.col(f).cast("long") if isinstance(_field(df, f).dataType, T.BooleanType) else F.col(f)), F.sum), f"_n_{f}": (F.count(f), F.sum)}
+            out.append((F.col(f"_of_{f}") / F.nullif(F.col(f"_n_{f}"), F.lit(0))).alias(name))
+        else:
+            also[f"_{name}"] = (metric(df, m), F.sum if fn in ("count", "sum") else getattr(F, fn))
+            out.append((F.coalesce(F.col(f"_{name}"), F.lit(0).cast("long")) if fn == "count" else F.col(f"_{name}")).alias(name))
+    return exact_sums(df, groups, {f"_sum_{f}": F.col(f) for f in doubles}, also).select(*groups, *out)
+
+
 def aggregate_query(df: DataFrame, groups: list[str], metrics: list[str], conditions: list[tuple[str, str]] | None = None, order: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
     """Groups (NULL is one) with metrics, ordered by `order` and then by group, so a page's edge never moves. No group: one row."""
-    made = where(df, conditions or []).groupBy(*groups).agg(*[metric(df, m) for m in metrics])
+    made = aggregated(where(df, conditions or []), groups, metrics)
     if order is not None or limit:
         made = made.orderBy(*order_by(made, order or ""), *[F.col(g).asc_nulls_first() for g in groups])
     return page(made, limit, offset) if limit else made
 
 
-def exact_sum(column: str, digits: int = 6) -> Column:
-    """A sum of doubles that no order of rows changes: each is rounded to so many decimals and summed as a decimal."""
-    return F.sum(F.when(~F.isnan(column), F.col(column)).cast(f"decimal(28,{digits})")).cast("double")
-
-
 def spread_sample(df: DataFrame, n: int, spread: str | None, position: str = "_pos") -> DataFrame:
     """n rows in which the spread field's values take turns, else the first n."""
     if spread is None:

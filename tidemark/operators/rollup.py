@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tidemark.operators.exact import digit_sums, merged, prepared
 from tidemark.operators.query import aggregate_query, where
 
 
@@ -78,20 +79,30 @@ def cubes(df: DataFrame, sets: list[tuple[str, ...]], metrics: list[str], batch:
     """One row for each group of each field set: cube, fields, count and n, sum, min, max of the metrics.
 
     A rolled-up field is NULL and not in the cube's name, so a real NULL is told from it. `batch` sets a pass bound how often
-    a row is expanded.
+    a row is expanded. Sums of doubles are exact before they are rounded once; whole numbers and decimals sum as they are.
     """
+    kinds = dict(df.dtypes)
     names = sorted({f for s in sets for f in s})
-    out = None
+    doubles = {f"{m}_sum": F.col(m) for m in metrics if kinds[m] in ("double", "float")}
+    bins = [f"{k}_bin" for k in doubles]
+    also = {"count": (F.count("*"), F.sum)}
+    for m in metrics:
+        also |= {f"{m}_n": (F.count(m), F.sum), f"{m}_min": (F.min(m), F.min), f"{m}_max": (F.max(m), F.max)}
+        if f"{m}_sum" not in doubles:
+            also[f"{m}_sum"] = (F.sum(m), F.sum)
+    rows, out = prepared(df, doubles), None
     for at in range(0, len(sets), batch):
         some = sets[at : at + batch]
-        values = [x for m in metrics for x in (F.count(m).alias(f"{m}_n"), F.sum(F.col(m).cast("decimal(38,6)")).cast("double").alias(f"{m}_sum"), F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max"))]
         here = sorted({f for s in some for f in s})
-        made = df.groupingSets([[F.col(f) for f in s] for s in some], *here).agg(F.count("*").alias("count"), F.grouping_id(*here).alias("_id"), *values)
-        ids = {sum(1 << (len(here) - 1 - k) for k, f in enumerate(here) if f not in s): ",".join(s) for s in some}
+        order = [*here, *bins]
+        made = rows.groupingSets([[F.col(f) for f in (*s, *bins)] for s in some], *order).agg(F.grouping_id(*order).alias("_id"), *digit_sums(doubles), *[c.alias(n) for n, (c, _) in also.items()])
+        ids = {sum(1 << (len(order) - 1 - k) for k, f in enumerate(here) if f not in s): ",".join(s) for s in some}
         cube = F.create_map(*[x for k, v in ids.items() for x in (F.lit(k).cast("bigint"), F.lit(v))])
-        made = made.select(cube[F.col("_id")].alias("cube"), *[F.col(f) if f in here else F.lit(None).cast(dict(df.dtypes)[f]).alias(f) for f in names], "count", *[c for c in made.columns if c not in here and c not in ("count", "_id")])
+        made = made.select(cube[F.col("_id")].alias("cube"), *[F.col(f) if f in here else F.lit(None).cast(kinds[f]).alias(f) for f in names], *[c for c in made.columns if c not in here and c != "_id"])
         out = made if out is None else out.unionByName(made)
-    return out
+    if doubles:
+        out = merged(out, ["cube", *names], list(doubles), also)
+    return out.select("cube", *names, "count", *[f"{m}_{x}" for m in metrics for x in ("n", "sum", "min", "max")])
 
 
 def cube_for(sets: list[tuple[str, ...]], fields: set[str], sizes: dict[tuple[str, ...], int]) -> tuple[str, ...] | None:

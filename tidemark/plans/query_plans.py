@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import query as q
+from tidemark.operators.exact import exact_sums
 from tidemark.operators.checks import running_total
 from tidemark.plans.common import lineitem, orders, table
 
@@ -73,5 +74,7 @@ P["a02_metric_spec"] = lambda s, d: q.aggregate_query(_nulled(s, d).withColumn("
 SQL["a02_metric_spec"] = f"SELECT o_orderpriority, count({_NULLED}) AS count_status, sum(CASE WHEN o_totalprice > 150000 THEN 1 ELSE 0 END)::BIGINT AS sum_big, max(o_orderdate) AS max_o_orderdate FROM orders GROUP BY 1"
 P["a03_aggregate_order"] = lambda s, d: q.aggregate_query(lineitem(s, d), ["l_suppkey"], ["count"], [("l_quantity", "gte.30")], "count.desc", 25)
 SQL["a03_aggregate_order"] = "SELECT l_suppkey, count(*) AS count FROM lineitem WHERE l_quantity >= 30 GROUP BY 1 ORDER BY count DESC, l_suppkey LIMIT 26"
-P["a04_exact_sum"] = lambda s, d: lineitem(s, d).groupBy("l_returnflag").agg(q.exact_sum("l_extendedprice").alias("total"))
-SQL["a04_exact_sum"] = "SELECT l_returnflag, CAST(sum(CAST(l_extendedprice AS DECIMAL(28,6))) AS DOUBLE) AS total FROM lineitem GROUP BY 1"
+# Sizes from 1e-9 to 1e12 and both signs, so that neither decimals nor a plain sum of doubles would do.
+_WIDE = "l_extendedprice / (1 + l_orderkey % 7) * CASE l_linenumber WHEN 1 THEN 1e-9 WHEN 2 THEN -1e6 ELSE 0.1 END"
+P["a04_exact_sum"] = lambda s, d: exact_sums(lineitem(s, d).withColumn("wide", F.expr(_WIDE.replace("1e-9", "1e-9D").replace("-1e6", "-1e6D").replace("0.1", "0.1D"))), ["l_returnflag"], {"total": F.col("l_extendedprice"), "wide_total": F.col("wide")}).select("l_returnflag", F.round("total", 4).alias("total"), F.round("wide_total", 0).alias("wide_total"))
+SQL["a04_exact_sum"] = f"SELECT l_returnflag, round(fsum(l_extendedprice), 4) AS total, round(fsum(({_WIDE})::DOUBLE), 0) AS wide_total FROM lineitem GROUP BY 1"

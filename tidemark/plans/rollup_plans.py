@@ -33,9 +33,9 @@ def _planned(spark, d):
 
 
 P["a07_cube_plan"] = _planned
-P["a08_grouping_sets_cubes"] = lambda s, d: r.cubes(_rows(s, d), SETS, ["qty"])
+P["a08_grouping_sets_cubes"] = lambda s, d: r.cubes(_rows(s, d), SETS, ["qty", "l_extendedprice"]).withColumn("l_extendedprice_sum", F.round("l_extendedprice_sum", 4))
 SQL["a08_grouping_sets_cubes"] = " UNION ALL ".join(
-    f"SELECT '{','.join(c)}' AS cube, {', '.join((f if f in c else f'NULL') + ' AS ' + f for f in sorted(FIELDS))}, count(*) AS count, count(qty) AS qty_n, sum(qty)::DOUBLE AS qty_sum, min(qty) AS qty_min, max(qty) AS qty_max FROM {BASE} GROUP BY {', '.join(c)}" for c in SETS
+    f"SELECT '{','.join(c)}' AS cube, {', '.join((f if f in c else f'NULL') + ' AS ' + f for f in sorted(FIELDS))}, count(*) AS count, count(qty) AS qty_n, sum(qty)::BIGINT AS qty_sum, min(qty) AS qty_min, max(qty) AS qty_max, count(l_extendedprice) AS l_extendedprice_n, round(fsum(l_extendedprice), 4) AS l_extendedprice_sum, min(l_extendedprice) AS l_extendedprice_min, max(l_extendedprice) AS l_extendedprice_max FROM {BASE} GROUP BY {', '.join(c)}" for c in SETS
 )
 _M = ["count", "sum.qty", "avg.qty", "min.qty", "max.qty"]
 P["a09_answer_from_cube"] = lambda s, d: r.answer(_rows(s, d), r.cubes(_rows(s, d), SETS, ["qty"]), SETS, ["qty"], ["l_returnflag"], _M, [("l_linenumber", "lte.3")]).withColumn("avg_qty", F.round("avg_qty", 6))

@@ -74,8 +74,8 @@ def _late(spark, d):
 
 P["t03_late_rows"] = _late
 SQL["t03_late_rows"] = f"SELECT {_label('month', 'o_orderdate')} AS period, count(*) AS n, true AS revision FROM orders WHERE {_label('month', 'o_orderdate')} < '1998-02' GROUP BY 1"
-P["t04_period_tumbling"] = lambda s, d: _final(s, feeds.period_counts(streamed(s, d, "events"), "ts", "quarter", "value")).withColumn("total", F.col("total").cast("double"))
-SQL["t04_period_tumbling"] = f"SELECT {_label('quarter', 'ts')} AS period, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(28,6))) AS DOUBLE) AS total FROM events GROUP BY 1"
+P["t04_period_tumbling"] = lambda s, d: feeds.period_totals(_final(s, feeds.period_counts(streamed(s, d, "events"), "ts", "quarter", "value"))).withColumn("total", F.round("total", 6))
+SQL["t04_period_tumbling"] = f"SELECT {_label('quarter', 'ts')} AS period, count(*) AS n, round(fsum(value), 6) AS total FROM events GROUP BY 1"
 P["t05_once_per_day"] = lambda s, d: _final(s, feeds.once_a_day(streamed(s, d, "events").withColumn("at", F.col("ts").cast("timestamp")), "at", ["user_id"]).select("user_id", "day"), "append")
 SQL["t05_once_per_day"] = "SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events"
 P["t06_usage_stream"] = lambda s, d: _final(s, feeds.usage(streamed(s, d, "events").select(F.when(F.col("event_id") % 50 == 0, F.lit('{"event": "cut')).otherwise(F.to_json(F.struct(F.col("event_type").alias("event"), "user_id"))).alias("line"))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tidemark.operators.catalogue import usage_counts
-from tidemark.operators.versions import advance, change_log, finished, period
+from tidemark.operators.exact import merged, partials
+from tidemark.operators.versions import change_log, finished, period, row_key
 
 
 def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -20,11 +22,13 @@ def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
     query.awaitTermination()
 
 
-def feed_stream(spark: SparkSession, manifests: str, state: str, checkpoint: str, key: list[str]) -> None:
+def feed_stream(spark: SparkSession, manifests: str, state: str, checkpoint: str, key: list[str], every: int = 8) -> None:
     """Each arriving manifest (JSON: day, path of a whole snapshot) advances the feed's history and writes its change log.
 
-    A row's absence shows only against a whole snapshot, so a batch takes manifests day by day. History and log are written under
-    state/history/<day> and state/log/<day>, so a batch that is run again writes what it wrote before. Days must arrive in order: a
+    A row's absence shows only against a whole snapshot, so a batch takes manifests day by day. A day writes what it changed and nothing else: the states
+    that began (state/opened/<day>), those that it found gone, closed for good (state/closed/<day>), and its change log (state/log/<day>). The current states are the
+    newest whole list of them (state/current/<day>, written every `every` days) with what was opened and without what was closed since. A day is
+    made of files of days before it alone and overwrites its own, so a batch that is run again writes what it wrote before. Days must arrive in order: a
     snapshot of a day before the newest one read would not enter the later histories, and is refused.
     """
     arriving = spark.readStream.schema("day string, path string").option("maxFilesPerTrigger", 1).json(manifests)
@@ -36,21 +40,57 @@ def feed_stream(spark: SparkSession, manifests: str, state: str, checkpoint: str
             if days and days[-1] > row.day:
                 raise ValueError(f"snapshot of {row.day} arrived after that of {days[-1]}")
             done = [x for x in days if x < row.day]
-            if not done:
-                history = snapshot.distinct().withColumns({"first_seen": F.lit(row.day).cast("date"), "last_seen": F.lit(row.day).cast("date")})
-                log = change_log(None, snapshot, key)
-            else:
-                before = spark.read.parquet(f"{state}/history/{done[-1]}")
-                history = advance(before, snapshot, row.day, done[-1])
-                held = before.where(F.col("last_seen") == F.lit(done[-1]).cast("date")).drop("first_seen", "last_seen")
-                log = change_log(held, snapshot, key)
-            history.write.mode("overwrite").parquet(f"{state}/history/{row.day}")
+            held = _current(spark, state, done, every)
+            opened, closed = day_change(held, snapshot, row.day, done[-1] if done else None)
+            log = change_log(held.drop("_state", "first_seen") if done else None, snapshot, key)
+            opened.write.mode("overwrite").parquet(f"{state}/opened/{row.day}")
+            closed.write.mode("overwrite").parquet(f"{state}/closed/{row.day}")
             log.withColumn("day", F.lit(row.day)).write.mode("overwrite").json(f"{state}/log/{row.day}")
+            if len(done) % every == every - 1:
+                _since(spark, state, [*done, row.day], _whole(done, every)).write.mode("overwrite").parquet(f"{state}/current/{row.day}")
             spark.createDataFrame([(row.day,)], "day string").write.mode("overwrite").json(f"{state}/days/{row.day}")
 
     drain(arriving, each, checkpoint)
 
 
+def day_change(held: DataFrame | None, snapshot: DataFrame, day: str, last: str | None) -> tuple[DataFrame, DataFrame]:
+    """(states that begin on a day, states that end with the fetch before it) against a whole snapshot.
+
+    held: the current states, with first_seen and _state, which tells a stay of a state from all others. States are compared on shared columns.
+    """
+    seen = snapshot.distinct()
+    if held is None:
+        opened, closed = seen, None
+    else:
+        fields = [c for c in snapshot.columns if c in held.columns]
+        now, old = snapshot.select(row_key(fields).alias("_h")).distinct(), held.withColumn("_h", row_key(fields))
+        opened = seen.withColumn("_h", row_key(fields)).dropDuplicates(["_h"]).join(old.select("_h").distinct(), "_h", "left_anti").drop("_h")
+        closed = old.join(now, "_h", "left_anti").drop("_h").withColumn("last_seen", F.lit(last).cast("date"))
+    stay = F.struct(row_key(snapshot.columns).alias("row"), F.lit(day).alias("day"))
+    opened = opened.select("*", F.lit(day).cast("date").alias("first_seen"), stay.alias("_state"))
+    return opened, opened.withColumn("last_seen", F.col("first_seen")).limit(0) if closed is None else closed
+
+
+def _whole(done: list[str], every: int) -> str | None:
+    """The newest of the days so far that wrote the current states whole."""
+    return done[len(done) - len(done) % every - 1] if len(done) >= every else None
+
+
+def _since(spark: SparkSession, state: str, days: list[str], whole: str | None) -> DataFrame:
+    """Current states after `days`: the whole list of one of them, what was opened after it, without what was closed after it."""
+    later = [x for x in days if whole is None or x > whole]
+    read = spark.read.option("mergeSchema", True)
+    rows = [read.parquet(f"{state}/current/{whole}")] if whole else []
+    if later:
+        rows.append(read.parquet(*[f"{state}/opened/{x}" for x in later]))
+    held = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return held.join(read.parquet(*[f"{state}/closed/{x}" for x in later]).select("_state"), "_state", "left_anti") if later else held
+
+
+def _current(spark: SparkSession, state: str, done: list[str], every: int) -> DataFrame | None:
+    return _since(spark, state, done, _whole(done, every)) if done else None
+
+
 def _days(spark: SparkSession, state: str) -> list:
     try:
         return spark.read.schema("day string").json(f"{state}/days/*").distinct().collect()
@@ -60,8 +100,12 @@ def _days(spark: SparkSession, state: str) -> list:
         raise
 
 
-def feed_history(spark: SparkSession, state: str) -> DataFrame:
-    return spark.read.parquet(f"{state}/history/{max(r.day for r in _days(spark, state))}")
+def feed_history(spark: SparkSession, state: str, every: int = 8) -> DataFrame:
+    """Every stay of a state, first_seen and last_seen: what days closed, and the current states, seen until the newest day."""
+    days = sorted(r.day for r in _days(spark, state))
+    closed = spark.read.option("mergeSchema", True).parquet(*[f"{state}/closed/{x}" for x in days])
+    current = _current(spark, state, days, every).withColumn("last_seen", F.lit(days[-1]).cast("date"))
+    return closed.unionByName(current, allowMissingColumns=True).drop("_state")
 
 
 def state_by_key(stream: DataFrame, key: str, status: str, order: str) -> DataFrame:
@@ -95,8 +139,13 @@ def split_late(batch: DataFrame, day: str, grain: str, window: int, today: str)
 
 
 def period_counts(stream: DataFrame, day: str, grain: str, value: str) -> DataFrame:
-    """period, n, total as rows arrive (complete or update mode)."""
-    return stream.groupBy(period(F.col(day), grain).alias("period")).agg(F.count("*").alias("n"), F.sum(F.col(value).cast("decimal(28,6)")).alias("total"))
+    """Partial counts and exact sums by period and bin as rows arrive (complete or update mode), for period_totals."""
+    return partials(stream.withColumn("period", period(F.col(day), grain)), ["period"], {"total": F.col(value)}, {"n": (F.count("*"), F.sum)})
+
+
+def period_totals(rows: DataFrame) -> DataFrame:
+    """period, n, total of what period_counts keeps."""
+    return merged(rows, ["period"], ["total"], {"n": (F.count("*"), F.sum)}).select("period", "n", "total")
 
 
 def once_a_day(stream: DataFrame, at: str, by: list[str], wait: str = "2 days") -> DataFrame:
