@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import licenses, secrets
+from tidemark.llm import chat, licenses, secrets
 
 
 def _quoted(text: str) -> str:
@@ -98,3 +98,21 @@ def spelling_sql() -> str:
  f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best >= 10 * w.n THEN best END AS form_n, CASE WHEN best >= 10 * w.n THEN near END AS form FROM w LEFT JOIN g USING (word) LEFT JOIN b USING (word)),
  way(word, root, step) AS (SELECT word, form, 1 FROM f WHERE form IS NOT NULL UNION ALL SELECT way.word, f.form, step + 1 FROM way JOIN f ON f.word = way.root WHERE f.form IS NOT NULL)
  SELECT f.word AS word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN (SELECT word, arg_max(root, step) AS root FROM way GROUP BY 1) z ON z.word = f.word"""
+
+
+def chat_sql() -> str:
+    """Turn digests straight from the rows, and the length of all windows from prefix sums of turns' tokens."""
+    trial = _quoted(chat.TRIAL)
+    body = r"regexp_replace(text, '<(\\*/?turn)', '<\\\1', 'g')"
+    return rf"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', {trial}), (-7, 1, 'assistant', {trial}))),
+ a AS (SELECT *, {chat.MARKS} + len(regexp_extract_all(text, '{chat.TOKEN}')) AS tokens, length('<turn ' || replace(url_encode(role), '%20', '+') || '>' || chr(10) || {body} || '</turn>' || chr(10)) AS size FROM r),
+ b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - sum(tokens) OVER (PARTITION BY conv_id, turn, role, text) AS until, sum(tokens) OVER (PARTITION BY conv_id) AS total FROM a),
+ c AS (SELECT *, CASE WHEN total > {chat.SEGMENT} THEN until // {chat.SEGMENT} ELSE 0 END AS seg, place = 1 AND role = 'system' AS lead FROM b),
+ d AS (SELECT *, greatest({chat.BUDGET - chat.HISTORY} - coalesce(max(tokens) FILTER (lead) OVER (PARTITION BY conv_id), 0), {chat.BUDGET // 4}) // 2 AS stride, sum(CASE WHEN lead THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY place) - tokens AS before FROM c),
+ e AS (SELECT *, tokens > stride AS alone, sum((tokens > stride)::INT) OVER w AS n_alone, sum(CASE WHEN tokens > stride THEN 0 ELSE tokens END) OVER w AS filled FROM d WHERE NOT lead WINDOW w AS (PARTITION BY conv_id, seg ORDER BY place)),
+ f AS (SELECT *, n_alone || ':' || alone || ':' || CASE WHEN alone THEN 0 ELSE (filled - 1) // stride END AS span FROM e),
+ g AS (SELECT conv_id, seg, span, min(place) AS p0, min(before) AS b0, sum(size) AS own FROM f GROUP BY ALL),
+ h AS (SELECT g.conv_id, g.p0, any_value(own) + coalesce(sum(p.size), 0) AS chars FROM g LEFT JOIN e p ON p.conv_id = g.conv_id AND p.place < g.p0 AND p.before >= g.b0 - {chat.HISTORY} GROUP BY 1, 2),
+ i AS (SELECT conv_id, count(*) AS windows, sum(chars) AS chars FROM h GROUP BY 1),
+ j AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS loss, coalesce(any_value(size) FILTER (lead), 0) AS lead FROM c GROUP BY 1)
+ SELECT j.conv_id AS conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, (coalesce(chars, 0) + lead * greatest(coalesce(windows, 0), 1))::BIGINT AS formatted_chars FROM j LEFT JOIN i ON i.conv_id IS NOT DISTINCT FROM j.conv_id"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, html_extract, lexical_search, licenses, near_dup, oracles, packing, quality, secrets, sharding, spelling, substring_dedup, toxicity
+from tidemark.llm import chat, decontaminate, html_extract, lexical_search, licenses, near_dup, oracles, packing, quality, secrets, sharding, spelling, substring_dedup, toxicity
 from tidemark.llm.common import documents
 
 
@@ -64,6 +64,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(documents(spark, sf_dir))
 
 
-_OPERATORS = (op1_html_extract, op2_decontaminate, op3_near_dup, op4_substring_dedup, op5_licenses, op6_toxicity, op7_secrets, op8_packing, op9_quality, op10_sharding, op11_ranked_search, op12_spelling_variants)
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digests(chat.chat_windows(chat.with_trial(spark, documents(spark, sf_dir, "conversations"))))
+
+
+_OPERATORS = (op1_html_extract, op2_decontaminate, op3_near_dup, op4_substring_dedup, op5_licenses, op6_toxicity, op7_secrets, op8_packing, op9_quality, op10_sharding, op11_ranked_search, op12_spelling_variants, op13_chat_format)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}
-ORACLE_SQL: dict[str, str] = {"op5_licenses": oracles.licenses_sql(), "op7_secrets": oracles.secrets_sql(), "op11_ranked_search": oracles.ranked_search_sql(), "op12_spelling_variants": oracles.spelling_sql()}
+ORACLE_SQL: dict[str, str] = {"op5_licenses": oracles.licenses_sql(), "op7_secrets": oracles.secrets_sql(), "op11_ranked_search": oracles.ranked_search_sql(), "op12_spelling_variants": oracles.spelling_sql(), "op13_chat_format": oracles.chat_sql()}
