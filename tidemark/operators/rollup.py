@@ -123,13 +123,17 @@ def exact(df: DataFrame, metrics: list[str], kept: list[str]) -> bool:
     return True
 
 
-def answer(base: DataFrame, cube_rows: DataFrame, sets: list[tuple[str, ...]], kept: list[str], groups: list[str], metrics: list[str], conditions: list[tuple[str, str]]) -> DataFrame:
-    """The aggregate query from the smallest cube that gives it exactly, else from the base table."""
+def answer(base: DataFrame, cube_rows: DataFrame, sets: list[tuple[str, ...]], kept: list[str], groups: list[str], metrics: list[str], conditions: list[tuple[str, str]], sizes: dict[tuple[str, ...], int] | None = None) -> DataFrame:
+    """The aggregate query from the smallest cube (by `sizes`, groups of each) that gives it exactly, else from the base table."""
     fields = set(groups) | {f for f, _ in conditions}
-    cube = cube_for(sets, fields, {})
+    cube = cube_for(sets, fields, sizes or {})
     if cube is None or not exact(base, metrics, kept):
         return aggregate_query(base, groups, metrics, conditions)
-    rows = where(cube_rows.where(F.col("cube") == ",".join(cube)), conditions)
+    return from_cube(cube_rows.where(F.col("cube") == ",".join(cube)), groups, metrics, conditions)
+
+
+def from_cube(rows: DataFrame, groups: list[str], metrics: list[str], conditions: list[tuple[str, str]]) -> DataFrame:
+    """The aggregate query from one cube's rows."""
     made = []
     for m in metrics:
         fn, _, f = m.partition(".")
@@ -139,7 +143,7 @@ def answer(base: DataFrame, cube_rows: DataFrame, sets: list[tuple[str, ...]], k
             "sum": lambda: F.sum(f"{f}_sum").cast("bigint"), "avg": lambda: F.sum(f"{f}_sum") / F.nullif(F.sum(f"{f}_n"), F.lit(0)),
             "min": lambda: F.min(f"{f}_min"), "max": lambda: F.max(f"{f}_max"),
         }[fn]().alias(name))
-    return rows.groupBy(*groups).agg(*made)
+    return where(rows, conditions).groupBy(*groups).agg(*made)
 
 
 def field_profile(df: DataFrame, fields: list[str], few: int = 12) -> DataFrame:
