@@ -6,22 +6,22 @@ import pytest
 from tidemark.llm import substring_dedup as s
 
 
-def brute(rows, several=3, least=24):
-    """{(doc_id, text): words that go}, from word tuples: no hash of a run, no array, no span of the operator."""
+def cut_up(text):
+    """[(lower-case words)] of each sentence, by a splitter of its own: at stops that no letter or digit follows, and at new lines."""
+    parts = [re.findall(r"\w+", p) for p in re.split(r"(?<=[.!?])(?!\w)|\n", text)]
+    return [[w.lower() for w in p] for p in parts if p]
+
+
+def brute(rows, several=3):
+    """{(doc_id, text): words that go} by the runs of sentences alone, from word tuples: no hash, no array, no cut of the operator."""
     first, gone = {}, {}
     for d, x in sorted({(d, x or "") for d, x in rows}, key=lambda r: (r[0] is not None, r[0] or 0, key(r[1]))):
-        cut = s.sentences(x)
-        if cut is None:
-            continue
-        said = [w.lower() for w in re.findall(r"\w+", x)]
-        bounds = cut.bounds.tolist()
-        for i in range(len(bounds) - 1):
-            j = next((j for j in range(i + several, len(bounds)) if bounds[j] - bounds[i] >= least), None)
-            if j is None:
-                continue
-            run = tuple(said[bounds[i] : bounds[j]])
+        cut = cut_up(x)
+        at = [sum(map(len, cut[:k])) for k in range(len(cut) + 1)]
+        for i in range(len(cut) - several + 1):
+            run = tuple(w for p in cut[i : i + several] for w in p)
             if run in first:
-                gone.setdefault((d, x), set()).update(range(bounds[i], bounds[j]))
+                gone.setdefault((d, x), set()).update(range(at[i], at[i + several]))
             else:
                 first[run] = (d, x, i)
     return gone
@@ -59,7 +59,7 @@ def corpus():
 def test_equal_brute_force(docs, spark):
     rows, shared = corpus()
     learn(spark, rows)
-    got = s.repeated_spans(docs(rows)).collect()
+    got = s.repeated_spans(docs(rows), passage_words=0).collect()
     want = brute(rows)
     texts = {}
     for d, x in set(rows):
@@ -102,7 +102,27 @@ def test_sentences_cover_the_words(text):
     if cut is None:
         assert not said
         return
-    assert cut.bounds[-1] == len(said) == len(cut.words) and all(a < b for a, b in zip(cut.start, cut.end)) and all(b <= a for a, b in zip(cut.start[1:], cut.end))
+    assert cut.bounds()[-1] == cut.bounds(s.CUT)[-1] == len(said) == len(cut.words) and all(a < b for a, b in zip(cut.start, cut.end)) and all(b <= a for a, b in zip(cut.start[1:], cut.end))
+
+
+def made_prose(seed):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(3, 9)))
+    return r, lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+
+
+def test_short_sentences_go_and_a_lone_long_one_stays(docs):
+    """Four repeated sentences of five words are found in every copy; one repeated sentence of 60 words is not several."""
+    r, sentence = made_prose(5)
+    own = lambda: " ".join(sentence(r.randint(4, 12)) for _ in range(5))
+    short, lone = " ".join(sentence(5) for _ in range(4)), [sentence(60) for _ in range(40)]
+    rows = [(k, f"{own()} {short} {own()}") for k in range(201)] + [(1000 + k, f"{own()} {lone[k % 40]} {own()}") for k in range(200)] + [(5000 + k, own()) for k in range(100)]
+    got = {x.doc_id: x for x in s.repeated_spans(docs(rows), passage_words=0).collect()}
+    assert set(got) == set(range(1, 201)) and all(x.n_removed == 4 and short not in x.text for x in got.values())
+    both = {x.doc_id: x for x in s.repeated_spans(docs(rows)).collect()}
+    assert set(range(1, 201)) <= set(both) and not any(d >= 5000 or d == 0 or 1000 <= d < 1040 for d in both)
+    # The second pass takes the 60 words for what they are, a repeated passage, where they hold three pieces.
+    assert sum(d > 1000 for d in both) > 0.4 * 160
 
 
 def test_empty_table(docs):

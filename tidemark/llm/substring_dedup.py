@@ -22,8 +22,8 @@ TOP = 0x20000
 UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF)]
 #: What may close a sentence after its end.
 CLOSERS = "\"')]»”’"
-#: Sentences are also cut after words whose hash is 0 modulo CUT, wherever they stand: equal passages are cut alike though they
-#: begin and end in the middle of different sentences.
+#: For the second pass sentences are also cut after words whose hash is 0 modulo CUT, wherever they stand: equal passages are cut alike
+#: though they begin and end in the middle of different sentences.
 CUT = 14
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
@@ -42,16 +42,22 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Cut:
-    """A text cut into sentences: where they start and end (code points), their bounds in words, the words' hashes."""
+    """The words of a text: where they start and end (code points; a word that ends a sentence has its stop too), whether a sentence ends after them, their hashes."""
 
     start: np.ndarray
     end: np.ndarray
-    bounds: np.ndarray
+    ends: np.ndarray
     words: np.ndarray
 
+    def bounds(self, cut_words: int = 0) -> np.ndarray:
+        """Places in words where sentences begin, and the end; sentences cut further after one in `cut_words` words where that is given."""
+        cut = self.ends | (self.words % np.uint64(cut_words) == 0) if cut_words else self.ends.copy()
+        cut[-1] = True
+        return np.concatenate(([0], np.flatnonzero(cut) + 1))
+
 
 def sentences(text: str) -> Cut | None:
-    """The sentences of a text that have words, cut further where CUT says; None for a text without words."""
+    """A text cut into words and sentences; None for a text without words."""
     kinds, lower = _tables()
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     at = np.minimum(code, TOP)
@@ -71,34 +77,42 @@ def sentences(text: str) -> Cut | None:
     last_stop = np.maximum.accumulate(np.where(stop, np.arange(len(kind)), -1))
     until = np.append(start[1:], len(code)) - 1  # the last character before the next word
     ends = last_stop[until] >= end
-    cut = ends | (words % np.uint64(CUT) == 0)
-    cut[-1] = True
-    last = np.flatnonzero(cut)
-    bounds = np.concatenate(([0], last + 1))
-    return Cut(start[bounds[:-1]], np.where(ends[last], last_stop[until[last]] + 1, end[last]), bounds, words)
-
-
-def runs(cut: Cut, several: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first, after, hash, hash) of the run at every sentence that has one: the fewest sentences, `several` or more, with `least_words` words."""
-    first = np.arange(len(cut.bounds) - 1)
-    after = np.maximum(first + several, np.searchsorted(cut.bounds, cut.bounds[:-1] + least_words))
-    first, after = first[after < len(cut.bounds)], after[after < len(cut.bounds)]
-    a, b = cut.bounds[first], cut.bounds[after]
+    return Cut(start, np.where(ends, last_stop[until] + 1, end), ends, words)
+
+
+def runs(cut: Cut, bounds: np.ndarray, several: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, word after, hash, hash) of the run at every unit that has one: the fewest units, `several` or more, with `least_words` words."""
+    first = np.arange(len(bounds) - 1)
+    after = np.maximum(first + several, np.searchsorted(bounds, bounds[:-1] + least_words))
+    first, after = first[after < len(bounds)], after[after < len(bounds)]
+    a, b = bounds[first], bounds[after]
     up, down = powers_to(len(cut.words))
     made = []
     for words in (cut.words, mixed(cut.words ^ _SECOND)):
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)))
         made.append(mixed((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)).view(np.int64))
-    return first, after, *made
+    return a, b, *made
+
+
+def all_runs(cut: Cut, several: int, passage_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, word after, hash, hash) of the runs of sentences, place twice their first word, and of the second pass, place one more."""
+    found = [runs(cut, cut.bounds(), several, 0)]
+    if passage_words:
+        found.append(runs(cut, cut.bounds(CUT), several, passage_words))
+    return np.concatenate([2 * f[0] + k for k, f in enumerate(found)]), *(np.concatenate([f[i] for f in found]) for i in (1, 2, 3))
+
 
+def repeated_spans(docs: DataFrame, several: int = 3, passage_words: int = 24, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Documents that lose text: doc_id, n_sentences, n_removed, spans (start, end in code points), first_ids, text (what is left).
 
-def repeated_spans(docs: DataFrame, several: int = 3, least_words: int = 24, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Documents that lose sentences: doc_id, n_sentences, n_removed, spans (start, end in code points), first_ids, text (what is left).
+    Every run of `several` consecutive sentences is hashed to 128 bits (words only, lower case), however few words it has; a run
+    that occurs before, in a document of smaller id or earlier in the same one, is a copy, and its sentences are removed; so a longer repeated passage goes whole, as all
+    its runs are copies. The first occurrence stays. first_ids lists the ids that hold the first occurrences (null ids left out). A sentence ends at a stop before white
+    space, at a full-width stop or at a new line. n_removed counts the sentences that go whole.
 
-    Every run of at least `several` consecutive sentences and `least_words` words is hashed to 128 bits (words only, lower case); a run
-    that occurs before, in a document of smaller id or earlier in the same one, is a copy, and its sentences are removed. The
-    first occurrence stays. first_ids lists the ids that hold the first occurrences (null ids left out). Sentences are cut further after words that a
-    hash picks, so that passages which start and end within sentences are found too, but for a few words at their ends.
+    Repeated passages. A passage that begins and ends within sentences, or whose sentences are long, can hold no run of whole ones. A second pass in the same shuffle takes pieces for
+    sentences: cut at sentence ends and after words that a hash picks (one in CUT), so that equal passages are cut alike wherever they stand. A run of `several` pieces
+    and `passage_words` words is removed where it is a copy, be it a part of one sentence. `passage_words` of 0 leaves this pass out, and a repeated sentence alone then stays, however long.
 
     A row is told by its id and its text: rows that repeat an id with other texts are documents of their own (ties go by a hash of the
     text), rows equal in both are one document and are answered alike, and rows without an id come first. Texts without a copied run
@@ -115,13 +129,15 @@ def repeated_spans(docs: DataFrame, several: int = 3, least_words: int = 24, id_
 
             def made() -> pa.RecordBatch:
                 of = np.concatenate([np.full(len(p[0]), r) for r, p in zip(rows, parts)]) if rows else np.zeros(0, int)
-                first, one, two = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 2, 3))
-                arrays = [ids.take(pa.array(of, pa.int64())), pa.array(keys[of]), pa.array(first.astype(np.int32)), pa.array(one), pa.array(two)]
-                return pa.RecordBatch.from_arrays(arrays, ["doc_id", "_text", "first", "run", "run2"])
+                place, one, two = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 2, 3))
+                # The two passes never meet: their hashes differ by a constant.
+                one = np.where(place % 2 == 1, ~one, one)
+                arrays = [ids.take(pa.array(of, pa.int64())), pa.array(keys[of]), pa.array(place.astype(np.int64)), pa.array(one), pa.array(two)]
+                return pa.RecordBatch.from_arrays(arrays, ["doc_id", "_text", "place", "run", "run2"])
 
             for row, text in enumerate(batch.column(1).to_pylist()):
                 found = sentences(text)
-                if found and len((run := runs(found, several, least_words))[0]):
+                if found and len((run := all_runs(found, several, passage_words))[0]):
                     rows.append(row)
                     parts.append(run)
                     size += len(run[0])
@@ -130,18 +146,18 @@ def repeated_spans(docs: DataFrame, several: int = 3, least_words: int = 24, id_
                     rows, parts, size = [], [], 0
             yield made()
 
-    every = written(keyed.mapInArrow(cut, "doc_id long, _text long, first int, run long, run2 long"), "every-run")
-    place = F.struct("doc_id", "_text", "first")
+    every = written(keyed.mapInArrow(cut, "doc_id long, _text long, place long, run long, run2 long"), "every-run")
+    place = F.struct("doc_id", "_text", "place")
     least = every.groupBy("run", "run2").agg(F.min(place).alias("at"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     least = written(least, "runs")
     later = every.join(least, ["run", "run2"]).where(~place.eqNullSafe(F.col("at")))
-    covers = later.groupBy("doc_id", "_text").agg(F.collect_set("first").alias("covers"), F.array_sort(F.collect_set("at.doc_id")).alias("first_ids"))
+    covers = later.groupBy("doc_id", "_text").agg(F.collect_set("place").alias("covers"), F.array_sort(F.collect_set("at.doc_id")).alias("first_ids"))
     covers = written(covers.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_key"), "covers", "first_ids"), "covers")
     hit = keyed.join(covers, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))).select("doc_id", "text", "covers", "first_ids")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(doc, *_without(text, covers, several, least_words), ids) for doc, text, covers, ids in zip(*(c.to_pylist() for c in batch.columns))]
+            rows = [(doc, *_without(text, covers, several, passage_words), ids) for doc, text, covers, ids in zip(*(c.to_pylist() for c in batch.columns))]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "n_sentences", "n_removed", "spans", "text", "first_ids"])
 
@@ -149,16 +165,18 @@ def repeated_spans(docs: DataFrame, several: int = 3, least_words: int = 24, id_
     return out.select("doc_id", "n_sentences", "n_removed", "spans", "first_ids", "text")
 
 
-def _without(text: str, covers: list[int], several: int, least_words: int) -> tuple[int, int, list[dict], str]:
-    """(sentences, how many go, spans that go, text that is left) of a text whose runs at the sentences `covers` are copies."""
+def _without(text: str, covers: list[int], several: int, passage_words: int) -> tuple[int, int, list[dict], str]:
+    """(sentences, how many go whole, spans that go, text that is left) of a text whose runs at the places `covers` are copies."""
     cut = sentences(text)
-    n = len(cut.bounds) - 1
-    first, after, *_ = runs(cut, several, least_words)
-    copied = np.isin(first, covers)
-    change = np.zeros(n + 1, int)
-    np.add.at(change, first[copied], 1)
+    place, after, *_ = all_runs(cut, several, passage_words)
+    copied = np.isin(place, covers)
+    change = np.zeros(len(cut.words) + 1, int)
+    np.add.at(change, place[copied] // 2, 1)
     np.add.at(change, after[copied], -1)
     gone = np.concatenate(([False], np.cumsum(change)[:-1] > 0, [False]))
+    kept = np.concatenate(([0], np.cumsum(~gone[1:-1])))
+    bounds = cut.bounds()
+    whole = int((kept[bounds[1:]] == kept[bounds[:-1]]).sum())
     edge = np.flatnonzero(gone[1:] != gone[:-1])
     spans, left, at = [], [], 0
     for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist()):
@@ -168,4 +186,4 @@ def _without(text: str, covers: list[int], several: int, least_words: int) -> tu
         spans.append({"start": start, "end": end})
         left.append(text[at:start])
         at = end
-    return n, int(gone.sum()), spans, "".join(left) + text[at:]
+    return len(bounds) - 1, whole, spans, "".join(left) + text[at:]
