@@ -22,9 +22,8 @@ Also = dict[str, tuple[Column, Callable[[str], Column]]]
 
 
 def _power(half: Column) -> Column:
-    """2.0 ** (BITS / 2 * half), for what one bin or its negative takes."""
-    low, high = -HIGH - DIGITS - 3, -LOW + DIGITS + 3
-    return F.element_at(F.array(*[F.lit(2.0 ** (BITS // 2 * k)) for k in range(low, high + 1)]), (half - low + 1).cast("int"))
+    """2.0 ** (BITS / 2 * half): half of a bin's power, as the whole of the least bin's is no double. Powers of two are exact."""
+    return F.pow(F.lit(2.0), half * (BITS // 2))
 
 
 def _bin(value: Column) -> Column:
@@ -33,22 +32,14 @@ def _bin(value: Column) -> Column:
     return F.when(finite, F.floor(F.log2(size) / BITS).cast("int"))
 
 
-def _digits(value: Column, place: Column) -> list[Column]:
-    """The digits from the bin down, each with the value's sign."""
-    rest = F.abs(value) * _power(-place) * _power(-place)
-    sign, out = F.when(value < 0, -1).otherwise(1), []
-    for _ in range(DIGITS):
-        digit = F.floor(rest)
-        out.append(F.coalesce(F.when(place.isNotNull(), digit * sign), F.lit(0)).cast("long"))
-        rest = (rest - digit) * float(2**BITS)
-    return out
-
-
 def prepared(df: DataFrame, sums: dict[str, Column]) -> DataFrame:
     """df with the bin and digits of every column named, once a row."""
     rows = df.withColumns({f"_v_{k}": c.cast("double") for k, c in sums.items()})
     rows = rows.withColumns({f"{k}_bin": _bin(F.col(f"_v_{k}")) for k in sums})
-    return rows.withColumns({f"{k}_{i}": d for k in sums for i, d in enumerate(_digits(F.col(f"_v_{k}"), F.col(f"{k}_bin")))})
+    rows = rows.withColumns({f"_r_{k}": F.when(F.col(f"{k}_bin").isNotNull(), F.col(f"_v_{k}") * _power(-F.col(f"{k}_bin")) * _power(-F.col(f"{k}_bin"))).otherwise(0.0) for k in sums})
+    # Digit i is what stands before the point after i shifts, less what stood there before; shifts and remainders of doubles are exact.
+    digit = lambda k, i: (F.col(f"_r_{k}") if i == 0 else (F.col(f"_r_{k}") * 2.0 ** (BITS * i)) % 2.0**BITS).cast("long")
+    return rows.withColumns({f"{k}_{i}": digit(k, i) for k in sums for i in range(DIGITS)})
 
 
 def digit_sums(sums: dict[str, Column]) -> list[Column]:
@@ -76,10 +67,7 @@ def merged(rows: DataFrame, groups: list[str], sums: list[str], also: Also | Non
     for k in sums:
         made += [F.collect_list(F.struct(F.col(f"{k}_bin").alias("bin"), F.array(*[F.col(f"{k}_{i}") for i in range(DIGITS)]).alias("digits"))).alias(f"_x_{k}"), F.sum(f"{k}_n").alias(f"{k}_n"), F.bit_or(f"{k}_odd").alias(f"_o_{k}")]
     made += [f(n).alias(n) for n, (_, f) in (also or {}).items()]
-    out = rows.groupBy(*groups).agg(*made)
-    for k in sums:
-        out = _rounded(out, k)
-    return out
+    return _rounded(rows.groupBy(*groups).agg(*made), sums)
 
 
 def exact_sums(df: DataFrame, groups: list[str], sums: dict[str, Column], also: Also | None = None) -> DataFrame:
@@ -91,38 +79,47 @@ def exact_sums(df: DataFrame, groups: list[str], sums: dict[str, Column], also:
     return merged(partials(df, groups, sums, also), groups, list(sums), also)
 
 
-def _rounded(df: DataFrame, name: str) -> DataFrame:
-    """Replace a group's bins and flags by the nearest double."""
+def _rounded(df: DataFrame, names: list[str]) -> DataFrame:
+    """Replace each group's bins and flags by the nearest double."""
     shift = lambda way, x, n: F.call_function(way, x, n)
     zero, radix = F.lit(0).cast("long"), 2**BITS
-    terms = f"_x_{name}"
-    df = df.withColumn(terms, F.filter(terms, lambda t: t["bin"].isNotNull()))
-    low = F.array_min(F.transform(terms, lambda t: t["bin"])) - (DIGITS - 1)
-    high = F.array_max(F.transform(terms, lambda t: t["bin"]))
-    at = lambda p: F.aggregate(terms, zero, lambda a, t: a + F.coalesce(F.get(t["digits"], F.when(t["bin"] >= p, t["bin"] - p)), zero))
-    df = df.withColumn("_low", low).withColumn("_all", F.when(F.size(terms) > 0, F.transform(F.sequence(low, high), at)))
-    carried = F.aggregate("_all", zero, lambda c, a: shift("shiftright", c + a, F.lit(BITS)))
-    df = df.withColumn("_below", carried < 0)
-    df = df.withColumn("_all", F.transform("_all", lambda a: F.when(F.col("_below"), -a).otherwise(a)))
-    # Digits from the lowest, each below the radix; three more take the last carry.
-    state = F.struct(F.array().cast("array<bigint>").alias("done"), zero.alias("carry"))
-    step = lambda s, a: F.struct(F.array_append(s["done"], (s["carry"] + a) - shift("shiftright", s["carry"] + a, F.lit(BITS)) * radix).alias("done"), shift("shiftright", s["carry"] + a, F.lit(BITS)).alias("carry"))
-    df = df.withColumn("_all", F.aggregate(F.concat("_all", F.array(zero, zero, zero)), state, step)["done"])
-    df = df.withColumn("_top", F.array_max(F.transform("_all", lambda a, i: F.when(a > 0, i))))
-    digit = lambda k: F.coalesce(F.get("_all", F.when(F.col("_top") >= k, F.col("_top") - k)), zero)
-    df = df.withColumn("_k", F.length(F.bin(digit(0))))
-    k = F.col("_k")
-    # 62 bits from the first that is set; the lowest also stands for any bit below, so that one rounding of a long is that of the sum.
-    upper = shift("shiftleft", digit(0), F.lit(62) - k) + shift("shiftleft", digit(1), F.lit(42) - k) + shift("shiftleft", digit(2), F.lit(22) - k)
-    third = F.when(k <= 2, shift("shiftleft", digit(3), F.lit(2) - k)).otherwise(shift("shiftright", digit(3), k - 2))
-    lost = F.when(k <= 2, zero).otherwise(digit(3) - shift("shiftleft", shift("shiftright", digit(3), k - 2), k - 2))
-    sticky = (lost > 0) | F.exists(F.slice("_all", 1, F.greatest(F.col("_top") - 3, F.lit(0))), lambda a: a > 0)
-    bits = (upper + third).bitwiseOR(F.when(sticky, 1).otherwise(0).cast("long"))
-    # The exponent comes back in two factors, of which only the last can round, and only beyond the largest double.
-    whole = bits.cast("double") * shift("shiftleft", F.lit(1).cast("long"), k - 1).cast("double") * 2.0**-61
-    place = F.col("_top") + F.col("_low")
-    value = F.when(F.size("_all") > 0, F.coalesce(whole * _power(place) * _power(place) * F.when(F.col("_below"), -1).otherwise(1), F.lit(0.0))).otherwise(F.lit(0.0))
-    odd = F.col(f"_o_{name}")
-    both = POSITIVE | NEGATIVE
-    flagged = F.when(odd.bitwiseAND(NOT_A_NUMBER) > 0, float("nan")).when(odd.bitwiseAND(both) == both, float("nan")).when(odd == POSITIVE, float("inf")).when(odd == NEGATIVE, float("-inf")).otherwise(value)
-    return df.withColumn(name, F.when(F.col(f"{name}_n") > 0, flagged)).drop(terms, f"_o_{name}", "_low", "_below", "_all", "_top", "_k")
+    each = lambda made: {f"{c}_{n}": x for n in names for c, x in made(n).items()}
+    col = lambda c, n: F.col(f"{c}_{n}")
+
+    def carried(n: str) -> dict[str, Column]:
+        """Sums of digits by place from the lowest, and whether they are below zero."""
+        terms = F.filter(f"_x_{n}", lambda t: t["bin"].isNotNull())
+        low, high = F.array_min(F.transform(terms, lambda t: t["bin"])) - (DIGITS - 1), F.array_max(F.transform(terms, lambda t: t["bin"]))
+        at = lambda p: F.aggregate(terms, zero, lambda a, t: a + F.coalesce(F.get(t["digits"], F.when(t["bin"] >= p, t["bin"] - p)), zero))
+        return {"_low": low, "_sums": F.when(F.size(terms) > 0, F.transform(F.sequence(low, high), at))}
+
+    def digits(n: str) -> dict[str, Column]:
+        """Digits from the lowest, each below the radix, of the sum without its sign; three more take the last carry."""
+        sums = F.transform(f"_sums_{n}", lambda a: F.when(col("_below", n), -a).otherwise(a))
+        state = F.struct(F.array().cast("array<bigint>").alias("done"), zero.alias("carry"))
+        step = lambda s, a: F.struct(F.array_append(s["done"], (s["carry"] + a) - shift("shiftright", s["carry"] + a, F.lit(BITS)) * radix).alias("done"), shift("shiftright", s["carry"] + a, F.lit(BITS)).alias("carry"))
+        return {"_all": F.aggregate(F.concat(sums, F.array(zero, zero, zero)), state, step)["done"]}
+
+    def value(n: str) -> dict[str, Column]:
+        top, k = col("_top", n), F.length(F.bin(F.get(f"_all_{n}", col("_top", n))))
+        digit = lambda i: F.coalesce(F.get(f"_all_{n}", F.when(top >= i, top - i)), zero)
+        # 62 bits from the first that is set; the lowest also stands for any bit below, so that one rounding of a long is that of the sum.
+        upper = shift("shiftleft", digit(0), F.lit(62) - k) + shift("shiftleft", digit(1), F.lit(42) - k) + shift("shiftleft", digit(2), F.lit(22) - k)
+        third = F.when(k <= 2, shift("shiftleft", digit(3), F.lit(2) - k)).otherwise(shift("shiftright", digit(3), k - 2))
+        lost = F.when(k <= 2, zero).otherwise(digit(3) - shift("shiftleft", shift("shiftright", digit(3), k - 2), k - 2))
+        sticky = (lost > 0) | F.exists(F.slice(f"_all_{n}", 1, F.greatest(top - 3, F.lit(0))), lambda a: a > 0)
+        bits = (upper + third).bitwiseOR(F.when(sticky, 1).otherwise(0).cast("long"))
+        # The exponent comes back in two factors, of which only the last can round, and only beyond the largest double.
+        whole = bits.cast("double") * shift("shiftleft", F.lit(1).cast("long"), k - 1).cast("double") * 2.0**-61
+        place = top + col("_low", n)
+        signed = F.coalesce(whole * _power(place) * _power(place) * F.when(col("_below", n), -1).otherwise(1), F.lit(0.0))
+        odd, both = col("_o", n), POSITIVE | NEGATIVE
+        flagged = F.when((odd.bitwiseAND(NOT_A_NUMBER) > 0) | (odd.bitwiseAND(both) == both), float("nan")).when(odd == POSITIVE, float("inf")).when(odd == NEGATIVE, float("-inf")).otherwise(signed)
+        return {"_y": F.when(F.col(f"{n}_n") > 0, flagged)}
+
+    df = df.withColumns(each(carried))
+    df = df.withColumns(each(lambda n: {"_below": F.aggregate(f"_sums_{n}", zero, lambda c, a: shift("shiftright", c + a, F.lit(BITS))) < 0}))
+    df = df.withColumns(each(digits))
+    df = df.withColumns(each(lambda n: {"_top": F.array_max(F.transform(f"_all_{n}", lambda a, i: F.when(a > 0, i)))}))
+    kept = [c for c in df.columns if c not in {f"{x}_{n}" for n in names for x in ("_x", "_o", "_low", "_sums", "_below", "_all", "_top")}]
+    return df.select(*kept, *[value(n)["_y"].alias(n) for n in names])

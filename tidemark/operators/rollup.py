@@ -147,13 +147,16 @@ def from_cube(rows: DataFrame, groups: list[str], metrics: list[str], conditions
 
 
 def field_profile(df: DataFrame, fields: list[str], few: int = 12) -> DataFrame:
-    """field, distinct, low, high and, when there are few, the sorted values."""
-    text = lambda c: F.col(c).cast("string")
-    long = reduce(lambda a, b: a.unionByName(b), [df.groupBy(text(f).alias("value")).agg(F.count("*").alias("n")).withColumn("field", F.lit(f)) for f in fields])
-    ranked = long.where("value is not null").withColumn("r", F.row_number().over(W.partitionBy("field").orderBy("value")))
-    values = F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= few, F.col("value")))), ";")
-    made = ranked.groupBy("field").agg(F.count("*").alias("distinct"), F.min("value").alias("low"), F.max("value").alias("high"), values.alias("values"))
-    return made.withColumn("values", F.when(F.col("distinct") <= few, F.col("values")))
+    """field, distinct, low, high and, when there are few, the sorted values; of every field in one scan.
+
+    Values meet once each, dealt by field and value; counts and ends are partial sums of those, and only fields of at most `few` values gather them. A field without values has no row.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("x")
+    values = df.select(pairs).select("x.*").where("value is not null").groupBy("field", "value").agg(F.lit(1).alias("_one"))
+    ends = values.groupBy("field").agg(F.count("*").alias("distinct"), F.min("value").alias("low"), F.max("value").alias("high"))
+    short = values.join(ends.where(F.col("distinct") <= few).select("field"), "field", "left_semi")
+    listed = short.groupBy(F.col("field").alias("_field")).agg(F.array_join(F.array_sort(F.collect_list("value")), ";").alias("values"))
+    return ends.join(listed, F.col("field") == F.col("_field"), "left").drop("_field")
 
 
 def pick_example(df: DataFrame, filter_field: str, group_field: str, least: int = 20) -> DataFrame:

@@ -213,10 +213,16 @@ def latest(versions: DataFrame, withheld: DataFrame | None = None) -> DataFrame:
     return left.groupBy("dataset").agg(F.max_by(F.struct(*[c for c in versions.columns if c != "dataset"]), "version").alias("x")).select("dataset", "x.*")
 
 
-def free_version(changed: DataFrame, taken: DataFrame, span: int = 60) -> DataFrame:
-    """dataset, version: the day of change, or the next day that no version has."""
-    days = changed.select("dataset", F.explode(F.sequence("day", F.date_add("day", span))).alias("version"))
-    return days.join(taken, ["dataset", "version"], "left_anti").groupBy("dataset").agg(F.min("version").alias("version"))
+def free_version(changed: DataFrame, taken: DataFrame) -> DataFrame:
+    """dataset, version: the day of change, or the next day that no version has, however many in a row are taken.
+
+    Days taken in a row are one island (their distance from their rank is equal); a change within one moves to the day after its end.
+    """
+    days = taken.select("dataset", "version").where("version is not null").distinct()
+    rank = F.row_number().over(W.partitionBy("dataset").orderBy("version"))
+    islands = days.withColumn("_i", F.date_sub("version", rank)).groupBy(F.col("dataset").alias("_d"), "_i").agg(F.min("version").alias("_from"), F.max("version").alias("_to"))
+    held = changed.select("dataset", "day").distinct().join(islands, F.col("dataset").eqNullSafe(F.col("_d")) & F.col("day").between(F.col("_from"), F.col("_to")), "left")
+    return held.select("dataset", F.coalesce(F.date_add("_to", 1), "day").alias("version")).groupBy("dataset").agg(F.min("version").alias("version"))
 
 
 def revised_between(fetches: DataFrame, snapshots: DataFrame) -> DataFrame:

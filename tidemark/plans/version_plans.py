@@ -148,7 +148,7 @@ SQL["v12_revised_since"] = f"WITH f AS (SELECT dataset, day, CASE WHEN revised >
 P["v13_revision_flag"] = lambda s, d: v.revisions(v.part_digests(version_a(s, d).where("o_orderkey % 1009 <> 0"), "day", "month"), v.part_digests(version_a(s, d), "day", "month"), "month", 2, "1997-03-15")
 SQL["v13_revision_flag"] = f"SELECT DISTINCT {_label('month')} AS period FROM {A} WHERE o_orderkey % 1009 = 0 AND {_label('month')} < '1997-02'"
 P["v15_version_date"] = lambda s, d: v.free_version(_log(s, d).groupBy("dataset").agg(F.min("day").alias("day")), _log(s, d).select("dataset", F.col("day").alias("version")))
-SQL["v15_version_date"] = f"SELECT dataset, min(version) AS version FROM (SELECT dataset, CAST(unnest(generate_series(m, m + INTERVAL 60 DAY, INTERVAL 1 DAY)) AS DATE) AS version FROM (SELECT dataset, min(day) AS m FROM {LOG} GROUP BY 1)) c WHERE NOT EXISTS (SELECT 1 FROM {LOG} t WHERE t.dataset = c.dataset AND t.day = c.version) GROUP BY 1"
+SQL["v15_version_date"] = f"WITH RECURSIVE t(dataset, version) AS (SELECT dataset, min(day) FROM {LOG} GROUP BY 1 UNION ALL SELECT t.dataset, CAST(t.version + INTERVAL 1 DAY AS DATE) FROM t WHERE EXISTS (SELECT 1 FROM {LOG} l WHERE l.dataset = t.dataset AND l.day = t.version)) SELECT dataset, max(version) AS version FROM t GROUP BY 1"
 P["v17_grain_check"] = lambda s, d: v.grain_problem(_dated(s, d).where("day is not null").groupBy(v.period(F.col("day"), "quarter").alias("period")).agg((F.count("*") * 100).alias("bytes")), F.substring("period", 1, 4), 60_000)
 SQL["v17_grain_check"] = f"SELECT period, CASE WHEN bytes > 60000 THEN 'finer' WHEN sum(bytes) OVER (PARTITION BY substring(period, 1, 4)) <= 60000 THEN 'coarser' END AS problem FROM (SELECT {_label('quarter')} AS period, count(*) * 100 AS bytes FROM {D} WHERE day IS NOT NULL GROUP BY 1)"
 P["v19_latest_view"] = lambda s, d: v.latest(_log(s, d).select("dataset", F.col("day").alias("version"), "churn"), _log(s, d).where("revised = 1").select("dataset", F.col("day").alias("version")))

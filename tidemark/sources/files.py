@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterator
 from functools import reduce
 
@@ -11,18 +12,50 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 
+def records(spark: SparkSession, path: str, header_row: int = 1) -> DataFrame:
+    """file, line, record: the records of delimited text files after `header_row` - 1 lines of preamble, with the line of their file that each starts on (from 1).
+
+    A line starts a record where an even number of quotes stands before it in its file. Files are read in blocks, as many at once as there are: lines and quotes are counted
+    by block, each block starts from the counts of those before it in its file, and only the lines of records that run over several meet, by record. So a file of any
+    size is split, wherever its new lines are quoted. Line ends inside a record are new lines.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    at = ["file", "block"]
+    upto = W.partitionBy(*at).orderBy("id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # a row a block
+    counted = lines.groupBy(*at).agg(F.count("*").alias("n")).select(*at, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines"))
+    numbered = lines.withColumn("row", F.row_number().over(upto)).join(counted, at).withColumn("line", F.col("row") + F.col("lines")).drop("row", "lines")
+    numbered = numbered.where(F.col("line") >= header_row).withColumn("value", F.when(F.col("line") == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")))
+    numbered = numbered.withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+    quotes = numbered.groupBy(*at).agg(F.sum("quotes").alias("n")).select(*at, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("past"))
+    marked = numbered.join(quotes, at).withColumn("open", (F.col("past") + F.sum("quotes").over(upto) - F.col("quotes")) % 2 == 1)
+    marked = marked.withColumn("start", F.when(~F.col("open"), F.col("line")))
+    starts = marked.groupBy(*at).agg(F.max("start").alias("n")).select(*at, F.last("n", True).over(before).alias("from"))
+    placed = marked.join(starts, at).withColumn("record_line", F.coalesce(F.last("start", True).over(upto), "from"))
+    alone = ~F.col("open") & (F.col("quotes") % 2 == 0)
+    one = placed.where(alone).select("file", "line", F.col("value").alias("record"))
+    parts = placed.where(~alone).groupBy("file", F.col("record_line").alias("line")).agg(F.array_sort(F.collect_list(F.struct(F.col("line").alias("at"), "value"))).alias("parts"))
+    return one.unionByName(parts.select("file", "line", F.array_join("parts.value", "\n").alias("record"))).where("record <> ''")
+
+
 def delimited(spark: SparkSession, path: str, separator: str = ",", header_row: int = 1) -> DataFrame:
-    """All-text columns of a delimited file. `tab` is a tab; with a preamble the header is row `header_row`; rows that are
-    short are padded with NULL; new lines inside quotes are kept. No type or null is inferred."""
+    """All-text columns of delimited files. `tab` is a tab; with a preamble the header is line `header_row`; rows that are
+    short are padded with NULL, as empty cells are; new lines inside quotes are kept. No type or null is inferred.
+
+    Every file is read by its own header, names as written; files of several headers become one table by name.
+    """
     sep = "\t" if separator == "tab" else separator
-    if header_row == 1:
-        return spark.read.csv(path, sep=sep, header=True, multiLine=True, inferSchema=False, escape='"', nullValue="\u0000", emptyValue="")
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\r\n?", "\n").alias("value"))
-    header = whole.select(F.get(F.split("value", "\n"), F.lit(header_row - 1)).alias("h")).first()["h"]
-    names = [n.strip().strip('"') for n in header.split(sep)]
-    body = whole.select(F.explode(F.slice(F.split("value", "\n"), header_row + 1, 1 << 30)).alias("line")).where("line <> ''")
-    schema = ", ".join(f"`{n}` string" for n in names)
-    return body.select(F.from_csv("line", schema, {"sep": sep, "escape": '"', "mode": "PERMISSIVE"}).alias("r")).select("r.*")
+    rows = records(spark, path, header_row)
+    names = rows.where(F.col("line") == header_row).select("file", F.col("record").alias("header"))
+    told = [r.header for r in names.select("header").distinct().orderBy("header").collect()]  # one row for each kind of file
+    body = rows.where(F.col("line") > header_row).join(names, "file")
+    options = {"sep": sep, "escape": '"', "mode": "PERMISSIVE", "nullValue": "\u0000", "emptyValue": ""}
+    out = None
+    for header in told:
+        schema = ", ".join("`" + n.replace("`", "``") + "` string" for n in next(csv.reader([header], delimiter=sep)))
+        made = body.where(F.col("header") == header).select(F.from_csv("record", schema, options).alias("r")).select("r.*")
+        out = made if out is None else out.unionByName(made, allowMissingColumns=True)
+    return out if out is not None else spark.read.csv(path, sep=sep, header=True)
 
 
 def short_rows(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
