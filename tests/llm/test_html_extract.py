@@ -1,6 +1,8 @@
 import random
 from itertools import product
 
+import pytest
+
 from tidemark.llm import html_extract as h
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="home page"><header><h1>Site</h1><nav><ul><li><a href=/>Home</a></ul></nav></header>
@@ -93,3 +95,44 @@ def test_generated_pages():
         after = r.choice(["", "<footer>&copy; us</footer>", f'<section class="comments"><p>{prose(5, 80)}</p></section>', '<div class="sidebar"><ul><li><a href=/x>Other</a></ul></div>'])
         got = said(f"<html><head><title>T</title></head><body>{before}{wrap}<article>{''.join(html_)}</article>{after}</body></html>")
         assert got == "\n\n".join(parts)
+
+
+TEN = [f"Paragraph {k} of the article says what {PROSE.lower()}" for k in range(10)]
+
+
+@pytest.mark.parametrize("n", [10, 2])
+@pytest.mark.parametrize(
+    "block",
+    [
+        "<div class='cookieBanner'><p>We use cookies to make this site work for you.</p></div>",
+        "<div id='google_ads_iframe'><p>Advertisement: buy the best engine of the year, today only.</p></div>",
+        "<div class='user-discussion'><h2>3 Comments</h2><p>Bob says that all of this is wrong and he knows it.</p></div>",
+        "<div><h3>2 comments</h3><p>Bob says that all of this is wrong and he knows it.</p><p>Ann agrees with him, and so do we all, at length.</p></div>",
+        "<div class='newsletter'><p>Sign up to our letter for more of the same news, every week, and never miss another story that we write for you, our dear readers.</p></div>",
+        "<div class='advert'><p>Buy one now, for less than ever before, and get a second one that you do not need for no more than the price of the first one.</p></div>",
+        "<noscript><p>Please enable JavaScript to read this page.</p></noscript>",
+    ],
+)
+def test_blocks_of_others_inside_an_article(n, block):
+    shown = [f"<p>{p}</p>" for p in TEN[:n]]
+    want = "\n\n".join(" ".join(p.split()) for p in TEN[:n])
+    for at in {n, n // 2, 1}:
+        assert said("<article>" + "".join(shown[:at]) + block + "".join(shown[at:]) + "</article>") == want
+
+
+@pytest.mark.parametrize("n", [10, 2])
+def test_lists_of_links_by_their_place(n):
+    shown = [f"<p>{p}</p>" for p in TEN[:n]]
+    prose = [" ".join(p.split()) for p in TEN[:n]]
+    links = "<ul><li><a href=/a>First report</a></li><li><a href=/b>The second report of the council</a></li><li><a href=/c>Data</a></li></ul>"
+    items = ["First report", "The second report of the council", "Data"]
+    at = n // 2
+    assert said("<article>" + "".join(shown[:at]) + links + "".join(shown[at:]) + "</article>") == "\n\n".join(prose[:at] + items + prose[at:])
+    assert said("<article>" + "".join(shown) + "<h2>Sources</h2>" + links + "</article>") == "\n\n".join(prose + ["Sources"] + items)
+    for menu in (f"<nav>{links}</nav>", f"<div class='related-links'>{links}</div>", f"<aside>{links}</aside>"):
+        assert said("<article>" + "".join(shown[:at]) + menu + "".join(shown[at:]) + "</article>") == "\n\n".join(prose)
+
+
+def test_names_that_are_content():
+    for wrap in ("<div class='adsorption-study'>", "<section id='discussion'>", "<div class='content-sidebar-wrap'>", "<div id='thread-safety'>"):
+        assert said(f"<article>{wrap}<h2>On it</h2><p>{PROSE}</p></div></section></article>") == "On it\n\n" + " ".join(PROSE.split())

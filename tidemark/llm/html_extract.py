@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 SCHEMA = "page_id long, url string, text string, n_chars long, n_blocks long, n_content long, n_swayed long"
 
 # HTML element names by what they do to text.
-RAW = {"script", "style", "template", "iframe", "noembed", "noframes", "svg"}
+RAW = {"script", "style", "template", "iframe", "noembed", "noframes", "noscript", "svg"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "math", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img"}
 MATHS = {"mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mtable", "mtr", "mtd", "mspace", "mstyle", "semantics"}
@@ -33,14 +33,22 @@ NAMES = dict.fromkeys(
     "ad ads advert adverts advertisement advertisements advertising breadcrumb breadcrumbs cookie cookies consent gdpr disqus masthead navbar newsletter notice notices pager pagination "
     "popup modal overlay promo promoted sidebar sponsor sponsored subscribe subscription signup login toolbar".split(), 400
 ) | dict.fromkeys("alert aside banner copyright disclaimer footer header legal menu nav navigation recommended recommendations related respond search share sharing skip social tags teaser widget".split(), 160)
+#: From this cost on a word hardly names anything else.
+STRONG = 400
 COMMENTS = {"comment", "comments", "reply", "replies"}
+#: Names that are readers' comments only beside a word for readers, and headings that open them.
+TALK, READERS = {"discussion", "discussions", "feedback", "response", "responses", "thread", "threads"}, {"community", "public", "reader", "readers", "user", "users", "visitor", "visitors"}
+_TALK_HEAD = re.compile(r"(?i)(?:[\d,]+|no)\s+(?:comments?|replies|responses)|(?:reader |user )?comments?\s*(?:\(\d+\))?|leave a (?:comment|reply)|join the (?:discussion|conversation)")
+#: Headings that a list of links belongs to.
+_LIST_HEAD = re.compile(r"(?i)\W*(?:sources?|references?|citations?|notes|footnotes|bibliography|further reading|works cited|external links)\W*")
 GOOD = {"article", "articlebody", "body", "content", "entry", "main", "page", "post", "story", "text"}
 #: Parts of a name that make it tell a state of something else ("has-sidebar", "menu-open").
 STATES = {"has", "with", "without", "no", "not", "is", "open", "closed", "on", "off", "enabled", "disabled", "active"}
 
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|$)|<[!?][^>]*+(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|$)|'[^']*+(?:'|$))?)*+)(>|$)""", re.S)
 _NAMES = re.compile(r"""(?i)(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""")
-_PART = re.compile(r"[\s_-]+")
+#: Names come apart at signs, and where a capital follows a small letter ("cookieBanner").
+_PART = re.compile(r"[\s_:.-]+|(?<=[a-z0-9])(?=[A-Z])")
 _STOP = re.compile(r"[.!?。！？…]")
 _ends: dict[str, re.Pattern] = {}
 
@@ -77,16 +85,18 @@ class Block:
 def named(told: str) -> tuple[int, bool, bool]:
     """(cost to the content side, names comments, names content) of class and id values.
 
-    A word counts in full where it is a whole name or its last part ("cookie-notice"), at 0.6 where it is the first ("share-buttons"),
-    and not inside a longer one or in a name that tells a state ("content-sidebar-wrap", "has-sidebar").
+    A word counts in full where it is a whole name or its last part ("cookie-notice"), at 0.6 where it is the first ("share-buttons", "cookieBanner");
+    one that hardly names anything else so within a longer name too ("google_ads_iframe"), unless that names content. A name that tells a
+    state ("has-sidebar") says nothing. A discussion is of readers where the name says so ("user-discussion").
     """
     cost, comments, good = 0, False, False
-    for token in told.lower().split():
-        parts = [x for x in _PART.split(token) if x]
+    for token in told.split():
+        parts = [x.lower() for x in _PART.split(token) if x]
         if not parts or STATES.intersection(parts):
             continue
-        cost = max(cost, NAMES.get(parts[-1], 0), NAMES.get(parts[0], 0) * 6 // 10 if len(parts) > 1 else 0)
-        comments |= parts[-1] in COMMENTS or parts[0] in COMMENTS
+        within = [] if GOOD.intersection(parts) else [c for x in parts[1:-1] if (c := NAMES.get(x, 0)) >= STRONG]
+        cost = max(cost, NAMES.get(parts[-1], 0), *(c * 6 // 10 for c in within), NAMES.get(parts[0], 0) * 6 // 10 if len(parts) > 1 else 0)
+        comments |= parts[-1] in COMMENTS or parts[0] in COMMENTS or bool(TALK.intersection(parts) and READERS.intersection(parts))
         good |= parts[-1] in GOOD
     return cost, comments, good
 
@@ -170,6 +180,40 @@ def _opened(name: str, attributes: str, parent: int, nodes: list[Node]) -> Node:
     return Node(parent, up.depth + 1, name, max(up.cost, kind, 1200 if hidden else 0), cost, up.comments or comments, main or up.main, good or up.good, name in HEADINGS or up.heading)
 
 
+def _talk(found: list[Block], nodes: list[Node]) -> set[int]:
+    """Blocks under a heading over readers' comments: the heading and all that follows in the element that holds it."""
+    out, opened = set(), {}
+    for k, b in enumerate(found):
+        if nodes[b.node].heading and nodes[nodes[b.node].parent].parent and _TALK_HEAD.fullmatch(b.text):
+            opened[nodes[b.node].parent] = k
+        up = b.node
+        while opened and up:
+            if up in opened:
+                out.add(k)
+                break
+            up = nodes[up].parent
+    return out
+
+
+def _listed(found: list[Block], nodes: list[Node]) -> set[int]:
+    """Linked items of an article's list that stands amid its prose, or under a heading such as Sources.
+
+    Amid prose: a block of ten words or more, mostly not linked, comes before and after it in the same article.
+    """
+    prose = [k for k, b in enumerate(found) if b.words >= 10 and 2 * b.linked < len(b.text) and nodes[b.node].main and not nodes[b.node].cost]
+    if not prose:
+        return set()
+    out, head, said = set(), "", set(prose)
+    for k, b in enumerate(found):
+        if nodes[b.node].heading:
+            head = b.text
+        elif k in said:
+            head = ""
+        if nodes[b.node].name == "li" and nodes[b.node].main and not nodes[b.node].cost and (prose[0] < k < prose[-1] or prose[0] < k and _LIST_HEAD.fullmatch(head)):
+            out.add(k)
+    return out
+
+
 #: What every block has against it: short pieces of text are boilerplate until something says otherwise.
 PRIOR = 40
 
@@ -179,8 +223,10 @@ def costs(found: list[Block], nodes: list[Node]) -> list[tuple[int, int]]:
 
     For content: words, sentence ends, headings. Against: being a line at all (PRIOR), links, the kind of an element around it, lying
     outside the page's article, and names of classes and ids. A name says nothing against what it wraps where
-    it wraps the largest article or half of the page's text.
+    it wraps the largest article; nor does one of several meanings where it wraps half of the page's text, or a strong one that wraps most of it with a heading. Links in a list
+    of the article (see `_listed`) say little against it. What follows a heading over comments, in the same element, is comments.
     """
+    talk, listed = _talk(found, nodes), _listed(found, nodes)
     for b in found:
         if not nodes[b.node].cost and not nodes[b.node].comments:
             nodes[b.node].chars += len(b.text)
@@ -193,17 +239,18 @@ def costs(found: list[Block], nodes: list[Node]) -> list[tuple[int, int]]:
     while root:
         around.add(root)
         root = nodes[root].parent
-    against = [0] * len(nodes)
+    against, headed = [0] * len(nodes), {nodes[b.node].parent for b in found if nodes[b.node].heading}
     for k in range(1, len(nodes)):
         n = nodes[k]
-        wraps = k in around or 2 * n.chars >= nodes[0].chars > 0
+        share = n.chars / max(1, nodes[0].chars)
+        wraps = k in around or share >= 0.5 and n.named < STRONG or share >= 0.8 and k in headed
         against[k] = max(against[n.parent], 0 if wraps else n.named)
     out = []
-    for b in found:
+    for k, b in enumerate(found):
         n = nodes[b.node]
-        share = b.linked / max(1, len(b.text))
+        share = b.linked / max(1, len(b.text)) * (0.2 if k in listed else 1)
         content = 10 + 3 * min(b.words, 40) + (25 if _STOP.search(b.text) else 0) + (20 if n.heading else 0)
-        boiler = PRIOR + int(90 * share) + (15 if b.words < 4 and b.linked else 0) + n.cost + against[b.node] + (600 if n.comments else 0)
+        boiler = PRIOR + int(90 * share) + (15 if b.words < 4 and b.linked and k not in listed else 0) + n.cost + against[b.node] + (600 if n.comments or k in talk else 0)
         if has_main and not n.main:
             boiler += 260
         elif not has_main and n.good:
