@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tidemark.functions.lineage import checkpointed
+
 
 def on_edge(x: Column, y: Column, e: Column) -> Column:
     """Whether a point lies on the edge (x1, y1)-(x2, y2)."""
@@ -33,22 +38,123 @@ def edges(rings: Column) -> Column:
     return F.flatten(F.transform(rings, ring))
 
 
-def point_in_area(points: DataFrame, areas: DataFrame, lon: str = "lon", lat: str = "lat", cell: float = 1.0) -> DataFrame:
+#: Edges in a cell of a cover before it is cut into four, and how often a cell is cut at most.
+CELL_EDGES, DEPTH = 16, 40
+#: Where in a cell its reference point lies, off the places where edges are drawn.
+REF_X, REF_Y = 0.3819660112501051, 0.4142135623730951
+
+CELLS = "code string, name string, level int, i long, j long, inside boolean, edges array<struct<x1: double, y1: double, x2: double, y2: double>>"
+
+
+def _crossings(px: float, py: float, qx: float, qy: float, e: np.ndarray) -> int:
+    """How many edges the way from p to q crosses: along y = py to x = qx, then along x = qx."""
+    x1, y1, x2, y2 = e.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = (x2 - x1) * (py - y1) / np.where(y2 == y1, 1.0, y2 - y1) + x1
+        up = (y2 - y1) * (qx - x1) / np.where(x2 == x1, 1.0, x2 - x1) + y1
+    flat = ((y1 > py) != (y2 > py)) & ((px < at) != (qx < at))
+    steep = ((x1 > qx) != (x2 > qx)) & ((py < up) != (qy < up))
+    return int(flat.sum() + steep.sum())
+
+
+def _touching(e: np.ndarray, x0: float, y0: float, size: float) -> np.ndarray:
+    """Which edges touch a cell, by its box and the sides of each edge's line that its corners lie on; a little more than the cell counts."""
+    more = size * 1e-9 + 1e-11
+    a, b, c, d = x0 - more, y0 - more, x0 + size + more, y0 + size + more
+    x1, y1, x2, y2 = e.T
+    near = (np.minimum(x1, x2) <= c) & (np.maximum(x1, x2) >= a) & (np.minimum(y1, y2) <= d) & (np.maximum(y1, y2) >= b)
+    sides = [(x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) for x in (a, c) for y in (b, d)]
+    return near & (np.minimum.reduce(sides) <= 0) & (np.maximum.reduce(sides) >= 0)
+
+
+def quadtree(rings: list[list[tuple[float, float]]]) -> Iterator[tuple[int, int, int, bool, np.ndarray]]:
+    """(level, i, j, whether the reference point is inside, edges) of the cells that cover an area; a cell of level l has sides of 2 ** -l.
+
+    A cell that more than CELL_EDGES edges touch is cut into four. Cells that none touches are given if they lie inside. Whether a reference point is inside follows from that of the cell around by
+    the edges on the way, which all touch that cell.
+    """
+    parts = [np.column_stack((r, np.roll(r, -1, axis=0))) for ring in rings if len(r := np.array(ring, float).reshape(-1, 2))]
+    if not parts:
+        return
+    e = np.concatenate(parts)
+    low, high = e.reshape(-1, 2).min(0), e.reshape(-1, 2).max(0)
+    level = -math.ceil(math.log2(max(high[0] - low[0], high[1] - low[1], 2.0**-30)))
+    size = 2.0**-level
+    stack = []
+    for i in range(math.floor(low[0] / size), math.floor(high[0] / size) + 1):
+        for j in range(math.floor(low[1] / size), math.floor(high[1] / size) + 1):
+            x, y = (i + REF_X) * size, (j + REF_Y) * size
+            stack.append((level, i, j, _crossings(high[0] + size, high[1] + size, x, y, e) % 2 == 1, e[_touching(e, i * size, j * size, size)]))
+    first = level
+    while stack:
+        level, i, j, inside, own = stack.pop()
+        if not len(own) and not inside:
+            continue
+        if len(own) <= CELL_EDGES or level - first >= DEPTH:
+            yield level, i, j, inside, own
+            continue
+        size = 2.0**-level
+        half = size / 2
+        x, y = (i + REF_X) * size, (j + REF_Y) * size
+        for a in (2 * i, 2 * i + 1):
+            for b in (2 * j, 2 * j + 1):
+                crossed = _crossings(x, y, (a + REF_X) * half, (b + REF_Y) * half, own)
+                stack.append((level + 1, a, b, inside != (crossed % 2 == 1), own[_touching(own, a * half, b * half, half)]))
+
+
+def cover(areas: DataFrame) -> DataFrame:
+    """The quadtree cells of every area (code, name, rings): CELLS. An area is cut up where its row is; each row given back has a few edges."""
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.struct([(c, pa.float64()) for c in ("x1", "y1", "x2", "y2")]))]
+    names = [c.split()[0] for c in CELLS.split(", ")[:7]]
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
+        for batch in batches:
+            rows = []
+            for code, name, rings in zip(*(batch.column(k) for k in range(3))):
+                drawn = [[(p["x"], p["y"]) for p in ring] for ring in rings.as_py() or []]
+                for level, i, j, inside, e in quadtree(drawn):
+                    rows.append((code.as_py(), name.as_py(), level, i, j, inside, [dict(zip(("x1", "y1", "x2", "y2"), x)) for x in e.tolist()]))
+                    if len(rows) >= 10_000:
+                        yield made(rows)
+                        rows = []
+            yield made(rows)
+
+    return areas.select(F.col("code").cast("string"), F.col("name").cast("string"), "rings").mapInArrow(cells, CELLS)
+
+
+def in_cell(x: Column, y: Column, level: Column, i: Column, j: Column, inside: Column, edges: Column) -> Column:
+    """Whether a point of a cell lies in the area: as the reference point does, once for each edge on the way between them; the boundary is inside."""
+    size = F.pow(F.lit(2.0), -level)
+    rx, ry = (i + REF_X) * size, (j + REF_Y) * size
+
+    def crossed(e: Column) -> Column:
+        at = (e["x2"] - e["x1"]) * (y - e["y1"]) / F.when(e["y2"] == e["y1"], F.lit(1.0)).otherwise(e["y2"] - e["y1"]) + e["x1"]
+        up = (e["y2"] - e["y1"]) * (rx - e["x1"]) / F.when(e["x2"] == e["x1"], F.lit(1.0)).otherwise(e["x2"] - e["x1"]) + e["y1"]
+        flat = ((e["y1"] > y) != (e["y2"] > y)) & ((x < at) != (rx < at))
+        steep = ((e["x1"] > rx) != (e["x2"] > rx)) & ((y < up) != (ry < up))
+        return flat != steep
+
+    return F.exists(edges, lambda e: on_edge(x, y, e)) | (inside != (F.size(F.filter(edges, crossed)) % 2 == 1))
+
+
+def point_in_area(points: DataFrame, areas: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Each point with the code and name of the area it lies in: the least code where several hold it, NULL where none does.
 
-    areas: code, name, rings. An area is listed under every grid cell its box covers, a point is looked for in its own cell:
-    an equi-join on cells, then the ray cast. Cells of dense points are split by Spark's skew join. Points must be told apart
-    by their columns; equal ones get equal answers.
+    areas: code, name, rings (holes and parts alike, even-odd). Areas are covered by quadtree cells: a point in an inner cell is answered by the cell, one in a border
+    cell by the few edges that touch it, so no list of edges is copied, however long. A point meets cells by equality on (level, i, j), once for each level that is in
+    use (a few tens at most come to the driver); cells of dense points are split by Spark's skew join. Points must be told apart by their columns; equal ones get equal answers.
     """
-    xs, ys = F.transform(F.flatten("rings"), lambda p: p["x"]), F.transform(F.flatten("rings"), lambda p: p["y"])
-    at = lambda c: F.floor(c / cell).cast("int")
-    listed = areas.select("code", "name", edges(F.col("rings")).alias("_edges"), at(F.array_min(xs)).alias("_x0"), at(F.array_max(xs)).alias("_x1"), at(F.array_min(ys)).alias("_y0"), at(F.array_max(ys)).alias("_y1"))
-    listed = listed.withColumn("_i", F.explode(F.sequence("_x0", "_x1"))).withColumn("_j", F.explode(F.sequence("_y0", "_y1"))).drop("_x0", "_x1", "_y0", "_y1")
-    rows = points.withColumns({"_i": at(F.col(lon)), "_j": at(F.col(lat))})
-    places = rows.select(lon, lat, "_i", "_j").where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).distinct()
-    hit = places.join(listed, ["_i", "_j"]).where(contains(F.col(lon), F.col(lat), F.col("_edges")))
-    found = hit.groupBy(lon, lat).agg(F.min_by(F.struct("code", "name"), "code").alias("_a"))
-    return rows.drop("_i", "_j").join(found, [lon, lat], "left").withColumns({"code": F.col("_a.code"), "name": F.col("_a.name")}).drop("_a")
+    cells = checkpointed(cover(areas))
+    levels = sorted(r.level for r in cells.select("level").distinct().collect())
+    places = points.select(F.col(lon).cast("double").alias("_x"), F.col(lat).cast("double").alias("_y")).where("_x is not null and _y is not null and not isnan(_x) and not isnan(_y)").distinct()
+    at = lambda c, k: F.floor(F.col(c) * 2.0**k).cast("long")
+    asked = places.withColumn("_c", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), at("_x", k).alias("i"), at("_y", k).alias("j")) for k in levels]))).select("_x", "_y", "_c.*") if levels else places.limit(0).selectExpr("_x", "_y", "0 as level", "0L as i", "0L as j")
+    hit = asked.join(cells, ["level", "i", "j"]).where(in_cell(F.col("_x"), F.col("_y"), F.col("level"), F.col("i"), F.col("j"), F.col("inside"), F.col("edges")))
+    found = hit.groupBy("_x", "_y").agg(F.min_by(F.struct("code", "name"), "code").alias("_a"))
+    return points.join(found, (points[lon].cast("double") == F.col("_x")) & (points[lat].cast("double") == F.col("_y")), "left").select(*points.columns, F.col("_a.code").alias("code"), F.col("_a.name").alias("name"))
 
 
 def pinned_layer(fetches: DataFrame, layers: DataFrame) -> DataFrame:
