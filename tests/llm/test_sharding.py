@@ -15,12 +15,27 @@ def test_near_equal_bytes_gapless_slots(docs):
     for s in range(16):
         own = [r for r in out if r.shard == s]
         assert sorted(r.slot for r in own) == list(range(len(own)))
-        assert abs(sum(r.size for r in own) - total / 16) <= largest
-    small = [r for r in out if 1 < r.doc_id % 37 < 5 and r.doc_id < 900]
-    by_text = {}
-    for r in small:
+        assert abs(sum(r.size for r in own) - total / 16) <= largest + sharding.WHOLE * total / 16
+    by_text, sizes = {}, {}
+    for r in out:
+        by_text.setdefault(text[r.doc_id], set()).add(r.shard)
+        sizes[text[r.doc_id]] = sizes.get(text[r.doc_id], 0) + r.size
+    assert all(len(s) == 1 for x, s in by_text.items() if sizes[x] <= sharding.WHOLE * total / 16)
+    assert any(len(s) > 1 for s in by_text.values())  # a group that no shard takes is cut at boundaries
+
+
+def test_groups_on_boundaries_stay_whole(docs):
+    """Groups of five copies everywhere: none is parted, and sizes stay within half a group of equal at each end."""
+    rows = [(k, f"text {k // 5} " * 12) for k in range(4000)]
+    out = sharding.sharded_documents(docs(rows), 16).collect()
+    by_text, size = {}, [0] * 16
+    for r in out:
         by_text.setdefault(r.text_crc32, set()).add(r.shard)
-    assert all(len(s) <= 2 for s in by_text.values())  # a group of copies is cut only at a boundary
+        size[r.shard] += r.size
+    group = 5 * max(r.size for r in out)
+    assert all(len(s) == 1 for s in by_text.values()) and max(size) - min(size) <= 2 * group
+    for s in range(16):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
 
 
 def test_empty_and_repeated(docs):
