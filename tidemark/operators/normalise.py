@@ -314,6 +314,28 @@ def stacked(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), tables).distinct()
 
 
+def stacked_files(tables: dict[str, DataFrame], pattern: str = "", label: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(files of one column set as one table without repeats, one row of what was read): the second has read and repeated.
+
+    With `label`, a column of that name tells each row's file: what `pattern`'s group (or else the whole pattern) finds in the file's name; a name without a match is refused.
+    Rows that differ in their label alone are different rows.
+    """
+    made = []
+    for name, t in tables.items():
+        if label is not None:
+            found = re.search(pattern, name)
+            if pattern and not found:
+                raise SchemaError(f"{name!r} does not match the pattern of file names")
+            t = t.withColumn(label, F.lit((found[1] if found.groups() else found[0]) if pattern else name))
+        made.append(t)
+    names = set(made[0].columns)
+    for t in made:
+        if set(t.columns) != names:
+            raise SchemaError(f"columns differ: {sorted(names ^ set(t.columns))}")
+    every = reduce(lambda a, b: a.unionByName(b), made).groupBy(*made[0].columns).agg(F.count("*").alias("_n"))
+    return every.drop("_n"), every.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("read"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("repeated"))
+
+
 def footnote(c: Column) -> tuple[Column, Column]:
     """(cell without a footnote number at its end, the number or NULL)."""
     pattern = r"^(.*\S)\s+(\d{1,2})$"

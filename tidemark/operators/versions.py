@@ -69,6 +69,20 @@ def schema_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.sparkSession.createDataFrame(made, "field string, change string")
 
 
+def field_changes(fields: DataFrame) -> DataFrame:
+    """dataset, version, field, change (added, removed, retyped) of every version against the one before, from a table of fields: dataset, version, field, type.
+
+    The schemas of a whole register are compared in one job; a dataset's first version has no changes.
+    """
+    versions = fields.select("dataset", "version").distinct()
+    steps = versions.withColumn("before", F.lag("version").over(W.partitionBy("dataset").orderBy("version"))).where("before is not null")
+    now = steps.join(fields, ["dataset", "version"]).select("dataset", "version", "field", F.col("type").alias("_new"))
+    old = steps.join(fields.withColumnRenamed("version", "before"), ["dataset", "before"]).select("dataset", "version", "field", F.col("type").alias("_old"))
+    both = now.join(old, ["dataset", "version", "field"], "full_outer")
+    change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(F.col("_old") != F.col("_new"), "retyped")
+    return both.select("dataset", "version", "field", change.alias("change")).where("change is not null")
+
+
 def change_examples(a: DataFrame, b: DataFrame, key: list[str], limit: int = 10) -> DataFrame:
     """The first changed rows by key, a row for each field that moved: key, field, before, after."""
     fields = [c for c in b.columns if c not in key and c in a.columns]

@@ -13,8 +13,22 @@ from tidemark.sources import files, sinks
 P, SQL = {}, {}
 P["g02_int32_fit"] = lambda s, d: n.int_ranges(table(s, d, "events").withColumn("big", F.col("event_id") * 3_000_000_000), ["event_id", "user_id", "big"])
 SQL["g02_int32_fit"] = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", min({e}) AS low, max({e}) AS high, max({e}) < 2147483648 AS fits FROM events" for c, e in (("event_id", "event_id"), ("user_id", "user_id"), ("big", "event_id * 3000000000")))
-P["g03_content_equal"] = lambda s, d: k.content_equal({"orders": orders(s, d), "part": table(s, d, "part").withColumn("_pos", F.col("p_partkey"))}, {"orders": orders(s, d).repartition(3), "part": table(s, d, "part").withColumn("_pos", F.col("p_partkey") + 1)}, "_pos")
-SQL["g03_content_equal"] = "SELECT 'orders' AS \"table\", NOT EXISTS (SELECT * FROM orders EXCEPT ALL SELECT * FROM orders) AS same UNION ALL SELECT 'part', NOT EXISTS (SELECT *, p_partkey AS _pos FROM part EXCEPT ALL SELECT *, p_partkey + 1 AS _pos FROM part)"
+
+
+def _trees(spark, d):
+    """Two trees of tables: one table dealt anew, one with a row less, one with another value, one in another order of rows, one that only one has."""
+    part, o = table(spark, d, "part").withColumn("_pos", F.col("p_partkey")), orders(spark, d)
+    one = {"orders": o, "fewer": part, "other": part, "moved": part, "gone": part}
+    other = {"orders": o.repartition(3), "fewer": part.where("p_partkey <> 7"), "other": part.withColumn("p_size", F.when(F.col("p_partkey") == 7, -1).otherwise(F.col("p_size"))), "moved": part.withColumn("_pos", F.col("p_partkey") + 1)}
+    return k.content_equal(one, other, "_pos")
+
+
+P["g03_content_equal"] = _trees
+_PART = "SELECT *, p_partkey AS _pos FROM part"
+_SAME = "SELECT '{}' AS \"table\", NOT EXISTS ({} EXCEPT ALL {}) AND NOT EXISTS ({} EXCEPT ALL {}) AS same"
+SQL["g03_content_equal"] = " UNION ALL ".join(_SAME.format(n_, a_, b_, b_, a_) for n_, a_, b_ in (
+    ("orders", "SELECT * FROM orders", "SELECT * FROM (SELECT * FROM orders ORDER BY o_custkey)"), ("fewer", _PART, f"{_PART} WHERE p_partkey <> 7"), ("other", _PART, "SELECT * REPLACE (CASE WHEN p_partkey = 7 THEN -1 ELSE p_size END AS p_size), p_partkey AS _pos FROM part"), ("moved", _PART, "SELECT *, p_partkey + 1 AS _pos FROM part")
+)) + " UNION ALL SELECT 'gone', false"
 
 
 def _items(spark, d):
@@ -68,7 +82,17 @@ def _parts(spark, d):
 
 P["k09_sink_parts"] = _parts
 SQL["k09_sink_parts"] = "SELECT o_orderkey, CAST(year(o_orderdate) AS VARCHAR) AS period FROM orders WHERE year(o_orderdate) NOT IN (1997, 1998) OR o_orderkey % 2 = 0"
-P["k07_sink_geojson_rows"] = lambda s, d: sinks.geojson_rows(table(s, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, (F.col("c_custkey") % 100 + 0.5).cast("double")).alias("lon"), F.lit(-30.25).cast("double").alias("lat")), "lon", "lat")
+
+
+def _geojson(spark, d):
+    """Features written one a line and read back."""
+    path = folder(spark, "geojson")
+    rows = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, (F.col("c_custkey") % 100 + 0.5).cast("double")).alias("lon"), F.lit(-30.25).cast("double").alias("lat"))
+    sinks.write_geojson(rows, path, "lon", "lat")
+    return spark.read.text(path)
+
+
+P["k07_sink_geojson_rows"] = _geojson
 SQL["k07_sink_geojson_rows"] = "SELECT '{\"type\":\"Feature\",\"geometry\":' || CASE WHEN c_custkey % 2 = 0 THEN '{\"type\":\"Point\",\"coordinates\":[' || (c_custkey % 100) || '.5,-30.25]}' ELSE 'null' END || ',\"properties\":{\"c_custkey\":' || c_custkey || '}}' AS value FROM customer"
 
 

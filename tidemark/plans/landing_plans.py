@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import checks as k
@@ -11,7 +13,7 @@ from tidemark.operators import versions as v
 from tidemark.plans.common import orders, table
 from tidemark.plans.stream_plans import folder
 from tidemark.plans.version_plans import A, version_a
-from tidemark.sources import files, sinks
+from tidemark.sources import described, files, sinks
 
 P, SQL = {}, {}
 
@@ -92,21 +94,44 @@ def _members(spark, d):
 
 P["s16_member_tables"] = _members
 SQL["s16_member_tables"] = 'SELECT o_orderstatus AS "table", o_orderkey FROM orders'
-P["p32_provenance_columns"] = lambda s, d: sinks.with_provenance(orders(s, d).select("o_orderkey", "o_orderstatus"), {"dataset": "orders", "version": "2024-01-01"})
-SQL["p32_provenance_columns"] = "SELECT o_orderkey, o_orderstatus FROM orders"
+
+
+def _described(spark, d):
+    """Two versions of orders with their provenance, and what the manifest and the rows say of them."""
+    path = folder(spark, "described")
+    for version, k_ in (("2024-01-01", 5), ("2024-02-01", 3)):
+        sinks.write_described(orders(spark, d).where(F.col("o_orderkey") % k_ > 0).select("o_orderkey", "o_orderstatus"), path, "orders", version, {"source": "file", "modulus": k_})
+    counted = described.described(spark, path).groupBy("dataset", "version").agg(F.count("*").alias("found"), F.max("o_orderkey").alias("last"))
+    said = described.manifest(spark, path).select("dataset", "version", "rows", F.get_json_object("provenance", "$.modulus").alias("modulus"), F.array_join("fields", ",").alias("fields"))
+    return said.join(counted, ["dataset", "version"])
+
+
+P["p32_provenance_columns"] = _described
+SQL["p32_provenance_columns"] = " UNION ALL ".join(f"SELECT 'orders' AS dataset, '{v_}' AS version, count(*) AS rows, '{k_}' AS modulus, 'o_orderkey,o_orderstatus' AS fields, count(*) AS found, max(o_orderkey) AS last FROM orders WHERE o_orderkey % {k_} > 0" for v_, k_ in (("2024-01-01", 5), ("2024-02-01", 3)))
 
 
 def _geo_parquet(spark, d):
     path = folder(spark, "geo-parquet")
     points = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.lit(1.0)).alias("lon"), F.lit(2.0).alias("lat"))
-    sinks.write_geo_parquet(points, path, "lon", "lat")
-    return spark.read.parquet(path).select("c_custkey", F.lower(F.hex("geometry")).alias("wkb"))
+    sinks.write_geo_parquet(points, path, "customers", "2024-01-01", "lon", "lat", {"source": "file"})
+    return described.described(spark, path).select("c_custkey", "dataset", F.lower(F.hex("geometry")).alias("wkb"))
 
 
 P["k06_sink_geo_parquet"] = _geo_parquet
-SQL["k06_sink_geo_parquet"] = "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '0101000000000000000000f03f0000000000000040' END AS wkb FROM customer"
-P["k13_answer_formats"] = lambda s, d: sinks.flat(sinks.with_provenance(q.aggregate_query(orders(s, d), ["o_orderstatus"], ["count"]), {"version": "2024-01-01"})).select(F.to_csv(F.struct("o_orderstatus", "count")).alias("csv"), F.to_json(F.struct("*")).alias("ndjson"))
-SQL["k13_answer_formats"] = "SELECT o_orderstatus || ',' || n AS csv, '{\"o_orderstatus\":\"' || o_orderstatus || '\",\"count\":' || n || '}' AS ndjson FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1)"
+SQL["k06_sink_geo_parquet"] = "SELECT c_custkey, 'customers' AS dataset, CASE WHEN c_custkey % 2 = 0 THEN '0101000000000000000000f03f0000000000000040' END AS wkb FROM customer"
+
+
+def _answers(spark, d):
+    """One answer in every format: the lines of each."""
+    made = q.aggregate_query(orders(spark, d).withColumn("o_orderpriority", F.when(F.col("o_orderpriority") != "5-LOW", F.concat("o_orderpriority", F.lit(', "x"')))), ["o_orderpriority"], ["count"], order="count.desc", limit=20)
+    return reduce(lambda a, b: a.unionByName(b), [sinks.answer_text(made, f, {"version": "2024-01-01"}).select(F.lit(f).alias("format"), "value") for f in ("csv", "ndjson", "json")])
+
+
+P["k13_answer_formats"] = _answers
+_ANSWER = "(SELECT CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority || ', \"x\"' END AS p, count(*) AS n FROM orders GROUP BY 1)"
+_ROW = "'{\"o_orderpriority\":' || coalesce('\"' || replace(p, '\"', '\\\"') || '\"', 'null') || ',\"count\":' || n || '}'"
+SQL["k13_answer_formats"] = f"""SELECT 'csv' AS format, 'o_orderpriority,count' AS value UNION ALL SELECT 'csv', coalesce('"' || replace(p, '"', '""') || '"', '') || ',' || n FROM {_ANSWER} UNION ALL SELECT 'ndjson', {_ROW} FROM {_ANSWER}
+ UNION ALL SELECT 'json', '{{"provenance":{{"version":"2024-01-01"}},"rows":[' || string_agg({_ROW}, ',' ORDER BY n DESC, p NULLS FIRST) || ']}}' FROM {_ANSWER}"""
 
 
 def _stored(spark, d, changed):

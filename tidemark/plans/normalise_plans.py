@@ -119,8 +119,18 @@ P["s10_dated_unpivot"] = lambda s, d: n.dated_unpivot(_wide(s, d), ["o_orderprio
 SQL["s10_dated_unpivot"] = "SELECT p.o_orderpriority, m.date, CAST(n AS VARCHAR) AS cell FROM (SELECT DISTINCT o_orderpriority FROM orders) p CROSS JOIN (VALUES " + ", ".join(f"(DATE '{m}')" for m in _MONTHS) + ") m(date) LEFT JOIN (SELECT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, count(*) AS n FROM orders GROUP BY 1, 2) c ON c.o_orderpriority = p.o_orderpriority AND c.date = m.date"
 P["s13_footnote_marks"] = lambda s, d: table(s, d, "part").select("p_partkey", *[c.alias(a) for c, a in zip(n.footnote(F.concat("p_brand", F.when(F.col("p_partkey") % 3 == 0, F.lit(" 12")).otherwise(F.lit("")))), ("cell", "note"))])
 SQL["s13_footnote_marks"] = "SELECT p_partkey, p_brand AS cell, CASE WHEN p_partkey % 3 = 0 THEN '12' END AS note FROM part"
-P["s14_stack_files"] = lambda s, d: n.stacked([table(s, d, "orders").where("o_orderkey % 2 = 0").select("o_custkey", "o_orderpriority"), table(s, d, "orders").where("o_orderkey % 3 = 0").select("o_orderpriority", "o_custkey")])
-SQL["s14_stack_files"] = "SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 2 = 0 UNION SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 3 = 0"
+
+
+def _stacked(spark, d):
+    """Rows of two files under the labels in their names, each with how many rows were read and how many of them repeat one."""
+    o = table(spark, d, "orders")
+    rows, counts = n.stacked_files({"file-2023.csv": o.where("o_orderkey % 2 = 0").select("o_custkey", "o_orderpriority"), "file-2024.csv": o.where("o_orderkey % 3 = 0").select("o_orderpriority", "o_custkey")}, r"-(\d{4})\.", "file")
+    return rows.crossJoin(F.broadcast(counts))  # one row
+
+
+P["s14_stack_files"] = _stacked
+_FILES = "(SELECT o_custkey, o_orderpriority, '2023' AS file FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, o_orderpriority, '2024' FROM orders WHERE o_orderkey % 3 = 0)"
+SQL["s14_stack_files"] = f"SELECT DISTINCT *, (SELECT count(*) FROM {_FILES}) AS read, (SELECT count(*) FROM {_FILES}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {_FILES})) AS repeated FROM {_FILES}"
 P["s18_records_view"] = lambda s, d: n.records_view(orders(s, d).select("o_orderkey", (F.col("o_orderkey") % 2 == 0).alias("even"), F.when(F.col("o_orderkey") % 5 == 0, float("nan")).otherwise(F.col("o_totalprice")).alias("price"), F.to_date("o_orderdate").alias("day"), F.array(F.lit("a"), F.lit("b")).alias("suppressed")))
 SQL["s18_records_view"] = "SELECT o_orderkey, CAST(o_orderkey % 2 = 0 AS INT) AS even, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS price, strftime(o_orderdate, '%Y-%m-%d') AS day, 'a;b' AS suppressed FROM orders"
 P["w02_forward_fill"] = lambda s, d: n.forward_fill(table(s, d, "events").select("user_id", "event_id", F.when(F.col("event_id") % 3 == 1, F.col("event_type")).otherwise("").alias("head")), "head", ["user_id"], "event_id")

@@ -149,6 +149,20 @@ P["v13_revision_flag"] = lambda s, d: v.revisions(v.part_digests(version_a(s, d)
 SQL["v13_revision_flag"] = f"SELECT DISTINCT {_label('month')} AS period FROM {A} WHERE o_orderkey % 1009 = 0 AND {_label('month')} < '1997-02'"
 P["v15_version_date"] = lambda s, d: v.free_version(_log(s, d).groupBy("dataset").agg(F.min("day").alias("day")), _log(s, d).select("dataset", F.col("day").alias("version")))
 SQL["v15_version_date"] = f"WITH RECURSIVE t(dataset, version) AS (SELECT dataset, min(day) FROM {LOG} GROUP BY 1 UNION ALL SELECT t.dataset, CAST(t.version + INTERVAL 1 DAY AS DATE) FROM t WHERE EXISTS (SELECT 1 FROM {LOG} l WHERE l.dataset = t.dataset AND l.day = t.version)) SELECT dataset, max(version) AS version FROM t GROUP BY 1"
+_FIELDS = [("orderkey", 1, "bigint"), ("status", 2, "string"), ("price", 3, "double"), ("day", 5, "date")]
+
+
+def _schemas(spark, d):
+    """The fields of each dataset's versions: a field is there where its number divides the version's, and retyped in versions after the third."""
+    rows = _log(spark, d).select("dataset", F.col("day").alias("version"), F.dayofmonth("day").alias("_k"))
+    field = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(k).alias("k"), F.lit(t).alias("type")) for f, k, t in _FIELDS])).alias("x")
+    made = rows.select("dataset", "version", "_k", field).select("dataset", "version", "_k", "x.*").where("_k % k = 0")
+    return v.field_changes(made.select("dataset", "version", "field", F.when((F.col("_k") > 15) & (F.col("field") == "price"), "decimal").otherwise(F.col("type")).alias("type")))
+
+
+P["j04_schema_diff"] = _schemas
+_FIELD_ROWS = " UNION ALL ".join(f"SELECT dataset, day AS version, '{f}' AS field, CASE WHEN day(day) > 15 AND '{f}' = 'price' THEN 'decimal' ELSE '{t}' END AS type FROM {LOG} WHERE day(day) % {k} = 0" for f, k, t in _FIELDS)
+SQL["j04_schema_diff"] = f"WITH f AS ({_FIELD_ROWS}), s AS (SELECT dataset, version, lag(version) OVER (PARTITION BY dataset ORDER BY version) AS before FROM (SELECT DISTINCT dataset, version FROM f)), n AS (SELECT s.dataset, s.version, field, type FROM s JOIN f USING (dataset, version) WHERE before IS NOT NULL), o AS (SELECT s.dataset, s.version, field, type FROM s JOIN f ON f.dataset = s.dataset AND f.version = s.before) SELECT coalesce(n.dataset, o.dataset) AS dataset, coalesce(n.version, o.version) AS version, coalesce(n.field, o.field) AS field, CASE WHEN o.type IS NULL THEN 'added' WHEN n.type IS NULL THEN 'removed' ELSE 'retyped' END AS change FROM n FULL JOIN o ON n.dataset = o.dataset AND n.version = o.version AND n.field = o.field WHERE n.type IS DISTINCT FROM o.type"
 P["v17_grain_check"] = lambda s, d: v.grain_problem(_dated(s, d).where("day is not null").groupBy(v.period(F.col("day"), "quarter").alias("period")).agg((F.count("*") * 100).alias("bytes")), F.substring("period", 1, 4), 60_000)
 SQL["v17_grain_check"] = f"SELECT period, CASE WHEN bytes > 60000 THEN 'finer' WHEN sum(bytes) OVER (PARTITION BY substring(period, 1, 4)) <= 60000 THEN 'coarser' END AS problem FROM (SELECT {_label('quarter')} AS period, count(*) * 100 AS bytes FROM {D} WHERE day IS NOT NULL GROUP BY 1)"
 P["v19_latest_view"] = lambda s, d: v.latest(_log(s, d).select("dataset", F.col("day").alias("version"), "churn"), _log(s, d).where("revised = 1").select("dataset", F.col("day").alias("version")))

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 
@@ -19,7 +19,7 @@ def records(spark: SparkSession, path: str, header_row: int = 1) -> DataFrame:
     by block, each block starts from the counts of those before it in its file, and only the lines of records that run over several meet, by record. So a file of any
     size is split, wherever its new lines are quoted. Line ends inside a record are new lines.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    lines = spark.read.option("recursiveFileLookup", not any(c in path for c in "*?[{")).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
     at = ["file", "block"]
     upto = W.partitionBy(*at).orderBy("id").rowsBetween(W.unboundedPreceding, W.currentRow)
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # a row a block
@@ -95,8 +95,13 @@ def geojson_points(spark: SparkSession, path: str) -> DataFrame:
 
 
 def xml_records(spark: SparkSession, path: str, record: str) -> DataFrame:
-    """One row for each named element: its attributes as @name, its children as columns, their attributes as child@name; repeated ones joined by ' | '."""
+    """One row for each named element: its attributes as @name, its children as columns, their attributes as child@name; repeated ones joined by ' | '.
+
+    A record that holds another of its name is refused: it would be read twice, as a row and as a child.
+    """
     rows = spark.read.format("xml").option("rowTag", record).option("inferSchema", False).option("attributePrefix", "@").load(path)
+    if _holds(rows.schema, record):
+        raise ValueError(f"a <{record}> element holds another <{record}>; name the outer one")
 
     def cells(f: StructField) -> Iterator[Column]:
         many = isinstance(f.dataType, ArrayType)
@@ -112,6 +117,12 @@ def xml_records(spark: SparkSession, path: str, record: str) -> DataFrame:
     return rows.select(*[x for f in rows.schema.fields for x in cells(f)])
 
 
+def _holds(kind: DataType, name: str) -> bool:
+    """Whether some element under a record has its name."""
+    kind = kind.elementType if isinstance(kind, ArrayType) else kind
+    return isinstance(kind, StructType) and any(f.name.split(":")[-1] == name or _holds(f.dataType, name) for f in kind.fields)
+
+
 def _part(c: Column, name: str, many: bool) -> Column:
     return F.transform(c, lambda x: x[name]) if many else c[name]
 
@@ -122,6 +133,25 @@ def member_tables(spark: SparkSession, path: str, pattern: str, schema: str, for
     return got.select(F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).alias("table"), "*")
 
 
+def delimited_members(spark: SparkSession, path: str, pattern: str, separator: str = ",") -> dict[str, DataFrame]:
+    """Delimited files under one folder grouped into tables by `pattern`'s group in their paths; files that it does not match are left out.
+
+    All files of a table must share one header: another one is refused, as its cells would stand under wrong names.
+    """
+    sep = "\t" if separator == "tab" else separator
+    lines = records(spark, path).withColumn("table", F.regexp_extract("file", pattern, 1)).where("table <> ''")
+    heads = lines.where("line = 1").groupBy("table").agg(F.array_sort(F.collect_set("record")).alias("heads"))
+    told = {r.table: r.heads for r in heads.orderBy("table").collect()}  # a row for each table, its different headers
+    out = {}
+    for name, different in told.items():
+        if len(different) > 1:
+            raise ValueError(f"the files of {name} have different headers: {different}")
+        schema = ", ".join("`" + n.strip().replace("`", "``") + "` string" for n in next(csv.reader([different[0]], delimiter=sep)))
+        options = {"sep": sep, "escape": '"', "mode": "PERMISSIVE", "nullValue": "\u0000", "emptyValue": ""}
+        out[name] = lines.where((F.col("table") == name) & (F.col("line") > 1)).select(F.from_csv("record", schema, options).alias("r")).select("r.*")
+    return out
+
+
 def json_records(spark: SparkSession, path: str, record: str) -> DataFrame:
     """The list at a dotted path, one row an element; nested fields as dotted columns, lists joined by ' | '."""
     rows = spark.read.json(path, multiLine=True).select(F.explode(record).alias("r")).select("r.*")

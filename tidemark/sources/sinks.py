@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.versions import period
+from tidemark.sources.described import write_described
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -50,11 +53,10 @@ def wkb_point(lon: Column, lat: Column) -> Column:
     return F.when(lon.isNotNull() & lat.isNotNull(), pack(F.coalesce(lon, F.lit(0.0)), F.coalesce(lat, F.lit(0.0))))
 
 
-def write_geo_parquet(df: DataFrame, path: str, lon: str, lat: str) -> None:
-    """Parquet with a geometry column of WKB points in place of lon and lat; what GeoParquet's footer says stands in the column's metadata."""
-    geo = {"encoding": "WKB", "geometry_types": ["Point"], "crs": "OGC:CRS84"}
+def write_geo_parquet(df: DataFrame, table: str, dataset: str, version: str, lon: str, lat: str, provenance: dict | None = None) -> None:
+    """A version with a geometry column of WKB points in place of lon and lat, and GeoParquet's `geo` in the footers."""
     rows = df.withColumn("geometry", wkb_point(F.col(lon), F.col(lat))).drop(lon, lat)
-    write_parquet(rows.select(*rows.columns[:-1], F.col("geometry").alias("geometry", metadata=geo)), path)
+    write_described(rows, table, dataset, version, provenance or {}, "geometry")
 
 
 def geojson_rows(df: DataFrame, lon: str, lat: str) -> DataFrame:
@@ -87,3 +89,29 @@ def write_tables(tables: dict[str, DataFrame], path: str) -> None:
 def with_provenance(df: DataFrame, source: dict[str, str]) -> DataFrame:
     """The same rows, where they come from kept in every column's metadata."""
     return df.select(*[F.col(c).alias(c, metadata={**df.schema[c].metadata, **source}) for c in df.columns])
+
+
+def csv_cell(c: Column) -> Column:
+    """A cell as text, in quotes where it holds a comma, a quote or a line end; NULL is empty."""
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    return F.when(text.rlike('[",\\n\\r]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+def answer_text(df: DataFrame, form: str, provenance: dict | None = None) -> DataFrame:
+    """line, value: a query's answer as csv (a header line first), ndjson, or json with the version's provenance beside the rows.
+
+    Lines are numbered in the answer's order. json is one line, as an answer is a page of rows: it is for pages, not for whole tables.
+    """
+    if form not in ("csv", "ndjson", "json"):
+        raise ValueError("format is json, ndjson or csv")
+    rows = flat(df) if form == "csv" else df
+    numbered = rows.select(F.monotonically_increasing_id().alias("line"), F.struct(*rows.columns).alias("r"))
+    kept = {"ignoreNullFields": "false"}
+    if form == "ndjson":
+        return numbered.select("line", F.to_json("r", kept).alias("value"))
+    if form == "csv":
+        head = df.sparkSession.range(1).select(F.lit(-1).cast("long").alias("line"), F.concat_ws(",", *[csv_cell(F.lit(c)) for c in df.columns]).alias("value"))
+        return head.unionByName(numbered.select("line", F.concat_ws(",", *[csv_cell(F.col("r")[c]) for c in df.columns]).alias("value")))
+    whole = numbered.agg(F.array_sort(F.collect_list(F.struct("line", "r"))).alias("x"))
+    answer = F.to_json(F.struct(F.from_json(F.lit(json.dumps(provenance or {})), "map<string,string>").alias("provenance"), F.col("x.r").alias("rows")), kept)
+    return whole.select(F.lit(0).cast("long").alias("line"), answer.alias("value"))
