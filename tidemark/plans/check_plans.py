@@ -123,21 +123,29 @@ P["s01_scan_delimited"] = lambda s, d: _csv_text(s, d, 2).select("Key", "Status"
 SQL["s01_scan_delimited"] = "SELECT CAST(o_orderkey AS VARCHAR) AS \"Key\", o_orderstatus AS \"Status\" FROM orders"
 
 
-def _cells(spark, d):
-    """A grid for each region: two header rows (year, blank after its first month; month), one name column, counts."""
-    seg = ["BUILDING", "MACHINERY"]
-    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    n_ = c.where(F.col("c_mktsegment").isin(seg)).groupBy("n_regionkey", "n_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
-    row, col = F.col("n_nationkey") + 3, F.when(F.col("c_mktsegment") == seg[0], 2).otherwise(3)
-    data = n_.select(F.col("n_regionkey").alias("sheet"), row.alias("row"), col.alias("col"), F.col("n").cast("string").alias("text"))
-    names = table(spark, d, "nation").select(F.col("n_regionkey").alias("sheet"), row.alias("row"), F.lit(1).alias("col"), F.col("n_name").alias("text"))
-    cell = lambda r, k, t: F.struct(F.lit(r).alias("row"), F.lit(k).alias("col"), F.lit(t).alias("text"))
-    heads = table(spark, d, "region").select(F.col("r_regionkey").alias("sheet"), F.explode(F.array(cell(1, 2, "Segment"), cell(1, 3, ""), cell(2, 2, seg[0]), cell(2, 3, seg[1]))).alias("c")).select("sheet", "c.*")
-    return data.unionByName(names).unionByName(heads)
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
-P["s09_wide_grid_unpivot"] = lambda s, d: files.wide_cells(_cells(s, d), 2, 1).select("sheet", "head", "name", "text")
-SQL["s09_wide_grid_unpivot"] = "SELECT n_regionkey AS sheet, 'Segment / ' || c_mktsegment AS head, n_name AS name, CAST(count(*) AS VARCHAR) AS text FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY n_regionkey, c_mktsegment, n_nationkey, n_name"
+def _cells(spark, d):
+    """A grid for each region, from the third row on: a header row of segments (blank over a segment's second and third column), one of measures, of which Share is not read; a column of keys that is blank
+    in odd nations, one of names, counts and balances; a note under each nation."""
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    at, row = F.lit(3), F.col("n_nationkey") * 2 + 5
+    for k, s_ in enumerate(SEGMENTS):
+        at = F.when(F.col("c_mktsegment") == s_, 3 + 3 * k).otherwise(at)
+    sums = c.groupBy("n_regionkey", "n_nationkey", "c_mktsegment").agg(F.count("*").alias("n"), F.max("c_custkey").alias("last"))
+    cell = lambda r, k, t: F.struct(F.lit(r).cast("int").alias("row"), F.lit(k).cast("int").alias("col"), F.lit(t).cast("string").alias("text"))
+    grid = lambda df, sheet, cells: df.select(F.col(sheet).alias("sheet"), F.explode(F.array(*cells)).alias("c")).select("sheet", "c.*")
+    data = grid(sums, "n_regionkey", [cell(row, at, F.col("n")), cell(row, at + 1, F.when(F.col("n") > 1, F.col("last"))), cell(row, at + 2, "9 %")])
+    names = grid(table(spark, d, "nation"), "n_regionkey", [cell(row, 1, F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey"))), cell(row, 2, F.col("n_name")), cell(row + 1, 1, "A note."), cell(row + 1, 2, F.lit(" "))])
+    heads = [cell(3, 3 + 3 * k, s_) for k, s_ in enumerate(SEGMENTS)] + [cell(4, 3 + 3 * k + j, m) for k in range(len(SEGMENTS)) for j, m in enumerate(("Count", "Last", "Share"))] + [cell(1, 1, "A title")]
+    return data.unionByName(names).unionByName(grid(table(spark, d, "region"), "r_regionkey", heads))
+
+
+P["s09_wide_grid_unpivot"] = lambda s, d: files.wide_grid(_cells(s, d), 2, 2, header_row=3, fill_down=(1,), measures={"Count": "n", "Last": "last"})[0].select("sheet", "row", "name_1", "name_2", F.col("head_1").alias("segment"), "n", "last")
+SQL["s09_wide_grid_unpivot"] = f"""WITH g AS (SELECT n_regionkey AS sheet, n_nationkey AS k, n_name AS name_2, unnest([{', '.join(f"'{s_}'" for s_ in SEGMENTS)}]) AS segment FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer)),
+ c AS (SELECT c_nationkey AS k, c_mktsegment AS segment, count(*) AS n, CASE WHEN count(*) > 1 THEN max(c_custkey) END AS last FROM customer GROUP BY 1, 2)
+ SELECT sheet, CAST(g.k * 2 + 5 AS INT) AS row, coalesce(CAST((SELECT max(h.k) FROM g h WHERE h.sheet = g.sheet AND h.k <= g.k AND h.k % 2 = 0) AS VARCHAR), '') AS name_1, name_2, g.segment, coalesce(CAST(n AS VARCHAR), '') AS n, coalesce(CAST(last AS VARCHAR), '') AS last FROM g LEFT JOIN c ON c.k = g.k AND c.segment = g.segment"""
 
 
 def _lines(spark, d):

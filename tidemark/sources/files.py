@@ -192,22 +192,57 @@ def backfill(listing: DataFrame, stored: DataFrame, since: str) -> DataFrame:
     return listing.where(F.col("version") >= F.lit(since).cast("date")).join(stored, ["dataset", "version"], "left_anti")
 
 
-def wide_cells(cells: DataFrame, header_rows: int, name_columns: int) -> DataFrame:
-    """A presentation grid of cells (sheet, row, col, text) as one row for each data cell: sheet, row, head, name, text.
+def wide_grid(cells: DataFrame, header_rows: int, row_headers: int, header_row: int = 1, first_column: int = 1, fill_down: tuple[int, ...] = (), column_match: str | None = None, measures: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(a presentation grid's data, the headers that it does not read): the grid as cells (sheet, row, col, text), rows and columns from 1.
 
-    Header cells hold until the next one to their right, row names until the next below; blank data cells are left out.
+    The header begins at `header_row`, the row headers at `first_column`. Columns are told by the last header row: those with a filled cell there that `column_match` finds. Above it, a cell left
+    blank beside a filled one is part of a merged cell and takes its value; the cells over a column, from the top, are its place in the header tree. Rows without a filled
+    cell in these columns are notes and are left out. Row headers named in `fill_down` (from 1) hold until the next one below, in rows that have data.
+
+    One row for each data row and column: sheet, row, name_1 and on, head_1 and on, cell (blank cells too). With `measures` (last header -> field) the last header row names
+    fields: one row for each data row and group of columns under the same cells above, with a column for each field. The second table is sheet, head: last headers that are not read, in no order.
+    A measure that a sheet lacks is refused, and so is a grid without columns to read.
     """
     text = F.nullif(F.trim("text"), F.lit(""))
-    rows = cells.withColumn("text", text)
-    across = W.partitionBy("sheet", "row").orderBy("col").rowsBetween(W.unboundedPreceding, 0)
-    heads = rows.where(F.col("row") <= header_rows).withColumn("h", F.last("text", True).over(across))
-    heads = heads.groupBy("sheet", "col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "h"))), lambda x: x["h"]), " / ").alias("head"))
-    body = rows.where(F.col("row") > header_rows)
-    down = W.partitionBy("sheet", "col").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
-    names = body.where(F.col("col") <= name_columns).withColumn("n", F.last("text", True).over(down))
-    names = names.groupBy("sheet", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "n"))), lambda x: x["n"]), " / ").alias("name"))
-    data = body.where((F.col("col") > name_columns) & F.col("text").isNotNull())
-    return data.join(names, ["sheet", "row"], "left").join(heads, ["sheet", "col"], "left").select("sheet", "row", "col", "head", "name", "text")
+    at = cells.select("sheet", (F.col("row") - header_row + 1).alias("row"), (F.col("col") - first_column + 1).alias("col"), text.alias("text")).where("row >= 1 and col >= 1")
+    last = at.where((F.col("row") == header_rows) & (F.col("col") > row_headers) & F.col("text").isNotNull()).select("sheet", "col", F.col("text").alias("last"))
+    read = F.col("last").isin(*measures) if measures else F.lit(True)
+    read = read & F.col("last").rlike(column_match) if column_match else read
+    cols, held = last.where(read), last.where(~read).select("sheet", F.col("last").alias("head")).distinct()
+    there = {r.sheet: r.found for r in cols.groupBy("sheet").agg(F.collect_set("last").alias("found")).collect()}  # a row for each sheet, its different headers
+    if not there:
+        raise ValueError("the grid has no columns to read")
+    for sheet, found in there.items():
+        if absent := sorted(set(measures or {}) - set(found)):
+            raise ValueError(f"sheet {sheet!r} has no columns headed {absent}")
+    levels = header_rows - 1
+    above = at.where((F.col("row") <= levels) & (F.col("col") > row_headers)).withColumn("asks", F.lit(False))
+    asked = cols.select("sheet", F.explode(F.sequence(F.lit(1), F.lit(levels)) if levels else F.array().cast("array<int>")).alias("row"), "col", F.lit(None).cast("string").alias("text"), F.lit(True).alias("asks"))
+    across = W.partitionBy("sheet", "row").orderBy("col").rangeBetween(W.unboundedPreceding, W.currentRow)
+    over = above.unionByName(asked).withColumn("text", F.last("text", True).over(across)).where("asks")
+    heads = over.groupBy("sheet", "col").agg(F.array_sort(F.collect_list(F.struct("row", F.coalesce("text", F.lit("")).alias("text")))).alias("over"))
+    cols = cols.join(heads, ["sheet", "col"], "left").withColumn("over", F.coalesce(F.col("over.text"), F.array().cast("array<string>")))
+    tree = F.col("over") if measures else F.array_append("over", F.col("last"))
+    groups = cols.select("sheet", "col", "last", *[F.get(tree, F.lit(k)).alias(f"head_{k + 1}") for k in range(levels if measures else header_rows)])
+    places = [c for c in groups.columns if c.startswith("head_")]
+
+    body = at.where(F.col("row") > header_rows)
+    filled = body.where(F.col("text").isNotNull()).join(groups, ["sheet", "col"])
+    rows = filled.select("sheet", "row").distinct()
+    ids = [F.max(F.when(F.col("col") == k, F.col("text"))).alias(f"name_{k}") for k in range(1, row_headers + 1)]
+    if ids:
+        rows = rows.join(body.where(F.col("col") <= row_headers).groupBy("sheet", "row").agg(*ids), ["sheet", "row"], "left")
+    down = W.partitionBy("sheet").orderBy("row").rowsBetween(W.unboundedPreceding, W.currentRow)
+    for k in fill_down:
+        rows = rows.withColumn(f"name_{k}", F.last(f"name_{k}", True).over(down))
+    names = [c for c in rows.columns if c.startswith("name_")]
+    key = F.concat_ws("\u0001", *places) if measures and places else F.lit("") if measures else F.col("col")
+    fields = [F.max(F.when(F.col("last") == h, F.col("text"))).alias(f) for h, f in measures.items()] if measures else [F.max("text").alias("cell")]
+    values = filled.withColumn("_key", key).groupBy("sheet", "row", "_key").agg(*fields)
+    branches = groups.withColumn("_key", key).groupBy("sheet", "_key").agg(F.min("col").alias("col"), *[F.first(c).alias(c) for c in places])
+    out = rows.join(branches, "sheet").join(values, ["sheet", "row", "_key"], "left")
+    made = [c for c in values.columns if c not in ("sheet", "row", "_key")]
+    return out.select("sheet", (F.col("row") + header_row - 1).alias("row"), (F.col("col") + first_column - 1).alias("col"), *[F.coalesce(c, F.lit("")).alias(c) for c in (*names, *places, *made)]), held
 
 
 def sections(lines: DataFrame, pattern: str, by: str = "doc", order: str = "_pos", text: str = "line") -> DataFrame:
