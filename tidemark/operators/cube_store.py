@@ -126,8 +126,13 @@ def _cubes(store: str, version: str, content: str) -> str:
     return f"{store}/cubes/{version}/{content}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at, files = _files(spark, path)
+    return files.exists(at)
+
+
 def file_hash(spark: SparkSession, path: str) -> str:
-    """A hash of the names, sizes and times of a table's files: tells whether they changed without reading them."""
+    """A hash of a table's path and the names, sizes and times of its files: tells whether they changed without reading them."""
     at, files = _files(spark, path)
     seen = [(f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files.listStatus(at)]
-    return hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()[:32]
+    return hashlib.sha256(repr((path, sorted(seen))).encode()).hexdigest()[:32]
