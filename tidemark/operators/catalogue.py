@@ -250,19 +250,59 @@ def subject_words(c: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(COMMON)))
 
 
+#: Records that meet in pairs under one topic and word; a word of more is common: it is counted where records meet by another, and never brings them together itself.
+MEET = 100
+
+
+def _apart() -> Column:
+    return (F.col("org") != F.col("_org")) & (F.col("id") != F.col("other")) & ~F.coalesce(F.col("collection") == F.col("_collection"), F.lit(False))
+
+
+def _other(rows: DataFrame) -> DataFrame:
+    return rows.withColumnsRenamed({"id": "other", "org": "_org", "collection": "_collection"})
+
+
+def met_by_rare_words(each: DataFrame) -> DataFrame:
+    """id, other, shared of all pairs that share a topic and a word of at most MEET records under it; shared counts all their words, common ones too."""
+    rare = each.where(F.col("n") <= MEET).select("topic", "word", "id", "org", "collection", "words")
+    pairs = rare.join(_other(rare).withColumnRenamed("words", "_words"), ["topic", "word"]).where(_apart())
+    return pairs.select("id", "other", F.size(F.array_intersect("words", "_words")).cast("long").alias("shared")).groupBy("id", "other").agg(F.max("shared").alias("shared"))
+
+
+def met_by_common_words(each: DataFrame, bar: DataFrame, k: int) -> DataFrame:
+    """id, other, shared: pairs by common words alone, all that may be among a record's k best where its bar (id, bar: its k-th best by rare words) leaves room.
+
+    Records of one topic and the same common words are one group, which shows at most 5k of its own: the least ids, enough of them whatever one publisher and one collection a reader leaves out.
+    A group with `bar` words in common holds one of a record's rarer common words (all but bar - 1), so the commonest words bring nobody together where the bar is higher.
+    """
+    common = each.where(F.col("n") > MEET).groupBy("topic", "id", "org", "collection").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("_c")).withColumn("group", F.col("_c.word")).drop("_c")
+    shown = common
+    first = lambda by: F.row_number().over(W.partitionBy("topic", "group", *by).orderBy("id"))
+    for by, most, where in ((("org", "collection"), k, F.col("collection").isNotNull()), (("org",), 2 * k, F.lit(True)), (("collection",), 2 * k, F.col("collection").isNotNull()), ((), 5 * k, F.lit(True))):
+        shown = shown.withColumn("_r", first(by)).where((F.col("_r") <= most) | ~where).drop("_r")
+    known = common.select("topic", "group").distinct().select("topic", F.col("group").alias("_group"), F.explode("group").alias("word"))
+    bars = common.join(bar, "id", "left").withColumn("bar", F.greatest(F.coalesce("bar", F.lit(0)), F.lit(1))).where(F.col("bar") <= F.size("group"))
+    asks = bars.select("topic", "group", "bar").distinct().withColumn("word", F.explode(F.slice("group", F.lit(1), F.size("group") - F.col("bar") + 1)))
+    near = asks.join(known, ["topic", "word"]).select("topic", "group", "bar", "_group").distinct().withColumn("shared", F.size(F.array_intersect("group", "_group")).cast("long")).where(F.col("shared") >= F.col("bar"))
+    seen = bars.join(near, ["topic", "group", "bar"]).select("topic", "_group", "id", "org", "collection", "shared")
+    pairs = seen.join(_other(shown).withColumnRenamed("group", "_group"), ["topic", "_group"]).where(_apart())
+    return pairs.groupBy("id", "other").agg(F.max("shared").alias("shared"))
+
+
 def related(records: DataFrame, k: int = 12) -> DataFrame:
-    """id, other, shared: the k records that share most subject words with a record, a topic too, but neither publisher nor collection.
+    """id, other, shared: the k records that share most subject words with a record, a topic too, but neither publisher nor collection; ties by other.
 
-    records: id, org, collection (may be null), topics, words. Records meet on topic and word; shared words are summed by pair
-    before they are dealt by pair, and every pair that shares a word counts.
+    records: id, org, collection (may be null), topics, words. A top-k join of sets: records meet in pairs by their rarer words only, and what those leave open is answered from
+    groups of records of the same common words, so a word in every record costs each record a few rows times k and no pairs.
     """
-    each = records.select("id", "org", "collection", F.explode(F.array_distinct("topics")).alias("topic"), F.array_distinct("words").alias("words")).withColumn("word", F.explode("words")).drop("words")
-    other = each.select("topic", "word", F.col("id").alias("other"), F.col("org").alias("_org"), F.col("collection").alias("_collection"))
-    apart = (F.col("org") != F.col("_org")) & (F.col("id") != F.col("other")) & ~F.coalesce(F.col("collection") == F.col("_collection"), F.lit(False))
-    # A pair with several topics in common meets once under each: the word counts once.
-    shared = each.join(other, ["topic", "word"]).where(apart).groupBy("id", "other", "topic").agg(F.count("*").alias("shared"))
-    scored = shared.groupBy("id", "other").agg(F.max("shared").alias("shared"))
-    return scored.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.desc("shared"), "other"))).where(F.col("r") <= k).drop("r")
+    each = records.select("id", "org", "collection", F.explode(F.array_distinct("topics")).alias("topic"), F.array_distinct("words").alias("words")).withColumn("word", F.explode("words"))
+    often = each.groupBy("topic", "word").agg(F.count("*").alias("n"))
+    each = checkpointed(each.join(often, ["topic", "word"]))
+    rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("shared"), "other"))
+    best = checkpointed(met_by_rare_words(each).withColumn("r", rank).where(F.col("r") <= k))
+    bar = best.where(F.col("r") == k).select("id", F.col("shared").alias("bar"))
+    every = best.drop("r").unionByName(met_by_common_words(each, bar, k)).groupBy("id", "other").agg(F.max("shared").alias("shared"))
+    return every.withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
 
 def dataset_to_record(entries: DataFrame, records: DataFrame) -> DataFrame:
