@@ -8,6 +8,8 @@ from tests.compare import differs, duck, sf
 from tidemark.plans import registered
 
 QUERIES, SQL = registered()
+#: Queries whose answer has no rows on the smallest tables: nothing there is wrong, stale or missing. All others must give some.
+EMPTY: set[str] = set()
 pytestmark = pytest.mark.skipif(not os.path.isdir(sf()), reason="no test tables here")
 
 
@@ -20,7 +22,7 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, con, name):
-    assert differs(spark, con, sf(), QUERIES[name], SQL[name]) in ("", "no rows")
+    assert differs(spark, con, sf(), QUERIES[name], SQL[name]) in (("", "no rows") if name in EMPTY else ("",))
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
