@@ -105,7 +105,7 @@ def scanned(docs: DataFrame, known: list[tuple[str, str, str]] | None = None, id
     canonical form once; only units as long as some known one are digested, which no match can miss. The known table is of
     checked size (at most MOST rows) and is broadcast; the documents are not shuffled but for the few units that match. Null and empty
     texts match nothing; texts of any length are taken whole; of known texts with one canonical form the first counts.
-    Rows that repeat a doc_id are one document.
+    Every row is a document and answered by itself, rows that repeat a doc_id or have none too.
     """
     table = known_digests(docs.sparkSession, known)
     texts = KNOWN if known is None else known
@@ -113,13 +113,14 @@ def scanned(docs: DataFrame, known: list[tuple[str, str, str]] | None = None, id
         raise ValueError(f"{len(texts)} known texts; at most {MOST} can be broadcast")
     sizes = table.select("n_chars", "kind", "n_lines").distinct().collect()  # at most one for each known text
     lengths, heights = sorted({r[0] for r in sizes}), sorted({r[2] for r in sizes if r[1] == "notice"} | {1})
-    lines = docs.select(F.col(id_column).cast("long").alias("doc_id"), canonical_lines(F.col(text_column).cast("string")).alias("_lines"))
+    lines = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_column).cast("long").alias("doc_id"), canonical_lines(F.col(text_column).cast("string")).alias("_lines"))
     unit = lambda whole, text: F.struct(F.lit(whole).alias("whole"), text.alias("unit"))
     sets = [F.array(unit(True, F.array_join("_lines", " "))), F.transform("_lines", lambda x: unit(False, x))]
     sets += [_runs(F.col("_lines"), height, lambda x: unit(False, x)) for height in heights[1:]]
     fits = F.filter(F.concat(*sets), lambda x: F.length(x["unit"]).isin(lengths or [-1]))
-    units = lines.select("doc_id", F.explode(fits).alias("u")).select("doc_id", "u.whole", _digest(F.col("u.unit")).alias("digest"))
+    units = lines.select("_row", "doc_id", F.explode(fits).alias("u")).select("_row", "doc_id", "u.whole", _digest(F.col("u.unit")).alias("digest"))
     found = units.join(F.broadcast(table), "digest")
     license_ = F.min(F.when(F.col("whole"), F.col("license")))
     notices = F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license"))))
-    return found.groupBy("doc_id").agg(license_.alias("license"), F.sum(F.when(~F.col("whole"), 1).otherwise(0)).alias("n_notices"), F.array_join(notices, ",").alias("notices"))
+    made = found.groupBy("_row", "doc_id").agg(license_.alias("license"), F.sum(F.when(~F.col("whole"), 1).otherwise(0)).alias("n_notices"), F.array_join(notices, ",").alias("notices"))
+    return made.drop("_row")

@@ -22,11 +22,11 @@ def _canonical(text: str) -> str:
 def licenses_sql() -> str:
     known = ", ".join(f"({k}, {_quoted(a)}, {_quoted(kind)}, {_quoted(t)})" for k, (a, kind, t) in enumerate(licenses.KNOWN))
     return f"""WITH known AS (SELECT arg_min(license, k) AS license, arg_min(kind, k) AS kind, arg_min(n, k) AS n, canon FROM (SELECT k, license, kind, len({_canonical('text')}) AS n, array_to_string({_canonical('text')}, ' ') AS canon FROM (VALUES {known}) t(k, license, kind, text)) GROUP BY canon),
- docs AS (SELECT doc_id, {_canonical('text')} AS lines FROM documents),
- units AS (SELECT doc_id, true AS whole, array_to_string(lines, ' ') AS unit FROM docs
-  UNION ALL SELECT doc_id, false, array_to_string(lines[i:i + h - 1], ' ') FROM (SELECT doc_id, lines, h, unnest(range(1, len(lines) - h + 2)) AS i FROM docs, (SELECT DISTINCT n AS h FROM known WHERE kind = 'notice' UNION SELECT 1)))
+ docs AS (SELECT row_number() OVER () AS r, doc_id, {_canonical('text')} AS lines FROM documents),
+ units AS (SELECT r, doc_id, true AS whole, array_to_string(lines, ' ') AS unit FROM docs
+  UNION ALL SELECT r, doc_id, false, array_to_string(lines[i:i + h - 1], ' ') FROM (SELECT r, doc_id, lines, h, unnest(range(1, len(lines) - h + 2)) AS i FROM docs, (SELECT DISTINCT n AS h FROM known WHERE kind = 'notice' UNION SELECT 1)))
  SELECT doc_id, min(license) FILTER (whole) AS license, count(*) FILTER (NOT whole) AS n_notices, coalesce(string_agg(DISTINCT license, ',' ORDER BY license) FILTER (NOT whole), '') AS notices
- FROM units JOIN known ON canon = unit GROUP BY doc_id"""
+ FROM units JOIN known ON canon = unit GROUP BY r, doc_id"""
 
 
 def _matches(pattern: str) -> str:
