@@ -145,8 +145,8 @@ P["v11_carry_last_seen"] = lambda s, d: v.carry_last_seen(P["v10b_history_at_onc
 SQL["v11_carry_last_seen"] = f"SELECT user_id, status, first_seen, CASE WHEN last_seen = DATE '{DAYS[-1]}' THEN DATE '2024-01-20' ELSE last_seen END AS last_seen FROM {HISTORY}"
 P["v12_revised_since"] = lambda s, d: v.revised_between(_log(s, d).withColumn("revised", F.when(F.col("revised") > 0, F.date_format("day", "yyyy-MM"))).select("dataset", "day", "revised"), _log(s, d).where("dayofmonth(day) = 1").select("dataset", F.col("day").alias("version")))
 SQL["v12_revised_since"] = f"WITH f AS (SELECT dataset, day, CASE WHEN revised > 0 THEN strftime(day, '%Y-%m') END AS revised FROM {LOG}), s AS (SELECT dataset, day AS version, lag(day) OVER (PARTITION BY dataset ORDER BY day) AS after FROM {LOG} WHERE day(day) = 1) SELECT s.dataset, s.version, coalesce(string_agg(DISTINCT f.revised, ',' ORDER BY f.revised), '') AS revised FROM s LEFT JOIN f ON f.dataset = s.dataset AND f.day <= s.version AND (s.after IS NULL OR f.day > s.after) GROUP BY 1, 2"
-P["v13_revision_flag"] = lambda s, d: v.revisions(v.part_digests(version_a(s, d).where("o_orderkey % 1009 <> 0"), "day", "month"), v.part_digests(version_a(s, d), "day", "month"), "month", 2, "1997-03-15")
-SQL["v13_revision_flag"] = f"SELECT DISTINCT {_label('month')} AS period FROM {A} WHERE o_orderkey % 1009 = 0 AND {_label('month')} < '1997-02'"
+P["v13_revision_flag"] = lambda s, d: v.revisions(v.part_digests(version_a(s, d).where("o_orderkey % 101 <> 0"), "day", "month"), v.part_digests(version_a(s, d), "day", "month"), "month", 2, "1997-03-15")
+SQL["v13_revision_flag"] = f"SELECT DISTINCT {_label('month')} AS period FROM {A} WHERE o_orderkey % 101 = 0 AND {_label('month')} < '1997-02'"
 P["v15_version_date"] = lambda s, d: v.free_version(_log(s, d).groupBy("dataset").agg(F.min("day").alias("day")), _log(s, d).select("dataset", F.col("day").alias("version")))
 SQL["v15_version_date"] = f"WITH RECURSIVE t(dataset, version) AS (SELECT dataset, min(day) FROM {LOG} GROUP BY 1 UNION ALL SELECT t.dataset, CAST(t.version + INTERVAL 1 DAY AS DATE) FROM t WHERE EXISTS (SELECT 1 FROM {LOG} l WHERE l.dataset = t.dataset AND l.day = t.version)) SELECT dataset, max(version) AS version FROM t GROUP BY 1"
 _FIELDS = [("orderkey", 1, "bigint"), ("status", 2, "string"), ("price", 3, "double"), ("day", 5, "date")]
