@@ -25,11 +25,15 @@ def _bucket(term: Column, buckets: int) -> Column:
 def build_index(docs: DataFrame, path: str, fields: list[str], kept: list[str] = (), buckets: int = BUCKETS) -> None:
     """Index the rows of docs (id, text fields, kept columns that searches filter or order by).
 
-    Terms are counted inside each row. Buckets are ranges of files: a term in a third of all rows is cut by id over several files of its bucket, so no task writes it whole.
+    Terms are counted by row and term, partly where a row is read. Buckets are ranges of files: a term in a third of all rows is cut by id over several files of its bucket, so no task writes it whole.
     """
     lists = docs.select("id", *kept, *[tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"_{f}") for f in fields])
-    rows = lists.select("id", *kept, *[F.size(f"_{f}").alias(f"len_{f}") for f in fields], *[f"_{f}" for f in fields], F.explode(F.array_distinct(F.concat(*[f"_{f}" for f in fields]))).alias("term"))
-    counted = rows.select("term", "id", *kept, *[F.size(F.filter(f"_{f}", lambda x: x == F.col("term"))).alias(f"n_{f}") for f in fields], *[f"len_{f}" for f in fields])
+    named = lambda f: F.transform(f"_{f}", lambda t: F.struct(F.lit(f).alias("field"), t.alias("term")))
+    said = F.explode(F.concat(*map(named, fields))).alias("x")
+    rows = lists.select("id", *kept, *[F.size(f"_{f}").alias(f"len_{f}") for f in fields], said)
+    lengths = [f"len_{f}" for f in fields]
+    counted = rows.groupBy(F.col("x.term").alias("term"), "id", *kept, *lengths).agg(*[F.count_if(F.col("x.field") == f).cast("int").alias(f"n_{f}") for f in fields])
+    counted = counted.select("term", "id", *kept, *[f"n_{f}" for f in fields], *lengths)
     counted = counted.withColumn("bucket", _bucket(F.col("term"), buckets))
     counted.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     totals = lists.groupBy(*kept).agg(F.count("*").alias("rows"), *[F.sum(F.size(f"_{f}")).alias(f"len_{f}") for f in fields])
