@@ -204,6 +204,32 @@ def test_state_by_key_over_batches(spark, tmp_path):
     assert rows(_final(spark, feeds.state_by_key(stream, "k", "s", "t"), "update", "k")) == [(1, "b", 2, 4), (2, "a", 7, 7), (3, "c", 5, 5)]
 
 
+def test_state_by_key_in_any_order(spark, tmp_path):
+    """A key's rows come in several parts and batches of no order; late rows cut the current run or begin it earlier."""
+    import random
+
+    from tidemark.plans.stream_plans import _final
+    from tidemark.streaming import feeds
+
+    rng = random.Random(5)
+    told = [(k, rng.choice([*"aaaab", None]), t) for k in range(6) for t in rng.sample(range(2**60, 2**60 + 5000), 400)] + [(9, "a", 2), (9, "b", None)]
+    rng.shuffle(told)
+    want = []
+    for k in sorted({r[0] for r in told}):
+        own = sorted((r for r in told if r[0] == k), key=lambda r: (r[2] is None, r[2] or 0))
+        n = next((n for n in range(1, len(own)) if own[-1 - n][1] != own[-1][1]), len(own))
+        want.append((k, own[-1][1], own[-n][2], own[-1][2]))
+    for n in range(0, len(told), 800):
+        spark.createDataFrame(told[n : n + 800], "k long, s string, t long").repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        for files in (2, 100):
+            stream = spark.readStream.schema("k long, s string, t long").option("maxFilesPerTrigger", files).parquet(str(tmp_path / "in"))
+            assert rows(_final(spark, feeds.state_by_key(stream, "k", "s", "t"), "update", "k")) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_provenance_and_points(spark):
     df = sinks.with_provenance(spark.createDataFrame([(1.0, 2.0), (None, 1.0)], "lon double, lat double"), {"source": "file", "version": "2024-01-01"})
     assert df.schema["lon"].metadata == {"source": "file", "version": "2024-01-01"}
