@@ -230,6 +230,21 @@ def test_state_by_key_in_any_order(spark, tmp_path):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_inferred_cells(spark):
+    """What a cast or parse takes has the shape asked for before it, so shapes change no answer; and most cells that fail are never put to one."""
+    cells = ["1", "-1", "+7", "007", "1.5", ".5", "5.", "1e5", "-2E-3", "1d", "2f", "0x1p3", "NaN", "nan", "-Infinity", "inf", "+INF", "1_0", "1,234", "1,23", "\x0112", "12\x7f", "9" * 30, "", "yes", "held", "2020-01-31", "12020-01-31", "+12020-01-31", "2020-1-31", "31/1/2020", "031/01/2020", "1-2", "20200131", "Jan 5, 2020", "5 Jan 2020", "2020-01-31T10:11:12", "2020-01-31T10:11:12.5", "a-b/c", "<5"]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    formats = ("yyyy-MM-dd", "d/M/yyyy", "yyyyMMdd", "MMM d, yyyy", "d MMM yyyy", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-M-d[ H:m]", "dd.MM.yy")
+    c, fails = F.col("c"), 0
+    for shape, x in [(normalise.INTEGRAL, c.try_cast("bigint")), (normalise.NUMERAL, c.try_cast("double")), *[(normalise.date_shape(f), F.try_to_timestamp(c, F.lit(f))) for f in formats]]:
+        got = df.select("c", x.isNotNull().alias("ok"), (c.rlike(shape) if shape else F.lit(True)).alias("fits")).collect()
+        assert [r.c for r in got if r.ok and not r.fits] == [], shape
+        fails += sum(r.fits and not r.ok for r in got) if shape else 0
+    assert fails < 12
+    kind = lambda *cells: [r.type for r in normalise.infer(spark.createDataFrame([(c,) for c in cells], "`a.b` string"), ["a.b"]).collect()]
+    assert [kind("1", None, "2"), kind("1", "1.5", "<5"), kind("01", "x"), kind("Y", "no "), kind("2020-01-31", ""), kind("2020-01-31", "1/2/2020"), kind(None, " "), kind("NaN", "1e5"), kind("1,234", "5")] == [["integer"], ["number"], ["string"], ["boolean"], ["date"], ["string"], ["string"], ["number"], ["integer"]]
+
+
 def test_provenance_and_points(spark):
     df = sinks.with_provenance(spark.createDataFrame([(1.0, 2.0), (None, 1.0)], "lon double, lat double"), {"source": "file", "version": "2024-01-01"})
     assert df.schema["lon"].metadata == {"source": "file", "version": "2024-01-01"}
