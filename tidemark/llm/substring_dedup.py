@@ -146,7 +146,8 @@ def repeated_spans(docs: DataFrame, several: int = 3, passage_words: int = 24, i
                     rows, parts, size = [], [], 0
             yield made()
 
-    every = written(keyed.mapInArrow(cut, "doc_id long, _text long, place long, run long, run2 long"), "every-run")
+    # Cut anew for each of its two uses: hashes do not compress, and written runs take more disk than the texts.
+    every = keyed.mapInArrow(cut, "doc_id long, _text long, place long, run long, run2 long")
     place = F.struct("doc_id", "_text", "place")
     least = every.groupBy("run", "run2").agg(F.min(place).alias("at"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     least = written(least, "runs")
