@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
@@ -270,17 +270,17 @@ def components(links: DataFrame) -> DataFrame:
     links = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     while True:
         # Least neighbours are written before they are joined, so both sides of a join are exchanges and a hub's rows can be split.
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = written(large, "large")
+        both = links.select("a", "b", F.lit(1).alias("up")).unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(0).alias("up")))
+        ups = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.sum("up").alias("up"), F.count("*").alias("n"))
+        # The same pass tells whether the last round left a node with two roots, or a root with one.
+        seen = Observation()
+        least = written(ups.observe(seen, F.count_if((F.col("up") > 1) | (F.col("up") == 1) & (F.col("n") > 1)).alias("open")).select("a", "m"), "least")
+        if not seen.get["open"]:
+            return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        large = written(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"), "large")
         least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = written(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "links")
-        ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("up")))
-        ups = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
-        if not ups.where("up > 1 or (up = 1 and n > 1)").head(1):
-            return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def signatures(docs: DataFrame, words: int, per_band: int) -> DataFrame:
