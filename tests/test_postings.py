@@ -51,3 +51,24 @@ def test_empty_index(spark, tmp_path):
     assert told(postings.search_index(spark, path, "the", WEIGHTS)) == []
     postings.build_index(docs, path, list(WEIGHTS), ["state"])
     assert told(postings.search_index(spark, path, "the", WEIGHTS)) == []
+
+
+def test_terms_are_counted_in_their_rows(spark, tmp_path):
+    """Counts by field are those of the words, and the postings are shuffled once: only to be dealt to buckets."""
+    docs, path, plans = rows(spark), str(tmp_path / "i"), []
+    class_ = type(docs)
+    deal = class_.repartitionByRange
+    class_.repartitionByRange = lambda df, *by: (plans.append(df._jdf.queryExecution().executedPlan().toString()), deal(df, *by))[1]
+    try:
+        postings.build_index(docs, path, list(WEIGHTS), ["state"], 16)
+    finally:
+        class_.repartitionByRange = deal
+    assert len(plans) == 1 and "Exchange" not in plans[0]
+    names = {f"n_{f}": f for f in WEIGHTS}
+    want = {}
+    for r in docs.select("id", *[catalogue.tokens(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in WEIGHTS]).collect():
+        for f in WEIGHTS:
+            for w in r[f]:
+                want.setdefault((w, r.id), dict.fromkeys(WEIGHTS, 0))[f] += 1
+    got = spark.read.parquet(f"{path}/postings").collect()
+    assert len(got) == len(want) and {(r.term, r.id): {f: r[c] for c, f in names.items()} for r in got} == want
