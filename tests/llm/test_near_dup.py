@@ -94,3 +94,30 @@ def test_intersections_are_exact():
     sets = [np.unique(r.integers(0, 400, n).astype(np.uint64)) for n in (1, 5, 50, 300, 300, 2)]
     got = near_dup.intersections(sets)
     assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(6) for j in range(6) if i != j)
+
+
+def test_components_of_links(spark, monkeypatch):
+    """Least reachable nodes, for random links, a chain and a hub; large stars are written without a shuffle to make them distinct."""
+    import random
+
+    from tidemark.llm import near_dup
+
+    rng, plans = random.Random(3), []
+    real = near_dup.written
+    monkeypatch.setattr(near_dup, "written", lambda df, name: (plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())), real(df, name))[1])
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(500 + k, 501 + k) for k in range(20)] + [(900, 901 + k) for k in range(50)] + [(7, 7)]
+    df = spark.createDataFrame([(a.to_bytes(2, "big"), b.to_bytes(2, "big")) for a, b in links], "a binary, b binary")
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    got = {int.from_bytes(r.node, "big"): int.from_bytes(r.root, "big") for r in near_dup.components(df).collect()}
+    assert got == {x: top(x) for x in root if top(x) != x}
+    assert near_dup.components(df.limit(0)).count() == 0
+    assert plans and not any("Aggregate" in p for name, p in plans if name == "large")

@@ -127,3 +127,19 @@ def test_short_sentences_go_and_a_lone_long_one_stays(docs):
 
 def test_empty_table(docs):
     assert s.repeated_spans(docs([(1, "a")]).limit(0)).collect() == []
+
+
+def test_runs_are_not_written(docs, monkeypatch):
+    """What goes to disk are the runs that repeat and what they cover, not every run."""
+    sizes = {}
+
+    def counted(df, name):
+        sizes[name] = df.count()
+        return df
+
+    monkeypatch.setattr(s, "written", counted)
+    rng = random.Random(4)
+    own = [" ".join(f"w{rng.randrange(10**6)} x{rng.randrange(10**6)}." for _ in range(60)) for _ in range(8)]
+    same = "One two three. Four five six. Seven eight nine. "
+    assert s.repeated_spans(docs([(k, same + t) for k, t in enumerate(own)])).count() == 7
+    assert sum(sizes.values()) < 60
