@@ -121,3 +121,27 @@ def test_components_of_links(spark, monkeypatch):
     assert got == {x: top(x) for x in root if top(x) != x}
     assert near_dup.components(df.limit(0)).count() == 0
     assert plans and not any("Aggregate" in p for name, p in plans if name == "large")
+
+
+def test_blocks_give_stars_that_need_few_rounds(docs, spark, monkeypatch):
+    """Stars are done as they come, and a group of near copies in many blocks takes two steps at most each time it is joined."""
+    frames, real, join = [], near_dup.written, near_dup.components
+    monkeypatch.setattr(near_dup, "written", lambda df, name: (frames.append(name), real(df, name))[1])
+    stars = spark.createDataFrame([(bytes([k]), bytes([k % 3])) for k in range(3, 60)] * 2, "a binary, b binary")
+    assert {(r.node[0], r.root[0]) for r in near_dup.components(stars).collect()} == {(k, k % 3) for k in range(3, 60)}
+    assert frames == ["least"]
+
+    def counted(links):
+        frames.clear()
+        out = join(links)
+        steps.append(sum(name != "least" for name in frames))
+        return out
+
+    steps = []
+    monkeypatch.setattr(near_dup, "BLOCK", 32)
+    monkeypatch.setattr(near_dup, "components", counted)
+    r = random.Random(6)
+    base = ["w%d" % r.randrange(500) for _ in range(400)]
+    rows = [(i, " ".join([*base[:k], "x%d" % i, *base[k:]])) for i in range(400) for k in [r.randrange(400)]]
+    assert {x.component_id for x in near_dup.near_duplicates(docs(rows), 5, 0.8).collect()} == {0}
+    assert len(steps) == 4 and max(steps) <= 2

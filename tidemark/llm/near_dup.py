@@ -2,13 +2,14 @@
 
 The work of a group of near copies is never one task's: buckets and groups are cut into blocks of bounded size, which are compared
 with themselves and a few leaders of their group first. What that leaves apart is compared block by block, so a group of copies of
-one text costs its rows and not their square. A block gives back a spanning forest of the links it found, not the links. Copies with
-equal shingle sets are one node from the start. Nothing is collected on the driver.
+one text costs its rows and not their square. A block gives back stars that join what its links join, not the links; as the least
+node of a group leads it, stars of most blocks have one centre and need few rounds. Copies with equal shingle sets are one node
+from the start. Nothing is collected on the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -167,6 +168,22 @@ def _trees(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _stars(links: Iterable[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+    """(q, a, b) -> (a, b, q): every node that links of equal q join to a lesser one, with the least of those."""
+    root: dict[tuple[int, bytes], tuple[int, bytes]] = {}
+
+    def top(x: tuple[int, bytes]) -> tuple[int, bytes]:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for q, a, b in links:
+        x, y = top((q, a)), top((q, b))
+        root[max(x, y)] = min(x, y)
+    out = [(x[1], y[1], x[0]) for x in list(root) if (y := top(x)) != x]
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.int32()))], ["a", "b", "_q"])
+
+
 def _likely_forest(regs: np.ndarray, size: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """A spanning forest of the likely pairs among sketches: pairs with most equal registers first, and only between trees."""
     n = len(regs)
@@ -232,20 +249,19 @@ def forest(rows: DataFrame, group: str, load: Callable[[DataFrame, DataFrame | N
 
     rows: group, node, _blocks (how many blocks the group's rows fill) and what `blocks`, the aggregate that says this of any rows, needs;
     load(rows, nodes) adds the payload, where nodes lists the nodes in rows if they are few. First every block is compared with itself and
-    the group's LEADERS (rows of least node in as many parts of it). In a group of several blocks, rows that are then in one
+    the group's LEADERS (rows of least node in as many parts of it; _q is 1 where the group has several blocks). In a group of several blocks, rows that are then in one
     component need no comparison; the largest component's blocks are compared with the blocks of all other rows, and those
     with each other. A row is so dealt once, and as often as its group has blocks of rows apart: none in a group of copies of one text.
     """
     hot = rows.where("_blocks > 1")
-    own = rows.withColumns({"_p": _block(F.col("_blocks")), "_q": F.lit(0)})
+    own = rows.withColumns({"_p": _block(F.col("_blocks")), "_q": (F.col("_blocks") > 1).cast("int")})
     least = hot.groupBy(group, F.pmod(F.xxhash64("node", F.lit(1)), F.lit(LEADERS)).alias("_k")).agg(F.min("node").alias("node")).drop("_k")
     leaders = hot.join(written(least, "leaders"), [group, "node"])
-    lead = leaders.withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("_q", F.lit(0)).where(F.col("_p") != _block(F.col("_blocks")))
-    first = written(_dealt(load(own.unionByName(lead), None), group, payload).mapInArrow(find, "a binary, b binary"), "first-links")
+    lead = leaders.withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("_q", F.lit(1)).where(F.col("_p") != _block(F.col("_blocks")))
+    first = written(_dealt(load(own.unionByName(lead), None), group, payload).mapInArrow(find, "a binary, b binary, _q int"), "first-links")
     if not hot.head(1):
-        return first
-    nodes = hot.select("node").distinct()
-    inside = components(first.join(nodes, first["a"] == nodes["node"], "left_semi"))
+        return first.select("a", "b")
+    inside = components(first.where("_q = 1"))
     labelled = hot.drop("_blocks").join(inside, "node", "left").withColumn("_c", F.coalesce("root", "node")).drop("root")
     parts = written(labelled.groupBy(group, "_c").agg(F.count("*").alias("_n"), blocks.alias("_of")), "parts")
     largest = parts.groupBy(group).agg(F.max(F.struct("_n", "_of", "_c")).alias("_x"), F.sum("_of").alias("_all"), F.count("*").alias("_parts")).where("_parts > 1")
@@ -259,28 +275,37 @@ def forest(rows: DataFrame, group: str, load: Callable[[DataFrame, DataFrame | N
     across = rest.select(group, "node", F.explode(each(F.col("_big"))).alias("_p"), F.col("_j").alias("_q"))
     among = rest.select(group, "node", "_j", F.explode(each(F.col("_rest"))).alias("_o")).select(group, "node", (-1 - F.greatest("_j", "_o")).alias("_p"), F.least("_j", "_o").alias("_q"))
     again = load(most.unionByName(across).unionByName(among), left.select("node").distinct())
-    return first.unionByName(written(_dealt(again, group, payload).mapInArrow(find, "a binary, b binary"), "second-links"))
+    second = written(_dealt(again, group, payload).mapInArrow(find, "a binary, b binary, _q int"), "second-links")
+    # Links of groups of several blocks go on as what they have joined already.
+    return first.where("_q = 0").unionByName(second).select("a", "b").unionByName(inside.select(F.col("node").alias("a"), F.col("root").alias("b")))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root): every linked node but the roots, with the least node reachable, by alternating large and small stars.
+    """(node, root): every linked node but the roots, with the least node reachable, by large and small stars.
 
-    Each round is written to the shared folder, so lineage stays short; rounds go on until every node has one root, itself with none.
+    The links given are read twice, so they should be cheap to read. Each step is written to the shared folder, so lineage stays short;
+    steps go on until every node has one root, itself with none. No step gives more rows than it takes, so none is made distinct.
     """
-    links = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    was_large = False
     while True:
         # Least neighbours are written before they are joined, so both sides of a join are exchanges and a hub's rows can be split.
-        both = links.select("a", "b", F.lit(1).alias("up")).unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(0).alias("up")))
-        ups = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.sum("up").alias("up"), F.count("*").alias("n"))
-        # The same pass tells whether the last round left a node with two roots, or a root with one.
-        seen = Observation()
-        least = written(ups.observe(seen, F.count_if((F.col("up") > 1) | (F.col("up") == 1) & (F.col("n") > 1)).alias("open")).select("a", "m"), "least")
-        if not seen.get["open"]:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        large = written(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"), "large")
-        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = written(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "links")
+        both = links.select("a", "b", F.col("b").alias("up")).unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(None).cast("binary").alias("up")))
+        ups = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.max("up").alias("up"), F.count_if(F.col("up").isNull()).alias("below"))
+        # The same pass tells how many nodes have two lesser neighbours, and how many lie between two others.
+        seen, has_up = Observation(), F.col("up").isNotNull()
+        ups = ups.observe(seen, F.count_if(has_up & (F.col("up") != F.col("m"))).alias("forks"), F.count_if(has_up & (F.col("below") > 0)).alias("between"))
+        least = written(ups.select("a", "m"), "least")
+        forks, between = seen.get["forks"], seen.get["between"]
+        if not forks and not between:
+            return least.where("m < a").select(F.col("a").alias("node"), F.col("m").alias("root"))
+        # Large stars change nothing where no node lies between others, small ones nothing where none forks; else they take turns.
+        was_large = bool(between) and not (forks and was_large)
+        if was_large:
+            links = written(links.join(least.select(F.col("a").alias("b"), "m"), "b").select("a", F.col("m").alias("b")), "large")
+        else:
+            small = links.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+            links = written(small.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))), "small")
 
 
 def signatures(docs: DataFrame, words: int, per_band: int) -> DataFrame:
@@ -311,41 +336,41 @@ def _node(s: np.ndarray) -> bytes:
 
 
 def _candidate_links(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(bucket, p, q, node, n, sketch, block) -> a forest of the likely pairs of every pair of blocks."""
+    """(bucket, p, q, node, n, sketch, block) -> stars of the likely pairs of every pair of blocks."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in _grouped(batches, 3):
             nodes = t.column("node").to_pylist()
             size = t.column("n").to_numpy().astype(float)
             regs = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u2").reshape(len(t), REGISTERS)
-            out: list[tuple[bytes, bytes]] = []
+            q, out = t.column("_q").to_pylist(), []
             ends = np.append(at[1:], len(t))
             few = ends - at <= FEW  # most buckets: many at once
             for some in np.array_split(np.flatnonzero(few), max(1, few.sum() // 4000)):
                 x, y = _pairs(at[some], ends[some] - at[some])
                 ok = likely(regs[x], regs[y], size[x], size[y], similarity)
-                out += [(nodes[i], nodes[j]) for i, j in _trees(x[ok], y[ok])]
+                out += [(q[i], nodes[i], nodes[j]) for i, j in _trees(x[ok], y[ok])]
             for a, b in zip(at[~few].tolist(), ends[~few].tolist()):
-                out += [(nodes[a + i], nodes[a + j]) for i, j in _likely_forest(regs[a:b], size[a:b], similarity)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+                out += [(q[a], nodes[a + i], nodes[a + j]) for i, j in _likely_forest(regs[a:b], size[a:b], similarity)]
+            yield _stars(out)
 
     return find
 
 
 def _true_links(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(group, p, q, node, set, block) -> a forest of the pairs whose full sets have the similarity, in every pair of blocks."""
+    """(group, p, q, node, set, block) -> stars of the pairs whose full sets have the similarity, in every pair of blocks."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in _grouped(batches, 3, 2_000):
             nodes, sets = t.column("node").to_pylist(), t.column("set").to_pylist()
-            out: list[tuple[bytes, bytes]] = []
+            q, out = t.column("_q").to_pylist(), []
             for a, b in zip(at.tolist(), [*at[1:].tolist(), len(t)]):
                 own = [np.frombuffer(x, np.uint64) for x in sets[a:b]]
                 size = np.array([len(x) for x in own], float)
                 shared = intersections(own)
                 links = 100 * shared >= round(100 * similarity) * (size[:, None] + size - shared) - 1e-6
-                out += [(nodes[a + i], nodes[a + j]) for i, j in _forest(links)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+                out += [(q[a], nodes[a + i], nodes[a + j]) for i, j in _forest(links)]
+            yield _stars(out)
 
     return find
 
