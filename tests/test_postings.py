@@ -72,3 +72,52 @@ def test_terms_are_counted_in_their_rows(spark, tmp_path):
                 want.setdefault((w, r.id), dict.fromkeys(WEIGHTS, 0))[f] += 1
     got = spark.read.parquet(f"{path}/postings").collect()
     assert len(got) == len(want) and {(r.term, r.id): {f: r[c] for c, f in names.items()} for r in got} == want
+
+
+def dealt(spark, monkeypatch):
+    """Plans of what repartitionByRange is given."""
+    class_, plans = type(spark.range(1)), []
+    deal = class_.repartitionByRange
+    monkeypatch.setattr(class_, "repartitionByRange", lambda df, *by: (plans.append(df._jdf.queryExecution().executedPlan().toString()), deal(df, *by))[1])
+    return plans
+
+
+def test_words_are_cut_after_rows_are_dealt(spark, tmp_path, monkeypatch):
+    """Finding ranges runs what is dealt once or twice more: it must be rows of text, not their words."""
+    plans = dealt(spark, monkeypatch)
+    postings.build_index(rows(spark), str(tmp_path / "i"), list(WEIGHTS), ["state"], 8)
+    assert plans and not any(x in p for p in plans for x in ("split(", "Generate", "sort"))
+
+
+def test_search_lists_its_buckets_alone(spark, tmp_path):
+    path = str(tmp_path / "i")
+    postings.build_index(rows(spark), path, list(WEIGHTS), ["state"], 32)
+    wanted = {str(r[0]) for r in spark.createDataFrame([("w5",), ("the",)], "t string").select(postings._bucket(F.col("t"), 32)).collect()}
+    listed = postings.search_index(spark, path, "w5 the", WEIGHTS).inputFiles()
+    assert {f.split("bucket=")[1].split("/")[0] for f in listed if "bucket=" in f} == wanted
+
+
+def test_segments_of_parts(spark, tmp_path, monkeypatch):
+    """Rows counted a few words at a time, in segments by the input's size, give the same postings; files are in order; totals count each row once."""
+    docs = rows(spark).union(spark.createDataFrame([("big", "the " * 9, "road w1 " * 3000, "--", "c", True)], "id string, title string, text string, org string, state string, votable boolean"))
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs, path = spark.read.parquet(str(tmp_path / "docs")), str(tmp_path / "i")
+    monkeypatch.setattr(postings, "SEGMENT", 8000)
+    monkeypatch.setattr(postings, "WORDS", 100)  # goes to the workers with the function
+    postings.build_index(docs, path, list(WEIGHTS), ["state", "votable"], 4)
+    want = {}
+    for r in docs.select("id", *[catalogue.tokens(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in WEIGHTS]).collect():
+        for f in WEIGHTS:
+            for w in r[f]:
+                want.setdefault((w, r.id), dict.fromkeys(WEIGHTS, 0))[f] += 1
+    got = spark.read.parquet(f"{path}/postings").withColumn("file", F.input_file_name()).withColumn("at", F.col("_metadata.row_index")).orderBy("file", "at").collect()
+    assert len(got) == len(want) and {(r.term, r.id): {f: r[f"n_{f}"] for f in WEIGHTS} for r in got} == want
+    by_file = {}
+    for r in got:
+        by_file.setdefault(r.file, []).append((r.term.encode(), r.id.encode()))
+    assert len(by_file) > 8 and all(x == sorted(x) for x in by_file.values())
+    assert sum(r.leads for r in got) == len({r.id for r in got}) == len({i for _, i in want})
+    lengths = [F.sum(F.size(catalogue.tokens(F.coalesce(F.col(f), F.lit(""))))).alias(f"len_{f}") for f in WEIGHTS]
+    keys = ["state", "votable"]
+    told_ = spark.read.parquet(f"{path}/totals").drop("buckets", "schema")
+    assert sorted(map(tuple, told_.collect())) == sorted(map(tuple, docs.groupBy(*keys).agg(F.count("*"), *lengths).collect()))
